@@ -21,6 +21,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "12g",
 }
 
 
@@ -57,3 +58,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}"
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and return a frame
+    that reads it back (reliable checkpoint: survives executor loss).
+
+    Used where one intermediate result (the cleaned fact) feeds many
+    outputs, so the plan does not repeat its whole lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
