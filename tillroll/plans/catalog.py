@@ -62,4 +62,4 @@ def register(name: str, sql: str | None = None):
 
 
 # Importing the query modules fills the registry.
-from . import queries_clean, queries_core, queries_entities, queries_more  # noqa: E402,F401
+from . import queries_clean, queries_core, queries_entities, queries_more, queries_pipeline  # noqa: E402,F401
