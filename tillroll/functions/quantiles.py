@@ -13,9 +13,13 @@ single task.  Here the work is split into bounded steps:
    before the shuffle.
 3. A window over the distinct bracket values (about 6n/accuracy of them, and
    never more than the group's distinct values) finds the exact order
-   statistics.  If a bracket fails the check (count below > rank, or too few
-   values inside), that group/p falls back to the full value range, which is
-   still exact.
+   statistics.  The result (one row per group and probability) is written to
+   the shared checkpoint folder; if a bracket failed its check (count below >
+   rank, or too few values inside), only that group/p is redone over its full
+   value range, which is still exact.
+
+Steps 1-3 run as one job when the helper is called (eager).  The frame it
+returns reads the small materialised table.
 
 The result matches ``quantile_cont`` / pandas ``quantile`` (linear).
 """
@@ -27,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _G = "_qgrp"
 
 
@@ -79,20 +85,22 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         xc = F.when(F.col("_x") < lo, F.lit(None).cast("double")).otherwise(F.col("_x"))
         return j.groupBy(*gkeys, "_i", xc.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
 
-    # First attempt with the sketch bracket.
+    # First attempt with the sketch bracket: one job (two scans of the input),
+    # materialised in the shared checkpoint folder as a groups-sized table.
     agg1 = _bucket(br, F.col("_a"), F.col("_b"))
-    ok = _resolve(agg1, br, gkeys)
-    good = ok.where("_ok")
-    # Groups whose bracket failed: redo over [min, max], which is always exact.
-    bad_br = br.join(ok.where(~F.col("_ok")).select(*gkeys, "_i"), gkeys + ["_i"], "left_semi")
-    agg2 = _bucket(bad_br, F.col("_mn"), F.col("_mx"))
-    fixed = _resolve(agg2, bad_br, gkeys)
-    res = good.unionByName(fixed.where("_ok"))
-
-    wide = res.groupBy(*gkeys).pivot("_i", list(range(k))).agg(F.first("_q"))
-    cols = [F.col(str(i)).alias(n) for i, n in enumerate(names)]
-    out = stats.select(*gkeys, "_n").join(wide, gkeys, "left").select(
-        *gkeys, *(([F.col("_n").alias(with_count)] if with_count else [])), *cols)
+    ok = cut_lineage(_resolve(agg1, br, gkeys))
+    res = ok.where("_ok")
+    if ok.where(~F.col("_ok")).limit(1).count() > 0:
+        # A bracket missed (the sketch bound failed): redo those groups over
+        # [min, max], which is always exact.  Rare, so only built when needed.
+        bad_br = br.join(ok.where(~F.col("_ok")).select(*gkeys, "_i"), gkeys + ["_i"], "left_semi")
+        agg2 = _bucket(bad_br, F.col("_mn"), F.col("_mx"))
+        res = res.unionByName(_resolve(agg2, bad_br, gkeys).where("_ok"))
+
+    wide = res.groupBy(*gkeys).pivot("_i", list(range(k))).agg(F.first("_q"), F.first("_n"))
+    cols = [F.col(f"{i}_first(_q)").alias(n) for i, n in enumerate(names)]
+    nn = F.coalesce(*[F.col(f"{i}_first(_n)") for i in range(k)])
+    out = wide.select(*gkeys, *(([nn.alias(with_count)] if with_count else [])), *cols)
     if not keys:
         out = out.drop(_G)
     return out
@@ -103,15 +111,16 @@ def _resolve(bucketed: DataFrame, br: DataFrame, gkeys: list[str]) -> DataFrame:
     w = (Window.partitionBy(*gkeys, "_i").orderBy(F.col("_v").asc_nulls_first())
          .rowsBetween(Window.unboundedPreceding, 0))
     cum = bucketed.withColumn("_cum", F.sum("_c").over(w))
-    j = cum.join(br.select(*gkeys, "_i", "_h", "_klo", "_khi"), gkeys + ["_i"])
+    j = cum.join(br.select(*gkeys, "_i", "_n", "_h", "_klo", "_khi"), gkeys + ["_i"])
     below = F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0))
     top = F.max("_cum")
     per = j.groupBy(*gkeys, "_i").agg(
         below.alias("_below"), top.alias("_top"),
         F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > F.col("_klo")), F.col("_v"))).alias("_xlo"),
         F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > F.col("_khi")), F.col("_v"))).alias("_xhi"),
-        F.first("_h").alias("_h"), F.first("_klo").alias("_klo"), F.first("_khi").alias("_khi"))
+        F.first("_h").alias("_h"), F.first("_klo").alias("_klo"), F.first("_khi").alias("_khi"),
+        F.first("_n").alias("_n"))
     ok = (F.col("_below") <= F.col("_klo")) & (F.col("_top") > F.col("_khi"))
     frac = F.col("_h") - F.col("_klo")
     q = F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * frac
-    return per.select(*gkeys, "_i", ok.alias("_ok"), q.alias("_q"))
+    return per.select(*gkeys, "_i", "_n", ok.alias("_ok"), q.alias("_q"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Largest dimension (in rows) we broadcast; above it the join sort-merges.
+BROADCAST_MAX_ROWS = int(os.environ.get("TILLROLL_BROADCAST_MAX_ROWS", "2000000"))
+_DIM_ROWS: dict[str, bool] = {}
+
+
+def bounded_broadcast(df: DataFrame, key: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast-hint ``df`` only after checking it has at most ``max_rows`` rows.
+
+    The check is a bounded count (``limit(max_rows + 1)``) on the narrow
+    dimension projection, done once per table path and session.  The hint
+    keeps the planner from ever building the fact side: size estimates from
+    file sizes can undershoot for a heavily pruned fact scan.
+    """
+    ok = _DIM_ROWS.get(key)
+    if ok is None:
+        ok = df.limit(max_rows + 1).count() <= max_rows
+        _DIM_ROWS[key] = ok
+    return F.broadcast(df) if ok else df
+
+
 def fact_view(spark: SparkSession, sf_dir: str, with_ties: bool = True) -> DataFrame:
     """The sales fact over the star schema (FIXTURES.md section 3).
 
     lineitem -> supplier -> nation -> region, lineitem -> part, all inner.
-    No join hints: Spark plans by size statistics and AQE re-plans from the
-    real shuffle sizes, so the two dimension chains (nation/region are fixed
-    at 25/5 rows) broadcast while supplier/part sort-merge once they grow.
-    Only the referenced columns reach each scan.
+    Dimension sides are broadcast only behind a bounded row-count check
+    (``bounded_broadcast``); past the bound (supplier/part at large scale
+    factors) the joins sort-merge on the keys, with AQE splitting a hot
+    supplier or part key.  The fact side is never a build side.  Only the
+    referenced columns reach each scan.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -40,11 +63,12 @@ def fact_view(spark: SparkSession, sf_dir: str, with_ties: bool = True) -> DataF
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     rg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    geo = (su.join(na, su.s_nationkey == na.n_nationkey)
-             .join(rg, F.col("n_regionkey") == rg.r_regionkey)
+    base = sf_dir.rstrip("/")
+    geo = (su.join(bounded_broadcast(na, f"{base}/nation"), su.s_nationkey == na.n_nationkey)
+             .join(bounded_broadcast(rg, f"{base}/region"), F.col("n_regionkey") == rg.r_regionkey)
              .select("s_suppkey", "s_name", "r_name"))
-    j = (li.join(geo, li.l_suppkey == geo.s_suppkey)
-           .join(pa, li.l_partkey == pa.p_partkey))
+    j = (li.join(bounded_broadcast(geo, f"{base}/supplier"), li.l_suppkey == geo.s_suppkey)
+           .join(bounded_broadcast(pa, f"{base}/part"), li.l_partkey == pa.p_partkey))
     cols = [
         F.to_date("l_shipdate").alias("date"),
         F.col("s_name").alias("store"),
