@@ -46,5 +46,6 @@ def dense_periods(bounds: DataFrame, lo: str, hi: str, freq: str = "W",
     if freq == "M":
         seq = F.sequence(F.trunc(F.col(lo), "MM"), F.trunc(F.col(hi), "MM"),
                          F.expr("INTERVAL 1 MONTH"))
-        return bounds.select(F.last_day(F.explode(seq)).alias(out))
+        months = bounds.select(F.explode(seq).alias("_m"))
+        return months.select(F.last_day("_m").alias(out))
     raise ValueError(f"unsupported time_freq {freq!r}; use one of {FREQS}")
