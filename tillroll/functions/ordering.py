@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .safe import col_
 
 
@@ -39,9 +40,9 @@ def running_totals(df: DataFrame, order: Sequence[Column], value: str | None,
     """Add the 1-based position in ``order`` and the running sum of ``value``.
 
     ``order`` must be a total order (end it with a unique key).  The plan is
-    range exchange -> per-partition window -> offsets from per-partition totals
-    (one row per partition, broadcast).  No step holds more than a range
-    partition's rows.
+    range exchange -> per-partition window -> materialised (so the partition
+    ids are fixed) -> offsets from per-partition totals (one row per
+    partition, broadcast).  No step holds more than a range partition's rows.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -52,6 +53,9 @@ def running_totals(df: DataFrame, order: Sequence[Column], value: str | None,
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = (ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
              .withColumn("_lcum", F.sum("_val").over(w)))
+    # Both branches below must see the same range bounds: materialise once
+    # (entity-sized) instead of letting each branch sample its own bounds.
+    local = cut_lineage(local)
     per_part = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"), F.sum("_val").alias("_ps"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(
