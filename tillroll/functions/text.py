@@ -14,8 +14,7 @@ def strip_ws(c: Column | str) -> Column:
     ``trim`` removes spaces only; ``(?U)\\s`` matches tabs, newlines and
     Unicode spaces as Python's ``str.strip`` does.
     """
-    x = col_(c)
-    return F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
 
 
 def signed_pct_text(frac: Column | str, places: int = 1) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.quantiles import group_quantiles
 from ..functions.safe import clip
 from ..functions.text import strip_ws
+from ..session import cut_lineage
 
 # Date formats tried in order when a date column arrives as text.
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "yyyy/MM/dd"]
@@ -166,6 +167,12 @@ def apply_cleaning(df: DataFrame, rules: dict) -> DataFrame:
         # Nulls compare equal (G18); partial aggregation collapses copies map-side.
         df = df.dropDuplicates()
     df = clip_ranges(df, rules)
+    pol = (c.get("null_policy") or {}).values()
+    if "impute_median" in pol:
+        # The median needs the cleaned rows and so does the fill: write them
+        # once to the shared checkpoint folder instead of running the
+        # parse/trim/dedupe chain for each pass.
+        df = cut_lineage(df)
     return apply_null_policy(df, rules)
 
 
