@@ -27,11 +27,16 @@ EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string
 
 def weekly_stream_aggregate(stream: DataFrame, ts: str = "ts", value: str = "value",
                             keys: tuple[str, ...] = (), watermark: str = "14 days") -> DataFrame:
-    s = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+    # Event times are wall-clock (timestamp_ntz).  Shift them so the epoch
+    # equals the wall clock read as UTC; windows then start on Monday 00:00
+    # wall clock whatever the session time zone is.
+    tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    s = (stream.withColumn("_ts", F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz))
+         .withWatermark("_ts", watermark))
     g = s.groupBy(F.window("_ts", "7 days", "7 days", "4 days").alias("w"), *keys).agg(
         F.sum(value).alias("weekly_sales_sum"), F.count(F.lit(1)).alias("events"))
-    return g.select(F.date_sub(F.to_date(F.col("w.end")), 1).alias("date"), *keys,
-                    "weekly_sales_sum", "events")
+    end_day = F.to_date(F.to_utc_timestamp(F.col("w.end"), tz))
+    return g.select(F.date_sub(end_day, 1).alias("date"), *keys, "weekly_sales_sum", "events")
 
 
 def read_latest(spark: SparkSession, out: str, keys: tuple[str, ...]) -> DataFrame:
