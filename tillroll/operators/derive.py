@@ -24,21 +24,25 @@ from ..functions.safe import pct_change, safe_div
 def add_derived_fields(df: DataFrame, date: str = "date", store: str = "store",
                        sales: str = "weekly_sales", txns: str = "transactions",
                        ties: Sequence[str] = ()) -> DataFrame:
+    # Every side table (store means, overall mean, day totals, per-day last
+    # values) is computed from the input frame itself, so no branch repeats
+    # another branch's joins.
     out = df
+    if {date, store, sales} <= set(df.columns):
+        out = lag_in_entity(df, store, date, list(ties), sales, "_prev_sales")
+        out = out.withColumn("wow_pct", pct_change(sales, "_prev_sales") * 100).drop("_prev_sales")
     if {sales, txns} <= set(df.columns):
-        out = out.withColumn("avg_transaction_value", safe_div(sales, txns))
+        atv = safe_div(sales, txns)
+        out = out.withColumn("avg_transaction_value", atv)
         if store in df.columns:
-            overall = out.agg(F.avg("avg_transaction_value").alias("_overall"))
-            per_store = (out.where(F.col(store).isNotNull()).groupBy(store)
-                         .agg(F.avg("avg_transaction_value").alias("_store_atv")))
+            overall = df.agg(F.avg(atv).alias("_overall"))
+            per_store = (df.where(F.col(store).isNotNull()).groupBy(store)
+                         .agg(F.avg(atv).alias("_store_atv")))
             out = (out.join(per_store, store, "left").crossJoin(F.broadcast(overall))
                    .withColumn("store_efficiency_pct",
                                F.when(F.col("_overall") > 0,
                                       (F.col("_store_atv") / F.col("_overall") - 1) * 100))
                    .drop("_store_atv", "_overall"))
-    if {date, store, sales} <= set(df.columns):
-        out = lag_in_entity(out, store, date, list(ties), sales, "_prev_sales")
-        out = out.withColumn("wow_pct", pct_change(sales, "_prev_sales") * 100).drop("_prev_sales")
     if date in df.columns and sales in df.columns:
         day_tot = df.groupBy(date).agg(F.sum(sales).alias("_day_total"))
         out = (out.join(day_tot, date, "left")
