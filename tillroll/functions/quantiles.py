@@ -75,6 +75,11 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     br = (stats.select(*gkeys, "_n", "_mn", "_mx", per_p.alias("z"))
           .select(*gkeys, "_n", "_mn", "_mx", F.col("z.i").alias("_i"), F.col("z.p").alias("_p"),
                   F.col("z.a").alias("_a"), F.col("z.b").alias("_b"))
+          # Groups of at most `accuracy` values take their whole range: the
+          # bracket window then holds <= accuracy values.  Larger groups use the
+          # sketch bracket, whose margin is >= 3 ranks on each side.
+          .withColumn("_a", F.when(F.col("_n") <= accuracy, F.col("_mn")).otherwise(F.col("_a")))
+          .withColumn("_b", F.when(F.col("_n") <= accuracy, F.col("_mx")).otherwise(F.col("_b")))
           .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
           .withColumn("_klo", F.floor("_h"))
           .withColumn("_khi", F.ceil("_h")))
