@@ -158,8 +158,13 @@ def apply_null_policy(df: DataFrame, rules: dict) -> DataFrame:
     return df
 
 
-def apply_cleaning(df: DataFrame, rules: dict) -> DataFrame:
-    """Trim -> dedupe -> clip -> null policy (the cleaning stage)."""
+def apply_cleaning(df: DataFrame, rules: dict, materialize: bool = False) -> DataFrame:
+    """Trim -> dedupe -> clip -> null policy (the cleaning stage).
+
+    With ``materialize`` the result's lineage is cut exactly once: before the
+    median imputation when there is one (the median and the fill both read
+    it), else at the end.
+    """
     c = rules.get("cleaning", {}) or {}
     if c.get("trim_strings"):
         df = trim_strings(df, rules)
@@ -172,17 +177,18 @@ def apply_cleaning(df: DataFrame, rules: dict) -> DataFrame:
         # The median needs the cleaned rows and so does the fill: write them
         # once to the shared checkpoint folder instead of running the
         # parse/trim/dedupe chain for each pass.
-        df = cut_lineage(df)
-    return apply_null_policy(df, rules)
+        return apply_null_policy(cut_lineage(df), rules)
+    df = apply_null_policy(df, rules)
+    return cut_lineage(df) if materialize else df
 
 
-def clean(df: DataFrame, rules: dict, date: str = "date") -> DataFrame:
+def clean(df: DataFrame, rules: dict, date: str = "date", materialize: bool = False) -> DataFrame:
     """Whole validate-and-clean chain on a raw frame."""
     require_columns(df, rules)
     df = coerce_types(df, rules)
     df = drop_invalid_dates(df, rules, date)
     df = apply_date_bounds(df, rules, date)
-    return apply_cleaning(df, rules)
+    return apply_cleaning(df, rules, materialize)
 
 
 def validation_report(raw: DataFrame, rules: dict, date: str = "date",

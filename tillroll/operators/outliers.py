@@ -41,7 +41,13 @@ def flag_outliers_iqr(df: DataFrame, value: str = "weekly_sales", group_by: str
     """
     if group_by is not None and group_by not in df.columns:
         group_by = None
-    f = iqr_fences(df, value, group_by, k, min_n)
+    return apply_fences(df, iqr_fences(df, value, group_by, k, min_n), value, group_by, keep_fences)
+
+
+def apply_fences(df: DataFrame, f: DataFrame, value: str = "weekly_sales", group_by: str | None = "store",
+                 keep_fences: bool = False) -> DataFrame:
+    """Flag ``df`` rows against a fence table from ``iqr_fences`` (fences can
+    be computed once and applied to several frames with the same rows)."""
     j = _join_group_table(df, f, group_by)
     x = F.col(value).cast("double")
     flag = F.coalesce(F.col("_usable") & ((x < F.col("lower_fence")) | (x > F.col("upper_fence"))),

@@ -19,41 +19,57 @@ from ..operators import entities as E
 from ..operators import filters as FL
 from ..operators import outliers as O
 from ..operators import weekly as wk
-from ..session import cut_lineage
 
 
 def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
-                 ties: Sequence[str] = (), materialize: bool = True) -> dict[str, DataFrame]:
+                 ties: Sequence[str] = (), outputs: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Clean -> filter -> derive -> outliers -> weekly/entity outputs.
 
-    Missing required columns raise ``MissingColumnsError`` (the caller maps
-    it to the empty result); an empty input gives empty outputs naturally.
+    Cleaning runs on the whole input (the imputation median is global) and
+    its lineage is cut once; filters then apply to the cleaned rows.  Only
+    the requested ``outputs`` are built (all by default); each is lazy apart
+    from the small tables the skew-safe helpers materialise.  Missing
+    required columns raise ``MissingColumnsError``; an empty input gives
+    empty outputs.
     """
-    cleaned = C.clean(raw, rules)
-    # F1 before the derived windows, so the predicates reach the scan.
-    cleaned = FL.apply_filters(cleaned, filters)
-    if materialize:
-        cleaned = cut_lineage(cleaned)
+    want = set(outputs or OUTPUTS)
+    cleaned = FL.apply_filters(C.clean(raw, rules, materialize=True), filters)
     freq = ((rules.get("kpis", {}) or {}).get("time_freq") or "W")
     oc = rules.get("outliers", {}) or {}
-    derived = D.add_derived_fields(cleaned, ties=ties)
-    flagged = O.flag_outliers_iqr(derived, "weekly_sales", oc.get("group_by", "store"), float(oc.get("k", 1.5)))
-    dept = E.department_metrics(cleaned, ties=ties)
-    trend = wk.weekly_trend(cleaned, freq=freq)
-    counts = cleaned.agg(F.count(F.lit(1)).cast("long").alias("record_count")).select(
-        "record_count", F.col("record_count").alias("rows"),
-        F.lit(len(derived.columns) + 1).cast("long").alias("cols"))
-    return {
-        "summary": counts.crossJoin(trend).crossJoin(
-            flagged.agg(F.count_if("is_outlier").cast("long").alias("outliers"))),
-        "kpis_weekly": wk.weekly_kpis(cleaned, freq=freq),
-        "stores": E.store_metrics(derived, ties=ties),
-        "stores_meta": E.store_summary(cleaned),
-        "regional": E.region_metrics(cleaned, ties=ties),
-        "departments": dept,
-        "departments_meta": E.pareto_meta(dept),
-        "flagged_rows": flagged,
-    }
+    group_by, k = oc.get("group_by", "store"), float(oc.get("k", 1.5))
+    if group_by not in cleaned.columns:
+        group_by = None
+    out: dict[str, DataFrame] = {}
+    fences = None
+    if want & {"summary", "flagged_rows"}:
+        fences = O.iqr_fences(cleaned, "weekly_sales", group_by, k)
+    derived = D.add_derived_fields(cleaned, ties=ties) if want & {"stores", "flagged_rows"} else None
+    if "summary" in want:
+        n_derived = len(cleaned.columns) + 4
+        counts = cleaned.agg(F.count(F.lit(1)).cast("long").alias("record_count")).select(
+            "record_count", F.col("record_count").alias("rows"), F.lit(n_derived + 1).cast("long").alias("cols"))
+        flagged = O.apply_fences(cleaned, fences, "weekly_sales", group_by)
+        out["summary"] = counts.crossJoin(wk.weekly_trend(cleaned, freq=freq)).crossJoin(
+            flagged.agg(F.count_if("is_outlier").cast("long").alias("outliers")))
+    if "kpis_weekly" in want:
+        out["kpis_weekly"] = wk.weekly_kpis(cleaned, freq=freq)
+    if "stores" in want:
+        out["stores"] = E.store_metrics(derived, ties=ties)
+    if "stores_meta" in want:
+        out["stores_meta"] = E.store_summary(cleaned)
+    if "regional" in want:
+        out["regional"] = E.region_metrics(cleaned, ties=ties)
+    if want & {"departments", "departments_meta"}:
+        dept = E.department_metrics(cleaned, ties=ties)
+        out["departments"] = dept
+        out["departments_meta"] = E.pareto_meta(dept)
+    if "flagged_rows" in want:
+        out["flagged_rows"] = O.apply_fences(derived, fences, "weekly_sales", group_by)
+    return {k2: v for k2, v in out.items() if k2 in want}
+
+
+OUTPUTS = ("summary", "kpis_weekly", "stores", "stores_meta", "regional", "departments",
+           "departments_meta", "flagged_rows")
 
 
 def write_bundle(bundle: dict[str, DataFrame], path: str, names: Sequence[str] | None = None) -> list[str]:

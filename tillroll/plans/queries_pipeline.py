@@ -31,7 +31,7 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM clean) AS record_count,
        (SELECT CAST(count(*) FILTER (WHERE is_outlier) AS BIGINT) FROM flagged) AS outliers""",
     DIRTY_CTE, TYPED_CTE, CLEAN_CTE, CLEAN_WEEKLY_CTE, *_iqr_ctes("clean")))
 def q_kpi_summary(spark, sf):
-    return compute_kpis(dirty_fact(spark, sf), fact_rules(), ties=TIES)["summary"]
+    return compute_kpis(dirty_fact(spark, sf), fact_rules(), ties=TIES, outputs=["summary"])["summary"]
 
 
 @register("kpi_bundle_weekly", with_fact("""
@@ -39,7 +39,7 @@ SELECT date, CAST(s AS DOUBLE) AS weekly_sales_sum, CAST(t AS DOUBLE) AS transac
        round(wow, 6) AS wow_growth_pct, round(ma4, 6) AS ma_4wk
 FROM growth""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE, CLEAN_WEEKLY_CTE))
 def q_kpi_bundle_weekly(spark, sf):
-    return compute_kpis(dirty_fact(spark, sf), fact_rules(), ties=TIES)["kpis_weekly"]
+    return compute_kpis(dirty_fact(spark, sf), fact_rules(), ties=TIES, outputs=["kpis_weekly"])["kpis_weekly"]
 
 
 @register("csv_upload_weekly", with_fact("""
