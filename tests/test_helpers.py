@@ -19,7 +19,10 @@ def _lin_q(vals, p):
     return v[lo] + (v[hi] - v[lo]) * (h - lo)
 
 
-def test_group_quantiles_exact_on_skewed_groups(spark):
+@pytest.mark.parametrize("accuracy", [100_000, 500])
+def test_group_quantiles_exact_on_skewed_groups(spark, accuracy):
+    """accuracy=500 sends the hot group (3000 rows) through the sketch-bracket
+    path; the default sends every group through the bounded exact path."""
     rnd = random.Random(7)
     rows = []
     # one hot group with a third of the rows and many duplicates, plus small groups
@@ -31,7 +34,8 @@ def test_group_quantiles_exact_on_skewed_groups(spark):
     rows.append(("nullv", None))
     rows.append((None, 5.0))
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r["k"]: r for r in group_quantiles(df, ["k"], "x", [0.25, 0.5, 0.75], names=["a", "b", "c"]).collect()}
+    got = {r["k"]: r for r in group_quantiles(df, ["k"], "x", [0.25, 0.5, 0.75], names=["a", "b", "c"],
+                                              accuracy=accuracy).collect()}
     assert None not in got and "nullv" not in got
     groups = {}
     for k, x in rows:

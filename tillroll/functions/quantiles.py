@@ -2,7 +2,8 @@
 
 ``percentile`` is exact but its final merge keeps every distinct value of a
 group in one task, so one store holding a third of all rows would sit in a
-single task.  Here the work is split into bounded steps:
+single task.  Here it is used only for groups of at most ``accuracy`` values
+(a proven memory bound).  Larger groups go through bounded steps:
 
 1. One partial aggregate per group: ``count`` and ``percentile_approx`` at
    p +/- a margin.  The sketch has bounded size and merges map-side.  Its
@@ -75,11 +76,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     br = (stats.select(*gkeys, "_n", "_mn", "_mx", per_p.alias("z"))
           .select(*gkeys, "_n", "_mn", "_mx", F.col("z.i").alias("_i"), F.col("z.p").alias("_p"),
                   F.col("z.a").alias("_a"), F.col("z.b").alias("_b"))
-          # Groups of at most `accuracy` values take their whole range: the
-          # bracket window then holds <= accuracy values.  Larger groups use the
-          # sketch bracket, whose margin is >= 3 ranks on each side.
-          .withColumn("_a", F.when(F.col("_n") <= accuracy, F.col("_mn")).otherwise(F.col("_a")))
-          .withColumn("_b", F.when(F.col("_n") <= accuracy, F.col("_mx")).otherwise(F.col("_b")))
+          # Only groups above `accuracy` values use the bracket: its margin
+          # is then >= 3 ranks on each side.
           .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
           .withColumn("_klo", F.floor("_h"))
           .withColumn("_khi", F.ceil("_h")))
@@ -90,17 +88,30 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         xc = F.when(F.col("_x") < lo, F.lit(None).cast("double")).otherwise(F.col("_x"))
         return j.groupBy(*gkeys, "_i", xc.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
 
-    # First attempt with the sketch bracket: one job (two scans of the input),
+    # Small groups (n <= accuracy): exact ``percentile`` in one aggregate; its
+    # memory is bounded by the group size cap, so no task holds more than
+    # `accuracy` values per group.
+    small_keys = stats.where(F.col("_n") <= accuracy).select(*gkeys)
+    sm = (base.join(small_keys, gkeys, "left_semi").groupBy(*gkeys)
+          .agg(F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs])).alias("_qs"),
+               F.count("_x").alias("_n")))
+    sm_rows = sm.select(*gkeys, "_n", F.posexplode("_qs").alias("_i", "_q")).select(
+        *gkeys, F.col("_i").cast("int").alias("_i"), "_n", F.lit(True).alias("_ok"), "_q")
+    # Large groups: sketch bracket, then exact ranks inside it.
+    big_br = br.where(F.col("_n") > accuracy)
+    big = _resolve(_bucket(big_br, F.col("_a"), F.col("_b")), big_br, gkeys)
+    # One job (the input is scanned for stats, small groups and brackets),
     # materialised in the shared checkpoint folder as a groups-sized table.
-    agg1 = _bucket(br, F.col("_a"), F.col("_b"))
-    ok = cut_lineage(_resolve(agg1, br, gkeys))
+    ok = cut_lineage(sm_rows.unionByName(big.select(*gkeys, F.col("_i").cast("int").alias("_i"),
+                                                      "_n", "_ok", "_q")))
     res = ok.where("_ok")
     if ok.where(~F.col("_ok")).limit(1).count() > 0:
         # A bracket missed (the sketch bound failed): redo those groups over
         # [min, max], which is always exact.  Rare, so only built when needed.
         bad_br = br.join(ok.where(~F.col("_ok")).select(*gkeys, "_i"), gkeys + ["_i"], "left_semi")
         agg2 = _bucket(bad_br, F.col("_mn"), F.col("_mx"))
-        res = res.unionByName(_resolve(agg2, bad_br, gkeys).where("_ok"))
+        res = res.unionByName(_resolve(agg2, bad_br, gkeys).where("_ok").select(
+            *gkeys, F.col("_i").cast("int").alias("_i"), "_n", "_ok", "_q"))
 
     wide = res.groupBy(*gkeys).pivot("_i", list(range(k))).agg(F.first("_q"), F.first("_n"))
     cols = [F.col(f"{i}_first(_q)").alias(n) for i, n in enumerate(names)]
