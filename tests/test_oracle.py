@@ -34,10 +34,9 @@ def test_query_matches_oracle(spark, con, name):
     assert r["ok"], r
 
 
-def test_every_query_registered_has_oracle_or_is_rows_only():
+def test_every_query_registered_has_an_oracle():
     qs, sqls = E.queries(), E.oracle_sql()
-    assert set(sqls) <= set(qs)
-    assert set(qs) - set(sqls) == {"findings"}
+    assert set(sqls) == set(qs)
 
 
 def test_entry_smoke(spark):

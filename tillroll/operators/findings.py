@@ -120,7 +120,7 @@ def alerts(metrics: DataFrame, rules: dict) -> DataFrame:
 def _row(df: DataFrame, section: str, entity: Column, metric: str, value: Column,
          rule: Column, message: Column) -> DataFrame:
     return df.select(F.lit(section).alias("section"), entity.cast("string").alias("entity"),
-                     F.lit(metric).alias("metric"), value.cast("double").alias("value"),
+                     F.lit(metric).alias("metric"), F.round(value.cast("double"), 6).alias("value"),
                      rule.alias("rule"), message.alias("message"))
 
 

@@ -420,9 +420,94 @@ def q_alerts(spark, sf):
     return FD.alerts(_alert_metrics(spark, sf), fact_rules())
 
 
-@register("findings")
+FINDINGS_SQL = """
+SELECT 'momentum' AS section, CAST(NULL AS VARCHAR) AS entity, 'change_pct' AS metric, round(change_pct, 6) AS value,
+       CASE WHEN change_pct > 10 THEN 'revenue_jump' WHEN change_pct < -10 THEN 'revenue_drop' ELSE 'revenue_stable' END AS rule,
+       printf('Revenue moved %+.1f%% vs the previous week', change_pct) AS message FROM mo
+UNION ALL
+SELECT 'growth_pulse', NULL, 'last_wow_pct', round(last_wow_pct, 6),
+       CASE WHEN last_wow_pct > 10 THEN 'strong_momentum' WHEN last_wow_pct < -10 THEN 'sharp_decline' ELSE 'flat' END,
+       printf('Last week %+.1f%% week over week', last_wow_pct) FROM ws
+UNION ALL
+SELECT 'momentum', NULL, 'trend_4wk_pct', round(trend_4wk_pct, 6),
+       CASE WHEN abs(trend_4wk_pct) > 5 THEN CASE WHEN trend_4wk_pct > 0 THEN 'accelerating' ELSE 'slowing' END
+            ELSE 'flat_trend' END,
+       printf('4-week trend %+.1f%%', trend_4wk_pct) FROM mt
+UNION ALL
+SELECT 'store_pulse', NULL, 'stores_growing', round(CAST(stores_growing AS DOUBLE), 6),
+       CASE WHEN stores_growing > stores_declining THEN 'majority_growing' ELSE 'majority_declining' END,
+       printf('%d of %d stores growing', stores_growing, stores_growing + stores_declining) FROM pu
+UNION ALL
+SELECT 'store_pulse', best_store, 'best_growth_pct', round(best_growth_pct, 6), 'best_store_up',
+       printf('%s up %.1f%% over 4 weeks', best_store, best_growth_pct) FROM pu WHERE best_growth_pct > 10
+UNION ALL
+SELECT 'store_pulse', worst_store, 'worst_decline_pct', round(worst_decline_pct, 6), 'worst_store_down',
+       printf('%s down %.1f%% over 4 weeks', worst_store, worst_decline_pct) FROM pu WHERE worst_decline_pct < -10
+UNION ALL
+SELECT 'benchmarks', top, 'top_store_avg_sales', round(avg_sales, 6), 'leader_store',
+       printf('%s leads the stores', top) FROM sb
+UNION ALL
+SELECT 'benchmarks', bottom, 'bottom_gap_pct', round(bottom_gap_pct, 6), 'lagging_store',
+       printf('%s trails the store average by %.1f%%', bottom, bottom_gap_pct) FROM sb WHERE top <> bottom
+UNION ALL
+SELECT 'benchmarks', top, 'dept_avg_sales', round(avg_sales, 6), 'leader_department',
+       printf('%s leads the departments', top) FROM db
+UNION ALL
+SELECT 'drivers', top_region, 'top_region_sales', round(top_region_sales, 6), 'region_gap',
+       printf('%s outperforms %s', top_region, bottom_region) FROM rtb
+UNION ALL
+SELECT 'drivers', NULL, 'top_dept_share', round(top_dept_share, 6),
+       CASE WHEN top_dept_share > 30 THEN 'over_concentrated' ELSE 'balanced_portfolio' END,
+       printf('Top department holds %.1f%% of sales', top_dept_share) FROM dc
+UNION ALL
+SELECT 'actions', coalesce(worst_store, (SELECT bottom FROM sb)), 'follow_up', 1.0, 'recover', 'Recovery plan' FROM pu
+UNION ALL
+SELECT 'actions', coalesce(best_store, (SELECT top FROM sb)), 'follow_up', 2.0, 'replicate',
+       'Document and share practices' FROM pu
+UNION ALL
+SELECT 'actions', top, 'follow_up', 3.0, 'promote', 'Increase promotional focus' FROM db"""
+
+
+def _bench_ctx_sql(cat: str, name: str) -> str:
+    return f"""{name}_s AS (SELECT {cat} AS cat, sum(weekly_sales) AS v FROM fact
+                WHERE weekly_sales IS NOT NULL AND {cat} IS NOT NULL GROUP BY {cat}),
+{name} AS (
+  SELECT avg AS avg_sales, (SELECT cat FROM {name}_s ORDER BY v DESC, cat LIMIT 1) AS top,
+         (SELECT cat FROM {name}_s ORDER BY v ASC, cat LIMIT 1) AS bottom,
+         CASE WHEN avg <> 0 THEN (avg - (SELECT CAST(v AS DOUBLE) FROM {name}_s ORDER BY v ASC, cat LIMIT 1)) / avg * 100
+              ELSE 0.0 END AS bottom_gap_pct
+  FROM (SELECT CAST(sum(v) AS DOUBLE) / count(*) AS avg FROM {name}_s))"""
+
+
+@register("findings", with_fact(FINDINGS_SQL, WEEKLY_CTE, week_cte("store", "sw"), "al AS (" + ALIGNED_SQL + ")",
+    *DM_CTES,
+    """mo AS (
+  SELECT round(CASE WHEN prev > 0 THEN (cur - prev) / prev * 100 ELSE 0.0 END, 6) AS change_pct
+  FROM (SELECT cur, CASE WHEN n > 1 THEN prev0 ELSE cur END AS prev
+        FROM (SELECT count(*) AS n, max(CASE WHEN k = 1 THEN sd END) AS cur,
+                     max(CASE WHEN k = 2 THEN sd END) AS prev0 FROM growth)))""",
+    """ws AS (SELECT round(coalesce(max(CASE WHEN k = 1 THEN wow * 100 END), 0.0), 6) AS last_wow_pct FROM growth)""",
+    """mt AS (SELECT round(coalesce(CASE WHEN count(*) >= 4 AND max(CASE WHEN k = 4 THEN ma4 END) <> 0 THEN
+   (max(CASE WHEN k = 1 THEN ma4 END) - max(CASE WHEN k = 4 THEN ma4 END))
+   / max(CASE WHEN k = 4 THEN ma4 END) * 100 END, 0.0), 6) AS trend_4wk_pct FROM growth)""",
+    """pu AS (
+  SELECT CAST(count(*) FILTER (WHERE change > 0) AS BIGINT) AS stores_growing,
+         CAST(count(*) FILTER (WHERE change < 0) AS BIGINT) AS stores_declining,
+         (SELECT store FROM al WHERE change IS NOT NULL ORDER BY change DESC, store LIMIT 1) AS best_store,
+         (SELECT change * 100 FROM al WHERE change IS NOT NULL ORDER BY change DESC, store LIMIT 1) AS best_growth_pct,
+         (SELECT store FROM al WHERE change IS NOT NULL ORDER BY change ASC, store LIMIT 1) AS worst_store,
+         (SELECT change * 100 FROM al WHERE change IS NOT NULL ORDER BY change ASC, store LIMIT 1) AS worst_decline_pct
+  FROM al)""",
+    _bench_ctx_sql("store", "sb"), _bench_ctx_sql("department", "db"),
+    "r AS (SELECT region, sum(weekly_sales) AS s FROM fact WHERE region IS NOT NULL GROUP BY region)",
+    """rtb AS (
+  SELECT (SELECT region FROM r ORDER BY s DESC, region LIMIT 1) AS top_region,
+         (SELECT CAST(s AS DOUBLE) FROM r ORDER BY s DESC, region LIMIT 1) AS top_region_sales,
+         (SELECT region FROM r ORDER BY s ASC, region LIMIT 1) AS bottom_region
+  FROM (SELECT 1) t(x))""",
+    """dc AS (SELECT CASE WHEN sum(sales) > 0 THEN max(sales) / sum(sales) * 100 ELSE 0.0 END AS top_dept_share FROM dm)"""))
 def q_findings(spark, sf):
-    """R2-R6 findings table; a composition of queries checked above (rows-only)."""
+    """R2-R6 findings table over the one-row metric frames."""
     f = fact_view(spark, sf)
     dm = E.department_metrics(f, ties=TIES)
     rm = E.region_metrics(f, ties=TIES)
