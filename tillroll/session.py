@@ -69,3 +69,36 @@ def cut_lineage(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
+                 target_partition_mb: int = 256) -> dict[str, str]:
+    """Starting settings for a large cluster, sized from the input volume.
+
+    Scan splits and post-shuffle partitions aim at ``target_partition_mb``;
+    the initial shuffle partition count covers the input at that size (AQE
+    then coalesces the many small post-aggregation partitions); skewed
+    partitions above 3x the median and 512 MB are split by AQE.  The
+    platform's own settings win: apply these only where unset.
+    """
+    import math
+
+    size = target_partition_mb << 20
+    parts = max(executors * cores_per_executor * 2, math.ceil(input_bytes / size))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.files.maxPartitionBytes": f"{target_partition_mb}m",
+        "spark.sql.shuffle.partitions": str(parts),
+    }
+
+
+def apply_missing_conf(spark: SparkSession, conf: dict[str, str]) -> None:
+    """Set only the keys the session does not define already."""
+    for k, v in conf.items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
