@@ -49,3 +49,21 @@ def add_derived_fields(df: DataFrame, date: str = "date", store: str = "store",
                .withColumn("revenue_contribution_pct", safe_div(sales, "_day_total") * 100)
                .drop("_day_total"))
     return out
+
+
+def prep_common(df: DataFrame, date: str = "date", sales_src: str = "weekly_sales") -> DataFrame:
+    """Column harmonisation and date parts.
+
+    ``sales`` copied from ``weekly_sales`` when absent; absent ``profit`` and
+    ``quantity`` added as NULL; ``year``, ``month`` and ISO ``week`` of the date.
+    """
+    out = df
+    if "sales" not in df.columns and sales_src in df.columns:
+        out = out.withColumn("sales", F.col(sales_src))
+    for c in ("profit", "quantity"):
+        if c not in df.columns:
+            out = out.withColumn(c, F.lit(None).cast("double"))
+    if date in df.columns:
+        d = F.to_date(date)
+        out = out.withColumn("year", F.year(d)).withColumn("month", F.month(d)).withColumn("week", F.weekofyear(d))
+    return out

@@ -172,3 +172,15 @@ def weekly_stats(df: DataFrame, rules: dict | None = None, freq: str = "W",
     return w.select("date", "weekly_sales_sum", "transactions_sum",
                     *[r6(c).alias(c) for c in w.columns
                       if c not in ("date", "weekly_sales_sum", "transactions_sum")])
+
+
+def wow_sign_class(weekly: DataFrame, up: str = "up", down: str = "down") -> DataFrame:
+    """Sign class of the week-over-week growth; a missing growth counts as >= 0."""
+    return weekly.withColumn("wow_class", F.when(F.coalesce(F.col("wow_growth_pct"), F.lit(0.0)) >= 0, up)
+                             .otherwise(down))
+
+
+def dense_series(df: DataFrame, value: str, date: str = "date", freq: str = "W") -> DataFrame:
+    """Dense period sums of any one column (empty periods 0)."""
+    w = weekly_dense(df, date=date, sales=value, txns=None, freq=freq)
+    return w.select("date", F.col("weekly_sales_sum").alias(f"{value}_sum"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import weekly as wk
+from ..operators.derive import prep_common
 from ..sources.rules import fact_rules
 from ..sources.tables import fact_view
 from .catalog import WEEKLY_CTE, register, with_fact
@@ -93,3 +96,29 @@ FROM cal c LEFT JOIN wk2 w ON c.date = w.date""", """wk2 AS (
                                      INTERVAL 7 DAY)) AS DATE) AS date FROM wk2)"""))
 def q_weekly_stats(spark, sf):
     return wk.weekly_stats(fact_view(spark, sf), fact_rules())
+
+
+@register("weekly_wow_class", with_fact("""
+SELECT date, round(wow, 6) AS wow_growth_pct,
+       CASE WHEN coalesce(round(wow, 6), 0.0) >= 0 THEN 'up' ELSE 'down' END AS wow_class
+FROM growth""", WEEKLY_CTE))
+def q_weekly_wow_class(spark, sf):
+    return wk.wow_sign_class(wk.weekly_kpis(fact_view(spark, sf))).select("date", "wow_growth_pct", "wow_class")
+
+
+@register("dense_series_transactions", with_fact("""
+SELECT date, CAST(t AS DOUBLE) AS transactions_sum FROM dense""", WEEKLY_CTE))
+def q_dense_series(spark, sf):
+    d = wk.dense_series(fact_view(spark, sf), "transactions")
+    return d.select("date", F.col("transactions_sum").cast("double").alias("transactions_sum"))
+
+
+@register("prep_common", with_fact("""
+SELECT l_orderkey, l_linenumber, CAST(weekly_sales AS DOUBLE) AS sales, CAST(NULL AS DOUBLE) AS profit,
+       CAST(NULL AS DOUBLE) AS quantity, CAST(year(date) AS INTEGER) AS year,
+       CAST(month(date) AS INTEGER) AS month, CAST(weekofyear(date) AS INTEGER) AS week
+FROM fact"""))
+def q_prep_common(spark, sf):
+    p = prep_common(fact_view(spark, sf))
+    return p.select("l_orderkey", "l_linenumber", F.col("sales").cast("double").alias("sales"),
+                    "profit", "quantity", "year", "month", "week")
