@@ -71,7 +71,8 @@ def test_running_totals_matches_sorted_prefix(spark):
         assert (r["rank"], int(r["cum_value"])) == exp[r["e"]]
 
 
-def test_lag_in_entity_matches_row_lag(spark):
+@pytest.mark.parametrize("split", [None, "t_div_7"])
+def test_lag_in_entity_matches_row_lag(spark, split):
     rnd = random.Random(5)
     base = dt.date(2023, 1, 1)
     rows = []
@@ -79,7 +80,8 @@ def test_lag_in_entity_matches_row_lag(spark):
         rows.append((rnd.choice(["A", "A", "A", "B", "C", None]), base + dt.timedelta(days=rnd.randint(0, 20)),
                      i, float(rnd.randint(1, 100))))
     df = spark.createDataFrame(rows, "s string, d date, t long, v double")
-    got = {r["t"]: r["prev"] for r in lag_in_entity(df, "s", "d", ["t"], "v", "prev").collect()}
+    sp = F.floor(F.col("t") / 7) if split else None
+    got = {r["t"]: r["prev"] for r in lag_in_entity(df, "s", "d", ["t"], "v", "prev", sp).collect()}
     by = {}
     for s, d, t, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
         if s is None:

@@ -23,13 +23,13 @@ from ..functions.safe import pct_change, safe_div
 
 def add_derived_fields(df: DataFrame, date: str = "date", store: str = "store",
                        sales: str = "weekly_sales", txns: str = "transactions",
-                       ties: Sequence[str] = ()) -> DataFrame:
+                       ties: Sequence[str] = (), split_by=None) -> DataFrame:
     # Every side table (store means, overall mean, day totals, per-day last
     # values) is computed from the input frame itself, so no branch repeats
     # another branch's joins.
     out = df
     if {date, store, sales} <= set(df.columns):
-        out = lag_in_entity(df, store, date, list(ties), sales, "_prev_sales")
+        out = lag_in_entity(df, store, date, list(ties), sales, "_prev_sales", split_by)
         out = out.withColumn("wow_pct", pct_change(sales, "_prev_sales") * 100).drop("_prev_sales")
     if {sales, txns} <= set(df.columns):
         atv = safe_div(sales, txns)

@@ -13,6 +13,11 @@ from ..sources.tables import fact_view
 from .catalog import WEEKLY_CTE, register, with_fact
 
 TIES = ["l_orderkey", "l_linenumber"]
+
+
+def split_key():
+    """Order-preserving split of a (store, day) grain for the row lag: order-key blocks."""
+    return F.floor(F.col("l_orderkey") / 1024)
 ORDER_SQL = "date, l_orderkey, l_linenumber"
 ORDER_DESC_SQL = "date DESC, l_orderkey DESC, l_linenumber DESC"
 
@@ -69,7 +74,7 @@ SELECT date, store, l_orderkey, l_linenumber,
        CAST(weekly_sales AS DOUBLE) / nullif(CAST(day_total AS DOUBLE), 0) * 100 AS revenue_contribution_pct
 FROM der2""", DERIVED_CTE))
 def q_derived_fields(spark, sf):
-    d = D.add_derived_fields(fact_view(spark, sf), ties=TIES)
+    d = D.add_derived_fields(fact_view(spark, sf), ties=TIES, split_by=split_key())
     # Single-division values are bit-identical across engines: not rounded.
     return d.select("date", "store", *TIES, "avg_transaction_value",
                     F.round("store_efficiency_pct", 6).alias("store_efficiency_pct"),
@@ -86,7 +91,7 @@ FROM der2 JOIN tr USING (store) LEFT JOIN lw USING (store) GROUP BY store""",
           SELECT store, wow_pct, row_number() OVER (PARTITION BY store ORDER BY {ORDER_DESC_SQL}) AS rn
           FROM der WHERE wow_pct IS NOT NULL) WHERE rn = 1)"""))
 def q_store_metrics(spark, sf):
-    d = D.add_derived_fields(fact_view(spark, sf), ties=TIES)
+    d = D.add_derived_fields(fact_view(spark, sf), ties=TIES, split_by=split_key())
     return E.store_metrics(d, ties=TIES)
 
 
