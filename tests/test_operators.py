@@ -167,3 +167,46 @@ def test_monthly_frequency(spark):
     rows = [(dt.date(2023, 1, 15), "S", "D", "R", 1.0, 1), (dt.date(2023, 3, 2), "S", "D", "R", 2.0, 1)]
     out = wk.weekly_kpis(fact(spark, rows), freq="M").orderBy("date").collect()
     assert [r.date for r in out] == [dt.date(2023, 1, 31), dt.date(2023, 2, 28), dt.date(2023, 3, 31)]
+
+
+def test_zero_totals(spark):
+    # a date with zero sales (W2), a department with zero sales (A7), zero total
+    rows = [(D0, "S1", "Z", "R", 0.0, 1), (D0, "S2", "Z", "R", 0.0, 1),
+            (sunday(1), "S1", "A", "R", 5.0, 1)]
+    from tillroll.operators.derive import add_derived_fields
+    d = {(r.date, r.store): r.revenue_contribution_pct for r in add_derived_fields(fact(spark, rows)).collect()}
+    assert d[(D0, "S1")] is None and d[(sunday(1), "S1")] == 100.0
+    dept = {r.department: r for r in E.department_metrics(fact(spark, rows)).collect()}
+    assert dept["A"].cumulative_pct == 100.0 and dept["Z"].cumulative_pct == 100.0
+    zero = [(D0, "S1", "Z", "R", 0.0, 1)]
+    z = E.department_metrics(fact(spark, zero)).collect()[0]
+    assert z.cumulative_pct is None  # zero total: no division
+
+
+def test_null_keys_never_form_groups(spark):
+    rows = [(D0, None, "D", "R", 10.0, 1), (D0, "S1", None, None, 20.0, 1), (D0, "S1", "D", "R", 30.0, 1)]
+    f = fact(spark, rows)
+    assert {r.store for r in E.store_metrics(f).collect()} == {"S1"}
+    assert {r.department for r in E.department_metrics(f).collect()} == {"D"}
+    assert {r.region for r in E.region_metrics(f).collect()} == {"R"}
+    flagged = O.flag_outliers_iqr(f, "weekly_sales", "store").collect()
+    assert len(flagged) == 3 and not any(r.is_outlier for r in flagged)  # null-key row kept, unflagged
+    filled = C.apply_null_policy(f, shipped_rules()).collect()
+    assert {r.department for r in filled} == {"D", "Unknown"} and all(r.store for r in filled)
+
+
+def test_short_histories(spark):
+    # 1 and 4 weeks -> previous 0 and change NULL; 5 weeks -> previous = the 1 extra week
+    rows = [(sunday(0), "one", "D", "R", 5.0, 1)]
+    rows += [(sunday(k), "four", "D", "R", 5.0, 1) for k in range(4)]
+    rows += [(sunday(k), "five", "D", "R", 10.0 if k == 0 else 5.0, 1) for k in range(5)]
+    own = {r.store: r for r in T.store_4wk_own_tail(fact(spark, rows)).collect()}
+    assert own["one"].prev_4w_rounded == 0 and own["one"].pct_change is None
+    assert own["four"].prev_4w_rounded == 0 and own["four"].change_text == ""
+    assert own["five"].prev_4w_rounded == 10 and own["five"].pct_change == pytest.approx(1.0)
+    assert own["five"].change_text == "+100.0%"
+    # W11 needs 8 complete weeks: none of these stores qualifies
+    assert T.store_4wk_rolling(fact(spark, rows)).count() == 0
+    rows8 = [(sunday(k), "eight", "D", "R", 1.0 if k < 4 else 2.0, 1) for k in range(8)]
+    r = T.store_4wk_rolling(fact(spark, rows8)).collect()[0]
+    assert r.last_4w == 8.0 and r.prev_4w == 4.0 and r.delta == 1.0

@@ -83,6 +83,7 @@ def lag_in_entity(df: DataFrame, entity: str, day: str, ties: Sequence[str],
     sub-grains rather than by rows.  The joins back are equi-joins that AQE
     can split when a key is hot.
     """
+    ties = list(ties) or default_ties(df, [entity, day], value)
     levels: list[Column] = [F.col(day)]
     if split_by is not None:
         levels.append(split_by)
@@ -114,5 +115,13 @@ def _nested_lag(df: DataFrame, keys: list[str], levels: list[str], ties: list[Co
     return res.drop(pin, first, pgrp)
 
 
+def default_ties(df: DataFrame, exclude: Sequence[str], first: str | None = None) -> list[str]:
+    """A deterministic row order when the caller names no tie columns (G14):
+    the value first, then every other column by name.  Rows equal in all
+    columns are interchangeable, so the result does not depend on input order."""
+    rest = sorted(c for c in df.columns if c not in set(exclude) and c != first)
+    return ([first] if first else []) + rest
+
+
 def cast_all(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[col_(c).cast(mapping[c]).alias(c) if c in mapping else F.col(c) for c in df.columns])

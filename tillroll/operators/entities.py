@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import first_by_order, running_totals
+from ..functions.ordering import default_ties, first_by_order, running_totals
 from ..functions.safe import money, r6, safe_div
 
 
@@ -27,6 +27,7 @@ def row_tail_trend(df: DataFrame, entity: str, date: str = "date", sales: str =
     Fewer than 8 rows or a prior sum <= 0 gives 0.0 (store, region) or NULL
     (department: ``absent_as_null``).
     """
+    ties = list(ties) or default_ties(df, [entity, date], sales)
     order = [F.col(date).desc()] + [F.col(t).desc() for t in ties]
     w = Window.partitionBy(entity).orderBy(*order)
     tail = (df.where(F.col(entity).isNotNull())
@@ -57,7 +58,10 @@ def store_metrics(df: DataFrame, store: str = "store", date: str = "date",
     if "store_efficiency_pct" in cols:
         aggs.append(F.avg("store_efficiency_pct").alias("efficiency_pct"))
     if "wow_pct" in cols:
-        key = F.struct(F.col(date), *[F.col(t) for t in ties])
+        base_cols = [c for c in df.columns if c not in ("avg_transaction_value", "store_efficiency_pct",
+                                                        "wow_pct", "revenue_contribution_pct")]
+        t_cols = list(ties) or default_ties(df.select(*base_cols), [store, date], sales)
+        key = F.struct(F.col(date), *[F.col(t) for t in t_cols])
         # A4: last non-null WoW in row order (NULL orderings are skipped by max_by).
         aggs.append(F.max_by("wow_pct", F.when(F.col("wow_pct").isNotNull(), key)).alias("week_over_week_pct"))
     base = df.where(F.col(store).isNotNull()).groupBy(store).agg(*aggs)
