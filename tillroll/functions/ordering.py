@@ -55,7 +55,7 @@ def running_totals(df: DataFrame, order: Sequence[Column], value: str | None,
              .withColumn("_lcum", F.sum("_val").over(w)))
     # Both branches below must see the same range bounds: materialise once
     # (entity-sized) instead of letting each branch sample its own bounds.
-    local = cut_lineage(local)
+    local = cut_lineage(local, "ranked")
     per_part = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"), F.sum("_val").alias("_ps"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(

@@ -103,7 +103,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     # One job (the input is scanned for stats, small groups and brackets),
     # materialised in the shared checkpoint folder as a groups-sized table.
     ok = cut_lineage(sm_rows.unionByName(big.select(*gkeys, F.col("_i").cast("int").alias("_i"),
-                                                      "_n", "_ok", "_q")))
+                                                      "_n", "_ok", "_q")), "quantiles")
     res = ok.where("_ok")
     if ok.where(~F.col("_ok")).limit(1).count() > 0:
         # A bracket missed (the sketch bound failed): redo those groups over

@@ -177,9 +177,9 @@ def apply_cleaning(df: DataFrame, rules: dict, materialize: bool = False) -> Dat
         # The median needs the cleaned rows and so does the fill: write them
         # once to the shared checkpoint folder instead of running the
         # parse/trim/dedupe chain for each pass.
-        return apply_null_policy(cut_lineage(df), rules)
+        return apply_null_policy(cut_lineage(df, "cleaned"), rules)
     df = apply_null_policy(df, rules)
-    return cut_lineage(df) if materialize else df
+    return cut_lineage(df, "cleaned") if materialize else df
 
 
 def clean(df: DataFrame, rules: dict, date: str = "date", materialize: bool = False) -> DataFrame:

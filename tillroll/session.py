@@ -60,15 +60,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}"
 
 
-def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder and return a frame
-    that reads it back (reliable checkpoint: survives executor loss).
-
-    Used where one intermediate result (the cleaned fact) feeds many
-    outputs, so the plan does not repeat its whole lineage.
+def cut_lineage(df, name: str = "cut"):
+    """Write ``df`` as a parquet table in the shared checkpoint folder and
+    return a frame that reads it back.
+
+    Used where one intermediate result (the cleaned fact, small per-group
+    tables) feeds several outputs, so the plan does not repeat its lineage.
+    A written table survives executor loss like ``checkpoint()``, but it is
+    columnar and compressed, and later reads get column pruning and filter
+    pushdown.  Each call writes a fresh folder.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
