@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import dense_periods, period_label
+from ..functions.calendar import period_label
 from ..functions.safe import money, pct_change, r6, safe_div
 
 
@@ -32,16 +32,40 @@ def weekly_dense(df: DataFrame, date: str = "date", sales: str = "weekly_sales",
                  txns: str | None = "transactions", freq: str = "W",
                  extra_aggs: dict | None = None) -> DataFrame:
     """Dense period sums (A1/A16): every period between the first and last
-    observed one; empty periods sum to 0 (G2, G5)."""
+    observed one; empty periods sum to 0 (G2, G5).
+
+    The gaps are filled from the sparse series itself: each observed period
+    explodes into itself plus the empty periods before the next observed one
+    (``lead`` over the period series, one row per period).  There is no
+    calendar self-join, so the fact is scanned once.
+    """
     sums = period_sums(df, date, sales, txns, freq, extra_aggs)
-    bounds = sums.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    cal = dense_periods(bounds, "lo", "hi", freq)
-    dense = cal.join(sums, "date", "left")
-    cols = [F.col("date"), F.coalesce(F.col("weekly_sales_sum"), F.lit(0)).alias("weekly_sales_sum")]
+    nxt = F.lead("date").over(Window.orderBy("date"))
+    filled = sums.withColumn("_span", gap_periods(F.col("date"), nxt, freq)).select(
+        "*", F.explode("_span").alias("_d"))
+    observed = F.col("_d") == F.col("date")
+    cols = [F.col("_d").alias("date"),
+            F.when(observed, F.col("weekly_sales_sum")).otherwise(F.lit(0)).alias("weekly_sales_sum")]
     if txns:
-        cols.append(F.coalesce(F.col("transactions_sum"), F.lit(0)).alias("transactions_sum"))
-    cols += [F.col(n) for n in (extra_aggs or {})]
-    return dense.select(*cols)
+        cols.append(F.when(observed, F.col("transactions_sum")).otherwise(F.lit(0)).alias("transactions_sum"))
+    cols += [F.when(observed, F.col(n)).alias(n) for n in (extra_aggs or {})]
+    return filled.select(*cols)
+
+
+def gap_periods(cur, nxt, freq: str = "W"):
+    """Array of period labels from ``cur`` up to (not including) ``nxt``;
+    just ``cur`` when there is no next period."""
+    if freq == "D":
+        end = F.coalesce(F.date_sub(nxt, 1), cur)
+        return F.sequence(cur, end, F.expr("INTERVAL 1 DAY"))
+    if freq == "W":
+        end = F.coalesce(F.date_sub(nxt, 7), cur)
+        return F.sequence(cur, end, F.expr("INTERVAL 7 DAYS"))
+    if freq == "M":
+        start = F.trunc(cur, "MM")
+        end = F.coalesce(F.trunc(F.add_months(nxt, -1), "MM"), start)
+        return F.transform(F.sequence(start, end, F.expr("INTERVAL 1 MONTH")), lambda m: F.last_day(m))
+    raise ValueError(f"unsupported time_freq {freq!r}")
 
 
 def with_growth(weekly: DataFrame) -> DataFrame:
