@@ -1,4 +1,4 @@
-"""Calendar buckets and dense calendars.
+"""Calendar buckets (the dense fill lives in ``operators.weekly``).
 
 Week rule (G1): a week ends on Sunday and is labelled by that Sunday; a
 Sunday with a time of day stays in its own week.  ``date_trunc('week')``
@@ -7,7 +7,7 @@ gives the Monday; six days later is the label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FREQS = ("D", "W", "M")
@@ -28,24 +28,3 @@ def period_label(c: Column | str, freq: str = "W") -> Column:
     if freq == "M":
         return F.last_day(F.to_date(col))
     raise ValueError(f"unsupported time_freq {freq!r}; use one of {FREQS}")
-
-
-def dense_periods(bounds: DataFrame, lo: str, hi: str, freq: str = "W",
-                  out: str = "date") -> DataFrame:
-    """Explode a one-row (lo, hi) frame of period labels into every label between.
-
-    The result has one row per period, so its size is fixed by the time span,
-    not by the data volume.
-    """
-    if freq == "D":
-        seq = F.sequence(F.col(lo), F.col(hi), F.expr("INTERVAL 1 DAY"))
-        return bounds.select(F.explode(seq).alias(out))
-    if freq == "W":
-        seq = F.sequence(F.col(lo), F.col(hi), F.expr("INTERVAL 7 DAYS"))
-        return bounds.select(F.explode(seq).alias(out))
-    if freq == "M":
-        seq = F.sequence(F.trunc(F.col(lo), "MM"), F.trunc(F.col(hi), "MM"),
-                         F.expr("INTERVAL 1 MONTH"))
-        months = bounds.select(F.explode(seq).alias("_m"))
-        return months.select(F.last_day("_m").alias(out))
-    raise ValueError(f"unsupported time_freq {freq!r}; use one of {FREQS}")

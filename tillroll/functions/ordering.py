@@ -121,7 +121,3 @@ def default_ties(df: DataFrame, exclude: Sequence[str], first: str | None = None
     columns are interchangeable, so the result does not depend on input order."""
     rest = sorted(c for c in df.columns if c not in set(exclude) and c != first)
     return ([first] if first else []) + rest
-
-
-def cast_all(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    return df.select(*[col_(c).cast(mapping[c]).alias(c) if c in mapping else F.col(c) for c in df.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import week_end
 from ..functions.ordering import first_by_order
-from ..functions.safe import money, pct_change, r6
+from ..functions.safe import money, pct_change
 from ..functions.text import signed_pct_text
 
 
@@ -116,7 +116,3 @@ def store_pulse(aligned: DataFrame, store: str = "store") -> DataFrame:
 def week_sums_report(df: DataFrame, entity: str, **kw) -> DataFrame:
     s = entity_week_sums(df, entity, **kw)
     return s.select(entity, "date", money("sales").alias("sales"))
-
-
-__all__ = ["entity_week_sums", "store_4wk_aligned", "store_4wk_own_tail", "store_4wk_rolling",
-           "region_last_week_growth", "store_pulse", "week_sums_report", "r6"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The fact contract (required columns, in order).
 FACT_COLUMNS = ["date", "store", "department", "region", "weekly_sales", "transactions"]
 # Tie-break columns carried by the fact view (G14): they make row order total.
 TIE_COLUMNS = ["l_orderkey", "l_linenumber"]
