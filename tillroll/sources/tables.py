@@ -107,12 +107,11 @@ def dirty_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k % 109 == 0, F.lit("12.5"))
             .when(k % 113 == 0, F.lit("20000"))
             .otherwise(t))
-    raw = f.select(date_s.alias("date"), store.alias("store"), dept.alias("department"),
-                   region.alias("region"), sales.alias("weekly_sales"), txns.alias("transactions"),
-                   "l_orderkey", "l_linenumber")
-    # Exact duplicate rows: a second copy of some lines.
-    dups = raw.where(k % 53 == 0)
-    return raw.unionByName(dups)
+    # Exact duplicate rows: a second copy of some lines, made in the same scan.
+    copies = F.explode(F.when(k % 53 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return f.select(date_s.alias("date"), store.alias("store"), dept.alias("department"),
+                    region.alias("region"), sales.alias("weekly_sales"), txns.alias("transactions"),
+                    "l_orderkey", "l_linenumber", copies.alias("_copy")).drop("_copy")
 
 
 def read_sales_csv(spark: SparkSession, path: str, schema: T.StructType = SALES_CSV_SCHEMA) -> DataFrame:
