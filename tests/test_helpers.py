@@ -97,3 +97,14 @@ def test_week_end_rule(spark):
         [(dt.datetime(2023, 1, 7, 9), ), (dt.datetime(2023, 1, 8, 13), ), (dt.datetime(2023, 1, 9, 0), )], "ts timestamp")
     got = [r[0] for r in df.select(week_end("ts")).collect()]
     assert got == [dt.date(2023, 1, 8), dt.date(2023, 1, 8), dt.date(2023, 1, 15)]
+
+
+def test_strip_ws_matches_python_strip(spark):
+    from tillroll.functions.text import WHITESPACE, strip_ws
+
+    rnd = random.Random(11)
+    pool = list(WHITESPACE) + list("ab c")
+    vals = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 8))) for _ in range(300)] + [None]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    got = [r[0] for r in df.select(strip_ws("s")).collect()]
+    assert got == [None if v is None else v.strip() for v in vals]
