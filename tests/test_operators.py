@@ -210,3 +210,13 @@ def test_short_histories(spark):
     rows8 = [(sunday(k), "eight", "D", "R", 1.0 if k < 4 else 2.0, 1) for k in range(8)]
     r = T.store_4wk_rolling(fact(spark, rows8)).collect()[0]
     assert r.last_4w == 8.0 and r.prev_4w == 4.0 and r.delta == 1.0
+
+
+def test_all_null_median_keeps_rows(spark):
+    # median of nothing -> fill 0 (contract), rows are never dropped by the imputation
+    raw = spark.createDataFrame([(D0, "S", "D", "R", 1.0, None), (D0, "T", "D", "R", 2.0, None)], SCHEMA)
+    out = C.apply_null_policy(raw, default_rules()).collect()
+    assert len(out) == 2 and all(r.transactions == 0.0 for r in out)
+    # global fences over an all-null value column: rows kept, nothing flagged
+    f = O.flag_outliers_iqr(raw.withColumn("weekly_sales", F.lit(None).cast("double")), "weekly_sales", None)
+    assert f.count() == 2 and f.where("is_outlier").count() == 0

@@ -1,7 +1,7 @@
 """Benchmarks, shares, Pareto and concentration.
 
 All inputs are entity tables (one row per category).  The category mean and
-total are one-row aggregates broadcast back.  Rankings use the distributed
+total are one-row aggregates attached as scalar subqueries.  Rankings use the distributed
 prefix sum (``running_totals``) or partial ``min(struct)`` aggregates, never
 a single-partition window.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import first_by_order, running_totals
 from ..functions.safe import money
+from ..functions.scalar import one_row, with_row
 
 
 def category_sums(df: DataFrame, cat: str, value: str = "weekly_sales") -> DataFrame:
@@ -30,7 +31,7 @@ def benchmark(df: DataFrame, cat: str, value: str = "weekly_sales") -> DataFrame
     """Per category sum, mean over categories, above (>= mean) flag,
     variance and % variance (0 when the mean is 0).  Sorted desc."""
     s = category_sums(df, cat, value)
-    j = s.crossJoin(F.broadcast(_mean_row(s).select("avg")))
+    j = with_row(s, _mean_row(s).select("avg"))
     v = F.col("value").cast("double")
     var = v - F.col("avg")
     return j.select(cat, money("value").alias("value"), F.col("avg"),
@@ -43,7 +44,7 @@ def benchmark_context(df: DataFrame, cat: str, value: str = "weekly_sales") -> D
     """Mean, top, bottom, count below (< mean), bottom gap %."""
     s = category_sums(df, cat, value)
     m = _mean_row(s)
-    j = s.crossJoin(F.broadcast(m.select("avg")))
+    j = with_row(s, m.select("avg"))
     a = j.agg(F.first("avg").alias("avg_sales"),
               *first_by_order(j, cat, "value", True, "top"),
               *first_by_order(j, cat, "value", False, "bottom"),
@@ -57,7 +58,7 @@ def benchmark_context(df: DataFrame, cat: str, value: str = "weekly_sales") -> D
 def benchmark_split(df: DataFrame, cat: str, value: str = "weekly_sales") -> DataFrame:
     """Count above (> mean) and at-or-below; top among above, bottom among below."""
     s = category_sums(df, cat, value)
-    j = s.crossJoin(F.broadcast(_mean_row(s).select("avg")))
+    j = with_row(s, _mean_row(s).select("avg"))
     v = F.col("value").cast("double")
     above = j.withColumn("_above", v > F.col("avg"))
     a = above.agg(F.count(F.lit(1)).cast("long").alias("num"),
@@ -68,7 +69,7 @@ def benchmark_split(df: DataFrame, cat: str, value: str = "weekly_sales") -> Dat
     lo = above.where("NOT _above")
     t = hi.agg(*first_by_order(hi, cat, "value", True, "top"))
     b = lo.agg(*first_by_order(lo, cat, "value", False, "bottom"))
-    return a.crossJoin(t).crossJoin(b).select(
+    return one_row(a, t, b).select(
         "num", "above_avg", "below_avg", "top", F.coalesce(money("top_value"), F.lit(0.0)).alias("top_sales"),
         "bottom", F.coalesce(money("bottom_value"), F.lit(0.0)).alias("bottom_sales"), "avg_sales")
 
@@ -80,7 +81,7 @@ def share_top_n(df: DataFrame, cat: str, value: str = "weekly_sales", n: int = 5
     s = category_sums(df, cat, value)
     ranked = running_totals(s, [F.col("value").desc(), F.col(cat).asc()], None, pos_col="rank", cum_col=None)
     tot = _mean_row(s).select("total")
-    j = ranked.crossJoin(F.broadcast(tot))
+    j = with_row(ranked, tot)
     top = j.where(F.col("rank") <= n).select(cat, "value", "rank", "total")
     rest = (j.where(F.col("rank") > n)
             .agg(F.lit(other_label).alias(cat), F.sum("value").alias("value"),
@@ -99,7 +100,7 @@ def pareto_cut(dept_metrics: DataFrame, cat: str = "department") -> DataFrame:
     first = reach.agg(F.min(F.struct("rank", cat, "cumulative_pct")).alias("f"))
     last = dept_metrics.agg(F.max(F.struct("rank", cat, "cumulative_pct")).alias("l"))
     pick = F.coalesce(F.col("f"), F.col("l"))
-    return first.crossJoin(last).select(pick.getField(cat).alias(cat), pick.getField("rank").alias("rank"),
+    return one_row(first, last).select(pick.getField(cat).alias(cat), pick.getField("rank").alias("rank"),
                                         pick.getField("cumulative_pct").alias("cumulative_pct"))
 
 
@@ -130,7 +131,7 @@ def department_concentration(dept_metrics: DataFrame) -> DataFrame:
 def top_departments(dept_metrics: DataFrame, n: int = 3, cat: str = "department") -> DataFrame:
     """Top n departments with sales, contribution % and trend % (missing trend -> 0)."""
     tot = dept_metrics.agg(F.sum("sales").alias("_tot"))
-    j = dept_metrics.where(F.col("rank") <= n).crossJoin(F.broadcast(tot))
+    j = with_row(dept_metrics.where(F.col("rank") <= n), tot)
     return j.select("rank", cat, "sales",
                     F.try_divide(F.col("sales") * 100, F.col("_tot")).alias("contribution_pct"),
                     (F.coalesce(F.col("trend_4wk"), F.lit(0.0)) * 100).alias("trend_pct"))

@@ -3,7 +3,7 @@
 Order as in the rules contract: required columns -> types -> dates -> trim
 -> dedupe -> clip -> null policy.  Everything is one lazy chain.  The only
 global value (the median for ``impute_median``) is a one-row aggregate
-broadcast back, never a driver round-trip.
+attached as a scalar subquery, never a driver round-trip.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ..functions.quantiles import group_quantiles
 from ..functions.safe import clip
 from ..functions.text import strip_ws
 from ..session import cut_lineage
+from ..functions.scalar import one_row, with_row
 
 # Date formats tried in order when a date column arrives as text.
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "yyyy/MM/dd"]
@@ -138,7 +139,7 @@ def apply_null_policy(df: DataFrame, rules: dict) -> DataFrame:
 
     The median is taken over the rows left by the earlier policies (as in
     the contract); it is an exact global quantile computed without a
-    single-task sort, then broadcast as one row.
+    single-task sort, then attached as a scalar subquery.
     """
     pol = ((rules.get("cleaning", {}) or {}).get("null_policy") or {})
     for c, p in pol.items():
@@ -150,7 +151,7 @@ def apply_null_policy(df: DataFrame, rules: dict) -> DataFrame:
             df = df.fillna(0, subset=[c]) if dict(df.dtypes)[c] != "string" else df.fillna("0", subset=[c])
         elif p == "impute_median":
             med = group_quantiles(df, [], c, [0.5], names=["_med"], with_count=None)
-            df = (df.crossJoin(F.broadcast(med))
+            df = (with_row(df, med)
                   .withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("_med"), F.lit(0.0)))
                   .drop("_med"))
         elif p == "fill_unknown":
@@ -213,7 +214,7 @@ def validation_report(raw: DataFrame, rules: dict, date: str = "date",
     b = cleaned.agg(F.count(F.lit(1)).alias("final_rows"),
                     F.count_if(F.col(sales) == 0).alias("zero_sales"),
                     F.count_if(F.col(sales) < 0).alias("negative_sales"))
-    r = a.crossJoin(b)
+    r = one_row(a, b)
     kept = F.col("initial_rows") - F.col("invalid_dates")
     removed = kept - F.col("final_rows")
     return r.select(

@@ -3,7 +3,7 @@
 * avg_transaction_value = sales / transactions (NULL when 0).
 * store_efficiency_pct  = (store mean ATV / overall mean ATV - 1) * 100, only
   when the overall mean is > 0 (per-store means: partial aggregate + join;
-  overall mean: one-row broadcast).
+  overall mean: one-row scalar subquery).
 * wow_pct               = row-to-row % change within a store in (date, ties)
   order, computed without sorting a whole store in one task (lag_in_entity).
 * revenue_contribution_pct = row sales / that date's sales * 100 (groupBy +
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import lag_in_entity
 from ..functions.safe import pct_change, safe_div
+from ..functions.scalar import with_row
 
 
 def add_derived_fields(df: DataFrame, date: str = "date", store: str = "store",
@@ -38,7 +39,7 @@ def add_derived_fields(df: DataFrame, date: str = "date", store: str = "store",
             overall = df.agg(F.avg(atv).alias("_overall"))
             per_store = (df.where(F.col(store).isNotNull()).groupBy(store)
                          .agg(F.avg(atv).alias("_store_atv")))
-            out = (out.join(per_store, store, "left").crossJoin(F.broadcast(overall))
+            out = (with_row(out.join(per_store, store, "left"), overall)
                    .withColumn("store_efficiency_pct",
                                F.when(F.col("_overall") > 0,
                                       (F.col("_store_atv") / F.col("_overall") - 1) * 100))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import group_quantiles
 from ..functions.safe import money, safe_div
+from ..functions.scalar import with_row
 
 
 def store_region_efficiency(df: DataFrame, store: str = "store", region: str = "region",
@@ -32,7 +33,7 @@ def quadrants(entity_table: DataFrame, x: str, y: str, keys: list[str]) -> DataF
     (high/low x, high/low y against the medians)."""
     mx = group_quantiles(entity_table, [], x, [0.5], names=["median_x"], with_count=None)
     my = group_quantiles(entity_table, [], y, [0.5], names=["median_y"], with_count=None)
-    j = entity_table.crossJoin(F.broadcast(mx)).crossJoin(F.broadcast(my))
+    j = with_row(with_row(entity_table, mx), my)
     hx = F.when(F.col(x) >= F.col("median_x"), "high").otherwise("low")
     hy = F.when(F.col(y) >= F.col("median_y"), "high").otherwise("low")
     return j.select(*keys, x, y, "median_x", "median_y",
@@ -60,7 +61,7 @@ def yoy_delta(df: DataFrame, date: str = "date", value: str = "weekly_sales") ->
     before (no prior year or a zero prior total -> 0)."""
     d = df.where(F.col(date).isNotNull() & F.col(value).isNotNull()).withColumn("_y", F.year(date))
     yr = d.agg(F.max("_y").alias("_cy"))
-    j = d.crossJoin(F.broadcast(yr))
+    j = with_row(d, yr)
     a = j.agg(F.first("_cy").alias("current_year"),
               F.sum(F.when(F.col("_y") == F.col("_cy"), F.col(value))).alias("_cur"),
               F.sum(F.when(F.col("_y") == F.col("_cy") - 1, F.col(value))).alias("_py"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import default_ties, first_by_order, running_totals
 from ..functions.safe import money, r6, safe_div
+from ..functions.scalar import with_row
 
 
 def row_tail_trend(df: DataFrame, entity: str, date: str = "date", sales: str = "weekly_sales",
@@ -122,7 +123,7 @@ def department_metrics(df: DataFrame, department: str = "department", date: str
     ranked = running_totals(t, [F.col("sales").desc(), F.col(department).asc()], "sales",
                             pos_col="rank", cum_col="_cum")
     total = t.agg(F.sum("sales").alias("_total"))
-    j = ranked.crossJoin(F.broadcast(total))
+    j = with_row(ranked, total)
     cum_pct = F.when(F.col("_total") != 0, F.col("_cum").cast("double") / F.col("_total").cast("double") * 100)
     tr = row_tail_trend(df, department, date, sales, ties, absent_as_null=True)
     return j.join(tr, department, "left").select(

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import with_row
+
 FILTER_KEYS = ("store", "department", "region")
 
 
@@ -53,9 +55,9 @@ def in_period(date_col: str, last: F.Column, start_weeks_back: int, end_weeks_ba
 def above_average(entity_table: DataFrame, value: str, strict: bool = True,
                   above: bool = True) -> DataFrame:
     """entities above (or at-or-below) the mean over entities; the mean
-    is a one-row aggregate broadcast back."""
+    is a one-row aggregate attached as a scalar subquery."""
     avg = entity_table.agg(F.avg(F.col(value).cast("double")).alias("_avg"))
-    j = entity_table.crossJoin(F.broadcast(avg))
+    j = with_row(entity_table, avg)
     v = F.col(value).cast("double")
     if above:
         cond = v > F.col("_avg") if strict else v >= F.col("_avg")

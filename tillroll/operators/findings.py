@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import week_end
+from ..functions.scalar import with_row
 
 
 def health_status(trend: Column, outliers: Column) -> Column:
@@ -171,10 +172,10 @@ def findings(momentum: DataFrame, wow: DataFrame, pulse: DataFrame, store_bench:
                      F.when(sh > 30, "over_concentrated").otherwise("balanced_portfolio"),
                      F.format_string("Top department holds %.1f%% of sales", sh)))
     # follow-up entities (R5/R6): weakest store, strongest store, top department
-    rows.append(_row(pulse.crossJoin(store_bench.select(F.col("bottom").alias("_b"))), "actions",
+    rows.append(_row(with_row(pulse, store_bench.select(F.col("bottom").alias("_b"))), "actions",
                      F.coalesce(F.col("worst_store"), F.col("_b")), "follow_up", F.lit(1), F.lit("recover"),
                      F.lit("Recovery plan")))
-    rows.append(_row(pulse.crossJoin(store_bench.select(F.col("top").alias("_t"))), "actions",
+    rows.append(_row(with_row(pulse, store_bench.select(F.col("top").alias("_t"))), "actions",
                      F.coalesce(F.col("best_store"), F.col("_t")), "follow_up", F.lit(2), F.lit("replicate"),
                      F.lit("Document and share practices")))
     rows.append(_row(dept_bench, "actions", F.col("top"), "follow_up", F.lit(3), F.lit("promote"),

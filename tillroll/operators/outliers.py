@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import group_quantiles
+from ..functions.scalar import with_row
 
 
 def iqr_fences(df: DataFrame, value: str, group_by: str | None, k: float = 1.5,
@@ -28,8 +29,8 @@ def iqr_fences(df: DataFrame, value: str, group_by: str | None, k: float = 1.5,
 def _join_group_table(df: DataFrame, table: DataFrame, group_by: str | None) -> DataFrame:
     if group_by:
         return df.join(table, group_by, "left")
-    # A global aggregate is exactly one row: a safe broadcast.
-    return df.crossJoin(F.broadcast(table))
+    # A global aggregate is one row: attached as a scalar subquery, no join.
+    return with_row(df, table)
 
 
 def flag_outliers_iqr(df: DataFrame, value: str = "weekly_sales", group_by: str | None = "store",
@@ -78,7 +79,7 @@ def outlier_table(df: DataFrame, k: float = 1.5, n: int = 50, date: str = "date"
     med = top.agg(F.median("sales").alias("_m"))
     s = F.signum(F.col("sales") - F.col("_m"))
     label = F.when(s > 0, "Spike").when(s < 0, "Drop").otherwise("Anomaly")
-    return top.crossJoin(F.broadcast(med)).select(date, store, department, "sales",
+    return with_row(top, med).select(date, store, department, "sales",
                                                   label.alias("z_flag"), *ties)
 
 

@@ -1,8 +1,8 @@
 """Data-quality measures (Q1-Q13).
 
 All measures are one-row aggregates over the cleaned (or raw) frame,
-combined with ``crossJoin`` of one-row frames, so the report is a single
-Spark job and never a driver loop over columns or rows.
+attached to each other as scalar subqueries (``functions.scalar``), so the
+report is a single Spark job and never a driver loop over columns or rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import week_end
 from . import clean as C
 from .outliers import flag_outliers_iqr
+from ..functions.scalar import one_row
 
 
 def completeness(df: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def quality_report(raw: DataFrame, rules: dict, date: str = "date", store: str =
     flagged = flag_outliers_iqr(cleaned, sales, oc.get("group_by", store), float(oc.get("k", 1.5)))
     outl = flagged.agg(F.count_if("is_outlier").cast("long").alias("outlier_count"))
     biz = business_checks(cleaned, rules, date, store, sales, txns)
-    r = rep.crossJoin(comp).crossJoin(outl).crossJoin(biz)
+    r = one_row(rep, comp, outl, biz)
     issues = (F.when(F.col("negative_sales") > 0, 1).otherwise(0)
               + F.when(~F.col("stores_ok"), 1).otherwise(0)
               + F.when(~F.col("weeks_ok"), 1).otherwise(0))

@@ -14,6 +14,7 @@ from ..functions.calendar import week_end
 from ..functions.ordering import first_by_order
 from ..functions.safe import money, pct_change
 from ..functions.text import signed_pct_text
+from ..functions.scalar import one_row, with_row
 
 
 def entity_week_sums(df: DataFrame, entity: str, date: str = "date", sales: str = "weekly_sales",
@@ -32,7 +33,7 @@ def store_4wk_aligned(df: DataFrame, store: str = "store", date: str = "date",
     """
     w = entity_week_sums(df, store, date, sales)
     last = w.agg(F.max("date").alias("_last"))
-    j = w.crossJoin(F.broadcast(last))
+    j = with_row(w, last)
     d = F.col("date")
     in_last = (d > F.date_sub("_last", 28)) & (d <= F.col("_last"))
     in_prev = (d > F.date_sub("_last", 56)) & (d <= F.date_sub("_last", 28))
@@ -107,7 +108,7 @@ def store_pulse(aligned: DataFrame, store: str = "store") -> DataFrame:
                     F.count_if(F.col("change") < 0).cast("long").alias("stores_declining"))
     b = t.agg(*first_by_order(t, store, "change", True, "best_store"),
               *first_by_order(t, store, "change", False, "worst_store"))
-    return a.crossJoin(b).select(
+    return one_row(a, b).select(
         "stores_growing", "stores_declining", "best_store",
         (F.col("best_store_value") * 100).alias("best_growth_pct"), "worst_store",
         (F.col("worst_store_value") * 100).alias("worst_decline_pct"))

@@ -19,6 +19,7 @@ from ..operators import entities as E
 from ..operators import filters as FL
 from ..operators import outliers as O
 from ..operators import weekly as wk
+from ..functions.scalar import one_row
 
 
 def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
@@ -49,8 +50,8 @@ def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
         counts = cleaned.agg(F.count(F.lit(1)).cast("long").alias("record_count")).select(
             "record_count", F.col("record_count").alias("rows"), F.lit(n_derived + 1).cast("long").alias("cols"))
         flagged = O.apply_fences(cleaned, fences, "weekly_sales", group_by)
-        out["summary"] = counts.crossJoin(wk.weekly_trend(cleaned, freq=freq)).crossJoin(
-            flagged.agg(F.count_if("is_outlier").cast("long").alias("outliers")))
+        out["summary"] = one_row(counts, wk.weekly_trend(cleaned, freq=freq),
+                                 flagged.agg(F.count_if("is_outlier").cast("long").alias("outliers")))
     if "kpis_weekly" in want:
         out["kpis_weekly"] = wk.weekly_kpis(cleaned, freq=freq)
     if "stores" in want:

@@ -11,6 +11,7 @@ from ..operators import weekly as wk
 from ..functions.safe import money
 from ..sources.tables import fact_view
 from .catalog import WEEKLY_CTE, register, with_fact
+from ..functions.scalar import with_row
 
 TIES = ["l_orderkey", "l_linenumber"]
 
@@ -172,7 +173,7 @@ def q_top_bottom_entities(spark, sf):
     f = fact_view(spark, sf)
     r = E.top_bottom(E.entity_totals(f, "region", txns=None), "region", "sales", "region")
     d = E.top_bottom(E.entity_totals(f, "department", txns=None), "department", "sales", "department")
-    j = r.crossJoin(d)
+    j = with_row(r, d)
     return j.select("top_region", money("top_region_value").alias("top_region_sales"),
                     "bottom_region", money("bottom_region_value").alias("bottom_region_sales"),
                     "top_department", money("top_department_value").alias("top_department_sales"),

@@ -19,6 +19,7 @@ from ..sources.tables import dirty_fact, fact_view
 from .catalog import WEEKLY_CTE, register, with_fact
 from .queries_clean import CLEAN_CTE, DIRTY_CTE, TYPED_CTE, _iqr_ctes
 from .queries_entities import DEPT_SQL, TIES, tail_cte
+from ..functions.scalar import one_row, with_row
 
 
 def week_cte(entity: str, name: str) -> str:
@@ -303,7 +304,7 @@ def _health_frame(spark, sf):
     f = fact_view(spark, sf)
     tr = wk.weekly_trend(f).select("trend_4wk")
     oc = O.outlier_count(f, value="weekly_sales", group_by="store", k=1.5)
-    return tr.crossJoin(oc)
+    return with_row(tr, oc)
 
 
 @register("health_status", with_fact(f"""
@@ -334,7 +335,7 @@ def q_executive(spark, sf):
     l4 = wk.last_periods_totals(f).select("last4_sales", "last4_transactions")
     h = _health_frame(spark, sf)
     s = E.store_summary(f)
-    j = l4.crossJoin(h).crossJoin(s)
+    j = one_row(l4, h, s)
     atv = F.when(F.col("last4_transactions") > 0,
                  F.col("last4_sales") / F.col("last4_transactions").cast("double")).otherwise(F.lit(0.0))
     return j.select(F.col("last4_sales").alias("total_revenue"), F.col("last4_transactions").alias("total_transactions"),
@@ -395,7 +396,7 @@ def _alert_metrics(spark, sf):
     dec = T.store_4wk_aligned(f).agg(F.count_if(F.col("change") < 0).cast("long").alias("store_4wk_decline"))
     comp = Q.completeness(C.coerce_types(dirty_fact(spark, sf), fact_rules()))
     miss = comp.select((F.col("missing_count") / (F.col("rows") * F.col("cols"))).alias("missing_pct"))
-    return wow.crossJoin(dec).crossJoin(miss)
+    return one_row(wow, dec, miss)
 
 
 @register("alerts", with_fact("""
