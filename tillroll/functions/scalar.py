@@ -21,8 +21,20 @@ def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def one_row(first: DataFrame, *rest: DataFrame) -> DataFrame:
-    """Side-by-side combination of one-row frames into one report row."""
-    out = first
-    for r in rest:
-        out = with_row(out, r)
-    return out
+    """Side-by-side combination of one-row frames into one report row.
+
+    The frames are stacked (``unionByName`` with missing columns as NULL) and
+    folded by one global aggregate that keeps each column's value from the
+    frame that has it.  All frames are computed side by side in one job; column
+    names must be distinct across frames.
+    """
+    frames = (first, *rest)
+    names = [c for f in frames for c in f.columns]
+    if len(set(names)) != len(names):
+        raise ValueError(f"one_row: duplicate column names in {names}")
+    tagged = [f.select("*", F.lit(i).alias("_src")) for i, f in enumerate(frames)]
+    u = tagged[0]
+    for t in tagged[1:]:
+        u = u.unionByName(t, allowMissingColumns=True)
+    owner = {c: i for i, f in enumerate(frames) for c in f.columns}
+    return u.agg(*[F.max_by(F.col(c), F.when(F.col("_src") == owner[c], F.lit(1))).alias(c) for c in names])
