@@ -3,7 +3,8 @@
 Rules are ``when`` chains over metric DataFrames, so they classify every
 store or region at once.  The findings table has the shape
 (section, entity, metric, value, rule, message): one row per rule that
-applies, built as a union of small one-row projections.
+applies, exploded from one array of rule structs over the combined metrics
+row, so each metric frame is evaluated once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import week_end
-from ..functions.scalar import with_row
+from ..functions.scalar import one_row
 
 
 def health_status(trend: Column, outliers: Column) -> Column:
@@ -102,85 +103,87 @@ def render_message(template: str) -> Column:
 
 def alerts(metrics: DataFrame, rules: dict) -> DataFrame:
     """Evaluate each alert rule's SQL condition on the one-row metrics
-    frame; one output row per rule that fires."""
+    frame; one output row per rule that fires.  The metrics are evaluated
+    once: every rule is one struct of an array that is exploded."""
     a = rules.get("alerts", {}) or {}
     if not a.get("enabled", True) or not a.get("rules"):
         return metrics.sparkSession.createDataFrame([], "name string, severity string, fired boolean, message string")
-    parts = []
-    for r in a["rules"]:
-        parts.append(metrics.select(
-            F.lit(r["name"]).alias("name"), F.lit(r.get("severity", "medium")).alias("severity"),
-            F.coalesce(F.expr(r["condition"]), F.lit(False)).alias("fired"),
-            render_message(r.get("message", r["name"])).alias("message")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("fired")
+    per_rule = [F.struct(F.lit(r["name"]).alias("name"), F.lit(r.get("severity", "medium")).alias("severity"),
+                         F.coalesce(F.expr(r["condition"]), F.lit(False)).alias("fired"),
+                         render_message(r.get("message", r["name"])).alias("message"))
+                for r in a["rules"]]
+    return metrics.select(F.explode(F.array(*per_rule)).alias("a")).select("a.*").where("fired")
 
 
-def _row(df: DataFrame, section: str, entity: Column, metric: str, value: Column,
-         rule: Column, message: Column) -> DataFrame:
-    return df.select(F.lit(section).alias("section"), entity.cast("string").alias("entity"),
-                     F.lit(metric).alias("metric"), F.round(value.cast("double"), 6).alias("value"),
-                     rule.alias("rule"), message.alias("message"))
+def _row(section: str, entity: Column, metric: str, value: Column, rule: Column, message: Column,
+         keep: Column | None = None) -> Column:
+    return F.struct(F.lit(section).alias("section"), entity.cast("string").alias("entity"),
+                    F.lit(metric).alias("metric"), F.round(value.cast("double"), 6).alias("value"),
+                    rule.alias("rule"), message.alias("message"),
+                    (keep if keep is not None else F.lit(True)).alias("_keep"))
 
 
 def findings(momentum: DataFrame, wow: DataFrame, pulse: DataFrame, store_bench: DataFrame,
              dept_bench: DataFrame, dept_conc: DataFrame, top_bottom: DataFrame,
              ma_trend: DataFrame) -> DataFrame:
-    """R2-R6 over the one-row metric frames; rows only for rules that apply."""
-    rows = []
-    # R2 revenue move
-    cp = F.col("change_pct")
-    rows.append(_row(momentum, "momentum", F.lit(None), "change_pct", cp,
-                     F.when(cp > 10, "revenue_jump").when(cp < -10, "revenue_drop").otherwise("revenue_stable"),
-                     F.format_string("Revenue moved %+.1f%% vs the previous week", cp)))
-    # R3 WoW band
-    lw = F.col("last_wow_pct")
-    rows.append(_row(wow, "growth_pulse", F.lit(None), "last_wow_pct", lw,
-                     F.when(lw > 10, "strong_momentum").when(lw < -10, "sharp_decline").otherwise("flat"),
-                     F.format_string("Last week %+.1f%% week over week", lw)))
-    # R5 4-week MA trend
-    t = F.col("trend_4wk_pct")
-    rows.append(_row(ma_trend, "momentum", F.lit(None), "trend_4wk_pct", t,
-                     F.when(F.abs(t) > 5, F.when(t > 0, "accelerating").otherwise("slowing")).otherwise("flat_trend"),
-                     F.format_string("4-week trend %+.1f%%", t)))
-    # R5 store pulse
-    g, d = F.col("stores_growing"), F.col("stores_declining")
-    rows.append(_row(pulse, "store_pulse", F.lit(None), "stores_growing", g,
-                     F.when(g > d, "majority_growing").otherwise("majority_declining"),
-                     F.format_string("%d of %d stores growing", g, g + d)))
-    rows.append(_row(pulse.where(F.col("best_growth_pct") > 10), "store_pulse", F.col("best_store"),
-                     "best_growth_pct", F.col("best_growth_pct"), F.lit("best_store_up"),
-                     F.format_string("%s up %.1f%% over 4 weeks", F.col("best_store"), F.col("best_growth_pct"))))
-    rows.append(_row(pulse.where(F.col("worst_decline_pct") < -10), "store_pulse", F.col("worst_store"),
-                     "worst_decline_pct", F.col("worst_decline_pct"), F.lit("worst_store_down"),
-                     F.format_string("%s down %.1f%% over 4 weeks", F.col("worst_store"), F.col("worst_decline_pct"))))
-    # R4 / R5 benchmarks
-    rows.append(_row(store_bench, "benchmarks", F.col("top"), "top_store_avg_sales", F.col("avg_sales"),
-                     F.lit("leader_store"), F.format_string("%s leads the stores", F.col("top"))))
-    rows.append(_row(store_bench.where(F.col("top") != F.col("bottom")), "benchmarks", F.col("bottom"),
-                     "bottom_gap_pct", F.col("bottom_gap_pct"), F.lit("lagging_store"),
-                     F.format_string("%s trails the store average by %.1f%%", F.col("bottom"), F.col("bottom_gap_pct"))))
-    rows.append(_row(dept_bench, "benchmarks", F.col("top"), "dept_avg_sales", F.col("avg_sales"),
-                     F.lit("leader_department"), F.format_string("%s leads the departments", F.col("top"))))
-    # R4 / R6 regions and department concentration
-    rows.append(_row(top_bottom, "drivers", F.col("top_region"), "top_region_sales", F.col("top_region_sales"),
-                     F.lit("region_gap"), F.format_string("%s outperforms %s", F.col("top_region"), F.col("bottom_region"))))
-    sh = F.col("top_dept_share")
-    rows.append(_row(dept_conc, "drivers", F.lit(None), "top_dept_share", sh,
-                     F.when(sh > 30, "over_concentrated").otherwise("balanced_portfolio"),
-                     F.format_string("Top department holds %.1f%% of sales", sh)))
-    # follow-up entities (R5/R6): weakest store, strongest store, top department
-    rows.append(_row(with_row(pulse, store_bench.select(F.col("bottom").alias("_b"))), "actions",
-                     F.coalesce(F.col("worst_store"), F.col("_b")), "follow_up", F.lit(1), F.lit("recover"),
-                     F.lit("Recovery plan")))
-    rows.append(_row(with_row(pulse, store_bench.select(F.col("top").alias("_t"))), "actions",
-                     F.coalesce(F.col("best_store"), F.col("_t")), "follow_up", F.lit(2), F.lit("replicate"),
-                     F.lit("Document and share practices")))
-    rows.append(_row(dept_bench, "actions", F.col("top"), "follow_up", F.lit(3), F.lit("promote"),
-                     F.lit("Increase promotional focus")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """R2-R6 over the one-row metric frames; rows only for rules that apply.
+
+    The metric frames are combined into one row (each evaluated once), then
+    every rule is one struct of an array that is exploded and filtered.
+    """
+    sb = store_bench.select(*[F.col(c).alias(f"sb_{c}") for c in ("avg_sales", "top", "bottom", "bottom_gap_pct")])
+    db = dept_bench.select(F.col("avg_sales").alias("db_avg_sales"), F.col("top").alias("db_top"))
+    m = one_row(momentum.select("change_pct"), wow.select("last_wow_pct"), ma_trend.select("trend_4wk_pct"),
+                pulse.select("stores_growing", "stores_declining", "best_store", "best_growth_pct",
+                             "worst_store", "worst_decline_pct"),
+                sb, db, dept_conc.select("top_dept_share"),
+                top_bottom.select("top_region", "top_region_sales", "bottom_region"))
+    cp, lw, t = F.col("change_pct"), F.col("last_wow_pct"), F.col("trend_4wk_pct")
+    g, d, sh = F.col("stores_growing"), F.col("stores_declining"), F.col("top_dept_share")
+    rows = [
+        # R2 revenue move
+        _row("momentum", F.lit(None), "change_pct", cp,
+             F.when(cp > 10, "revenue_jump").when(cp < -10, "revenue_drop").otherwise("revenue_stable"),
+             F.format_string("Revenue moved %+.1f%% vs the previous week", cp)),
+        # R3 WoW band
+        _row("growth_pulse", F.lit(None), "last_wow_pct", lw,
+             F.when(lw > 10, "strong_momentum").when(lw < -10, "sharp_decline").otherwise("flat"),
+             F.format_string("Last week %+.1f%% week over week", lw)),
+        # R5 4-week MA trend
+        _row("momentum", F.lit(None), "trend_4wk_pct", t,
+             F.when(F.abs(t) > 5, F.when(t > 0, "accelerating").otherwise("slowing")).otherwise("flat_trend"),
+             F.format_string("4-week trend %+.1f%%", t)),
+        # R5 store pulse
+        _row("store_pulse", F.lit(None), "stores_growing", g,
+             F.when(g > d, "majority_growing").otherwise("majority_declining"),
+             F.format_string("%d of %d stores growing", g, g + d)),
+        _row("store_pulse", F.col("best_store"), "best_growth_pct", F.col("best_growth_pct"), F.lit("best_store_up"),
+             F.format_string("%s up %.1f%% over 4 weeks", F.col("best_store"), F.col("best_growth_pct")),
+             F.coalesce(F.col("best_growth_pct") > 10, F.lit(False))),
+        _row("store_pulse", F.col("worst_store"), "worst_decline_pct", F.col("worst_decline_pct"),
+             F.lit("worst_store_down"),
+             F.format_string("%s down %.1f%% over 4 weeks", F.col("worst_store"), F.col("worst_decline_pct")),
+             F.coalesce(F.col("worst_decline_pct") < -10, F.lit(False))),
+        # R4 / R5 benchmarks
+        _row("benchmarks", F.col("sb_top"), "top_store_avg_sales", F.col("sb_avg_sales"), F.lit("leader_store"),
+             F.format_string("%s leads the stores", F.col("sb_top"))),
+        _row("benchmarks", F.col("sb_bottom"), "bottom_gap_pct", F.col("sb_bottom_gap_pct"), F.lit("lagging_store"),
+             F.format_string("%s trails the store average by %.1f%%", F.col("sb_bottom"), F.col("sb_bottom_gap_pct")),
+             F.coalesce(F.col("sb_top") != F.col("sb_bottom"), F.lit(False))),
+        _row("benchmarks", F.col("db_top"), "dept_avg_sales", F.col("db_avg_sales"), F.lit("leader_department"),
+             F.format_string("%s leads the departments", F.col("db_top"))),
+        # R4 / R6 regions and department concentration
+        _row("drivers", F.col("top_region"), "top_region_sales", F.col("top_region_sales"), F.lit("region_gap"),
+             F.format_string("%s outperforms %s", F.col("top_region"), F.col("bottom_region"))),
+        _row("drivers", F.lit(None), "top_dept_share", sh,
+             F.when(sh > 30, "over_concentrated").otherwise("balanced_portfolio"),
+             F.format_string("Top department holds %.1f%% of sales", sh)),
+        # follow-up entities (R5/R6): weakest store, strongest store, top department
+        _row("actions", F.coalesce(F.col("worst_store"), F.col("sb_bottom")), "follow_up", F.lit(1),
+             F.lit("recover"), F.lit("Recovery plan")),
+        _row("actions", F.coalesce(F.col("best_store"), F.col("sb_top")), "follow_up", F.lit(2),
+             F.lit("replicate"), F.lit("Document and share practices")),
+        _row("actions", F.col("db_top"), "follow_up", F.lit(3), F.lit("promote"), F.lit("Increase promotional focus")),
+    ]
+    return (m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            .where("_keep").drop("_keep"))
