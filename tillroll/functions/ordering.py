@@ -70,7 +70,8 @@ def running_totals(df: DataFrame, order: Sequence[Column], value: str | None,
 
 
 def lag_in_entity(df: DataFrame, entity: str, day: str, ties: Sequence[str],
-                  value: str, out: str, split_by: Column | None = None) -> DataFrame:
+                  value: str, out: str, split_by: Column | None = None,
+                  day_last: DataFrame | None = None) -> DataFrame:
     """Previous row's ``value`` within ``entity`` in (day, ties...) order.
 
     A plain ``lag over partitionBy(entity)`` sorts a whole store in one task.
@@ -94,6 +95,19 @@ def lag_in_entity(df: DataFrame, entity: str, day: str, ties: Sequence[str],
     return res.drop(*[f"_lv{i}" for i in range(len(levels))])
 
 
+def _lag_from_grain_table(df: DataFrame, entity: str, day: str, ties: list[Column], value: str,
+                          out: str, day_last: DataFrame) -> DataFrame:
+    w_in = Window.partitionBy(entity, day).orderBy(*ties)
+    rows = (df.withColumn("_pin1", F.lag(value).over(w_in))
+              .withColumn("_first1", F.row_number().over(w_in) == 1))
+    prev = day_last.where(F.col(entity).isNotNull()).select(
+        entity, day, F.lag("_last").over(Window.partitionBy(entity).orderBy(day)).alias("_pgrp1"))
+    j = rows.join(prev, [entity, day], "left")
+    res = j.withColumn(out, F.when(F.col("_first1"), F.col("_pgrp1")).otherwise(F.col("_pin1")))
+    res = res.withColumn(out, F.when(F.col(entity).isNull(), F.lit(None)).otherwise(F.col(out)))
+    return res.drop("_pin1", "_first1", "_pgrp1")
+
+
 def _nested_lag(df: DataFrame, keys: list[str], levels: list[str], ties: list[Column],
                 value: str, out: str) -> DataFrame:
     """lag(value) over partitionBy(keys) orderBy(levels..., ties...)."""

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import lag_in_entity
+from ..functions.ordering import default_ties, lag_in_entity
 from ..functions.safe import pct_change, safe_div
 from ..functions.scalar import with_row
 
@@ -25,26 +25,49 @@ from ..functions.scalar import with_row
 def add_derived_fields(df: DataFrame, date: str = "date", store: str = "store",
                        sales: str = "weekly_sales", txns: str = "transactions",
                        ties: Sequence[str] = (), split_by=None) -> DataFrame:
-    # Every side table (store means, overall mean, day totals, per-day last
-    # values) is computed from the input frame itself, so no branch repeats
-    # another branch's joins.
-    out = df
-    if {date, store, sales} <= set(df.columns):
-        out = lag_in_entity(df, store, date, list(ties), sales, "_prev_sales", split_by)
-        out = out.withColumn("wow_pct", pct_change(sales, "_prev_sales") * 100).drop("_prev_sales")
-    if {sales, txns} <= set(df.columns):
-        atv = safe_div(sales, txns)
+    """F4, W1-W3 on every row.
+
+    One (store, date) grain table defines every side table: each grain's
+    last value (for the lag), the day totals (summed over stores) and the ATV
+    sums and counts (per-store and overall means), so no side table groups raw
+    rows by store alone.  Catalyst prunes each branch's columns, so each branch
+    re-reads the input; callers that derive from an expensive input (the star
+    join) should pass a materialised frame, as ``compute_kpis`` does.
+    """
+    cols = set(df.columns)
+    if not {date, store, sales} <= cols:
+        return _derived_without_store_day(df, date, store, sales, txns)
+    ties = list(ties) or default_ties(df, [store, date], sales)
+    has_atv = txns in cols
+    atv = safe_div(sales, txns) if has_atv else F.lit(None).cast("double")
+    grain = df.groupBy(store, date).agg(
+        F.max_by(F.col(sales), F.struct(*[F.col(t) for t in ties])).alias("_last"),
+        F.sum(sales).alias("_s"), F.sum(atv).alias("_as"), F.count(atv).alias("_ac"))
+    out = lag_in_entity(df, store, date, ties, sales, "_prev_sales", split_by,
+                        day_last=grain.select(store, date, "_last"))
+    out = out.withColumn("wow_pct", pct_change(sales, "_prev_sales") * 100).drop("_prev_sales")
+    if has_atv:
         out = out.withColumn("avg_transaction_value", atv)
-        if store in df.columns:
-            overall = df.agg(F.avg(atv).alias("_overall"))
-            per_store = (df.where(F.col(store).isNotNull()).groupBy(store)
-                         .agg(F.avg(atv).alias("_store_atv")))
-            out = (with_row(out.join(per_store, store, "left"), overall)
-                   .withColumn("store_efficiency_pct",
-                               F.when(F.col("_overall") > 0,
-                                      (F.col("_store_atv") / F.col("_overall") - 1) * 100))
-                   .drop("_store_atv", "_overall"))
-    if date in df.columns and sales in df.columns:
+        overall = grain.agg((F.sum("_as") / F.sum("_ac")).alias("_overall"))
+        per_store = (grain.where(F.col(store).isNotNull()).groupBy(store)
+                     .agg((F.sum("_as") / F.sum("_ac")).alias("_store_atv")))
+        out = (with_row(out.join(per_store, store, "left"), overall)
+               .withColumn("store_efficiency_pct",
+                           F.when(F.col("_overall") > 0, (F.col("_store_atv") / F.col("_overall") - 1) * 100))
+               .drop("_store_atv", "_overall"))
+    day_tot = grain.groupBy(date).agg(F.sum("_s").alias("_day_total"))
+    return (out.join(day_tot, date, "left")
+            .withColumn("revenue_contribution_pct", safe_div(sales, "_day_total") * 100)
+            .drop("_day_total"))
+
+
+def _derived_without_store_day(df: DataFrame, date: str, store: str, sales: str, txns: str) -> DataFrame:
+    """Derived fields for inputs lacking the store or date column."""
+    out = df
+    cols = set(df.columns)
+    if {sales, txns} <= cols:
+        out = out.withColumn("avg_transaction_value", safe_div(sales, txns))
+    if date in cols and sales in cols:
         day_tot = df.groupBy(date).agg(F.sum(sales).alias("_day_total"))
         out = (out.join(day_tot, date, "left")
                .withColumn("revenue_contribution_pct", safe_div(sales, "_day_total") * 100)
