@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blocks, need, small_batches
-from .words import Words, windows, words_of
+from .words import PLACE_VALUES, Words, mix, windows, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -46,26 +46,35 @@ def _per_row(n_rows: int, rows: np.ndarray, weights: np.ndarray | None = None) -
     return np.bincount(rows, weights=weights, minlength=n_rows).astype(np.int64)
 
 
-def _counted(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of ``n`` words: first word, number of equal windows in the row, and the rank of its group's hash."""
-    at, h = windows(words, n)
-    if not len(at):
-        return at, at, at
-    order = np.lexsort((h, words.row[at]))
-    row, h = words.row[at][order], h[order]
+def _repeated(words: Words, n: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of equal windows in the row, of the windows of ``n`` words found twice or more.
+
+    ``shorter`` marks the first words of repeated windows of n - 1 words: a
+    window can only be repeated if both of its shorter ones are, so most
+    windows are never hashed.
+    """
+    if shorter is None:
+        at, h = windows(words, n)
+    else:
+        at = np.flatnonzero(shorter[:-1] & shorter[1:])
+        at = at[words.row[at] == words.row[at + n - 1]]
+        at, h = windows(words, n, at)
+    key = mix(h + words.row[at].astype(np.uint64) * PLACE_VALUES[n])
+    order = np.argsort(key)
+    key = key[order]
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    group = np.empty(len(at), dtype=np.int64)
-    group[order] = np.cumsum(new) - 1
-    return at, np.bincount(group)[group], group
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(at)))
+    count = np.repeat(size, size)
+    twice = count >= 2
+    return at[order[twice]], count[twice]
 
 
 def _covered(n_words: int, at: np.ndarray, n: int) -> np.ndarray:
     """Which words lie in one of the windows that start at ``at``."""
-    edge = np.zeros(n_words + 1, dtype=np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + n, -1)
-    return np.cumsum(edge[:-1]) > 0
+    edge = np.bincount(at, minlength=n_words + 1) - np.bincount(at + n, minlength=n_words + 1)
+    return np.cumsum(edge[:n_words]) > 0
 
 
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -98,20 +107,22 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     line_chars = cum[np.searchsorted(w.start, line_end)] - cum[np.searchsorted(w.start, line_start)]
     out["dup_line_chars"] = _per_row(rows, line_row[again], line_chars[again])
 
-    at, count, _ = _counted(w, 3)
-    out["n_repeat_words"] = _per_row(rows, w.row[_covered(n_words, at[count >= 2], 3)])
     whole = np.maximum(out["word_chars"], 1)
-    for n in TOP_LIMITS:
-        at, count, _ = _counted(w, n)
-        # characters of a window, times its occurrences; a window found once is no repetition
-        size = (cum[at + n] - cum[at]) * np.where(count >= 2, count, 0)
-        top = np.zeros(rows, dtype=np.int64)
-        np.maximum.at(top, w.row[at], size)
-        out[f"top_{n}gram"] = np.minimum(top / whole, 1.0)
-    for n in DUPLICATE_LIMITS:
-        at, count, _ = _counted(w, n)
-        inside = _covered(n_words, at[count >= 2], n)
-        out[f"dup_{n}gram"] = _per_row(rows, w.row[inside], chars[inside]) / whole
+    found = None
+    for n in range(2, max(DUPLICATE_LIMITS) + 1):
+        at, count = _repeated(w, n, found)
+        found = np.zeros(n_words + 1, dtype=bool)
+        found[at] = True
+        if n == 3:
+            out["n_repeat_words"] = _per_row(rows, w.row[_covered(n_words, at, 3)])
+        if n in TOP_LIMITS:
+            # characters of a window, times its occurrences; a window found once is no repetition
+            top = np.zeros(rows, dtype=np.int64)
+            np.maximum.at(top, w.row[at], (cum[at + n] - cum[at]) * count)
+            out[f"top_{n}gram"] = np.minimum(top / whole, 1.0)
+        if n in DUPLICATE_LIMITS:
+            inside = _covered(n_words, at, n)
+            out[f"dup_{n}gram"] = _per_row(rows, w.row[inside], chars[inside]) / whole
     return out
 
 

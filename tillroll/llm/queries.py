@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, mixing, quality
 
 QUERIES = {
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_mix_sources": mixing.op9_mix_sources,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_mix_sources": mixing.OP9_SQL,
+}

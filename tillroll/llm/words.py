@@ -96,12 +96,17 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, row_start, row_end, start, end, row, first, hasher, hasher.of(start, end))
 
 
-def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of every run of ``n`` words that lies in one row."""
+def windows(words: Words, n: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, hash) of every run of ``n`` words that lies in one row, or of those that begin at ``at``."""
     total = len(words.hash) - n + 1
     if total <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at = np.flatnonzero(words.row[:total] == words.row[n - 1:])
+    if at is None:
+        h = words.hash[:total] * PLACE_VALUES[0]
+        for j in range(1, n):
+            h += words.hash[j:j + total] * PLACE_VALUES[j]
+        at = np.flatnonzero(words.row[:total] == words.row[n - 1:])
+        return at, mix(h[at] + np.uint64(n))
     h = np.zeros(len(at), dtype=np.uint64)
     for j in range(n):
         h += words.hash[at + j] * PLACE_VALUES[j]
