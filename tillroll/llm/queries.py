@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality
+from . import bpe, mixing, pii, quality, winnow
 
 QUERIES = {
+    "op6_winnowing": winnow.op6_winnowing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
