@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality, winnow
+from . import bpe, mixing, pii, quality, warc, winnow
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op6_winnowing": winnow.op6_winnowing,
     "op7_pii": pii.op7_pii,
     "op8_quality_rules": quality.op8_quality_rules,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }
