@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality, warc, winnow
+from . import bpe, mixing, pii, quality, toxicity, warc, winnow
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op1_warc": warc.op1_warc,
     "op6_winnowing": winnow.op6_winnowing,
     "op7_pii": pii.op7_pii,

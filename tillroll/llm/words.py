@@ -75,7 +75,7 @@ class Words:
     hash: np.ndarray
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
+def words_of(texts: pa.Array, lower: bool = False, separators: np.ndarray = SEPARATORS) -> Words:
     """Words of a block of rows; null is empty.  A space is put between rows, so no word spans two."""
     lengths = byte_lengths(texts)
     raw = texts.cast(pa.binary()) if pa.types.is_string(texts.type) else texts.cast(pa.large_binary())
@@ -87,7 +87,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     row_end = row_start + lengths
     inside = np.empty(len(data) + 1, dtype=bool)
     inside[0] = False
-    np.logical_not(SEPARATORS[data], out=inside[1:])
+    np.logical_not(separators[data], out=inside[1:])
     change = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = change[0::2], change[1::2]
     first = np.searchsorted(start, np.append(row_start, len(data)))
