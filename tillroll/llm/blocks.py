@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; texts differ in length by orders of magnitude,
 #: so batches are kept short and cut again by bytes below.
@@ -61,3 +62,13 @@ def need(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}")
+
+
+def hash_share(df: DataFrame, h: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df``, those with the smallest values of the 64-bit hash ``h``; all if there are no more.
+
+    For bounded samples: what a later ``limit`` has to gather is bounded too,
+    whatever the number of partitions.
+    """
+    share = min(1.0, rows / max(1, df.count()))
+    return df if share == 1.0 else df.where(F.shiftrightunsigned(h, 33) < int(share * (1 << 31)))
