@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks, need, small_batches
+from .blocks import blocks, hash_share, need, small_batches
 from .words import mix, words_of
 
 #: Training reads at most so many labelled rows, first by hash of the id, and at most so many bytes of text of them.
@@ -230,7 +230,8 @@ def calibrate(model: Classifier, docs: list[np.ndarray], y: np.ndarray, lang: li
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
            label: str = "toxic", rows: int = SAMPLE_ROWS) -> list:
     """Labelled documents as hashed words, at most ``rows`` of them and SAMPLE_BYTES of text, in hash order."""
-    usable = (labels.where(F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
+    allowed = labels.where(F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
+    usable = (hash_share(allowed, F.xxhash64(F.col(key)), 2 * rows)
               .groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
               .withColumn("o", F.xxhash64(F.col("k"))).orderBy("o", "k").limit(rows))
     found = docs.select(F.col(key).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(usable), F.col("d") == F.col("k"))
