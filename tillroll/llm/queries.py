@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, pii, quality, toxicity, warc, winnow
+from . import bpe, langid, mixing, pii, quality, toxicity, warc, winnow
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
+    "language_id_pages": langid.language_id_pages,
     "op5_toxicity": toxicity.op5_toxicity,
     "op1_warc": warc.op1_warc,
     "op6_winnowing": winnow.op6_winnowing,
