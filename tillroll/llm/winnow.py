@@ -128,21 +128,24 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -
     rows share that id, the one with the smallest text counts.
     """
     need(df, key, text)
-    docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    c_type = df.schema[key].dataType
+    # an id and its nullness are two plain columns: all joins and the grouping below then share one partitioning
+    named = lambda c, x: [F.coalesce(c, F.lit(0).cast(c_type)).alias(f"{x}_id"), c.isNull().alias(f"{x}_null")]
+    docs = df.select(*named(F.col(key), "doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumns({"n_chars": F.length("text").cast("long"), "fp": fingerprint(F.col("text"))})
-    # what the document before may take from this one: its first quarter at most as long as that document's
-    sizes = df.select(F.col(key).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"))
-    longest = sizes.groupBy("doc_id").agg(F.max("n").alias("n"))
-    links = next_ids(longest, "doc_id").withColumnRenamed("doc_id", "own_key")
-    asks = links.join(longest.select(F.col("doc_id").alias("id_of"), (F.col("n") / 4).cast("int").alias("quarter")),
-                     F.col("own_key").eqNullSafe(F.col("id_of"))).select("own_key", "next_key", "quarter")
-    given = (docs.join(asks, docs["doc_id"].eqNullSafe(F.col("next_key")))
-             .groupBy("own_key").agg(F.min(F.struct(F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("head"), F.col("n_chars"),
-                                                    F.col("fp").alias("next_fp"))).alias("given")))
-    both = docs.join(given, docs["doc_id"].eqNullSafe(F.col("own_key")))
+    # how much the document before may take from this one: the quarter of the longest row of its id
+    sizes = df.select(F.col(key).alias("id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n")).groupBy("id").agg(F.max("n").alias("n"))
+    links = next_ids(sizes, "id").select(*named(F.col("id"), "own"), *named(F.col("next_key"), "next"))
+    quarters = sizes.select(*named(F.col("id"), "q"), (F.col("n") / 4).cast("int").alias("quarter"))
+    same = lambda x, y: (F.col(f"{x}_id") == F.col(f"{y}_id")) & (F.col(f"{x}_null") == F.col(f"{y}_null"))
+    asks = links.join(quarters, same("own", "q")).drop("q_id", "q_null")
+    given = (docs.join(asks, same("doc", "next")).groupBy("own_id", "own_null")
+             .agg(F.min(F.struct(F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("head"), F.col("n_chars"),
+                                 F.col("fp").alias("next_fp"))).alias("given")))
+    both = docs.join(given, same("doc", "own"))
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
     edited = F.concat(F.substring("text", F.lit(1), kept.cast("int")), F.substring(F.col("given.head"), F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")))
-    made = both.select("doc_id", "n_chars", "fp", F.col("given.next_fp").alias("next_fp"), edited.alias("edited"))
+    made = both.select(F.when(~F.col("doc_null"), F.col("doc_id")).alias("doc_id"), "n_chars", "fp", F.col("given.next_fp").alias("next_fp"), edited.alias("edited"))
     made = made.select("doc_id", "n_chars", "fp", "next_fp", F.sha2(F.col("edited"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
     return made.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("fp")).alias("fingerprint"), written(F.col("edited_fp")).alias("edited_fingerprint"),
