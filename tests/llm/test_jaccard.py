@@ -102,21 +102,15 @@ def test_shared_in_chunks_equals_whole():
     assert groups([(sig, doc)]) == groups([(sig[i:i + 700], doc[i:i + 700]) for i in range(0, 4000, 700)])
 
 
-def test_join_equals_all_pairs(spark):
+def test_join_equals_all_pairs_and_large_buckets_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(j, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(j, "SORT", 500)
     rows = [(None if d is None else d + 10_000 * k, t and f"{t} s{k}") for k in (1, 2) for d, t in corpus(k)]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string").repartition(5)
     got = sorted(map(tuple, j.join_components(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == sorted(brute(rows), key=str)
 
 
-def test_large_buckets_are_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(j, "SMALL_BUCKET", 3)
-    monkeypatch.setattr(j, "SORT", 500)
-    rows = corpus(5)
-    got = sorted(map(tuple, j.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    assert got == sorted(brute(rows), key=str)
-
-
 def test_query_equals_all_pairs(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]

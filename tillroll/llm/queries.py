@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, pii, quality, toxicity, warc, winnow
+from . import bpe, jaccard, langid, mixing, pii, quality, toxicity, warc, winnow
 
 QUERIES = {
+    "op3_ngram_join": jaccard.op3_ngram_join,
     "op2_language_id": langid.op2_language_id,
     "language_id_pages": langid.language_id_pages,
     "op5_toxicity": toxicity.op5_toxicity,
