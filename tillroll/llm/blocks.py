@@ -72,3 +72,14 @@ def hash_share(df: DataFrame, h: Column, rows: int) -> DataFrame:
     """
     share = min(1.0, rows / max(1, df.count()))
     return df if share == 1.0 else df.where(F.shiftrightunsigned(h, 33) < int(share * (1 << 31)))
+
+
+#: Ids that may be broadcast, by count (8 bytes each).
+BROADCAST_IDS = 2_000_000
+
+
+def only_ids(df: DataFrame, key: str, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is (or is not) in the one column of ``ids``; ids are broadcast only if they are few."""
+    named = ids.select(F.col(ids.columns[0]).alias("_id"))
+    few = named.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(named) if few else named, F.col(key) == F.col("_id"), "left_semi" if inside else "left_anti")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, mixing, pii, quality, toxicity, warc, winnow
+from . import bpe, jaccard, langid, mixing, pii, quality, suffix, toxicity, warc, winnow
 
 QUERIES = {
+    "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op3_ngram_join": jaccard.op3_ngram_join,
     "op2_language_id": langid.op2_language_id,
     "language_id_pages": langid.language_id_pages,
