@@ -39,7 +39,7 @@ BUCKETS = 1 << 15
 #: Languages told apart at most: those declared most often in the sample, each with a share of LEAST_SHARE
 #: and LEAST_ROWS rows.
 MOST_LANGUAGES, LEAST_SHARE = 32, 0.002
-LEAST_ROWS = 20
+LEAST_ROWS = 5
 #: Trigrams' worth of all languages' shares in each language's.
 SHARED = 2000.0
 EVIDENCE = 60
