@@ -50,7 +50,7 @@ DEALINGS = 6
 #: Count vector: places of the domain, counts up to 255.
 PLACES = 256
 #: Buckets up to this size are resolved pair by pair; larger ones are dealt again first, so often at most.
-SMALL_BUCKET, REFINE = 64, 3
+SMALL_BUCKET, REFINE = 1024, 2
 #: Signatures that a map task packs at once, that a shard's task sorts at once, and that a shard aims to hold.
 PACK, SORT, SHARD = 600_000, 3_000_000, 1_500_000
 #: Ids that may be broadcast, by count.
