@@ -19,10 +19,8 @@ def _lin_q(vals, p):
     return v[lo] + (v[hi] - v[lo]) * (h - lo)
 
 
-@pytest.mark.parametrize("accuracy", [100_000, 500])
-def test_group_quantiles_exact_on_skewed_groups(spark, accuracy):
-    """accuracy=500 sends the hot group (3000 rows) through the sketch-bracket
-    path; the default sends every group through the bounded exact path."""
+def test_group_quantiles_exact_on_skewed_groups(spark):
+    """One hot group, spread over several range partitions, and small ones."""
     rnd = random.Random(7)
     rows = []
     # one hot group with a third of the rows and many duplicates, plus small groups
@@ -34,8 +32,7 @@ def test_group_quantiles_exact_on_skewed_groups(spark, accuracy):
     rows.append(("nullv", None))
     rows.append((None, 5.0))
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r["k"]: r for r in group_quantiles(df, ["k"], "x", [0.25, 0.5, 0.75], names=["a", "b", "c"],
-                                              accuracy=accuracy).collect()}
+    got = {r["k"]: r for r in group_quantiles(df, ["k"], "x", [0.25, 0.5, 0.75], names=["a", "b", "c"]).collect()}
     assert None not in got and "nullv" not in got
     groups = {}
     for k, x in rows:
@@ -47,11 +44,14 @@ def test_group_quantiles_exact_on_skewed_groups(spark, accuracy):
             assert got[k][name] == pytest.approx(_lin_q(vals, p), abs=1e-9)
 
 
-def test_group_quantiles_global_and_tiny_accuracy(spark):
+def test_group_quantiles_global_have_no_keyless_join(spark):
     vals = [float(v) for v in range(1, 1001)]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    # accuracy 10 forces wide, failing sketch brackets -> exact fallback path
-    r = group_quantiles(df, [], "x", [0.1, 0.9], names=["lo", "hi"], accuracy=10).collect()[0]
+    q = group_quantiles(df, [], "x", [0.1, 0.9], names=["lo", "hi"])
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    r = q.collect()[0]
+    assert group_quantiles(df.where("x < 0"), [], "x", [0.5], names=["m"]).collect()[0]["m"] is None
     assert r["lo"] == pytest.approx(_lin_q(vals, 0.1))
     assert r["hi"] == pytest.approx(_lin_q(vals, 0.9))
 

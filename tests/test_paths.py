@@ -58,6 +58,31 @@ def test_stream_weekly_labels_are_sundays(spark):
     assert sum(r.events for r in out) == total
 
 
+def test_stream_keeps_every_event_of_many_files_in_any_order(spark, tmp_path):
+    from tillroll.streaming.weekly_stream import run_stream
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartitionByRange(96, F.col("ts").desc()).write.parquet(str(tmp_path / "table"))
+    want = {(r.date, r.event_type): r.events for r in run_events_weekly(spark, SF, ("event_type",)).collect()}
+    out = run_stream(spark, str(tmp_path / "table"), files_per_batch=16).collect()
+    assert {(r.date, r.event_type): r.events for r in out} == want
+    assert sum(want.values()) == events.count()
+
+
+def test_csv_is_read_by_header(spark, tmp_path):
+    from tillroll.operators.clean import missing_columns
+    from tillroll.sources.tables import read_sales_csv
+
+    (tmp_path / "a.csv").write_text('store,date,note,region,transactions,weekly_sales\nS1,2023-01-01,"two\nlines, ""quoted""",NA,7,100.5\n')
+    r = read_sales_csv(spark, str(tmp_path / "a.csv")).collect()
+    assert [(x.store, x.date, x.note, x.region, x.transactions, x.weekly_sales) for x in r] == [
+        ("S1", "2023-01-01", 'two\nlines, "quoted"', None, "7", "100.5")]
+    (tmp_path / "b.csv").write_text("store,date,weekly_sales,units_sold\nS1,2023-01-01,100.5,7\n")
+    b = read_sales_csv(spark, str(tmp_path / "b.csv"))
+    assert b.columns == ["store", "date", "weekly_sales", "units_sold"]
+    assert "transactions" in missing_columns(b, fact_rules())
+
+
 def test_cluster_conf_sizes_from_volume():
     c = cluster_conf(100 * 10**12, executors=1000)
     assert int(c["spark.sql.shuffle.partitions"]) >= 100 * 10**12 // (256 << 20)

@@ -1,28 +1,24 @@
-"""Exact per-group quantiles (linear interpolation) that stay skew-safe.
-
-``percentile`` is exact but its final merge keeps every distinct value of a
-group in one task, so one store holding a third of all rows would sit in a
-single task.  Here it is used only for groups of at most ``accuracy`` values
-(a proven memory bound).  Larger groups go through bounded steps:
-
-1. One partial aggregate per group: ``count`` and ``percentile_approx`` at
-   p +/- a margin.  The sketch has bounded size and merges map-side.  Its
-   rank error is at most n/accuracy, so [lo_p, hi_p] brackets the exact
-   order statistics.
-2. Rows below the bracket are only counted.  Rows inside it are counted per
-   distinct value.  Both are partial aggregates, so duplicates collapse
-   before the shuffle.
-3. A window over the distinct bracket values (about 6n/accuracy of them, and
-   never more than the group's distinct values) finds the exact order
-   statistics.  The result (one row per group and probability) is written to
-   the shared checkpoint folder; if a bracket failed its check (count below >
-   rank, or too few values inside), only that group/p is redone over its full
-   value range, which is still exact.
-
-Steps 1-3 run as one job when the helper is called (eager).  The frame it
-returns reads the small materialised table.
-
-The result matches ``quantile_cont`` / pandas ``quantile`` (linear).
+"""Exact per-group quantiles (linear interpolation), one path for all sizes.
+
+``percentile`` keeps every distinct value of a group in one task, so a store
+holding a third of all rows would sit in a single task.  Here no step is
+keyed by the group alone:
+
+1. Values are counted per (group, value), a partial aggregate that spreads a
+   hot group over all tasks and collapses repeated values before the shuffle.
+2. The counted values are dealt by range of (group, value), sorted, and
+   written once, which fixes partition and place.
+3. One row per (range partition, group) carries the number of values in it;
+   windows over those rows (at most one per partition and group) give each
+   group's size and where each partition begins in the group's order.
+4. Each wanted order statistic is a rank inside one (partition, group): an
+   equi-join on both finds it among that partition's running counts.
+
+A global quantile is the same with no group columns: the join is then on the
+partition alone, and no step needs a join without a key.
+
+Steps 1-2 run when the helper is called (eager).  The result matches
+``quantile_cont`` / pandas ``quantile`` (linear).
 """
 
 from __future__ import annotations
@@ -34,109 +30,55 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-_G = "_qgrp"
-
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], names: Sequence[str] | None = None,
-                    accuracy: int = 100_000, with_count: str | None = "n") -> DataFrame:
+                    with_count: str | None = "n") -> DataFrame:
     """One row per group (non-null keys) with one DOUBLE column per probability.
 
-    Nulls in ``value`` are skipped; groups with no values get NULL quantiles.
-    ``keys=[]`` gives a single global row.
+    Nulls in ``value`` are skipped, so groups without values have no row.
+    ``keys=[]`` gives a single global row, of nulls if there are no values.
     """
     keys = list(keys)
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
-    margin = 3.0 / accuracy
-    x = F.col(value).cast("double")
-
-    base = df.select(*[F.col(k) for k in keys], x.alias("_x")).where(F.col("_x").isNotNull())
-    if not keys:
-        base = base.withColumn(_G, F.lit(0))
-        gkeys = [_G]
-    else:
-        for k in keys:
-            base = base.where(F.col(k).isNotNull())
-        gkeys = keys
-
-    lows = [max(0.0, p - margin) for p in probs]
-    highs = [min(1.0, p + margin) for p in probs]
-    approx = F.percentile_approx("_x", F.array(*[F.lit(v) for v in lows + highs]), accuracy)
-    stats = base.groupBy(*gkeys).agg(
-        F.count("_x").alias("_n"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"),
-        approx.alias("_ap"))
-
-    # One row per (group, p) with the bracket and the target ranks.
-    k = len(probs)
-    per_p = F.explode(F.arrays_zip(
-        F.array(*[F.lit(i) for i in range(k)]).alias("i"),
-        F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-        F.slice("_ap", 1, k).alias("a"),
-        F.slice("_ap", k + 1, k).alias("b")))
-    br = (stats.select(*gkeys, "_n", "_mn", "_mx", per_p.alias("z"))
-          .select(*gkeys, "_n", "_mn", "_mx", F.col("z.i").alias("_i"), F.col("z.p").alias("_p"),
-                  F.col("z.a").alias("_a"), F.col("z.b").alias("_b"))
-          # Only groups above `accuracy` values use the bracket: its margin
-          # is then >= 3 ranks on each side.
-          .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
-          .withColumn("_klo", F.floor("_h"))
-          .withColumn("_khi", F.ceil("_h")))
-
-    def _bucket(brx: DataFrame, lo: Column, hi: Column) -> DataFrame:
-        j = base.join(brx.select(*gkeys, "_i", "_a", "_b", "_mn", "_mx"), gkeys)
-        j = j.where(F.col("_x") <= hi)
-        xc = F.when(F.col("_x") < lo, F.lit(None).cast("double")).otherwise(F.col("_x"))
-        return j.groupBy(*gkeys, "_i", xc.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-
-    # Small groups (n <= accuracy): exact ``percentile`` in one aggregate; its
-    # memory is bounded by the group size cap, so no task holds more than
-    # `accuracy` values per group.
-    small_keys = stats.where(F.col("_n") <= accuracy).select(*gkeys)
-    sm = (base.join(small_keys, gkeys, "left_semi").groupBy(*gkeys)
-          .agg(F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs])).alias("_qs"),
-               F.count("_x").alias("_n")))
-    sm_rows = sm.select(*gkeys, "_n", F.posexplode("_qs").alias("_i", "_q")).select(
-        *gkeys, F.col("_i").cast("int").alias("_i"), "_n", F.lit(True).alias("_ok"), "_q")
-    # Large groups: sketch bracket, then exact ranks inside it.
-    big_br = br.where(F.col("_n") > accuracy)
-    big = _resolve(_bucket(big_br, F.col("_a"), F.col("_b")), big_br, gkeys)
-    # One job (the input is scanned for stats, small groups and brackets),
-    # materialised in the shared checkpoint folder as a groups-sized table.
-    ok = cut_lineage(sm_rows.unionByName(big.select(*gkeys, F.col("_i").cast("int").alias("_i"),
-                                                      "_n", "_ok", "_q")), "quantiles")
-    res = ok.where("_ok")
-    if ok.where(~F.col("_ok")).limit(1).count() > 0:
-        # A bracket missed (the sketch bound failed): redo those groups over
-        # [min, max], which is always exact.  Rare, so only built when needed.
-        bad_br = br.join(ok.where(~F.col("_ok")).select(*gkeys, "_i"), gkeys + ["_i"], "left_semi")
-        agg2 = _bucket(bad_br, F.col("_mn"), F.col("_mx"))
-        res = res.unionByName(_resolve(agg2, bad_br, gkeys).where("_ok").select(
-            *gkeys, F.col("_i").cast("int").alias("_i"), "_n", "_ok", "_q"))
-
-    wide = res.groupBy(*gkeys).pivot("_i", list(range(k))).agg(F.first("_q"), F.first("_n"))
-    cols = [F.col(f"{i}_first(_q)").alias(n) for i, n in enumerate(names)]
-    nn = F.coalesce(*[F.col(f"{i}_first(_n)") for i in range(k)])
-    out = wide.select(*gkeys, *(([nn.alias(with_count)] if with_count else [])), *cols)
-    if not keys:
-        out = out.drop(_G)
-    return out
-
-
-def _resolve(bucketed: DataFrame, br: DataFrame, gkeys: list[str]) -> DataFrame:
-    """Order statistics at ranks klo/khi from (below-count, bracket values)."""
-    w = (Window.partitionBy(*gkeys, "_i").orderBy(F.col("_v").asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    cum = bucketed.withColumn("_cum", F.sum("_c").over(w))
-    j = cum.join(br.select(*gkeys, "_i", "_n", "_h", "_klo", "_khi"), gkeys + ["_i"])
-    below = F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0))
-    top = F.max("_cum")
-    per = j.groupBy(*gkeys, "_i").agg(
-        below.alias("_below"), top.alias("_top"),
-        F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > F.col("_klo")), F.col("_v"))).alias("_xlo"),
-        F.min(F.when(F.col("_v").isNotNull() & (F.col("_cum") > F.col("_khi")), F.col("_v"))).alias("_xhi"),
-        F.first("_h").alias("_h"), F.first("_klo").alias("_klo"), F.first("_khi").alias("_khi"),
-        F.first("_n").alias("_n"))
-    ok = (F.col("_below") <= F.col("_klo")) & (F.col("_top") > F.col("_khi"))
-    frac = F.col("_h") - F.col("_klo")
-    q = F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * frac
-    return per.select(*gkeys, "_i", "_n", ok.alias("_ok"), q.alias("_q"))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    for k in keys:
+        base = base.where(F.col(k).isNotNull())
+    counted = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    order = [*keys, "_x"]
+    placed = cut_lineage(counted.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()), "quantile-values")
+    placed = placed.withColumn("_pid", F.shiftright("_at", 33))
+
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (placed.groupBy("_pid", *keys).agg(F.sum("_c").alias("_rows"))
+              .withColumns({"_off": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_n": F.sum("_rows").over(group)}))
+
+    # the two order statistics around each probability, as ranks from 0
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
+    ranks = pieces.select("*", wanted.alias("_w")).withColumn("_h", (F.col("_n") - 1) * F.col("_w.p"))
+    side = F.explode(F.array(F.struct(F.lit(0).alias("s"), F.floor("_h").alias("r")), F.struct(F.lit(1).alias("s"), F.ceil("_h").alias("r"))))
+    targets = (ranks.select("*", side.alias("_t"))
+               .where((F.col("_t.r") >= F.col("_off")) & (F.col("_t.r") < F.col("_off") + F.col("_rows")))
+               .select("_pid", *keys, F.col("_w.i").alias("_i"), F.col("_t.s").alias("_s"),
+                       (F.col("_t.r") - F.col("_off")).alias("_r"), (F.col("_h") - F.floor("_h")).alias("_frac"), "_n"))
+
+    inside = Window.partitionBy("_pid", *keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.select("_pid", *order, "_c", F.sum("_c").over(inside).alias("_cum"))
+    hits = running.join(targets, ["_pid", *keys]).where(
+        (F.col("_r") < F.col("_cum")) & (F.col("_r") >= F.col("_cum") - F.col("_c")))
+
+    def at(i: int, s: int, c: str) -> Column:
+        return F.max(F.when((F.col("_i") == i) & (F.col("_s") == s), F.col(c)))
+
+    picked = hits.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        *[at(i, s, "_x").alias(f"_{i}_{s}") for i in range(len(probs)) for s in (0, 1)],
+        *[at(i, 0, "_frac").alias(f"_{i}_f") for i in range(len(probs))])
+    return picked.select(
+        *keys, *([F.col("_n").alias(with_count)] if with_count else []),
+        *[(F.col(f"_{i}_0") + (F.col(f"_{i}_1") - F.col(f"_{i}_0")) * F.col(f"_{i}_f")).alias(name)
+          for i, name in enumerate(names)])

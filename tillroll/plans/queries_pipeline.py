@@ -47,13 +47,14 @@ SELECT date, CAST(s AS DOUBLE) AS weekly_sales_sum, CAST(t AS DOUBLE) AS transac
        round(wow, 6) AS wow_growth_pct, round(ma4, 6) AS ma_4wk
 FROM growth""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE, CLEAN_WEEKLY_CTE))
 def q_csv_upload_weekly(spark, sf):
-    """The upload path: the raw table as a headed CSV in the shared folder,
-    read back with a declared all-text schema, cleaned, then weekly KPIs."""
+    """The upload path: the raw table as a headed CSV in the shared folder
+    (columns in another order than the rules name them, and one more), read
+    back by header, cleaned, then weekly KPIs."""
     path = scratch_path(spark, f"upload-{uuid.uuid4().hex[:8]}")
-    dirty_fact(spark, sf).write.mode("overwrite").option("header", True).csv(path)
-    schema = ("date string, store string, department string, region string, weekly_sales string, "
-              "transactions string, l_orderkey string, l_linenumber string")
-    raw = read_sales_csv(spark, path, schema)
+    upload = dirty_fact(spark, sf).select("l_linenumber", "transactions", "store", F.lit('said "so"').alias("note"), "region",
+                                          "weekly_sales", "l_orderkey", "date", "department")
+    upload.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    raw = read_sales_csv(spark, path)
     raw = raw.withColumn("l_orderkey", F.col("l_orderkey").cast("bigint")) \
              .withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
     return wk.weekly_kpis(C.clean(raw, fact_rules()))

@@ -47,7 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
-    # Unset: this is a local/test session; take a fresh private folder.
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    # Unset in a local session: driver and executors share this machine; take a fresh private folder.
     base = os.environ.get("TILLROLL_LOCAL_CKPT") or tempfile.mkdtemp(prefix="tillroll-ckpt-")
     spark.conf.set("spark.checkpoint.dir", base)
     sc.setCheckpointDir(base)
@@ -102,10 +104,3 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
         "spark.sql.files.maxPartitionBytes": f"{target_partition_mb}m",
         "spark.sql.shuffle.partitions": str(parts),
     }
-
-
-def apply_missing_conf(spark: SparkSession, conf: dict[str, str]) -> None:
-    """Set only the keys the session does not define already."""
-    for k, v in conf.items():
-        if spark.conf.get(k, None) in (None, ""):
-            spark.conf.set(k, v)

@@ -6,22 +6,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The fact contract (required columns, in order).
 FACT_COLUMNS = ["date", "store", "department", "region", "weekly_sales", "transactions"]
 # Tie-break columns carried by the fact view (G14): they make row order total.
 TIE_COLUMNS = ["l_orderkey", "l_linenumber"]
 
-SALES_CSV_SCHEMA = T.StructType([
-    T.StructField("date", T.StringType()),
-    T.StructField("store", T.StringType()),
-    T.StructField("department", T.StringType()),
-    T.StructField("region", T.StringType()),
-    T.StructField("weekly_sales", T.StringType()),
-    T.StructField("transactions", T.StringType()),
-])
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -114,8 +104,22 @@ def dirty_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "l_orderkey", "l_linenumber", copies.alias("_copy")).drop("_copy")
 
 
-def read_sales_csv(spark: SparkSession, path: str, schema: T.StructType = SALES_CSV_SCHEMA) -> DataFrame:
-    """CSV upload with header (S1).  Everything is read as text first; the
-    cleaning step coerces types with ``try_*`` (no schema inference pass)."""
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .csv(path))
+# Texts that an upload's empty cells are commonly written as.
+NULL_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+              "NaN", "None", "n/a", "nan", "null")
+
+
+def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """CSV upload with header (S1), columns by name as the file has them, in any
+    order; columns nobody asked for are kept, missing ones stay missing (C1
+    reports them).  Everything is text; the cleaning step coerces types.
+
+    A folder's files must share one header (checked, never matched by
+    position).  Quoted cells may hold line feeds and doubled quotes; with
+    ``multi_line=False`` they may not hold line feeds, and large files are
+    read in splits.
+    """
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("enforceSchema", False)
+           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    named = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    return named.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TEXTS), F.col(f"`{c}`")).alias(c) for c in named.columns])

@@ -2,22 +2,22 @@
 
 ``window(ts, '7 days', '7 days', '4 days')`` gives Monday-to-Monday windows
 (epoch day 0 is a Thursday); the label is ``window.end - 1 day``, the Sunday
-of G1.  A watermark bounds the state: weeks older than the watermark are
-dropped from state and later rows for them are ignored.
-
-Sink: ``update`` mode through ``foreachBatch``.  Each micro-batch writes its
-updated weeks to ``out/batch=<id>`` (overwrite, so a replayed batch is
-idempotent).  Reading takes the newest batch per week.  Weeks still open
-when the input ends are therefore visible, which a file sink in append mode
-would hold back until the watermark passes them.  Gap weeks are filled at
-read time (``weekly_dense``), not by the stateful window.
+of G1.
+
+Events may come in any order and arbitrarily late, so no event is ever behind
+a watermark: each micro-batch is summed by week on its own and its partial
+sums are written to ``out/batch=<id>`` (overwritten when a batch is replayed,
+so each batch counts once).  Readers add the partial sums.  There is no state
+to bound, and the result does not depend on how many files there are, how
+they are cut into batches, or in what order they arrive.  Gap weeks are filled
+at read time (``weekly_dense``).
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -25,42 +25,45 @@ from ..session import scratch_path
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def weekly_stream_aggregate(stream: DataFrame, ts: str = "ts", value: str = "value",
-                            keys: tuple[str, ...] = (), watermark: str = "14 days") -> DataFrame:
+def weekly_partial_sums(events: DataFrame, ts: str = "ts", value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sums and counts of a batch of events by week and ``keys``."""
     # Event times are wall-clock (timestamp_ntz).  Shift them so the epoch
     # equals the wall clock read as UTC; windows then start on Monday 00:00
     # wall clock whatever the session time zone is.
-    tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
-    s = (stream.withColumn("_ts", F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz))
-         .withWatermark("_ts", watermark))
+    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    s = events.withColumn("_ts", F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz))
     g = s.groupBy(F.window("_ts", "7 days", "7 days", "4 days").alias("w"), *keys).agg(
         F.sum(value).alias("weekly_sales_sum"), F.count(F.lit(1)).alias("events"))
     end_day = F.to_date(F.to_utc_timestamp(F.col("w.end"), tz))
     return g.select(F.date_sub(end_day, 1).alias("date"), *keys, "weekly_sales_sum", "events")
 
 
-def read_latest(spark: SparkSession, out: str, keys: tuple[str, ...]) -> DataFrame:
-    """Newest version of each (week, keys) across micro-batches."""
-    df = spark.read.parquet(out)
-    w = Window.partitionBy("date", *keys).orderBy(F.col("batch").desc())
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "batch")
+def read_totals(spark: SparkSession, out: str, keys: tuple[str, ...]) -> DataFrame:
+    """Partial sums of all micro-batches, added up by week and ``keys``."""
+    return spark.read.parquet(out).groupBy("date", *keys).agg(
+        F.sum("weekly_sales_sum").alias("weekly_sales_sum"), F.sum("events").alias("events"))
 
 
-def run_events_weekly(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("event_type",),
-                      run_id: str = "events_weekly") -> DataFrame:
-    """Run the stream over the whole ``events`` table (availableNow) and
-    return the sink contents as a batch DataFrame."""
+def run_stream(spark: SparkSession, path: str, keys: tuple[str, ...] = ("event_type",),
+               files_per_batch: int | None = None, run_id: str = "events_weekly") -> DataFrame:
+    """Stream the parquet file or folder ``path`` (availableNow) and return the sink's totals."""
     base = scratch_path(spark, f"{run_id}-{uuid.uuid4().hex[:8]}")
     out = f"{base}/out"
-    # A file stream watches a folder: the table folder, filtered to the events file(s).
-    src = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet")
-           .option("maxFilesPerTrigger", 16).parquet(sf_dir.rstrip("/")))
-    agg = weekly_stream_aggregate(src, "ts", "value", keys)
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        weekly_partial_sums(batch, keys=keys).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
+    # a stream takes a plain path for a folder; a pattern that only this path matches may be a file as well
+    exact = f"{path[:-1]}[{path[-1]}]"
+    q = (reader.parquet(exact).writeStream.outputMode("append").foreachBatch(sink)
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_latest(spark, out, keys)
+    return read_totals(spark, out, keys)
+
+
+def run_events_weekly(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """The stream over the whole ``events`` table."""
+    return run_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet", keys)
