@@ -220,3 +220,12 @@ def test_all_null_median_keeps_rows(spark):
     # global fences over an all-null value column: rows kept, nothing flagged
     f = O.flag_outliers_iqr(raw.withColumn("weekly_sales", F.lit(None).cast("double")), "weekly_sales", None)
     assert f.count() == 2 and f.where("is_outlier").count() == 0
+
+
+def test_sign_class_and_health_use_unrounded_values(spark):
+    from tillroll.operators import findings as FD
+    from tillroll.operators import weekly as wk
+
+    df = spark.createDataFrame([(-1e-7, 0.0499999), (0.0, 0.05), (None, -1e-9)], "wow_growth_pct double, t double")
+    out = wk.wow_sign_class(df).withColumn("h", FD.health_status(F.col("t"), F.lit(0))).collect()
+    assert [(r.wow_class, r.h) for r in out] == [("down", "Watch"), ("up", "Healthy"), ("up", "Declining")]

@@ -46,7 +46,7 @@ def running_totals(df: DataFrame, order: Sequence[Column], value: str | None,
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    val = F.col(value).cast("decimal(38,4)") if value else F.lit(0)
+    val = F.col(value).cast("decimal(38,6)") if value else F.lit(0)
     ranged = (df.withColumn("_val", val)
               .repartitionByRange(n, *order)
               .withColumn("_pid", F.spark_partition_id()))

@@ -93,12 +93,14 @@ def _tail_indexed(weekly: DataFrame) -> DataFrame:
     return weekly.withColumn("_k", F.row_number().over(Window.orderBy(F.col("date").desc())))
 
 
-def weekly_trend(df: DataFrame, freq: str = "W", **cols) -> DataFrame:
+def weekly_trend(df: DataFrame, freq: str = "W", rounded: bool = True, **cols) -> DataFrame:
     """W6 and the last WoW: one row with trend_4wk, wow_last and weeks.
 
     trend_4wk = mean(last 4) / mean(previous 4) - 1 on dense periods;
-    NULL with fewer than 8 periods or a previous mean <= 0.
+    NULL with fewer than 8 periods or a previous mean <= 0.  Thresholds are
+    for unrounded values (``rounded=False``).
     """
+    r = r6 if rounded else (lambda c: F.col(c) if isinstance(c, str) else c)
     g = _tail_indexed(with_growth(weekly_dense(df, freq=freq, **cols)))
     s = F.col("weekly_sales_sum").cast("double")
     agg = g.agg(
@@ -108,7 +110,7 @@ def weekly_trend(df: DataFrame, freq: str = "W", **cols) -> DataFrame:
         F.max(F.when(F.col("_k") == 1, F.col("wow_growth_pct"))).alias("wow_last"))
     trend = F.when((F.col("weeks") >= 8) & (F.col("_p4") > 0),
                    (F.col("_l4") - F.col("_p4")) / F.col("_p4"))
-    return agg.select(r6(trend).alias("trend_4wk"), r6("wow_last").alias("wow_last"),
+    return agg.select(r(trend).alias("trend_4wk"), r("wow_last").alias("wow_last"),
                       F.col("weeks").cast("long").alias("weeks"))
 
 

@@ -223,33 +223,38 @@ def q_outlier_fences(spark, sf):
                     F.round("q3", 6).alias("q3"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
 
 
+def _cleaned(spark, sf):
+    """The cleaned upload, where single amounts were blown up: outliers exist."""
+    return C.clean(dirty_fact(spark, sf), fact_rules())
+
+
 @register("outlier_iqr_store", with_fact("""
 SELECT date, store, CAST(weekly_sales AS DOUBLE) AS weekly_sales, l_orderkey, l_linenumber
-FROM flagged WHERE is_outlier""", *_iqr_ctes("fact")))
+FROM flagged WHERE is_outlier""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE, *_iqr_ctes("clean")))
 def q_outlier_iqr_store(spark, sf):
-    f = O.flag_outliers_iqr(fact_view(spark, sf), "weekly_sales", "store", 1.5)
+    f = O.flag_outliers_iqr(_cleaned(spark, sf), "weekly_sales", "store", 1.5)
     return f.where("is_outlier").select("date", "store", F.col("weekly_sales").cast("double"), *TIES)
 
 
 @register("outlier_iqr_global", with_fact("""
 SELECT date, store, CAST(weekly_sales AS DOUBLE) AS weekly_sales, l_orderkey, l_linenumber
-FROM flagged WHERE is_outlier""", *_iqr_ctes("fact", key="")))
+FROM flagged WHERE is_outlier""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE, *_iqr_ctes("clean", key="")))
 def q_outlier_iqr_global(spark, sf):
-    f = O.flag_outliers_iqr(fact_view(spark, sf), "weekly_sales", None, 1.5)
+    f = O.flag_outliers_iqr(_cleaned(spark, sf), "weekly_sales", None, 1.5)
     return f.where("is_outlier").select("date", "store", F.col("weekly_sales").cast("double"), *TIES)
 
 
 @register("outlier_count", with_fact("""
-SELECT CAST(count(*) FILTER (WHERE is_outlier) AS BIGINT) AS outliers FROM flagged""", *_iqr_ctes("fact")))
+SELECT CAST(count(*) FILTER (WHERE is_outlier) AS BIGINT) AS outliers FROM flagged""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE, *_iqr_ctes("clean")))
 def q_outlier_count(spark, sf):
-    return O.outlier_count(fact_view(spark, sf), value="weekly_sales", group_by="store", k=1.5)
+    return O.outlier_count(_cleaned(spark, sf), value="weekly_sales", group_by="store", k=1.5)
 
 
 @register("outlier_sample", with_fact("""
 SELECT date, store, CAST(weekly_sales AS DOUBLE) AS weekly_sales FROM flagged WHERE is_outlier
-ORDER BY date, store, weekly_sales LIMIT 20""", *_iqr_ctes("fact")))
+ORDER BY date, store, weekly_sales LIMIT 20""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE, *_iqr_ctes("clean")))
 def q_outlier_sample(spark, sf):
-    f = O.flag_outliers_iqr(fact_view(spark, sf), "weekly_sales", "store", 1.5)
+    f = O.flag_outliers_iqr(_cleaned(spark, sf), "weekly_sales", "store", 1.5)
     return Q.outlier_sample(f, 20)
 
 
@@ -261,53 +266,54 @@ SELECT date, store, department, sales,
 FROM (SELECT date, store, department, CAST(weekly_sales AS DOUBLE) AS sales, l_orderkey, l_linenumber
       FROM flagged WHERE is_outlier
       ORDER BY sales DESC, date, store, department, l_orderkey, l_linenumber LIMIT 50)""",
-    *_iqr_ctes("fact", min_n=1)))
+    DIRTY_CTE, TYPED_CTE, CLEAN_CTE, *_iqr_ctes("clean", min_n=1)))
 def q_outlier_table(spark, sf):
-    return O.outlier_table(fact_view(spark, sf), 1.5, 50, ties=TIES)
+    return O.outlier_table(_cleaned(spark, sf), 1.5, 50, ties=TIES)
 
 
 @register("outlier_zscore_store", with_fact("""
 SELECT f.store, CAST(count(*) FILTER (WHERE abs(CAST(weekly_sales AS DOUBLE) - mu) / nullif(sd, 0) > 3.0) AS BIGINT) AS outliers
-FROM fact f JOIN st USING (store) GROUP BY f.store""",
+FROM clean f JOIN st USING (store) GROUP BY f.store""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE,
     """st AS (SELECT store, avg(CAST(weekly_sales AS DOUBLE)) AS mu, stddev_samp(CAST(weekly_sales AS DOUBLE)) AS sd
-       FROM fact GROUP BY store)"""))
+       FROM clean WHERE store IS NOT NULL GROUP BY store)"""))
 def q_outlier_zscore(spark, sf):
-    f = O.flag_outliers_zscore(fact_view(spark, sf), "weekly_sales", "store", 3.0)
-    return f.groupBy("store").agg(F.count_if("is_outlier").cast("long").alias("outliers"))
+    f = O.flag_outliers_zscore(_cleaned(spark, sf), "weekly_sales", "store", 3.0)
+    return f.where("store IS NOT NULL").groupBy("store").agg(F.count_if("is_outlier").cast("long").alias("outliers"))
 
 
 @register("outlier_mad_store", with_fact("""
 SELECT store, CAST(count(*) FILTER (WHERE dev > 3.0 * 1.4826 * mad) AS BIGINT) AS outliers
 FROM dv JOIN (SELECT store, quantile_cont(dev, 0.5) AS mad FROM dv GROUP BY store) m USING (store)
-GROUP BY store""", """md AS (SELECT store, quantile_cont(CAST(weekly_sales AS DOUBLE), 0.5) AS med FROM fact GROUP BY store)""",
-    """dv AS (SELECT f.store, abs(CAST(f.weekly_sales AS DOUBLE) - md.med) AS dev FROM fact f JOIN md USING (store))"""))
+GROUP BY store""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE,
+    """md AS (SELECT store, quantile_cont(CAST(weekly_sales AS DOUBLE), 0.5) AS med FROM clean WHERE store IS NOT NULL GROUP BY store)""",
+    """dv AS (SELECT f.store, abs(CAST(f.weekly_sales AS DOUBLE) - md.med) AS dev FROM clean f JOIN md USING (store))"""))
 def q_outlier_mad(spark, sf):
-    f = O.flag_outliers_mad(fact_view(spark, sf), "weekly_sales", "store", 3.0)
-    return f.groupBy("store").agg(F.count_if("is_outlier").cast("long").alias("outliers"))
+    f = O.flag_outliers_mad(_cleaned(spark, sf), "weekly_sales", "store", 3.0)
+    return f.where("store IS NOT NULL").groupBy("store").agg(F.count_if("is_outlier").cast("long").alias("outliers"))
 
 
 @register("outlier_winsorize", with_fact("""
 SELECT store, round(sum(CASE WHEN is_outlier AND CAST(weekly_sales AS DOUBLE) < lower_fence THEN lower_fence
                              WHEN is_outlier AND CAST(weekly_sales AS DOUBLE) > upper_fence THEN upper_fence
-                             ELSE CAST(weekly_sales AS DOUBLE) END), 4) AS winsorized_sales,
+                             ELSE CAST(weekly_sales AS DOUBLE) END), 2) AS winsorized_sales,
        CAST(count(*) AS BIGINT) AS rows
-FROM flagged GROUP BY store""", *_iqr_ctes("fact")))
+FROM flagged GROUP BY store""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE, *_iqr_ctes("clean")))
 def q_outlier_winsorize(spark, sf):
-    w = O.treat_outliers(fact_view(spark, sf), "weekly_sales", "store", 1.5, "winsorize")
-    return w.groupBy("store").agg(F.round(F.sum("weekly_sales"), 4).alias("winsorized_sales"),
+    w = O.treat_outliers(_cleaned(spark, sf), "weekly_sales", "store", 1.5, "winsorize")
+    return w.groupBy("store").agg(F.round(F.sum("weekly_sales"), 2).alias("winsorized_sales"),
                                   F.count(F.lit(1)).cast("long").alias("rows"))
 
 
 @register("outlier_remove", with_fact("""
-SELECT CAST(count(*) AS BIGINT) AS rows_kept FROM flagged WHERE NOT is_outlier""", *_iqr_ctes("fact")))
+SELECT CAST(count(*) AS BIGINT) AS rows_kept FROM flagged WHERE NOT is_outlier""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE, *_iqr_ctes("clean")))
 def q_outlier_remove(spark, sf):
-    r = O.treat_outliers(fact_view(spark, sf), "weekly_sales", "store", 1.5, "remove")
+    r = O.treat_outliers(_cleaned(spark, sf), "weekly_sales", "store", 1.5, "remove")
     return r.agg(F.count(F.lit(1)).cast("long").alias("rows_kept"))
 
 
 @register("outlier_report", with_fact("""
 SELECT store, CAST(count(*) FILTER (WHERE is_outlier) AS BIGINT) AS outliers
 FROM flagged WHERE store IS NOT NULL GROUP BY store HAVING count(*) FILTER (WHERE is_outlier) > 3""",
-    *_iqr_ctes("fact")))
+    DIRTY_CTE, TYPED_CTE, CLEAN_CTE, *_iqr_ctes("clean")))
 def q_outlier_report(spark, sf):
-    return O.outlier_report(fact_view(spark, sf), "weekly_sales", "store", 1.5, 3)
+    return O.outlier_report(_cleaned(spark, sf), "weekly_sales", "store", 1.5, 3)

@@ -100,10 +100,11 @@ def q_weekly_stats(spark, sf):
 
 @register("weekly_wow_class", with_fact("""
 SELECT date, round(wow, 6) AS wow_growth_pct,
-       CASE WHEN coalesce(round(wow, 6), 0.0) >= 0 THEN 'up' ELSE 'down' END AS wow_class
+       CASE WHEN coalesce(wow, 0.0) >= 0 THEN 'up' ELSE 'down' END AS wow_class
 FROM growth""", WEEKLY_CTE))
 def q_weekly_wow_class(spark, sf):
-    return wk.wow_sign_class(wk.weekly_kpis(fact_view(spark, sf))).select("date", "wow_growth_pct", "wow_class")
+    growth = wk.with_growth(wk.weekly_dense(fact_view(spark, sf)))
+    return wk.wow_sign_class(growth).select("date", F.round("wow_growth_pct", 6).alias("wow_growth_pct"), "wow_class")
 
 
 @register("dense_series_transactions", with_fact("""

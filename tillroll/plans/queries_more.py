@@ -295,25 +295,25 @@ def q_eff_metrics(spark, sf):
 HEALTH_SQL = """CASE WHEN tr IS NULL THEN 'Inconclusive' WHEN tr >= 0.05 AND o <= 5 THEN 'Healthy'
                      WHEN tr >= 0.0 THEN 'Watch' ELSE 'Declining' END"""
 
-TREND_SQL = """(SELECT round(CASE WHEN count(*) >= 8 AND avg(CASE WHEN k BETWEEN 5 AND 8 THEN sd END) > 0 THEN
+TREND_SQL = """(SELECT CASE WHEN count(*) >= 8 AND avg(CASE WHEN k BETWEEN 5 AND 8 THEN sd END) > 0 THEN
          (avg(CASE WHEN k <= 4 THEN sd END) - avg(CASE WHEN k BETWEEN 5 AND 8 THEN sd END))
-         / avg(CASE WHEN k BETWEEN 5 AND 8 THEN sd END) END, 6) FROM growth)"""
+         / avg(CASE WHEN k BETWEEN 5 AND 8 THEN sd END) END FROM growth)"""
 
 
 def _health_frame(spark, sf):
     f = fact_view(spark, sf)
-    tr = wk.weekly_trend(f).select("trend_4wk")
+    tr = wk.weekly_trend(f, rounded=False).select("trend_4wk")
     oc = O.outlier_count(f, value="weekly_sales", group_by="store", k=1.5)
     return with_row(tr, oc)
 
 
 @register("health_status", with_fact(f"""
-SELECT tr AS trend_4wk, o AS outliers, {HEALTH_SQL} AS health
+SELECT round(tr, 6) AS trend_4wk, o AS outliers, {HEALTH_SQL} AS health
 FROM (SELECT {TREND_SQL} AS tr, (SELECT CAST(count(*) FILTER (WHERE is_outlier) AS BIGINT) FROM flagged) AS o)""",
     WEEKLY_CTE, *_iqr_ctes("fact")))
 def q_health(spark, sf):
     h = _health_frame(spark, sf)
-    return h.select("trend_4wk", "outliers", FD.health_status(F.col("trend_4wk"), F.col("outliers")).alias("health"))
+    return h.select(r6("trend_4wk").alias("trend_4wk"), "outliers", FD.health_status(F.col("trend_4wk"), F.col("outliers")).alias("health"))
 
 
 @register("executive_kpis", with_fact(f"""
@@ -392,7 +392,7 @@ def q_min_txn(spark, sf):
 
 def _alert_metrics(spark, sf):
     f = fact_view(spark, sf)
-    wow = wk.weekly_trend(f).select(F.col("wow_last").alias("wow_pct"))
+    wow = wk.weekly_trend(f, rounded=False).select(F.col("wow_last").alias("wow_pct"))
     dec = T.store_4wk_aligned(f).agg(F.count_if(F.col("change") < 0).cast("long").alias("store_4wk_decline"))
     comp = Q.completeness(C.coerce_types(dirty_fact(spark, sf), fact_rules()))
     miss = comp.select((F.col("missing_count") / (F.col("rows") * F.col("cols"))).alias("missing_pct"))
@@ -410,7 +410,7 @@ SELECT name, severity, fired, message FROM (
   SELECT 'Data Quality Alert', 'high', coalesce(missing_pct > 0.10, false),
          'Data quality issue: ' || printf('%.1f%%', missing_pct * 100) || ' of records incomplete' FROM mt)
 WHERE fired""", WEEKLY_CTE, DIRTY_CTE, TYPED_CTE, week_cte("store", "sw"), "al AS (" + ALIGNED_SQL + ")",
-    f"""mt AS (SELECT (SELECT round(max(CASE WHEN k = 1 THEN wow END), 6) FROM growth) AS wow_pct,
+    f"""mt AS (SELECT (SELECT max(CASE WHEN k = 1 THEN wow END) FROM growth) AS wow_pct,
        (SELECT CAST(count(*) FILTER (WHERE change < 0) AS BIGINT) FROM al) AS store_4wk_decline,
        (SELECT (count(*) FILTER (WHERE date IS NULL) + count(*) FILTER (WHERE store IS NULL)
                + count(*) FILTER (WHERE department IS NULL) + count(*) FILTER (WHERE region IS NULL)
