@@ -31,7 +31,7 @@ from .words import mix, words_of
 
 #: Training reads at most so many labelled rows, first by hash of the id, and at most so many bytes of text of them.
 SAMPLE_ROWS = 16000
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 24 << 20
 BUCKETS = 1 << 18
 DIM = 8
 WIDTHS = (1, 2, 3)
@@ -178,8 +178,10 @@ def train(docs: list[np.ndarray], y: np.ndarray, lang: list[str | None]) -> Clas
         return none
     held = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~held)
-    words, group = np.unique(np.concatenate([np.unique(docs[i]) for i in fit]), return_inverse=True)
-    labels = np.repeat(y[fit], [len(np.unique(docs[i])) for i in fit])
+    distinct = [np.unique(docs[i]) for i in fit]
+    labels = np.repeat(y[fit], [len(d) for d in distinct])
+    words, group = np.unique(np.concatenate(distinct), return_inverse=True)
+    del distinct
     seen = np.bincount(group, minlength=len(words))
     bad = np.bincount(group, weights=labels, minlength=len(words))
     # share of toxic texts among those with the word, drawn towards the overall share, as log-odds against it
