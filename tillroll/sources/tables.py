@@ -19,22 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Largest dimension (in rows) we broadcast; above it the join sort-merges.
 BROADCAST_MAX_ROWS = int(os.environ.get("TILLROLL_BROADCAST_MAX_ROWS", "2000000"))
-_DIM_ROWS: dict[str, bool] = {}
 
 
-def bounded_broadcast(df: DataFrame, key: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only after checking it has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, rows_of: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast-hint ``df`` only if the table ``rows_of``, which bounds it, has at most ``max_rows`` rows now.
 
-    The check is a bounded count (``limit(max_rows + 1)``) on the narrow
-    dimension projection, done once per table path and session.  The hint
-    keeps the planner from ever building the fact side: size estimates from
-    file sizes can undershoot for a heavily pruned fact scan.
+    The count of a whole parquet table comes from file footers, so it is made
+    anew for every plan and can't go stale.  The hint keeps the planner from
+    ever building the fact side: size estimates from file sizes can undershoot
+    for a heavily pruned fact scan.
     """
-    ok = _DIM_ROWS.get(key)
-    if ok is None:
-        ok = df.limit(max_rows + 1).count() <= max_rows
-        _DIM_ROWS[key] = ok
-    return F.broadcast(df) if ok else df
+    return F.broadcast(df) if rows_of.count() <= max_rows else df
 
 
 def fact_view(spark: SparkSession, sf_dir: str, with_ties: bool = True) -> DataFrame:
@@ -54,12 +49,11 @@ def fact_view(spark: SparkSession, sf_dir: str, with_ties: bool = True) -> DataF
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     rg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    base = sf_dir.rstrip("/")
-    geo = (su.join(bounded_broadcast(na, f"{base}/nation"), su.s_nationkey == na.n_nationkey)
-             .join(bounded_broadcast(rg, f"{base}/region"), F.col("n_regionkey") == rg.r_regionkey)
+    geo = (su.join(bounded_broadcast(na, na), su.s_nationkey == na.n_nationkey)
+             .join(bounded_broadcast(rg, rg), F.col("n_regionkey") == rg.r_regionkey)
              .select("s_suppkey", "s_name", "r_name"))
-    j = (li.join(bounded_broadcast(geo, f"{base}/supplier"), li.l_suppkey == geo.s_suppkey)
-           .join(bounded_broadcast(pa, f"{base}/part"), li.l_partkey == pa.p_partkey))
+    j = (li.join(bounded_broadcast(geo, su), li.l_suppkey == geo.s_suppkey)
+           .join(bounded_broadcast(pa, pa), li.l_partkey == pa.p_partkey))
     cols = [
         F.to_date("l_shipdate").alias("date"),
         F.col("s_name").alias("store"),
