@@ -83,6 +83,30 @@ def test_csv_is_read_by_header(spark, tmp_path):
     assert "transactions" in missing_columns(b, fact_rules())
 
 
+def test_missing_columns_give_a_failed_report_and_an_empty_bundle(spark):
+    from tillroll.operators.clean import validation_report
+    from tillroll.operators.quality import quality_report
+
+    whole = dirty_fact(spark, SF)
+    part = whole.drop("weekly_sales")
+    r = quality_report(part, fact_rules()).collect()[0]
+    assert r.validation_passed is False and r.status == "needs_attention" and r.final_rows == 0
+    assert validation_report(part, fact_rules()).columns == validation_report(whole, fact_rules()).columns
+    b = compute_kpis(part, fact_rules(), outputs=["kpis_weekly", "regional"])
+    assert b["kpis_weekly"].count() == 0 and b["regional"].count() == 0
+
+
+def test_rules_choose_outlier_method_and_treatment(spark):
+    rules = fact_rules()
+    rows = {}
+    for method, k, treat in (("iqr", 1.5, "flag"), ("zscore", 1.0, "flag"), ("mad", 1.0, "flag"), ("zscore", 1.0, "remove")):
+        own = rules | {"outliers": {"group_by": "store", "k": k, "method": method, "treat": treat}}
+        rows[method, treat] = compute_kpis(dirty_fact(spark, SF), own, ties=["l_orderkey", "l_linenumber"], outputs=["flagged_rows"])["flagged_rows"]
+    flagged = {x: d.where("is_outlier").count() for x, d in rows.items() if x[1] == "flag"}
+    assert all(flagged.values()) and len(set(flagged.values())) == 3
+    assert rows["zscore", "remove"].count() == rows["zscore", "flag"].count() - flagged["zscore", "flag"]
+
+
 def test_cluster_conf_sizes_from_volume():
     c = cluster_conf(100 * 10**12, executors=1000)
     assert int(c["spark.sql.shuffle.partitions"]) >= 100 * 10**12 // (256 << 20)

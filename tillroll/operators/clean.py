@@ -34,6 +34,11 @@ def missing_columns(df: DataFrame, rules: dict) -> list[str]:
     return sorted(set(req) - set(df.columns))
 
 
+def empty_input(df: DataFrame, rules: dict) -> DataFrame:
+    """No rows, with every required column: what an upload without some of them is treated as."""
+    return df.limit(0).withColumns({c: F.lit(None).cast("string") for c in missing_columns(df, rules)})
+
+
 def require_columns(df: DataFrame, rules: dict) -> DataFrame:
     miss = missing_columns(df, rules)
     if miss:
@@ -199,15 +204,14 @@ def validation_report(raw: DataFrame, rules: dict, date: str = "date",
     initial rows/cols, invalid dates, rows removed by cleaning (and %), final
     rows, zero and negative sales (negative measured before and after clip).
     Three aggregates (raw, after dedupe, cleaned) that Spark runs as stages of
-    one job; no counts pass through the driver.
+    one job; no counts pass through the driver.  A frame without the required
+    columns is reported as one without rows, in the same schema.
     """
-    miss = missing_columns(raw, rules)
-    if miss:
-        return raw.sparkSession.createDataFrame(
-            [(len(miss), ", ".join(miss))], "missing_count long, missing_columns string")
+    if missing_columns(raw, rules):
+        raw, cleaned = empty_input(raw, rules), None
     typed = coerce_types(raw, rules)
     if cleaned is None:
-        cleaned = apply_cleaning(drop_invalid_dates(typed, rules, date), rules)
+        cleaned = clean(raw, rules, date)
     a = typed.agg(F.count(F.lit(1)).alias("initial_rows"),
                   F.count_if(F.col(date).isNull()).alias("invalid_dates"),
                   F.count_if(F.col(sales) < 0).alias("negative_sales_raw"))

@@ -109,6 +109,19 @@ def flag_outliers_mad(df: DataFrame, value: str = "weekly_sales", group_by: str
     return j.withColumn("is_outlier", flag).drop("_med", "_dev", "_mad")
 
 
+def flag_by_rules(df: DataFrame, outliers: dict, value: str = "weekly_sales", group_by: str | None = "store",
+                  fences: DataFrame | None = None) -> DataFrame:
+    """Flag rows by the rules' ``method``: iqr (given or own fences), zscore or mad."""
+    method, k = outliers.get("method", "iqr"), float(outliers.get("k", 1.5))
+    if method == "iqr":
+        return apply_fences(df, iqr_fences(df, value, group_by, k) if fences is None else fences, value, group_by)
+    if method == "zscore":
+        return flag_outliers_zscore(df, value, group_by, k)
+    if method == "mad":
+        return flag_outliers_mad(df, value, group_by, k)
+    raise ValueError(f"unknown outlier method {method!r}")
+
+
 def treat_outliers(df: DataFrame, value: str = "weekly_sales", group_by: str | None = "store",
                    k: float = 1.5, treat: str = "flag") -> DataFrame:
     """D4 treatments: flag | winsorize (clip to the fences) | remove (drop flagged)."""

@@ -29,11 +29,14 @@ def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
     Cleaning runs on the whole input (the imputation median is global) and
     its lineage is cut once; filters then apply to the cleaned rows.  Only
     the requested ``outputs`` are built (all by default); each is lazy apart
-    from the small tables the skew-safe helpers materialise.  Missing
-    required columns raise ``MissingColumnsError``; an empty input gives
-    empty outputs.
+    from the small tables the skew-safe helpers materialise.  Without a
+    required column, or without rows, the outputs are empty.  The rules'
+    outlier ``method`` flags rows; ``treat`` applies to ``flagged_rows``:
+    flag keeps them, remove drops flagged ones, winsorize clips to the fences.
     """
     want = set(outputs or OUTPUTS)
+    if C.missing_columns(raw, rules):
+        raw = C.empty_input(raw, rules)
     cleaned = FL.apply_filters(C.clean(raw, rules, materialize=True), filters)
     freq = ((rules.get("kpis", {}) or {}).get("time_freq") or "W")
     oc = rules.get("outliers", {}) or {}
@@ -42,14 +45,14 @@ def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
         group_by = None
     out: dict[str, DataFrame] = {}
     fences = None
-    if want & {"summary", "flagged_rows"}:
+    if want & {"summary", "flagged_rows"} and oc.get("method", "iqr") == "iqr":
         fences = O.iqr_fences(cleaned, "weekly_sales", group_by, k)
     derived = D.add_derived_fields(cleaned, ties=ties) if want & {"stores", "flagged_rows"} else None
     if "summary" in want:
         n_derived = len(cleaned.columns) + 4
         counts = cleaned.agg(F.count(F.lit(1)).cast("long").alias("record_count")).select(
             "record_count", F.col("record_count").alias("rows"), F.lit(n_derived + 1).cast("long").alias("cols"))
-        flagged = O.apply_fences(cleaned, fences, "weekly_sales", group_by)
+        flagged = O.flag_by_rules(cleaned, oc, "weekly_sales", group_by, fences)
         out["summary"] = one_row(counts, wk.weekly_trend(cleaned, freq=freq),
                                  flagged.agg(F.count_if("is_outlier").cast("long").alias("outliers")))
     if "kpis_weekly" in want:
@@ -65,7 +68,12 @@ def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
         out["departments"] = dept
         out["departments_meta"] = E.pareto_meta(dept)
     if "flagged_rows" in want:
-        out["flagged_rows"] = O.apply_fences(derived, fences, "weekly_sales", group_by)
+        treat = oc.get("treat", "flag")
+        if treat == "winsorize":
+            out["flagged_rows"] = O.treat_outliers(derived, "weekly_sales", group_by, k, treat)
+        else:
+            rows = O.flag_by_rules(derived, oc, "weekly_sales", group_by, fences)
+            out["flagged_rows"] = rows.where("NOT is_outlier").drop("is_outlier") if treat == "remove" else rows
     return {k2: v for k2, v in out.items() if k2 in want}
 
 
