@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .blocks import blocks, need, small_batches
+from .blocks import BROADCAST_IDS, blocks, need, only_ids, small_batches
 from .components import components
 from .words import PLACE_VALUES, mix, windows, words_of
 
@@ -53,8 +53,8 @@ PLACES = 256
 SMALL_BUCKET, REFINE = 1024, 2
 #: Signatures that a map task packs at once, that a shard's task sorts at once, and that a shard aims to hold.
 PACK, SORT, SHARD = 600_000, 3_000_000, 1_500_000
-#: Ids that may be broadcast, by count.
-BROADCAST_IDS = 2_000_000
+#: Rounds in which a bucket's other components are tested against a member of its largest one.
+OFFERS = 2
 BLOCK = 1 << 20
 
 
@@ -286,13 +286,6 @@ def shared_signatures(docs: DataFrame, expected: int, seed: int = 0) -> DataFram
 
 # ---- Spark: tests of pairs ----
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids`` (distinct); ids are broadcast only if they are few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    named = ids.select(F.col(ids.columns[0]).alias("_id"))
-    return docs.join(F.broadcast(named) if few else named, F.col("doc_id") == F.col("_id"), "left_semi")
-
-
 def may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) that sizes and count vectors allow to link."""
     side = lambda x: info.select(F.col("doc_id").alias(f"_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}"))
@@ -332,7 +325,7 @@ def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return pa.array(out, pa.bool_())
 
     small_batches(docs.sparkSession)
-    sets = cut_lineage(_only(docs, ids).select("doc_id", as_set("text").alias("s")), "sets")
+    sets = cut_lineage(only_ids(docs, "doc_id", ids).select("doc_id", as_set("text").alias("s")), "sets")
     side = lambda k: sets.select(F.col("doc_id").alias(f"_{k}"), F.col("s").alias(f"s_{k}"))
     both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
     return cut_lineage(both.where(similar("s_a", "s_b")).select("a", "b").distinct(), "links")
@@ -381,13 +374,20 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     edges = links(pairs.groupBy("b").agg(F.max_by("a", F.struct("support", -F.col("a"))).alias("a")), own)
     labels = components(edges)
     edges, labels = _joined(edges, links(_across(pairs, labels), own), labels)
-    # buckets with several components among the members other than the pivot
+    # buckets whose members lie in several components: each bucket offers one member of its largest component to all others,
+    # another one in each round; a document lies in many buckets, so it meets many members of that component
     level = members.select("bucket", "doc").distinct()
+    for k in range(OFFERS):
+        level = _open(level, labels)
+        if level.isEmpty():
+            break
+        each = level.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("doc", F.xxhash64("doc", "bucket", F.lit(k))).alias("offer"))
+        top = each.groupBy(F.col("bucket").alias("_bucket")).agg(F.max_by(F.struct("component", "offer"), F.struct("n", "component")).alias("top"))
+        offers = level.join(top, F.col("bucket") == F.col("_bucket")).where(F.col("component") != F.col("top.component"))
+        tests = _as_pairs(offers.select("doc", F.col("top.offer").alias("offer")), "doc", "offer").distinct()
+        edges, labels = _joined(edges, links(may_link(tests, small), own), labels)
     for k in range(REFINE + 1):
-        level = _labelled(level, "doc", labels, "component")
-        open_ = level.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x < y")
-        open_ = open_.select(F.col("bucket").alias("_bucket"), "size")
-        level = cut_lineage(level.join(open_, F.col("bucket") == F.col("_bucket")).select("bucket", "doc", "component", "size"), "open")
+        level = _open(level, labels)
         if level.isEmpty():
             break
         now = level if k == REFINE else level.where(F.col("size") <= SMALL_BUCKET)
@@ -400,7 +400,7 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             break
         # members of a large bucket that are similar share a signature of every other dealing, too
         members_of = cut_lineage(large.select("doc").distinct(), "members")
-        again = shared_signatures(_only(own, members_of), expected, seed=k + 1)
+        again = shared_signatures(only_ids(own, "doc_id", members_of), expected, seed=k + 1)
         again = again.select("bucket", F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
         level = large.select(F.col("bucket").alias("_old"), F.col("doc").alias("_doc")).join(
             again.select(F.col("bucket").alias("_new"), F.col("doc")), F.col("_doc") == F.col("doc"))
@@ -409,6 +409,14 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return _labelled(_labelled(info.select("doc_id", "n_shingles"), "doc_id", first_of, "_first"), "_first", labels, "component_id").drop("_first")
 
 
+def _open(level: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bucket, doc, component, size) of the buckets of (bucket, doc) that hold several components."""
+    named = _labelled(level.select("bucket", "doc"), "doc", labels, "component")
+    several = (named.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"))
+               .where("x < y").select("_bucket", "size"))
+    return cut_lineage(named.join(several, F.col("bucket") == F.col("_bucket")).select("bucket", "doc", "component", "size"), "open")
+
+
 def _joined(edges: DataFrame, more: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links and their components, after more links were found."""
     if more.isEmpty():
