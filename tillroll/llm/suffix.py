@@ -117,14 +117,21 @@ def _joined(parts: list[dict[str, np.ndarray]], kind) -> dict[str, np.ndarray]:
     return {c: np.concatenate([p[c] for p in parts]) for c, _ in kind}
 
 
-def _by_shard(columns: dict[str, np.ndarray], kind, shards: int) -> pa.RecordBatch:
-    shard = (columns["key"] >> np.uint64(20)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    edge = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-    columns = {c: v[order] for c, v in columns.items()}
-    some = [k for k in range(shards) if edge[k + 1] > edge[k]]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(
-        [packed({c: v[edge[k]:edge[k + 1]] for c, v in columns.items()}, kind) for k in some], pa.binary())], ["shard", "data"])
+def _sharded(batch: dict[str, np.ndarray], kind, shards: int) -> pa.RecordBatch:
+    """A batch's suffix array by shard.  Repeats inside the batch are known already: they travel as bare spans, in ``gone``,
+    so a passage that everyone has is one entry of each batch."""
+    level, repeats = Family(kind).sort(batch)
+    spans = tuple(x for x in kind if x[0] not in ("key", "full"))
+    cut = []
+    for columns, fields in ((level, kind), (repeats, spans)):
+        shard = (columns["key"] >> np.uint64(20)) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        edge = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        columns = {c: v[order] for c, v in columns.items()}
+        cut.append([packed({c: v[edge[k]:edge[k + 1]] for c, v in columns.items()}, fields) for k in range(shards)])
+    some = [k for k in range(shards) if cut[0][k] or cut[1][k]]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array([x[k] for k in some], pa.binary()) for x in cut]],
+                                      ["shard", "data", "gone"])
 
 
 # ---- the index family ----
@@ -137,7 +144,7 @@ class Family:
         self.same = [c for c, _ in kind if c in ("key", "full")]
         self.levels: list[dict[str, np.ndarray]] = []
 
-    def _sorted(self, columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    def sort(self, columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         """(distinct entries in order, repeats)"""
         order = np.lexsort((columns["lo"], columns["doc"], *[columns[c] for c in reversed(self.same)]))
         columns = {c: v[order] for c, v in columns.items()}
@@ -147,10 +154,10 @@ class Family:
 
     def add(self, batch: dict[str, np.ndarray]) -> list[dict[str, np.ndarray]]:
         """Take in a batch; its repeats and those found while levels merge."""
-        level, repeats = self._sorted(batch)
+        level, repeats = self.sort(batch)
         out = [repeats]
         while self.levels and len(self.levels[-1]["key"]) < 2 * len(level["key"]):
-            level, repeats = self._sorted(_joined([self.levels.pop(), level], self.kind))
+            level, repeats = self.sort(_joined([self.levels.pop(), level], self.kind))
             out.append(repeats)
         self.levels.append(level)
         return out
@@ -159,7 +166,7 @@ class Family:
         """One level of all, and the repeats found on the way."""
         out = []
         while len(self.levels) > 1:
-            level, repeats = self._sorted(_joined([self.levels.pop(), self.levels.pop()], self.kind))
+            level, repeats = self.sort(_joined([self.levels.pop(), self.levels.pop()], self.kind))
             self.levels.append(level)
             out.append(repeats)
         return (self.levels[0] if self.levels else None), out
@@ -177,7 +184,11 @@ def _index(packed_rows: DataFrame, shards: int, kind) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held, count = Family(kind), [], 0
+        spans = tuple(x for x in kind if x[0] not in ("key", "full"))
         for batch in batches:
+            gone = [unpacked(x.as_py(), spans) for x in batch.column(2)]
+            if gone:
+                yield _span_rows(gone)
             for data in batch.column(1):
                 held.append(unpacked(data.as_py(), kind))
                 count += len(held[-1]["key"])
@@ -208,12 +219,12 @@ def _entries(docs: DataFrame, shards: int) -> DataFrame:
                 held.append(found | {"doc": ids[a:b][found["row"]]})
                 count += len(found["row"])
                 if count >= PACK:
-                    yield _by_shard(_joined(held, ENTRY), ENTRY, shards)
+                    yield _sharded(_joined(held, ENTRY), ENTRY, shards)
                     held, count = [], 0
         if count:
-            yield _by_shard(_joined(held, ENTRY), ENTRY, shards)
+            yield _sharded(_joined(held, ENTRY), ENTRY, shards)
 
-    return docs.select("doc", "text").mapInArrow(run, "shard int, data binary")
+    return docs.select("doc", "text").mapInArrow(run, "shard int, data binary, gone binary")
 
 
 def _strings(docs: DataFrame, shards: int) -> DataFrame:
@@ -236,12 +247,12 @@ def _strings(docs: DataFrame, shards: int) -> DataFrame:
                 held.append({"key": h, "doc": ids[a:b][row], "lo": place})
                 count += len(h)
                 if count >= PACK:
-                    yield _by_shard(_joined(held, STRING), STRING, shards)
+                    yield _sharded(_joined(held, STRING), STRING, shards)
                     held, count = [], 0
         if count:
-            yield _by_shard(_joined(held, STRING), STRING, shards)
+            yield _sharded(_joined(held, STRING), STRING, shards)
 
-    return docs.select("doc", "text", "los", "his").mapInArrow(run, "shard int, data binary")
+    return docs.select("doc", "text", "los", "his").mapInArrow(run, "shard int, data binary, gone binary")
 
 
 # ---- whole tables ----
