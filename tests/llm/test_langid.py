@@ -50,6 +50,21 @@ def test_without_declarations_and_empty_and_clashing_columns(spark):
     assert g.identify(df.limit(0)).count() == 0
 
 
+def test_every_declared_language_is_learnt(spark):
+    import random
+
+    r = random.Random(11)
+    words = {f"l{k:02}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 8))) for _ in range(30)] for k in range(41)}
+    say = lambda lang: " ".join(r.choice(words[lang]) for _ in range(25))
+    # 40 languages with 6 rows each beside one with 9,000: each is below a thousandth of the rows
+    rows = [(i, say("l00"), "l00", "a") for i in range(9000)]
+    rows += [(10000 + 10 * k + j, say(f"l{k:02}"), f"l{k:02}", f"h{k}") for k in range(1, 41) for j in range(6)]
+    out = g.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(8))
+    rare = out.where("doc_id >= 10000").collect()
+    assert len(rare) == 240 and {x.language for x in rare} == set(words) - {"l00"}
+    assert sum(x.language == x.lang and x.accepted for x in rare) / len(rare) > 0.95
+
+
 def test_trigrams_do_not_cross_rows():
     a = g.trigrams(pa.array(["abc", "de", None, "abc!"], pa.string()))
     assert list(a[1]).count(0) == 2 and list(a[1]).count(1) == 1 and list(a[1]).count(3) == 3 or list(a[1]).count(0) >= 1

@@ -8,7 +8,8 @@ declared so, over all rows.  Address suffix: the share of each suffix in each
 language, over all rows.  Host prior: language counts of a host, smoothed by
 those of its domain, and these by all rows' counts; a row is left out of the
 counts that judge it.  The counts are grouped aggregations over all rows; the
-trigram shares come from a bounded sample of rows with a declared language.
+languages told apart are all those that LEAST_ROWS rows of the table declare,
+and each one's trigram shares come from a bounded sample of its own rows.
 
 A row is accepted when the posterior of its best language reaches
 LEAST_PROBABILITY and its text looks more like that language than like random
@@ -30,16 +31,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .blocks import blocks, hash_share, need, small_batches
+from .blocks import blocks, byte_lengths, need, small_batches
 from .words import PLACE_VALUES, mix
 
-#: Rows with a declared language that the trigram shares are taken from, and their bytes at most.
+#: Rows that the trigram shares are taken from and their bytes, divided among the languages, but at least so many for each.
 SAMPLE_ROWS, SAMPLE_BYTES = 8000, 64 << 20
+LANGUAGE_ROWS, LANGUAGE_BYTES = 200, 1 << 20
 BUCKETS = 1 << 15
-#: Languages told apart at most: those declared most often in the sample, each with a share of LEAST_SHARE
-#: and LEAST_ROWS rows.
-MOST_LANGUAGES, LEAST_SHARE = 32, 0.002
+#: Rows of the whole table that must declare a language for it to be learnt.
 LEAST_ROWS = 5
+#: Languages whose counts a task holds at once.
+HELD = 64
 #: Trigrams' worth of all languages' shares in each language's.
 SHARED = 2000.0
 EVIDENCE = 60
@@ -92,47 +94,67 @@ class TextModel:
 
 
 def fit_text(df: DataFrame, text: str, declared: str, rows: int = SAMPLE_ROWS) -> TextModel | None:
-    """Trigram shares by declared language from at most about ``rows`` rows; null if none has a declaration."""
+    """Trigram shares of every language that LEAST_ROWS rows declare; null if there is none.
+
+    ``rows`` are divided among the languages, but a language with fewer gives
+    all its rows, and none is asked for less than LANGUAGE_ROWS.
+    """
     spark = df.sparkSession
     small_batches(spark)
     with_lang = df.select(F.col(text).alias("t"), F.lower(F.trim(F.col(declared))).alias("l")).where("l <> '' AND t <> ''")
-    some = hash_share(with_lang, F.xxhash64("t", "l"), rows).repartition(16)
-    most = SAMPLE_BYTES // 16
+    sizes = {r.l: r.n for r in with_lang.groupBy("l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS).collect()}
+    if not sizes:
+        return None
+    each = max(LANGUAGE_ROWS, rows // len(sizes))
+    below = [(x, 1 << 31 if n <= each else int(each / n * (1 << 31))) for x, n in sorted(sizes.items())]
+    shares = spark.createDataFrame(below, "l string, below long")
+    some = with_lang.join(F.broadcast(shares), "l").where(F.shiftrightunsigned(F.xxhash64("t", "l"), 33) < F.col("below"))
+    some = some.select("t", "l").repartition(16)
+    most = max(LANGUAGE_BYTES, SAMPLE_BYTES // len(sizes)) // 16
+
+    def packed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["l", "c"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        seen = 0
+        seen: dict[str, int] = {}
         for batch in batches:
-            texts, langs = batch.column(0), np.array(batch.column(1).to_pylist(), dtype=object)
+            langs = batch.column(1).to_pylist()
+            # a language with enough text in this task takes no more; the others go on
+            kept = []
+            for i, (lang, size) in enumerate(zip(langs, byte_lengths(batch.column(0)), strict=True)):
+                if seen.get(lang, 0) < most:
+                    seen[lang] = seen.get(lang, 0) + int(size)
+                    kept.append(i)
+            texts, mine = batch.column(0).take(pa.array(kept, pa.int64())), np.array([langs[i] for i in kept], dtype=object)
             for a, b in blocks(texts, BLOCK):
-                if seen > most:
-                    break
-                seen += sum(len(x) for x in texts.slice(a, b - a).to_pylist())
                 at, row = trigrams(texts.slice(a, b - a))
-                for lang in set(langs[a:b]):
-                    mine = np.isin(row, np.flatnonzero(langs[a:b] == lang))
-                    if len(sums) < 10 * MOST_LANGUAGES or lang in sums:
-                        sums.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))[:BUCKETS] += np.bincount(at[mine], minlength=BUCKETS)
-                        sums[lang][BUCKETS] += (langs[a:b] == lang).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["l", "c"])
-
-    total: dict[str, np.ndarray] = {}
-    for r in some.mapInArrow(count, "l string, c binary").collect():
-        total[r.l] = total.get(r.l, 0) + np.frombuffer(r.c, dtype=np.int64)
-    whole = sum(int(c[BUCKETS]) for c in total.values())
-    langs = sorted(sorted(total, key=lambda x: (-total[x][BUCKETS], x))[:MOST_LANGUAGES])
-    langs = [x for x in langs if total[x][BUCKETS] >= max(LEAST_ROWS, LEAST_SHARE * whole)]
-    return TextModel(langs, np.stack([total[x][:BUCKETS] for x in langs])) if langs else None
+                for lang in set(mine[a:b]):
+                    own = (mine[a:b] == lang)[row]
+                    if lang not in sums and len(sums) >= HELD:
+                        yield packed(sums)
+                        sums = {}
+                    sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int32))
+                    sums[lang] += np.bincount(at[own], minlength=BUCKETS).astype(np.int32)
+        yield packed(sums)
+
+    def add(parts: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(c, dtype=np.int32) for c in parts.column("c").to_pylist())
+        return pa.table({"l": parts.column("l").slice(0, 1), "c": pa.array([whole.tobytes()], pa.binary())})
+
+    found = some.mapInArrow(count, "l string, c binary").groupBy("l").applyInArrow(add, "l string, c binary").collect()
+    found.sort(key=lambda r: r.l)
+    return TextModel([r.l for r in found], np.stack([np.frombuffer(r.c, dtype=np.int32) for r in found])) if found else None
 
 
 def _doubles(xs) -> Column:
     return F.array(*[F.lit(float(x)) for x in xs])
 
 
-def _counts_by(df: DataFrame, key: str, n: int, prefix: str) -> DataFrame:
-    """One row per key with the number of rows of each guessed language."""
-    return df.groupBy(F.col(key).alias(f"{prefix}_key")).agg(
-        F.array(*[F.sum(F.when(F.col("guess") == k, F.col("n")).otherwise(0)).cast("double") for k in range(n)]).alias(f"{prefix}_n"))
+def _counts_by(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """One row per key with the number of rows of each guessed language it has."""
+    each = df.groupBy(F.col(key).alias(f"{prefix}_key"), "guess").agg(F.sum("n").cast("double").alias("n"))
+    return each.groupBy(f"{prefix}_key").agg(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias(f"{prefix}_n"))
 
 
 def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: str | None = "source", domain: str | None = None,
@@ -182,11 +204,15 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
         everywhere[r["guess"]] += r["n"]
     wide = _doubles(everywhere / everywhere.sum())
 
+    def spread(counts: Column) -> Column:
+        return F.when(counts.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at(counts, k), F.lit(0.0))))
+
     joined = rows
     for column, prefix in (("_host", "host"), ("_domain", "domain"), ("_suffix", "suffix")):
         if (host, domain, suffix)[("_host", "_domain", "_suffix").index(column)]:
-            table = _counts_by(found.where(F.col(column).isNotNull()), column, n, prefix)
+            table = _counts_by(found.where(F.col(column).isNotNull()), column, prefix)
             joined = joined.join(table, F.col(column) == F.col(f"{prefix}_key"), "left")
+            joined = joined.withColumn(f"{prefix}_n", spread(F.col(f"{prefix}_n")))
         else:
             joined = joined.withColumn(f"{prefix}_n", F.lit(None).cast("array<double>"))
 
@@ -198,8 +224,9 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
     prior = smoothed("host_n", smoothed("domain_n", wide))
     total_of = _doubles(everywhere)
     by_suffix = F.coalesce(F.zip_with(F.col("suffix_n"), total_of, lambda c, t: F.log((c + 0.5) / (t + 1.0))), _doubles(np.zeros(n)))
-    by_said = F.when(F.col("_said").isNull(), _doubles(np.zeros(n))).otherwise(
-        F.element_at(F.array(*[_doubles(x) for x in np.log(share)]), F.coalesce(F.col("_said"), F.lit(0)) + 1))
+    table = df.sparkSession.createDataFrame([(k, x.tolist()) for k, x in enumerate(np.log(share))], "_said_key int, _said_log array<double>")
+    joined = joined.join(F.broadcast(table), F.col("_said") == F.col("_said_key"), "left")
+    by_said = F.coalesce("_said_log", _doubles(np.zeros(n)))
     weight = F.least(F.col("_text.n"), F.lit(EVIDENCE)).cast("double")
     by_text = F.transform("_text.mean", lambda m: F.when(F.col("_text.n") > 0, m * weight).otherwise(0.0))
     joined = joined.select("_row", "_text", prior.alias("_p"), by_suffix.alias("_s"), by_said.alias("_d"), by_text.alias("_t"))
