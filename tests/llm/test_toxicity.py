@@ -71,3 +71,34 @@ def test_flag_uses_the_languages_threshold(spark):
     model.thresholds = {"de": 0.2}
     df = spark.createDataFrame([("de", 0.3), ("en", 0.3), (None, 0.6)], "lang string, score double")
     assert [r[0] for r in df.select(t.flagged(model, F.col("lang"), F.col("score"))).collect()] == [True, False, True]
+
+
+def toy(spark, n, long_ids=()):
+    """(documents, labels): every third is toxic by its words; a rare language is one in a hundred."""
+    say = lambda i: "you idiot moron fool number " if i % 3 == 0 else "nice garden house tree number "
+    rows = [(i, say(i) + str(i % 97) + (" x" * 200_000 if i in long_ids else ""), "xx" if i % 100 < 1 else "en") for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    return docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int")
+
+
+def test_thresholds_come_from_all_labels_not_trained_on(spark, monkeypatch):
+    monkeypatch.setattr(t, "STEPS", 50)
+    docs, labels = toy(spark, 9000)
+    # 90 rows of the rare language, about 72 outside the held-out fold; 1,000 rows of sample hold about 11
+    model = t.fit(docs, labels, rows=1000)
+    assert set(model.thresholds) == {"en", "xx"}
+
+
+def test_a_long_text_does_not_end_the_sample(spark, monkeypatch):
+    docs, labels = toy(spark, 300)
+    first = t.sample(docs, labels)[1].k
+    monkeypatch.setattr(t, "SAMPLE_BYTES", 100_000)
+    docs, labels = toy(spark, 300, {first})
+    found = [r.k for r in t.sample(docs, labels)]
+    assert len(found) > 200 and first not in found
+
+
+def test_cut_of_bins_equals_cut_of_scores():
+    p, y = np.array([0.1, 0.2, 0.2, 0.7, 0.8, 0.9]), np.array([0, 0, 1, 0, 1, 1])
+    low, high, bad, good = np.array([0.1, 0.7, 0.8]), np.array([0.2, 0.7, 0.9]), np.array([1, 0, 2]), np.array([2, 1, 0])
+    assert t.best_cut(low, high, bad, good) == t.best_threshold(p, y) == pytest.approx(0.75)

@@ -6,8 +6,9 @@ and a word whose buckets no frequent training word holds is the zero vector.
 Filters of several widths slide over the whole text, each keeps its maximum,
 and a logistic layer weighs the rectified maxima.  Training is gradient
 descent on a bounded sample of labelled rows; the first embedding dimension
-starts from each word's log-odds.  A threshold for each language is chosen on
-labelled rows kept out of training; it is no input of the score.
+starts from each word's log-odds.  The bias and a threshold for each language
+are chosen on all labelled rows that were not trained on, from counts by score
+bin; a threshold is no input of the score.
 
 Labels are read only where crc32(id as text) mod 5 is not 0.
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .blocks import blocks, hash_share, need, small_batches
 from .words import mix, words_of
 
@@ -41,6 +43,8 @@ LEAST_TEXTS = 3
 #: Texts' worth of the overall share that a word's log-odds start from.
 PRIOR = 4.0
 STEPS, BATCH, RATE, DECAY = 2500, 32, 0.05, 1e-4
+#: Score bins of calibration, per unit of log-odds.
+BINS = 32
 #: Labelled calibration rows that a language needs for a threshold of its own.
 LEAST_CALIBRATION = 50
 BLOCK = 1 << 19
@@ -169,15 +173,19 @@ class Classifier:
                 table[0] = 0
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, lang: list[str | None]) -> Classifier:
-    """Fit on hashed documents; every fifth (in hash order, as given) calibrates the thresholds."""
+def kept_out(n: int) -> np.ndarray:
+    """The rows of a sample of ``n`` (in hash order) that are not trained on."""
+    return np.arange(n) % 5 == 4
+
+
+def train(docs: list[np.ndarray], y: np.ndarray) -> Classifier:
+    """Fit on hashed documents, but for those kept out."""
     base = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.5
     if len(y) < 20 or y.min() == y.max():
         none = Classifier(np.empty(0, np.uint64), np.empty(0), 0.0)
         none.constant = float(min(base, 0.499) if len(y) == 0 else base)
         return none
-    held = np.arange(len(y)) % 5 == 4
-    fit = np.flatnonzero(~held)
+    fit = np.flatnonzero(~kept_out(len(y)))
     distinct = [np.unique(docs[i]) for i in fit]
     labels = np.repeat(y[fit], [len(d) for d in distinct])
     words, group = np.unique(np.concatenate(distinct), return_inverse=True)
@@ -199,42 +207,69 @@ def train(docs: list[np.ndarray], y: np.ndarray, lang: list[str | None]) -> Clas
         batch = np.concatenate([some[:half], rng.choice(toxic, min(half, max(4, len(toxic))))])
         some = some[half:]
         model.step([docs[i] for i in batch], y[batch].astype(np.float32), RATE / (1 + 4 * k / STEPS))
-    calibrate(model, [docs[i] for i in np.flatnonzero(held)], y[held], [lang[i] for i in np.flatnonzero(held)])
     return model
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The middle of the widest gap of scores among those with the fewest errors."""
-    order = np.argsort(p)
-    p, y = p[order], y[order]
-    errors = np.concatenate(([0], np.cumsum(y))) + np.concatenate((np.cumsum((1 - y)[::-1])[::-1], [0]))
-    edges = np.concatenate(([0.0], p, [1.0]))
-    gaps = np.where(errors == errors.min(), np.diff(edges), -1)
+    values, at = np.unique(p, return_inverse=True)
+    return best_cut(values, values, np.bincount(at, weights=y), np.bincount(at, weights=1 - y))
+
+
+def best_cut(low: np.ndarray, high: np.ndarray, bad: np.ndarray, good: np.ndarray) -> float:
+    """``best_threshold`` from ascending bins: least and greatest score, toxic and clean rows of each."""
+    errors = np.concatenate(([0], np.cumsum(bad))) + np.concatenate((np.cumsum(good[::-1])[::-1], [0]))
+    ends, starts = np.concatenate(([0.0], high)), np.concatenate((low, [1.0]))
+    gaps = np.where(errors == errors.min(), starts - ends, -1)
     k = int(np.argmax(gaps))
-    return float((edges[k] + edges[k + 1]) / 2)
+    return float((ends[k] + starts[k]) / 2)
+
+
+def calibrate(model: Classifier, docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> None:
+    """Move the bias so that 0.5 separates best over all languages, then set each language's threshold.
+
+    ``labelled`` has the id ``k`` and the label ``y`` of all rows that count;
+    scores are counted by language and bin, so the driver gets bins only.
+    """
+    logit = F.least(F.greatest(F.log(F.col("p") / (1 - F.col("p"))), F.lit(-30.0)), F.lit(30.0))
+    scored = score(docs.select(F.col(key).alias("d"), F.col(lang).alias("l"), F.col(text).alias("t")), model, "t", "p").select("d", "l", logit.alias("z"))
+    bad, good = F.sum("bad").alias("bad"), F.sum("good").alias("good")
+    ends = F.min("low").alias("low"), F.max("high").alias("high")
+    rows = scored.join(labelled, F.col("d") == F.col("k")).select("l", "z", F.floor(F.col("z") * BINS).alias("bin"), (F.col("y") > 0).cast("long").alias("bad"))
+    bins = cut_lineage(rows.groupBy("l", "bin").agg(bad, F.sum(1 - F.col("bad")).alias("good"), F.min("z").alias("low"), F.max("z").alias("high")), "score-bins")
 
+    def cut(found: list, move: float) -> float:
+        of = lambda c: np.array([getattr(r, c) for r in found], dtype=float)
+        p = lambda z: 1 / (1 + np.exp(move - z))
+        return best_cut(p(of("low")), p(of("high")), of("bad"), of("good"))
 
-def calibrate(model: Classifier, docs: list[np.ndarray], y: np.ndarray, lang: list[str | None]) -> None:
-    """Move the bias so that 0.5 separates best over all languages, then set each language's threshold."""
-    if not len(y) or y.min() == y.max():
+    every = bins.groupBy("bin").agg(bad, good, *ends).orderBy("bin").collect()
+    if not sum(r.bad for r in every) or not sum(r.good for r in every):
         return
-    h, first = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
-    z = model.logits(h, first).astype(np.float64)
-    at = best_threshold(1 / (1 + np.exp(-z)), y)
-    model.bias -= np.float32(np.log(at / (1 - at))) if 0 < at < 1 else 0
-    p = 1 / (1 + np.exp(-model.logits(h, first).astype(np.float64)))
-    for name in sorted({x for x in lang if x is not None}):
-        own = np.array([x == name for x in lang])
-        if own.sum() >= LEAST_CALIBRATION and 0 < y[own].sum() < own.sum():
-            model.thresholds[name] = best_threshold(p[own], y[own])
+    at = cut(every, 0.0)
+    move = float(np.log(at / (1 - at))) if 0 < at < 1 else 0.0
+    model.bias -= np.float32(move)
+    known = bins.where("l IS NOT NULL").groupBy("l").agg(bad, good).where((F.col("bad") > 0) & (F.col("good") > 0) & (F.col("bad") + F.col("good") >= LEAST_CALIBRATION))
+    own: dict[str, list] = {}
+    for r in bins.join(known.select("l"), "l", "left_semi").orderBy("l", "bin").toLocalIterator():
+        own.setdefault(r.l, []).append(r)
+    model.thresholds = {name: cut(found, move) for name, found in own.items()}
+
+
+def usable_labels(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """Labels outside the held-out fold that are not null."""
+    return labels.where(F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
+
+
+def by_id(labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """One label ``y`` for each id ``k``."""
+    return labels.groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
            label: str = "toxic", rows: int = SAMPLE_ROWS) -> list:
     """Labelled documents as hashed words, at most ``rows`` of them and SAMPLE_BYTES of text, in hash order."""
-    allowed = labels.where(F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
-    usable = (hash_share(allowed, F.xxhash64(F.col(key)), 2 * rows)
-              .groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
+    usable = (by_id(hash_share(usable_labels(labels, key, label), F.xxhash64(F.col(key)), 2 * rows), key, label)
               .withColumn("o", F.xxhash64(F.col("k"))).orderBy("o", "k").limit(rows))
     found = docs.select(F.col(key).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(usable), F.col("d") == F.col("k"))
     small_batches(docs.sparkSession)
@@ -249,21 +284,30 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield pa.array(out, pa.binary())
 
     sized = found.select("o", "k", "y", "l", "t", F.octet_length(F.coalesce("t", F.lit(""))).alias("n"))
-    # the running size of at most `rows` rows decides where the sample ends
-    total, last = 0, None
+    # of at most `rows` rows those count, in hash order, whose text still fits; a row that does not is passed over
+    total, fits = 0, []
     for r in sized.groupBy("o", "k").agg(F.sum("n").alias("n")).orderBy("o", "k").collect():
-        if total + r.n > SAMPLE_BYTES and total:
-            break
-        total, last = total + r.n, (r.o, r.k)
-    if last is None:
+        if total + r.n <= SAMPLE_BYTES:
+            total += r.n
+            fits.append((r.k,))
+    if not fits:
         return []
-    inside = (F.col("o") < last[0]) | ((F.col("o") == last[0]) & (F.col("k") <= last[1]))
-    return sized.where(inside).select("o", "k", "y", "l", hashed("t").alias("h")).orderBy("o", "k", "h").collect()
-
-
-def fit(docs: DataFrame, labels: DataFrame, **names) -> Classifier:
-    rows = sample(docs, labels, **names)
-    return train([np.frombuffer(r.h, dtype=np.uint64) for r in rows], np.array([float(r.y) for r in rows]), [r.l for r in rows])
+    inside = docs.sparkSession.createDataFrame(fits, docs.select(F.col(key).alias("f")).schema)
+    return (sized.join(F.broadcast(inside), F.col("k") == F.col("f"), "left_semi")
+            .select("o", "k", "y", "l", hashed("t").alias("h")).orderBy("o", "k", "h").collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic",
+        rows: int = SAMPLE_ROWS) -> Classifier:
+    """Train on a bounded sample, calibrate on all other usable labels."""
+    found = sample(docs, labels, key, text, lang, label, rows)
+    model = train([np.frombuffer(r.h, dtype=np.uint64) for r in found], np.array([float(r.y) for r in found]))
+    if model.constant is None:
+        taught = sorted({r.k for r, out in zip(found, kept_out(len(found)), strict=True) if not out})
+        ids = docs.sparkSession.createDataFrame([(k,) for k in taught], docs.select(F.col(key).alias("f")).schema)
+        labelled = by_id(usable_labels(labels, key, label), key, label)
+        calibrate(model, docs, labelled.join(F.broadcast(ids), F.col("k") == F.col("f"), "left_anti"), text, lang, key)
+    return model
 
 
 def score(df: DataFrame, model: Classifier, text: str = "text", out: str = "score") -> DataFrame:
