@@ -86,3 +86,13 @@ def test_equal_texts_and_no_python(spark):
     out = {r.doc_id: r.fingerprint for r in w.compare_with_edits(df).collect()}
     assert out[1] == out[3] != out[2]
     assert not regex.search("Python|Arrow|Pandas", w.compare_with_edits(df)._jdf.queryExecution().toString())
+
+
+def test_short_texts_keep_several_hashes(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(8 + i % 13))) for i in range(300)]
+    out = w.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(x.fingerprint.count(":") for x in out) / len(out) >= 4
+    assert sum(x.near_edited for x in out) / len(out) > 0.5 and sum(x.near_next for x in out) == 0
+    # neither none nor all: the share that the edit left is seen
+    assert sum(0 < x.near_edited < 1 for x in out) / len(out) > 0.85

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .blocks import need
 
-GRAM = 5
-WINDOW = 16
+GRAM = 3
+WINDOW = 4
 TOKEN = r"[\p{L}\p{N}&&[\x00-\u024F]]{1,24}|\S"
 #: A chosen hash and its position share one long: HASH_BITS of hash above POSITION_BITS of counted-down position,
 #: so that the least long is the least hash and, of equal ones, the rightmost.
@@ -50,10 +50,11 @@ def gram_hashes(text: Column) -> Column:
     hash2 = lambda a, b: F.xxhash64(a, b)
 
     def rolled(v: Column) -> Column:
-        four = let(shifted(v, 1, hash2), lambda two: shifted(two, 2, hash2))
-        five = F.zip_with(four, F.slice(v, GRAM, F.greatest(F.size(v), F.lit(1))), hash2)
+        runs = v
+        for by in range(1, GRAM):
+            runs = F.zip_with(runs, F.slice(v, by + 1, F.greatest(F.size(v), F.lit(1))), hash2)
         return (F.when(F.size(v) == 0, F.array().cast(_LONGS)).when(F.size(v) < GRAM, F.array(F.xxhash64(v)))
-                .otherwise(F.slice(five, F.lit(1), F.size(v) - (GRAM - 1))))
+                .otherwise(F.slice(runs, F.lit(1), F.size(v) - (GRAM - 1))))
 
     return let(F.transform(tokens, lambda t: F.xxhash64(t)), rolled)
 
@@ -64,7 +65,7 @@ def chosen(hashes: Column) -> Column:
     least = lambda a, b: F.least(a, b)  # noqa: E731  a missing partner counts for nothing
 
     def windows(m: Column) -> Column:
-        # the least of 2, 4, 8, 16 successive values; WINDOW is a power of two
+        # the least of 2, 4, ... successive values; WINDOW is a power of two
         out, width = m, 1
         while width < WINDOW:
             out = let(out, _doubled(width, least))
