@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, mixing, pii, quality, suffix, toxicity, warc, winnow
+from . import bpe, centroids, jaccard, langid, mixing, negatives, pii, quality, suffix, toxicity, warc, winnow
 
 QUERIES = {
     "op4_suffix_dedup": suffix.op4_suffix_dedup,
@@ -16,9 +16,13 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_centroid_clustering": centroids.op12_centroid_clustering,
 }
 
 ORACLE: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_centroid_clustering": centroids.OP12_SQL,
 }
