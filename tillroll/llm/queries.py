@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, jaccard, langid, mixing, negatives, pii, quality, suffix, toxicity, warc, winnow
+from . import bpe, centroids, jaccard, langid, mixing, negatives, pii, pitman_yor, quality, suffix, toxicity, warc, winnow
 
 QUERIES = {
     "op4_suffix_dedup": suffix.op4_suffix_dedup,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_centroid_clustering": centroids.op12_centroid_clustering,
+    "op13_pitman_yor": pitman_yor.op13_pitman_yor,
 }
 
 ORACLE: dict[str, str] = {
