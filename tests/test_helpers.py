@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import week_end
-from tillroll.functions.ordering import lag_in_entity, running_totals
+from tillroll.functions.carry import carried
+from tillroll.functions.ordering import running_totals
 from tillroll.functions.quantiles import group_quantiles
 
 
@@ -71,24 +72,52 @@ def test_running_totals_matches_sorted_prefix(spark):
         assert (r["rank"], int(r["cum_value"])) == exp[r["e"]]
 
 
-@pytest.mark.parametrize("split", [None, "t_div_7"])
-def test_lag_in_entity_matches_row_lag(spark, split):
+def _walk(rows):
+    """(t -> previous v, store -> sum and count of v) by brute force; rows are (s, d, t, v)"""
+    prev, last, total = {}, {}, {}
+    for s, d, t, v in sorted(rows, key=lambda r: (str(r[0]), r[1] or dt.date.min, r[2])):
+        prev[t] = last.get(s) if s is not None else None
+        last[s] = v
+        n, x = total.get(s, (0, None))
+        total[s] = (n + 1, x if v is None else v + (x or 0))
+    return prev, total
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_carried_matches_row_lag_and_totals(spark, parts):
+    """One store holds half of all rows, one of its days a third; rows without a store, a date or a value."""
     rnd = random.Random(5)
     base = dt.date(2023, 1, 1)
     rows = []
-    for i in range(500):
-        rows.append((rnd.choice(["A", "A", "A", "B", "C", None]), base + dt.timedelta(days=rnd.randint(0, 20)),
-                     i, float(rnd.randint(1, 100))))
+    for i in range(900):
+        hot = i % 3 == 0
+        s = "A" if hot else rnd.choice(["A", "B", "C", "D", "D2", None])
+        d = base if hot else rnd.choice([None, *[base + dt.timedelta(days=k) for k in range(20)]])
+        rows.append((s, d, i, rnd.choice([None, float(rnd.randint(1, 100))])))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, d date, t long, v double").repartition(6)
+    got = carried(df, "s", ["d", "t"], prev={"prev": "v", "prev_t": "t"}, totals={"n": F.lit(1), "x": F.col("v")}, position="at",
+                  num_partitions=parts).collect()
+    prev, total = _walk(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["prev"] == prev[r["t"]]
+        assert (r["n"], r["x"]) == total[r["s"]]
+    line = [(r["s"] or "", r["d"] or dt.date.min, r["t"]) for r in sorted(got, key=lambda r: r["at"])]
+    assert line == sorted(line)
+
+
+def test_carried_spreads_a_hot_store_day_and_reads_the_input_once(spark):
+    rows = [("A", dt.date(2023, 1, 1), i, 1.0) for i in range(1200)] + [(f"s{i % 50}", dt.date(2023, 1, 2), i, 1.0) for i in range(1200, 2400)]
     df = spark.createDataFrame(rows, "s string, d date, t long, v double")
-    sp = F.floor(F.col("t") / 7) if split else None
-    got = {r["t"]: r["prev"] for r in lag_in_entity(df, "s", "d", ["t"], "v", "prev", sp).collect()}
-    by = {}
-    for s, d, t, v in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
-        if s is None:
-            assert got[t] is None
-            continue
-        assert got[t] == by.get(s)
-        by[s] = v
+    out = carried(df, "s", ["d", "t"], prev={"p": "v"}, totals={"x": F.col("v")}, position="at", num_partitions=16)
+    per = out.where("s = 'A'").groupBy(F.shiftright("at", 40).alias("pid")).count().collect()
+    assert len(per) >= 6 and max(r["count"] for r in per) < 400
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan  # what is left to do reads the written rows only
+    final = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in final
+    assert carried(df.limit(0), "s", ["d"], prev={"p": "v"}, totals={"x": F.col("v")}).count() == 0
 
 
 def test_week_end_rule(spark):

@@ -69,52 +69,6 @@ def running_totals(df: DataFrame, order: Sequence[Column], value: str | None,
     return out.drop("_val", "_pid", "_lrn", "_lcum", "_oc", "_os")
 
 
-def lag_in_entity(df: DataFrame, entity: str, day: str, ties: Sequence[str],
-                  value: str, out: str, split_by: Column | None = None) -> DataFrame:
-    """Previous row's ``value`` within ``entity`` in (day, ties...) order.
-
-    A plain ``lag over partitionBy(entity)`` sorts a whole store in one task.
-    Instead the order is cut into nested grains: (entity, day) and, with
-    ``split_by``, (entity, day, split) where ``split`` is an order-preserving
-    function of the tie keys (e.g. ``floor(l_orderkey / 1024)``).  Rows lag
-    inside the finest grain.  The first row of a grain takes the last value
-    of the previous grain, which is computed recursively on a table with one
-    row per grain, so each window partition is bounded by the number of
-    sub-grains rather than by rows.  The joins back are equi-joins that AQE
-    can split when a key is hot.
-    """
-    ties = list(ties) or default_ties(df, [entity, day], value)
-    levels: list[Column] = [F.col(day)]
-    if split_by is not None:
-        levels.append(split_by)
-    named = df.select("*", *[lv.alias(f"_lv{i}") for i, lv in enumerate(levels)])
-    res = _nested_lag(named, [entity], [f"_lv{i}" for i in range(len(levels))],
-                      [F.col(t) for t in ties], value, out)
-    res = res.withColumn(out, F.when(F.col(entity).isNull(), F.lit(None)).otherwise(F.col(out)))
-    return res.drop(*[f"_lv{i}" for i in range(len(levels))])
-
-
-def _nested_lag(df: DataFrame, keys: list[str], levels: list[str], ties: list[Column],
-                value: str, out: str) -> DataFrame:
-    """lag(value) over partitionBy(keys) orderBy(levels..., ties...)."""
-    if not levels:
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*ties)))
-    grain = keys + levels
-    d = len(levels)
-    pin, first, last_c, pgrp = f"_pin{d}", f"_first{d}", f"_last{d}", f"_pgrp{d}"
-    w_in = Window.partitionBy(*grain).orderBy(*ties)
-    rows = (df.withColumn(pin, F.lag(value).over(w_in))
-              .withColumn(first, F.row_number().over(w_in) == 1))
-    last = (df.where(F.col(keys[0]).isNotNull()).groupBy(*grain)
-            .agg(F.max_by(F.col(value), F.struct(*ties)).alias(last_c)))
-    # previous grain's last value: the same problem one level up, on a table
-    # with one row per grain (the innermost level becomes the tie order)
-    prev = _nested_lag(last, keys, levels[:-1], [F.col(levels[-1])], last_c, pgrp)
-    j = rows.join(prev.select(*grain, pgrp), grain, "left")
-    res = j.withColumn(out, F.when(F.col(first), F.col(pgrp)).otherwise(F.col(pin)))
-    return res.drop(pin, first, pgrp)
-
-
 def default_ties(df: DataFrame, exclude: Sequence[str], first: str | None = None) -> list[str]:
     """A deterministic row order when the caller names no tie columns (G14):
     the value first, then every other column by name.  Rows equal in all

@@ -22,14 +22,15 @@ from ..functions.scalar import with_row
 
 def row_tail_trend(df: DataFrame, entity: str, date: str = "date", sales: str = "weekly_sales",
                    ties: Sequence[str] = (), absent_as_null: bool = False,
-                   out: str = "trend_4wk") -> DataFrame:
-    """Sum of the entity's last 4 rows vs the 4 rows before, by (date, ties).
+                   out: str = "trend_4wk", position: str | None = None) -> DataFrame:
+    """Sum of the entity's last 4 rows vs the 4 rows before, by (date, ties)
+    or by a ``position`` column that grows along that order.
 
     Fewer than 8 rows or a prior sum <= 0 gives 0.0 (store, region) or NULL
     (department: ``absent_as_null``).
     """
-    ties = list(ties) or default_ties(df, [entity, date], sales)
-    order = [F.col(date).desc()] + [F.col(t).desc() for t in ties]
+    line = [position] if position else [date, *(list(ties) or default_ties(df, [entity, date], sales))]
+    order = [F.col(c).desc() for c in line]
     w = Window.partitionBy(entity).orderBy(*order)
     tail = (df.where(F.col(entity).isNotNull())
             .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 8))
@@ -46,11 +47,13 @@ def row_tail_trend(df: DataFrame, entity: str, date: str = "date", sales: str =
 
 def store_metrics(df: DataFrame, store: str = "store", date: str = "date",
                   sales: str = "weekly_sales", txns: str = "transactions",
-                  ties: Sequence[str] = ()) -> DataFrame:
+                  ties: Sequence[str] = (), position: str | None = None) -> DataFrame:
     """A2-A4 + W7: one row per store.
 
     ``df`` should carry the derived fields (avg_transaction_value,
-    store_efficiency_pct, wow_pct); missing ones come out NULL.
+    store_efficiency_pct, wow_pct); missing ones come out NULL.  With a
+    ``position`` column (``add_derived_fields``) the last change of a store is
+    a hash aggregate over whole numbers instead of one sorted by (date, ties).
     """
     cols = set(df.columns)
     aggs = [F.sum(sales).alias("_s"), F.sum(txns).alias("_t")]
@@ -62,11 +65,11 @@ def store_metrics(df: DataFrame, store: str = "store", date: str = "date",
         base_cols = [c for c in df.columns if c not in ("avg_transaction_value", "store_efficiency_pct",
                                                         "wow_pct", "revenue_contribution_pct")]
         t_cols = list(ties) or default_ties(df.select(*base_cols), [store, date], sales)
-        key = F.struct(F.col(date), *[F.col(t) for t in t_cols])
+        key = F.col(position) if position else F.struct(F.col(date), *[F.col(t) for t in t_cols])
         # A4: last non-null WoW in row order (NULL orderings are skipped by max_by).
         aggs.append(F.max_by("wow_pct", F.when(F.col("wow_pct").isNotNull(), key)).alias("week_over_week_pct"))
     base = df.where(F.col(store).isNotNull()).groupBy(store).agg(*aggs)
-    trend = row_tail_trend(df, store, date, sales, ties, out="trend")
+    trend = row_tail_trend(df, store, date, sales, ties, out="trend", position=position)
     out = base.join(trend, store, "left")
     sel = [F.col(store), money("_s").alias("total_sales"), F.col("_t").cast("double").alias("transactions"),
            r6("trend").alias("trend")]

@@ -14,13 +14,6 @@ from .catalog import WEEKLY_CTE, register, with_fact
 from ..functions.scalar import with_row
 
 TIES = ["l_orderkey", "l_linenumber"]
-
-
-def split_key():
-    """Order-preserving split of a (store, day) grain for the row lag: order-key
-    blocks.  Pass as ``split_by`` when single store-days can be hot; each extra
-    grain level costs one more row-sized shuffle, so it is off by default."""
-    return F.floor(F.col("l_orderkey") / 1024)
 ORDER_SQL = "date, l_orderkey, l_linenumber"
 ORDER_DESC_SQL = "date DESC, l_orderkey DESC, l_linenumber DESC"
 
@@ -77,7 +70,7 @@ SELECT date, store, l_orderkey, l_linenumber,
        CAST(weekly_sales AS DOUBLE) / nullif(CAST(day_total AS DOUBLE), 0) * 100 AS revenue_contribution_pct
 FROM der2""", DERIVED_CTE))
 def q_derived_fields(spark, sf):
-    d = D.add_derived_fields(fact_view(spark, sf), ties=TIES, split_by=None)
+    d = D.add_derived_fields(fact_view(spark, sf), ties=TIES)
     # Single-division values are bit-identical across engines: not rounded.
     return d.select("date", "store", *TIES, "avg_transaction_value",
                     F.round("store_efficiency_pct", 6).alias("store_efficiency_pct"),
@@ -94,8 +87,8 @@ FROM der2 JOIN tr USING (store) LEFT JOIN lw USING (store) GROUP BY store""",
           SELECT store, wow_pct, row_number() OVER (PARTITION BY store ORDER BY {ORDER_DESC_SQL}) AS rn
           FROM der WHERE wow_pct IS NOT NULL) WHERE rn = 1)"""))
 def q_store_metrics(spark, sf):
-    d = D.add_derived_fields(fact_view(spark, sf), ties=TIES, split_by=None)
-    return E.store_metrics(d, ties=TIES)
+    d = D.add_derived_fields(fact_view(spark, sf), ties=TIES, position="_at")
+    return E.store_metrics(d, ties=TIES, position="_at")
 
 
 @register("store_summary", with_fact("""
