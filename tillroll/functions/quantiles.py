@@ -39,17 +39,31 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     Nulls in ``value`` are skipped, so groups without values have no row.
     ``keys=[]`` gives a single global row, of nulls if there are no values.
     """
+    return quantiles_of(counted_values(df, keys, value), keys, probs, names, with_count)
+
+
+def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Steps 1 and 2: (keys, _x, _c, _at), each group's distinct values with their counts, written in order.
+
+    Whatever depends on a group's values alone can be taken from it instead of from the rows.
+    """
     keys = list(keys)
-    names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     for k in keys:
         base = base.where(F.col(k).isNotNull())
     counted = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     order = [*keys, "_x"]
-    placed = cut_lineage(counted.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-                         .withColumn("_at", F.monotonically_increasing_id()), "quantile-values")
+    return cut_lineage(counted.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+                       .withColumn("_at", F.monotonically_increasing_id()), "quantile-values")
+
+
+def quantiles_of(placed: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str] | None = None,
+                 with_count: str | None = "n") -> DataFrame:
+    """Steps 3 and 4, from the table of ``counted_values``."""
+    keys = list(keys)
+    order = [*keys, "_x"]
+    names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
     placed = placed.withColumn("_pid", F.shiftright("_at", 33))
 
     group = Window.partitionBy(*keys)

@@ -8,7 +8,7 @@ attached as a scalar subquery, never a driver round-trip.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from ..functions.quantiles import group_quantiles
 from ..functions.safe import clip
 from ..functions.text import strip_ws
 from ..session import cut_lineage
-from ..functions.scalar import one_row, with_row
+from ..functions.scalar import with_row
 
 # Date formats tried in order when a date column arrives as text.
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy", "yyyy/MM/dd"]
@@ -197,37 +197,75 @@ def clean(df: DataFrame, rules: dict, date: str = "date", materialize: bool = Fa
     return apply_cleaning(df, rules, materialize)
 
 
-def validation_report(raw: DataFrame, rules: dict, date: str = "date",
-                      sales: str = "weekly_sales", cleaned: DataFrame | None = None) -> DataFrame:
-    """C11 + Q3/Q4: one row of stage counts.
+#: The report's counts of rows by stage, in order.
+STAGE_COUNTS = ["initial_rows", "initial_cols", "invalid_dates", "cleaning_removed", "cleaning_removed_pct", "rows_removed", "final_rows",
+                "zero_sales", "negative_sales_raw", "negative_sales"]
 
-    initial rows/cols, invalid dates, rows removed by cleaning (and %), final
-    rows, zero and negative sales (negative measured before and after clip).
-    Three aggregates (raw, after dedupe, cleaned) that Spark runs as stages of
-    one job; no counts pass through the driver.  A frame without the required
-    columns is reported as one without rows, in the same schema.
+
+def clean_counted(raw: DataFrame, rules: dict, date: str = "date", sales: str = "weekly_sales") -> tuple[DataFrame, dict]:
+    """(cleaned rows, counts of the upload): the upload is read once.
+
+    Copies are counted where they are collapsed, and rows with invalid dates
+    stay until the result is written, so every count of the upload is a sum
+    over the rows that are written.  It is observed in the stage that writes:
+    its tasks count once however often they are tried, which does not hold for
+    metrics observed before an exchange.  The median of the null policy, if
+    there is one, and everything later read the written rows.
+
+    Counts: initial_rows, invalid_dates, negative_sales_raw, first_date, last_date.
     """
-    if missing_columns(raw, rules):
-        raw, cleaned = empty_input(raw, rules), None
-    typed = coerce_types(raw, rules)
-    if cleaned is None:
-        cleaned = clean(raw, rules, date)
-    a = typed.agg(F.count(F.lit(1)).alias("initial_rows"),
-                  F.count_if(F.col(date).isNull()).alias("invalid_dates"),
-                  F.count_if(F.col(sales) < 0).alias("negative_sales_raw"))
-    b = cleaned.agg(F.count(F.lit(1)).alias("final_rows"),
-                    F.count_if(F.col(sales) == 0).alias("zero_sales"),
-                    F.count_if(F.col(sales) < 0).alias("negative_sales"))
-    r = one_row(a, b)
-    kept = F.col("initial_rows") - F.col("invalid_dates")
+    require_columns(raw, rules)
+    c = rules.get("cleaning", {}) or {}
+    rows = coerce_types(raw, rules)
+    if c.get("trim_strings"):
+        rows = trim_strings(rows, rules)
+    if c.get("drop_duplicates"):
+        # Nulls compare equal (G18); partial aggregation collapses copies map-side
+        rows = rows.groupBy(*[F.col(f"`{x}`") for x in raw.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    else:
+        rows = rows.withColumn("_copies", F.lit(1).cast("bigint"))
+    seen = Observation()
+    share = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_copies"))), F.lit(0))
+    rows = rows.observe(seen, share(F.lit(True)).alias("initial_rows"), share(F.col(date).isNull()).alias("invalid_dates"),
+                        share(F.col(sales) < 0).alias("negative_sales_raw"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+    written = cut_lineage(rows, "counted").drop("_copies")
+    kept = apply_date_bounds(drop_invalid_dates(written, rules, date), rules, date)
+    return apply_null_policy(clip_ranges(kept, rules), rules), seen.get
+
+
+def with_stage_counts(r: DataFrame, counts: dict, columns: int) -> DataFrame:
+    """``r`` (final_rows, ...) with the upload's counts and what cleaning removed of it."""
+    n = {k: F.lit(counts[k]).cast("long") for k in ("initial_rows", "invalid_dates", "negative_sales_raw")}
+    kept = n["initial_rows"] - n["invalid_dates"]
     removed = kept - F.col("final_rows")
-    return r.select(
-        F.col("initial_rows").cast("long"), F.lit(len(raw.columns)).cast("long").alias("initial_cols"),
-        F.col("invalid_dates").cast("long"),
-        removed.cast("long").alias("cleaning_removed"),
-        F.round(F.try_divide(removed * 100.0, kept), 6).alias("cleaning_removed_pct"),
-        (F.col("initial_rows") - F.col("final_rows")).cast("long").alias("rows_removed"),
-        F.col("final_rows").cast("long"),
-        F.col("zero_sales").cast("long"),
-        F.col("negative_sales_raw").cast("long"),
-        F.col("negative_sales").cast("long"))
+    return r.withColumns({**n, "initial_cols": F.lit(columns).cast("long"), "cleaning_removed": removed.cast("long"),
+                          "cleaning_removed_pct": F.round(F.try_divide(removed * 100.0, kept), 6),
+                          "rows_removed": (n["initial_rows"] - F.col("final_rows")).cast("long")})
+
+
+def validation_report(raw: DataFrame, rules: dict, date: str = "date", sales: str = "weekly_sales") -> DataFrame:
+    """C11 + Q3/Q4: one row of stage counts, the date range, and what is wrong.
+
+    initial rows/cols, invalid dates, rows removed by cleaning (and %), final
+    rows, zero and negative sales (negative measured before and after clip),
+    first and last valid date, and ``error_text`` and ``warning_text``: what
+    was found, joined by "; ", empty if nothing was.  Two passes: the upload,
+    counted while it is cleaned and written, and the cleaned rows.  A frame
+    without the required columns is reported as one without rows, in the same
+    schema, with an error that names them.
+    """
+    missing = missing_columns(raw, rules)
+    if missing:
+        raw = empty_input(raw, rules)
+    cleaned, counts = clean_counted(raw, rules, date, sales)
+    b = cleaned.agg(F.count(F.lit(1)).alias("final_rows"), F.count_if(F.col(sales) == 0).alias("zero_sales"), F.count_if(F.col(sales) < 0).alias("negative_sales"))
+    r = with_stage_counts(b, counts, len(raw.columns) - len(missing))
+    r = r.withColumns({"first_date": F.lit(counts["first_date"]).cast("date"), "last_date": F.lit(counts["last_date"]).cast("date")})
+    note = lambda cond, n, text: F.when(cond, F.concat(n.cast("string"), F.lit(text)))
+    told = F.lit(f"missing columns: {', '.join(missing)}") if missing else F.lit(None).cast("string")
+    r = r.withColumns({
+        "error_text": F.concat_ws("; ", told, note(F.col("negative_sales") > 0, F.col("negative_sales"), " rows with negative sales")),
+        "warning_text": F.concat_ws("; ", note(F.col("invalid_dates") > 0, F.col("invalid_dates"), " rows without a valid date"),
+                                    note(F.col("cleaning_removed") > 0, F.col("cleaning_removed"), " rows removed by cleaning"),
+                                    note(F.col("zero_sales") > F.col("final_rows") * 0.1, F.col("zero_sales"), " rows with zero sales"))})
+    return r.select(*STAGE_COUNTS, "first_date", "last_date", "error_text", "warning_text")

@@ -77,8 +77,11 @@ def efficiency_metrics(df: DataFrame, store: str = "store", sales: str = "weekly
     """Total sales, mean row sales (reported as avg_transaction_value, as
     the contract names it), active stores, sales per store, capacity
     utilisation = transactions / (rows * 100) * 100."""
-    a = df.agg(F.sum(sales).alias("_tot"), F.count(sales).alias("_ns"), F.countDistinct(store).alias("_st"),
-               F.sum(txns).alias("_tx"), F.count(F.lit(1)).alias("_rows"))
+    # rows are summed by store first, so the number of stores is a plain count
+    per = df.groupBy(F.col(store).alias("_store")).agg(F.sum(sales).alias("_tot"), F.count(sales).alias("_ns"), F.sum(txns).alias("_tx"),
+                                                       F.count(F.lit(1)).alias("_rows"))
+    a = per.agg(F.sum("_tot").alias("_tot"), F.coalesce(F.sum("_ns"), F.lit(0)).alias("_ns"), F.count("_store").alias("_st"),
+                F.sum("_tx").alias("_tx"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("_rows"))
     return a.select(
         money("_tot").alias("total_sales"),
         F.try_divide(F.col("_tot").cast("double"), F.col("_ns").cast("double")).alias("avg_transaction_value"),

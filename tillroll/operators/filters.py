@@ -31,14 +31,16 @@ def apply_filters(df: DataFrame, filters: dict | None, keys: Sequence[str] = FIL
 
 
 def filter_values(df: DataFrame, cols: Sequence[str] = FILTER_KEYS) -> DataFrame:
-    """sorted distinct non-null values per filter column as (column, value)."""
-    parts = [df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"),
-                                                   F.col(c).cast("string").alias("value")).distinct()
-             for c in cols if c in df.columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("column", "value")
+    """sorted distinct non-null values per filter column as (column, value).
+
+    One scan: combinations of the columns' values collapse map-side first, and
+    only those are spread into (column, value) pairs, which collapse again.
+    """
+    own = [c for c in cols if c in df.columns]
+    if not own:
+        return df.sparkSession.createDataFrame([], "column string, value string")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in own])).alias("p")
+    return df.select(*own).distinct().select(pairs).select("p.*").where("value IS NOT NULL").distinct().orderBy("column", "value")
 
 
 def drop_null_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:

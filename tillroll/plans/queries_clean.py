@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import bitmaps as B
 from ..operators import clean as C
 from ..operators import outliers as O
 from ..operators import quality as Q
@@ -79,9 +80,14 @@ SELECT CAST(a.initial_rows AS BIGINT) AS initial_rows, CAST(8 AS BIGINT) AS init
        round((a.initial_rows - a.invalid_dates - b.final_rows) * 100.0 / nullif(a.initial_rows - a.invalid_dates, 0), 6) AS cleaning_removed_pct,
        CAST(a.initial_rows - b.final_rows AS BIGINT) AS rows_removed,
        CAST(b.final_rows AS BIGINT) AS final_rows, CAST(b.zero_sales AS BIGINT) AS zero_sales,
-       CAST(a.neg AS BIGINT) AS negative_sales_raw, CAST(b.neg AS BIGINT) AS negative_sales
+       CAST(a.neg AS BIGINT) AS negative_sales_raw, CAST(b.neg AS BIGINT) AS negative_sales, a.first_date, a.last_date,
+       concat_ws('; ', CASE WHEN b.neg > 0 THEN b.neg || ' rows with negative sales' END) AS error_text,
+       concat_ws('; ', CASE WHEN a.invalid_dates > 0 THEN a.invalid_dates || ' rows without a valid date' END,
+                 CASE WHEN a.initial_rows - a.invalid_dates - b.final_rows > 0
+                      THEN (a.initial_rows - a.invalid_dates - b.final_rows) || ' rows removed by cleaning' END,
+                 CASE WHEN b.zero_sales > b.final_rows * 0.1 THEN b.zero_sales || ' rows with zero sales' END) AS warning_text
 FROM (SELECT count(*) AS initial_rows, count(*) FILTER (WHERE date IS NULL) AS invalid_dates,
-             count(*) FILTER (WHERE weekly_sales < 0) AS neg FROM typed) a,
+             count(*) FILTER (WHERE weekly_sales < 0) AS neg, min(date) AS first_date, max(date) AS last_date FROM typed) a,
      (SELECT count(*) AS final_rows, count(*) FILTER (WHERE weekly_sales = 0) AS zero_sales,
              count(*) FILTER (WHERE weekly_sales < 0) AS neg FROM clean) b""",
     DIRTY_CTE, TYPED_CTE, CLEAN_CTE))
@@ -143,6 +149,27 @@ def q_dq_business(spark, sf):
     return Q.business_checks(_cleaned(spark, sf), fact_rules())
 
 
+@register("active_stores_by_period", with_fact("""
+SELECT 'year' AS period, CAST(year(week) AS BIGINT) AS label, CAST(count(DISTINCT store) AS BIGINT) AS stores, CAST(sum(weekly_sales) AS DOUBLE) AS sales
+FROM w GROUP BY 2
+UNION ALL SELECT 'quarter', CAST(year(week) * 10 + quarter(week) AS BIGINT), CAST(count(DISTINCT store) AS BIGINT), CAST(sum(weekly_sales) AS DOUBLE) FROM w GROUP BY 2
+UNION ALL SELECT 'week', CAST(year(week) * 10000 + month(week) * 100 + day(week) AS BIGINT), CAST(count(DISTINCT store) AS BIGINT), CAST(sum(weekly_sales) AS DOUBLE) FROM w GROUP BY 2
+UNION ALL SELECT 'all', 0, CAST(count(DISTINCT store) AS BIGINT), CAST(sum(weekly_sales) AS DOUBLE) FROM w""",
+    "w AS (SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS week, store, weekly_sales FROM fact WHERE date IS NOT NULL)"))
+def q_active_stores(spark, sf):
+    """Q5, Q6, A22 for any period: the week bitmaps of one pass, merged by week, quarter, year and altogether."""
+    weeks = B.weekly_bitmaps(fact_view(spark, sf).where("date IS NOT NULL"), sums={"sales": F.col("weekly_sales")})
+    w = F.col("week")
+    levels = {"week": F.year(w) * 10000 + F.month(w) * 100 + F.dayofmonth(w), "quarter": F.year(w) * 10 + F.quarter(w), "year": F.year(w), "all": F.lit(0)}
+    out = None
+    for period, label in levels.items():
+        stores = B.merged_count(weeks, [label], "stores").withColumnRenamed("_k0", "label")
+        sales = weeks.groupBy(label.alias("label")).agg(F.sum("sales").cast("double").alias("sales"))
+        part = stores.join(sales, "label").select(F.lit(period).alias("period"), F.col("label").cast("long"), "stores", "sales")
+        out = part if out is None else out.union(part)
+    return out
+
+
 # Per-store IQR fences over a frame named src (k = 1.5, minimum 4 values).
 def _iqr_ctes(src: str, k: float = 1.5, min_n: int = 4, key: str = "store") -> list[str]:
     g = f"{key}, " if key else ""

@@ -10,7 +10,7 @@ from ..operators import clean as C
 from ..operators import weekly as wk
 from ..session import scratch_path
 from ..sources.rules import fact_rules
-from ..sources.tables import dirty_fact, read_sales_csv
+from ..sources.tables import dirty_fact, fact_view, read_sales_csv
 from ..streaming.weekly_stream import run_events_weekly
 from .catalog import WEEKLY_CTE, register, with_fact
 from .pipeline import compute_kpis
@@ -60,6 +60,45 @@ def q_csv_upload_weekly(spark, sf):
     return wk.weekly_kpis(C.clean(raw, fact_rules()))
 
 
+@register("csv_inferred_types", with_fact("""
+SELECT t."column", t.type, CAST(CASE t."column" WHEN 'shipped' THEN n - sevenths WHEN 'discount' THEN n - elevenths ELSE n END AS BIGINT) AS "values"
+FROM (VALUES ('date', 'date'), ('store', 'string'), ('l_orderkey', 'bigint'), ('l_linenumber', 'bigint'), ('weekly_sales', 'decimal(38,6)'),
+             ('shipped', 'timestamp_ntz'), ('discount', 'double'), ('returned', 'boolean'), ('code', 'string')) t("column", type),
+     (SELECT count(*) AS n, count(*) FILTER (WHERE l_orderkey % 7 = 0) AS sevenths, count(*) FILTER (WHERE l_orderkey % 11 = 0) AS elevenths FROM fact)"""))
+def q_csv_inferred_types(spark, sf):
+    """Types of an upload's columns, the ones no rule names included."""
+    _, typed = _typed_upload(spark, sf)
+    kinds = {c: t for c, t in typed.dtypes}
+    counts = typed.agg(*[F.count(F.col(c)).alias(c) for c in typed.columns])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.col(c).alias("values")) for c in typed.columns]))
+    return counts.select(each.alias("x")).select("x.*")
+
+
+def _typed_upload(spark, sf):
+    """The fact with columns that no rule names, as a CSV file and read back with inferred types."""
+    path = scratch_path(spark, f"upload-{uuid.uuid4().hex[:8]}")
+    k = F.col("l_orderkey")
+    upload = fact_view(spark, sf).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "store", "l_orderkey", "l_linenumber", "weekly_sales",
+        F.when(k % 7 != 0, F.concat(F.date_format(F.date_add("date", 2), "yyyy-MM-dd"), F.lit(" 08:30:00"))).alias("shipped"),
+        F.when(k % 11 != 0, F.concat((k % 100).cast("string"), F.lit("e-2"))).alias("discount"),
+        F.when(k % 2 == 0, "True").otherwise("false").alias("returned"),
+        F.concat((k % 10).cast("string"), F.when(k % 3 == 0, "x").otherwise("")).alias("code"))
+    upload.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+    return path, read_sales_csv(spark, path, infer=True)
+
+
+@register("csv_inferred_monthly", with_fact("""
+SELECT CAST(date_trunc('month', date + 2) AS DATE) AS month, l_orderkey % 2 = 0 AS returned, CAST(count(*) AS BIGINT) AS rows,
+       round(sum(CASE WHEN l_orderkey % 11 <> 0 THEN (l_orderkey % 100) / 100.0 END), 4) AS discount, CAST(sum(weekly_sales) AS DOUBLE) AS sales
+FROM fact WHERE l_orderkey % 7 <> 0 GROUP BY 1, 2"""))
+def q_csv_inferred_monthly(spark, sf):
+    """Columns that no rule names are of use as they come: dates truncate, numbers add up, flags group."""
+    _, typed = _typed_upload(spark, sf)
+    return typed.where("shipped IS NOT NULL").groupBy(F.to_date(F.date_trunc("month", "shipped")).alias("month"), "returned").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum("discount"), 4).alias("discount"), F.sum("weekly_sales").cast("double").alias("sales"))
+
+
 @register("stream_weekly_events", """
 SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS date, event_type,
        round(sum(value), 6) AS weekly_sales_sum, CAST(count(*) AS BIGINT) AS events

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .inference import inferred
+
 # The fact contract (required columns, in order).
 FACT_COLUMNS = ["date", "store", "department", "region", "weekly_sales", "transactions"]
 # Tie-break columns carried by the fact view (G14): they make row order total.
@@ -103,17 +106,34 @@ NULL_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
               "NaN", "None", "n/a", "nan", "null")
 
 
-def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_sales_csv(spark: SparkSession, path: str, multi_line: bool | None = None, infer: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """CSV upload with header (S1), columns by name as the file has them, in any
     order; columns nobody asked for are kept, missing ones stay missing (C1
-    reports them).  Everything is text; the cleaning step coerces types.
+    reports them).
+
+    Everything is text, as the cleaning step coerces types, unless ``infer``:
+    then columns get the narrowest type that holds all their values
+    (``sources.inference``), but for those named in ``keep``.
 
     A folder's files must share one header (checked, never matched by
-    position).  Quoted cells may hold line feeds and doubled quotes; with
-    ``multi_line=False`` they may not hold line feeds, and large files are
-    read in splits.
+    position).  Quoted cells may hold line feeds and doubled quotes.  Files in
+    which none does are read in splits, the others one by one; which they are
+    is looked up in one scan of the lines unless ``multi_line`` says so.
     """
+    if multi_line is None:
+        multi_line = spans_lines(spark, path)
     raw = (spark.read.option("header", True).option("multiLine", multi_line).option("enforceSchema", False)
            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     named = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
-    return named.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TEXTS), F.col(f"`{c}`")).alias(c) for c in named.columns])
+    text = named.select(*[F.when(~F.col(f"`{c}`").isin(*NULL_TEXTS), F.col(f"`{c}`")).alias(c) for c in named.columns])
+    return inferred(text, keep) if infer else text
+
+
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell of the CSV files holds a line feed: some line then has an odd number of quotes.
+
+    One scan of the files' lines in splits; doubled quotes count as two, so a
+    line that ends inside a quoted cell is always odd.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
