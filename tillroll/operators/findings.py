@@ -133,7 +133,7 @@ def findings(momentum: DataFrame, wow: DataFrame, pulse: DataFrame, store_bench:
     """
     sb = store_bench.select(*[F.col(c).alias(f"sb_{c}") for c in ("avg_sales", "top", "bottom", "bottom_gap_pct")])
     db = dept_bench.select(F.col("avg_sales").alias("db_avg_sales"), F.col("top").alias("db_top"))
-    m = one_row(momentum.select("change_pct"), wow.select("last_wow_pct"), ma_trend.select("trend_4wk_pct"),
+    m = one_row(momentum.select("change_pct", "current_value", "previous_value"), wow.select("last_wow_pct"), ma_trend.select("trend_4wk_pct"),
                 pulse.select("stores_growing", "stores_declining", "best_store", "best_growth_pct",
                              "worst_store", "worst_decline_pct"),
                 sb, db, dept_conc.select("top_dept_share"),
@@ -144,11 +144,16 @@ def findings(momentum: DataFrame, wow: DataFrame, pulse: DataFrame, store_bench:
         # R2 revenue move
         _row("momentum", F.lit(None), "change_pct", cp,
              F.when(cp > 10, "revenue_jump").when(cp < -10, "revenue_drop").otherwise("revenue_stable"),
-             F.format_string("Revenue moved %+.1f%% vs the previous week", cp)),
+             F.format_string("Revenue moved %+.1f%% vs the previous week", cp),
+             F.coalesce(F.col("previous_value") != 0, F.lit(False))),
         # R3 WoW band
         _row("growth_pulse", F.lit(None), "last_wow_pct", lw,
              F.when(lw > 10, "strong_momentum").when(lw < -10, "sharp_decline").otherwise("flat"),
              F.format_string("Last week %+.1f%% week over week", lw)),
+        # R5 last week against 3 %
+        _row("last_week", F.lit(None), "last_wow_pct", lw,
+             F.when(lw > 3, "scale_winners").when(lw < -3, "diagnose_blockers").otherwise("steady_state"),
+             F.when(lw > 3, "Last week grew").when(lw < -3, "Last week shrank").otherwise("Last week was steady")),
         # R5 4-week MA trend
         _row("momentum", F.lit(None), "trend_4wk_pct", t,
              F.when(F.abs(t) > 5, F.when(t > 0, "accelerating").otherwise("slowing")).otherwise("flat_trend"),
@@ -175,6 +180,12 @@ def findings(momentum: DataFrame, wow: DataFrame, pulse: DataFrame, store_bench:
         # R4 / R6 regions and department concentration
         _row("drivers", F.col("top_region"), "top_region_sales", F.col("top_region_sales"), F.lit("region_gap"),
              F.format_string("%s outperforms %s", F.col("top_region"), F.col("bottom_region"))),
+        # R6 current sales and the drivers' follow-up entities
+        _row("drivers", F.lit(None), "current_sales", F.col("current_value"), F.lit("current_sales"), F.lit("Sales of the last week"),
+             F.coalesce(F.col("current_value") != 0, F.lit(False))),
+        _row("driver_actions", F.col("bottom_region"), "follow_up", F.lit(1), F.lit("improve"), F.lit("Targeted improvement")),
+        _row("driver_actions", F.col("db_top"), "follow_up", F.lit(2), F.lit("expand"), F.lit("Expand what works")),
+        _row("driver_actions", F.col("top_region"), "follow_up", F.lit(3), F.lit("replicate"), F.lit("Document and share practices")),
         _row("drivers", F.lit(None), "top_dept_share", sh,
              F.when(sh > 30, "over_concentrated").otherwise("balanced_portfolio"),
              F.format_string("Top department holds %.1f%% of sales", sh)),

@@ -9,6 +9,7 @@ from ..operators import benchmark as B
 from ..operators import clean as C
 from ..operators import efficiency as EF
 from ..operators import entities as E
+from ..operators import entity_findings as EFD
 from ..operators import findings as FD
 from ..operators import outliers as O
 from ..operators import quality as Q
@@ -424,7 +425,19 @@ def q_alerts(spark, sf):
 FINDINGS_SQL = """
 SELECT 'momentum' AS section, CAST(NULL AS VARCHAR) AS entity, 'change_pct' AS metric, round(change_pct, 6) AS value,
        CASE WHEN change_pct > 10 THEN 'revenue_jump' WHEN change_pct < -10 THEN 'revenue_drop' ELSE 'revenue_stable' END AS rule,
-       printf('Revenue moved %+.1f%% vs the previous week', change_pct) AS message FROM mo
+       printf('Revenue moved %+.1f%% vs the previous week', change_pct) AS message FROM mo WHERE prev <> 0
+UNION ALL
+SELECT 'last_week', NULL, 'last_wow_pct', round(last_wow_pct, 6),
+       CASE WHEN last_wow_pct > 3 THEN 'scale_winners' WHEN last_wow_pct < -3 THEN 'diagnose_blockers' ELSE 'steady_state' END,
+       CASE WHEN last_wow_pct > 3 THEN 'Last week grew' WHEN last_wow_pct < -3 THEN 'Last week shrank' ELSE 'Last week was steady' END FROM ws
+UNION ALL
+SELECT 'drivers', NULL, 'current_sales', round(cur, 6), 'current_sales', 'Sales of the last week' FROM mo WHERE cur <> 0
+UNION ALL
+SELECT 'driver_actions', bottom_region, 'follow_up', 1.0, 'improve', 'Targeted improvement' FROM rtb
+UNION ALL
+SELECT 'driver_actions', top, 'follow_up', 2.0, 'expand', 'Expand what works' FROM db
+UNION ALL
+SELECT 'driver_actions', top_region, 'follow_up', 3.0, 'replicate', 'Document and share practices' FROM rtb
 UNION ALL
 SELECT 'growth_pulse', NULL, 'last_wow_pct', round(last_wow_pct, 6),
        CASE WHEN last_wow_pct > 10 THEN 'strong_momentum' WHEN last_wow_pct < -10 THEN 'sharp_decline' ELSE 'flat' END,
@@ -483,7 +496,7 @@ def _bench_ctx_sql(cat: str, name: str) -> str:
 @register("findings", with_fact(FINDINGS_SQL, WEEKLY_CTE, week_cte("store", "sw"), "al AS (" + ALIGNED_SQL + ")",
     *DM_CTES,
     """mo AS (
-  SELECT round(CASE WHEN prev > 0 THEN (cur - prev) / prev * 100 ELSE 0.0 END, 6) AS change_pct
+  SELECT round(CASE WHEN prev > 0 THEN (cur - prev) / prev * 100 ELSE 0.0 END, 6) AS change_pct, cur, prev
   FROM (SELECT cur, CASE WHEN n > 1 THEN prev0 ELSE cur END AS prev
         FROM (SELECT count(*) AS n, max(CASE WHEN k = 1 THEN sd END) AS cur,
                      max(CASE WHEN k = 2 THEN sd END) AS prev0 FROM growth)))""",
@@ -518,3 +531,31 @@ def q_findings(spark, sf):
         momentum=wk.momentum(f), wow=wk.wow_stats(f), pulse=T.store_pulse(T.store_4wk_aligned(f)),
         store_bench=B.benchmark_context(f, "store"), dept_bench=B.benchmark_context(f, "department"),
         dept_conc=B.department_concentration(dm), top_bottom=tb, ma_trend=wk.ma_trend_pct(f))
+
+
+def _entity_findings_sql() -> str:
+    """Metrics and bands of every kind of entity, in DuckDB SQL."""
+    number = lambda x: "CAST('%sinf' AS DOUBLE)" % ("-" if x < 0 else "") if abs(x) == EFD.INF else f"CAST({x} AS DOUBLE)"
+    rules = ", ".join(f"('{b.metric}', {number(b.low)}, {b.at_low}, {number(b.high)}, {b.at_high}, '{b.section}', '{b.rule}', '{b.text}')" for b in EFD.BANDS)
+    kinds = []
+    for e in ("store", "region", "department"):
+        part = lambda a, b: f"sum(sales) FILTER (WHERE date > lw - {a} AND date <= lw - {b})"  # noqa: E731, B023
+        change = lambda now, before: f"CASE WHEN {before} > 0 THEN (CAST({now} AS DOUBLE) - CAST({before} AS DOUBLE)) / CAST({before} AS DOUBLE) * 100 END"
+        kinds.append(f"""SELECT '{e}' AS kind, {e} AS entity, CAST(cur AS DOUBLE) AS current_sales, {change('cur', 'prev')} AS wow_pct, {change('l4', 'p4')} AS trend_4wk_pct,
+  (CAST(whole AS DOUBLE) - mean) / mean * 100 AS gap_pct, CAST(whole AS DOUBLE) / total * 100 AS share_pct
+FROM (SELECT {e}, sum(sales) AS whole, {part(7, 0)} AS cur, {part(14, 7)} AS prev, {part(28, 0)} AS l4, {part(56, 28)} AS p4
+      FROM ew_{e}, (SELECT max(date) AS lw FROM ew_{e}) GROUP BY {e}),
+     (SELECT CAST(sum(sales) AS DOUBLE) / count(DISTINCT {e}) AS mean, CAST(sum(sales) AS DOUBLE) AS total FROM ew_{e})""")
+    return with_fact("""
+SELECT kind, entity, u.metric, round(value, 6) AS value, section, rule, entity || ': ' || text AS message
+FROM (UNPIVOT em ON current_sales, wow_pct, trend_4wk_pct, gap_pct, share_pct INTO NAME metric VALUE value) u
+JOIN rules r ON u.metric = r.metric AND (value > low OR (at_low AND value = low)) AND (value < high OR (at_high AND value = high))""",
+        *[week_cte(e, f"ew_{e}") for e in ("store", "region", "department")], "em AS (" + "\nUNION ALL ".join(kinds) + ")",
+        f"rules AS (SELECT * FROM (VALUES {rules}) t(metric, low, at_low, high, at_high, section, rule, text))")
+
+
+@register("entity_findings", _entity_findings_sql())
+def q_entity_findings(spark, sf):
+    """R2-R6 for each store, region and department."""
+    f = EFD.entity_findings(fact_view(spark, sf))
+    return f.select("kind", "entity", "metric", r6("value").alias("value"), "section", "rule", "message")
