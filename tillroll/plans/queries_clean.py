@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bitmaps as B
+from ..functions import sketches as SK
 from ..operators import clean as C
 from ..operators import outliers as O
 from ..operators import quality as Q
@@ -170,6 +171,27 @@ def q_active_stores(spark, sf):
     return out
 
 
+@register("sketch_bounds_store", with_fact("""
+SELECT store, CAST(count(weekly_sales) AS BIGINT) AS n, true AS quartiles_within, true AS distinct_within
+FROM fact WHERE store IS NOT NULL GROUP BY store"""))
+def q_sketch_bounds(spark, sf):
+    """Stored weekly sketches merged to stores, held against the exact ranks of their quartiles and the exact number of orders."""
+    f = fact_view(spark, sf)
+    approx = SK.merged(SK.weekly_sketches(f, "store", "weekly_sales", "l_orderkey"), ["store"])
+    x = F.col("weekly_sales").cast("double")
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    side = approx.select(F.col("store").alias("_s"), *probs, "distinct")
+    ranks = [c for q in probs for c in (F.avg(F.when(x < F.col(q), 1.0).otherwise(0.0)).alias(f"{q}_below"), F.avg(F.when(x <= F.col(q), 1.0).otherwise(0.0)).alias(f"{q}_upto"))]
+    rows = f.where("store IS NOT NULL").join(side, F.col("store") == F.col("_s")).groupBy("store").agg(F.count("weekly_sales").alias("n"), F.first("distinct").alias("distinct"), *ranks)
+    orders = f.where("store IS NOT NULL").groupBy("store", "l_orderkey").agg(F.lit(1).alias("one")).groupBy(F.col("store").alias("_o")).agg(F.count(F.lit(1)).alias("orders"))
+    # three times the documented errors, so that chance does not decide
+    close = F.lit(True)
+    for q, p in probs.items():
+        close = close & (F.col(f"{q}_below") - 3 * SK.RANK_ERROR <= p) & (F.col(f"{q}_upto") + 3 * SK.RANK_ERROR >= p)
+    near = F.abs(F.col("distinct") - F.col("orders")) <= 3 * SK.DISTINCT_ERROR * F.col("orders")
+    return rows.join(orders, F.col("store") == F.col("_o")).select("store", "n", close.alias("quartiles_within"), near.alias("distinct_within"))
+
+
 # Per-store IQR fences over a frame named src (k = 1.5, minimum 4 values).
 def _iqr_ctes(src: str, k: float = 1.5, min_n: int = 4, key: str = "store") -> list[str]:
     g = f"{key}, " if key else ""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..functions.scalar import with_row
 from ..operators import weekly as wk
 from ..session import scratch_path
 from ..sources.rules import fact_rules
@@ -14,6 +15,7 @@ from ..sources.tables import dirty_fact, fact_view, read_sales_csv
 from ..streaming.weekly_stream import run_events_weekly
 from .catalog import WEEKLY_CTE, register, with_fact
 from .pipeline import compute_kpis
+from .store_sink import store_weeks, store_years, write_store_weeks
 from .queries_clean import CLEAN_CTE, DIRTY_CTE, TYPED_CTE, _iqr_ctes
 from .queries_entities import TIES
 
@@ -107,3 +109,24 @@ def q_stream_weekly(spark, sf):
     out = run_events_weekly(spark, sf, ("event_type",))
     return out.select("date", "event_type", F.round("weekly_sales_sum", 6).alias("weekly_sales_sum"),
                       F.col("events").cast("long").alias("events"))
+
+
+@register("sink_store_years", with_fact("""
+SELECT y.store, y.year, CAST(y.s AS DOUBLE) AS sales, y.weeks, CAST(p.s AS DOUBLE) AS previous_sales,
+       (CAST(y.s AS DOUBLE) - CAST(p.s AS DOUBLE)) / nullif(CAST(p.s AS DOUBLE), 0) AS change
+FROM y LEFT JOIN y p ON p.store = y.store AND p.year = y.year - 1""",
+    "w AS (SELECT store, CAST(date_trunc('week', date) AS DATE) + 6 AS week, weekly_sales FROM fact WHERE date IS NOT NULL AND store IS NOT NULL)",
+    "y AS (SELECT store, CAST(year(week) AS INTEGER) AS year, sum(weekly_sales) AS s, CAST(count(DISTINCT week) AS BIGINT) AS weeks FROM w GROUP BY 1, 2)"))
+def q_sink_store_years(spark, sf):
+    """Weekly store sums into the bucketed table in two uploads, the second of which replaces the years that it holds
+    (first written with doubled sales), then year against year from the buckets."""
+    name = f"store_weeks_{uuid.uuid4().hex[:8]}"
+    weeks = store_weeks(fact_view(spark, sf))
+    path = scratch_path(spark, name)
+    middle = weeks.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY year)").alias("y"))
+    split = with_row(weeks, middle)
+    late = F.col("year") > F.col("y")
+    first = split.withColumn("sales", F.when(late, F.col("sales") * 2).otherwise(F.col("sales")).cast("decimal(38,6)")).drop("y")
+    write_store_weeks(first, name, path, buckets=8)
+    write_store_weeks(split.where(late).drop("y"), name, path, buckets=8)
+    return store_years(spark, name)
