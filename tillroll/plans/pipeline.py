@@ -47,7 +47,7 @@ def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
     fences = None
     if want & {"summary", "flagged_rows"} and oc.get("method", "iqr") == "iqr":
         fences = O.iqr_fences(cleaned, "weekly_sales", group_by, k)
-    derived = D.add_derived_fields(cleaned, ties=ties) if want & {"stores", "flagged_rows"} else None
+    derived = D.add_derived_fields(cleaned, ties=ties, position="_at") if want & {"stores", "flagged_rows"} else None
     if "summary" in want:
         n_derived = len(cleaned.columns) + 4
         counts = cleaned.agg(F.count(F.lit(1)).cast("long").alias("record_count")).select(
@@ -58,7 +58,7 @@ def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
     if "kpis_weekly" in want:
         out["kpis_weekly"] = wk.weekly_kpis(cleaned, freq=freq)
     if "stores" in want:
-        out["stores"] = E.store_metrics(derived, ties=ties)
+        out["stores"] = E.store_metrics(derived, ties=ties, position="_at")
     if "stores_meta" in want:
         out["stores_meta"] = E.store_summary(cleaned)
     if "regional" in want:
@@ -68,6 +68,7 @@ def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
         out["departments"] = dept
         out["departments_meta"] = E.pareto_meta(dept)
     if "flagged_rows" in want:
+        derived = derived.drop("_at")
         treat = oc.get("treat", "flag")
         if treat == "winsorize":
             out["flagged_rows"] = O.treat_outliers(derived, "weekly_sales", group_by, k, treat)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from .catalog import WEEKLY_CTE, register, with_fact
 from .pipeline import compute_kpis
 from .store_sink import store_weeks, store_years, write_store_weeks
 from .queries_clean import CLEAN_CTE, DIRTY_CTE, TYPED_CTE, _iqr_ctes
-from .queries_entities import TIES
+from .queries_entities import DEPT_SQL, DERIVED_CTE, ORDER_DESC_SQL, TIES, tail_cte
 
 CLEAN_WEEKLY_CTE = WEEKLY_CTE.replace("FROM fact WHERE date IS NOT NULL", "FROM clean WHERE date IS NOT NULL")
 
@@ -130,3 +131,109 @@ def q_sink_store_years(spark, sf):
     write_store_weeks(first, name, path, buckets=8)
     write_store_weeks(split.where(late).drop("y"), name, path, buckets=8)
     return store_years(spark, name)
+
+
+# ---- the whole bundle over cleaned and filtered rows
+
+BUNDLE_FILTER = {"region": "ASIA", "store": "All"}
+_FILTERED_CTE = "kept AS (SELECT * FROM clean WHERE region = 'ASIA')"
+
+
+def _over_kept(sql: str) -> str:
+    """A query over the fact, asked of the kept rows."""
+    return re.sub(r"\b(FROM|JOIN) fact\b", r"\1 kept", sql)
+
+
+def _bundle_sql(sql: str, *ctes: str) -> str:
+    return with_fact(_over_kept(sql), DIRTY_CTE, TYPED_CTE, CLEAN_CTE, _FILTERED_CTE, *[_over_kept(c) for c in ctes])
+
+
+def _bundle(spark, sf, output: str):
+    return compute_kpis(dirty_fact(spark, sf), fact_rules(), filters=BUNDLE_FILTER, ties=TIES, outputs=[output])[output]
+
+
+@register("bundle_stores", _bundle_sql("""
+SELECT store, CAST(sum(weekly_sales) AS DOUBLE) AS total_sales, CAST(sum(transactions) AS DOUBLE) AS transactions,
+       round(any_value(tr.trend), 6) AS trend, round(avg(atv), 6) AS avg_transaction_value,
+       round(avg(eff), 6) AS efficiency_pct, round(any_value(lw.lw), 6) AS week_over_week_pct
+FROM der2 JOIN tr USING (store) LEFT JOIN lw USING (store) GROUP BY store""", DERIVED_CTE, tail_cte("store", "tr"),
+    f"""lw AS (SELECT store, wow_pct AS lw FROM (
+          SELECT store, wow_pct, row_number() OVER (PARTITION BY store ORDER BY {ORDER_DESC_SQL}) AS rn
+          FROM der WHERE wow_pct IS NOT NULL) WHERE rn = 1)"""))
+def q_bundle_stores(spark, sf):
+    return _bundle(spark, sf, "stores")
+
+
+@register("bundle_stores_meta", _bundle_sql("""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM t) AS store_count,
+       (SELECT store FROM t ORDER BY s DESC, store LIMIT 1) AS top_store,
+       (SELECT CAST(s AS DOUBLE) FROM t ORDER BY s DESC, store LIMIT 1) AS top_store_sales,
+       (SELECT store FROM t ORDER BY s ASC, store LIMIT 1) AS bottom_store,
+       (SELECT CAST(s AS DOUBLE) FROM t ORDER BY s ASC, store LIMIT 1) AS bottom_store_sales""",
+    "t AS (SELECT store, sum(weekly_sales) AS s FROM fact WHERE store IS NOT NULL GROUP BY store)"))
+def q_bundle_stores_meta(spark, sf):
+    return _bundle(spark, sf, "stores_meta")
+
+
+@register("bundle_regional", _bundle_sql("""
+SELECT region, CAST(sum(weekly_sales) AS DOUBLE) AS sales, CAST(sum(transactions) AS DOUBLE) AS transactions,
+       round(coalesce(any_value(rt.trend), 0.0), 6) AS trend_4wk,
+       round(CASE WHEN sum(transactions) > 0 THEN CAST(sum(weekly_sales) AS DOUBLE) / CAST(sum(transactions) AS DOUBLE)
+                  ELSE 0.0 END, 6) AS avg_transaction_value
+FROM fact JOIN rt USING (region) GROUP BY region""", tail_cte("region", "rt")))
+def q_bundle_regional(spark, sf):
+    return _bundle(spark, sf, "regional")
+
+
+@register("bundle_departments", _bundle_sql(DEPT_SQL, tail_cte("department", "dt", null_default=True)))
+def q_bundle_departments(spark, sf):
+    return _bundle(spark, sf, "departments")
+
+
+@register("bundle_departments_meta", _bundle_sql("""
+SELECT CAST(count(*) FILTER (WHERE cumulative_pct <= 80) AS BIGINT) AS pareto_80_count,
+       CAST(count(*) AS BIGINT) AS total_count FROM dm""", tail_cte("department", "dt", null_default=True), "dm AS (" + DEPT_SQL + ")"))
+def q_bundle_departments_meta(spark, sf):
+    return _bundle(spark, sf, "departments_meta")
+
+
+@register("bundle_flagged_rows", _bundle_sql("""
+SELECT date, store, department, l_orderkey, l_linenumber, CAST(weekly_sales AS DOUBLE) AS weekly_sales, transactions, is_outlier,
+       wow_pct, atv AS avg_transaction_value, round(eff, 6) AS store_efficiency_pct,
+       CAST(weekly_sales AS DOUBLE) / nullif(CAST(day_total AS DOUBLE), 0) * 100 AS revenue_contribution_pct
+FROM flagged""", DERIVED_CTE, *_iqr_ctes("der2")))
+def q_bundle_flagged_rows(spark, sf):
+    d = _bundle(spark, sf, "flagged_rows")
+    return d.select("date", "store", "department", *TIES, F.col("weekly_sales").cast("double").alias("weekly_sales"), "transactions", "is_outlier",
+                    "wow_pct", "avg_transaction_value", F.round("store_efficiency_pct", 6).alias("store_efficiency_pct"), "revenue_contribution_pct")
+
+
+@register("bundle_daily", _bundle_sql("""
+SELECT date, CAST(sum(weekly_sales) AS DOUBLE) AS weekly_sales_sum, CAST(sum(transactions) AS DOUBLE) AS transactions_sum FROM fact GROUP BY date"""))
+def q_bundle_daily(spark, sf):
+    """A1 by day: days that have rows (the dense series adds empty days)."""
+    rules = fact_rules()
+    rules["kpis"]["time_freq"] = "D"
+    d = compute_kpis(dirty_fact(spark, sf), rules, filters=BUNDLE_FILTER, ties=TIES, outputs=["kpis_weekly"])["kpis_weekly"]
+    return d.where("transactions_sum > 0 OR weekly_sales_sum > 0").select("date", "weekly_sales_sum", F.col("transactions_sum").cast("double"))
+
+
+@register("bundle_monthly", _bundle_sql("""
+SELECT last_day(date) AS date, CAST(sum(weekly_sales) AS DOUBLE) AS weekly_sales_sum, CAST(sum(transactions) AS DOUBLE) AS transactions_sum FROM fact GROUP BY 1"""))
+def q_bundle_monthly(spark, sf):
+    """A1 by month, labelled by the month's last day."""
+    rules = fact_rules()
+    rules["kpis"]["time_freq"] = "M"
+    d = compute_kpis(dirty_fact(spark, sf), rules, filters=BUNDLE_FILTER, ties=TIES, outputs=["kpis_weekly"])["kpis_weekly"]
+    return d.select("date", "weekly_sales_sum", F.col("transactions_sum").cast("double"))
+
+
+@register("zero_policy_fact", with_fact("""
+SELECT date, store, CAST(coalesce(weekly_sales, 0) AS DOUBLE) AS weekly_sales, transactions, l_orderkey, l_linenumber
+FROM clipped""", DIRTY_CTE, TYPED_CTE, CLEAN_CTE))
+def q_zero_policy(spark, sf):
+    """Missing amounts become zero; nothing else is filled or dropped."""
+    rules = fact_rules()
+    rules["cleaning"]["null_policy"] = {"weekly_sales": "zero"}
+    d = C.clean(dirty_fact(spark, sf), rules)
+    return d.select("date", "store", F.col("weekly_sales").cast("double").alias("weekly_sales"), "transactions", *TIES)
