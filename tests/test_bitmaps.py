@@ -77,3 +77,44 @@ def test_counts_of_an_upload_are_observed_while_it_is_written(spark):
     assert none.error_text == "missing columns: region, store" and none.initial_rows == 0 and none.initial_cols == 4
     empty = C.validation_report(raw.limit(0), fact_rules()).collect()[0]
     assert (empty.initial_rows, empty.first_date, empty.warning_text, empty.cleaning_removed_pct) == (0, None, "", None)
+
+
+def test_outlier_methods_differ_and_equal_brute_force(spark):
+    """Values on which quartiles, deviation and median distance each flag another set."""
+    import numpy as np
+
+    from tillroll.operators import outliers as O
+
+    r = random.Random(4)
+    rows = []
+    for s, spread in (("a", 1.0), ("b", 30.0), ("c", 0.0), ("d", 5.0)):
+        for i in range(120):
+            v = 100 + r.gauss(0, spread)
+            if s in "ad" and i % 15 == 0:
+                v += 6 * spread * r.choice([-1, 1, 0.6])
+            rows.append((s, i, None if i % 40 == 7 else round(v, 2)))
+    rows += [("e", i, v) for i, v in enumerate([1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 90.0])] + [(None, 1, 1e6), ("f", 0, 5.0)]
+    df = spark.createDataFrame(rows, "store string, i long, weekly_sales double").repartition(5)
+    by = {}
+    for s, i, v in rows:
+        if s is not None and v is not None:
+            by.setdefault(s, []).append((i, v))
+
+    def flags(rule):
+        return {(s, i) for s, vs in by.items() for i, v in vs if rule(v, np.array([x for _, x in vs]))}
+
+    def iqr(v, xs):
+        q1, q3 = np.quantile(xs, [0.25, 0.75])
+        return len(xs) >= 4 and (v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1))
+    everything = np.array([v for s, _, v in rows if v is not None])
+    q1, q3 = np.quantile(everything, [0.25, 0.75])
+    want = {"iqr": flags(iqr),
+            "zscore": flags(lambda v, xs: len(xs) > 1 and xs.std(ddof=1) > 0 and abs(v - xs.mean()) / xs.std(ddof=1) > 3),
+            "mad": flags(lambda v, xs: abs(v - np.median(xs)) > 3 * 1.4826 * np.median(np.abs(xs - np.median(xs)))),
+            "global": {(s, i) for s, i, v in rows if v is not None and (v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1))}}
+    got = {"iqr": O.flag_outliers_iqr(df), "zscore": O.flag_outliers_zscore(df), "mad": O.flag_outliers_mad(df), "global": O.flag_outliers_iqr(df, group_by=None)}
+    assert {k: {(x.store, x.i) for x in d.where("is_outlier").collect()} for k, d in got.items()} == want
+    assert len({frozenset(v) for v in want.values()}) == 4
+    assert all(d.count() == len(rows) for d in got.values())
+    assert {k: O.outlier_count(df, group_by=g).first()[0] for k, g in (("iqr", "store"), ("global", None))} == {k: len(want[k]) for k in ("iqr", "global")}
+    assert len(set(map(tuple, O.flag_outliers_mad(df, group_by=None).where("is_outlier").select("store", "i").collect()))) >= 1

@@ -42,17 +42,20 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     return quantiles_of(counted_values(df, keys, value), keys, probs, names, with_count)
 
 
-def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def counted_values(df: DataFrame, keys: Sequence[str], value: str | Column, times: str | None = None) -> DataFrame:
     """Steps 1 and 2: (keys, _x, _c, _at), each group's distinct values with their counts, written in order.
 
     Whatever depends on a group's values alone can be taken from it instead of from the rows.
+    ``times``: a column that tells how often a row counts.
     """
+    value = F.col(value) if isinstance(value, str) else value
     keys = list(keys)
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    often = F.col(times) if times else F.lit(1)
+    base = df.select(*[F.col(k) for k in keys], value.cast("double").alias("_x"), often.cast("bigint").alias("_one")).where(F.col("_x").isNotNull())
     for k in keys:
         base = base.where(F.col(k).isNotNull())
-    counted = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    counted = base.groupBy(*keys, "_x").agg(F.sum("_one").alias("_c"))
     order = [*keys, "_x"]
     return cut_lineage(counted.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
                        .withColumn("_at", F.monotonically_increasing_id()), "quantile-values")

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import counted_values, group_quantiles, quantiles_of
+from ..functions.quantiles import counted_values, quantiles_of
 from ..functions.scalar import with_row
+from ..session import cut_lineage
 
 
 def iqr_fences(df: DataFrame, value: str, group_by: str | None, k: float = 1.5,
@@ -109,15 +110,28 @@ def flag_outliers_zscore(df: DataFrame, value: str = "weekly_sales", group_by: s
 def flag_outliers_mad(df: DataFrame, value: str = "weekly_sales", group_by: str | None = "store",
                       k: float = 3.0) -> DataFrame:
     """D4 mad: |x - median| > k * 1.4826 * median(|x - median|) within the group."""
+    centre = median_and_mad(df, value, group_by)
+    j = _join_group_table(df, centre, group_by)
+    distance = F.abs(F.col(value).cast("double") - F.col("_med"))
+    flag = F.coalesce(distance > k * 1.4826 * F.col("_mad"), F.lit(False))
+    return j.withColumn("is_outlier", flag).drop("_med", "_mad")
+
+
+def median_and_mad(df: DataFrame, value: str = "weekly_sales", group_by: str | None = "store") -> DataFrame:
+    """(group, _med, _mad): median, and median of the distances from it.
+
+    Rows are counted by value once; the distances are those of the counted
+    values, each as often as its value, so neither the rows nor a row-sized
+    join are needed for the second median.
+    """
     keys = [group_by] if group_by else []
-    med = group_quantiles(df, keys, value, [0.5], names=["_med"], with_count=None)
-    dev = _join_group_table(df, med, group_by).withColumn(
-        "_dev", F.abs(F.col(value).cast("double") - F.col("_med")))
-    mad = group_quantiles(dev, keys, "_dev", [0.5], names=["_mad"], with_count=None)
-    j = _join_group_table(dev, mad, group_by)
-    dist = F.col("_dev")
-    flag = F.coalesce(dist > k * 1.4826 * F.col("_mad"), F.lit(False))
-    return j.withColumn("is_outlier", flag).drop("_med", "_dev", "_mad")
+    values = counted_values(df, keys, value)
+    med = quantiles_of(values, keys, [0.5], names=["_med"], with_count=None)
+    if group_by:
+        med = cut_lineage(med, "medians")
+    apart = counted_values(_join_group_table(values, med, group_by), keys, F.abs(F.col("_x") - F.col("_med")), times="_c")
+    mad = quantiles_of(apart, keys, [0.5], names=["_mad"], with_count=None)
+    return med.join(mad, group_by) if group_by else with_row(med, mad)
 
 
 def flag_by_rules(df: DataFrame, outliers: dict, value: str = "weekly_sales", group_by: str | None = "store",
