@@ -102,15 +102,41 @@ def test_shared_in_chunks_equals_whole():
     assert groups([(sig, doc)]) == groups([(sig[i:i + 700], doc[i:i + 700]) for i in range(0, 4000, 700)])
 
 
-def test_join_equals_all_pairs_and_large_buckets_are_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(j, "SMALL_BUCKET", 3)
+@pytest.mark.parametrize("ids", [2, 2_000_000])
+def test_join_equals_all_pairs_with_small_blocks_and_shuffled_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(j, "MEMBERS", 3)
+    monkeypatch.setattr(j, "PAIRS", 7)
+    monkeypatch.setattr(j, "OFFERS", 0)
     monkeypatch.setattr(j, "SORT", 500)
+    monkeypatch.setattr(j, "BROADCAST_IDS", ids)
     rows = [(None if d is None else d + 10_000 * k, t and f"{t} s{k}") for k in (1, 2) for d, t in corpus(k)]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, component_id string").repartition(5)
     got = sorted(map(tuple, j.join_components(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == sorted(brute(rows), key=str)
 
 
+def test_blocks_of_a_bucket_meet_each_other_once(spark, monkeypatch):
+    """All members of a bucket alike, each in its own component: every pair comes out, whatever the blocks."""
+    n = 23
+    level = spark.createDataFrame([(b, d, d, n) for b in (1, 2) for d in range(n)], "bucket long, doc long, component long, size long")
+    info = spark.createDataFrame([(d, 10 + d % 2, bytes([1] * 10 + [d % 2] + [0] * 245)) for d in range(n)], "doc_id long, n_shingles long, counts binary")
+    want = {(a, b) for a in range(n) for b in range(a + 1, n)}
+    for members in (4, 1000):
+        monkeypatch.setattr(j, "MEMBERS", members)
+        assert sorted(map(tuple, j.unlike(level, info).collect())) == sorted(want)
+
+
+def test_shared_passages_alone_share_few_signatures():
+    """Documents that have a third of their shingles in common: two of three partitions seldom hold none but common ones."""
+    r = np.random.default_rng(5)
+    passage = r.integers(0, 1 << 62, 70).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, r.integers(0, 1 << 62, 140).astype(np.uint64)])) for _ in range(60)]
+    row, sig = j.signatures(sets)
+    # buckets without a set of the band signed for are not looked at
+    names, n = np.unique(sig[(sig & np.uint64(1)) == 1], return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 0.3 * 60 * 59 // 2
+
+
 def test_query_equals_all_pairs(spark):
     d = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]

@@ -3,12 +3,13 @@
 A document's set is its distinct hashed shingles.  Sets are put into bands of
 like size, such that two sets of Jaccard similarity 0.8 or more lie in the
 same or in neighbouring bands, and differ in at most k elements, k known for
-each band.  The feature domain is dealt into n > k partitions by a hash.  Two
-such sets agree on n - k partitions or more, so they share a signature when
-each set signs single partitions (or, for k up to 2, all subsets of n - k
-partitions).  Signatures of empty partitions would be shared by all; they are
-left out where n - k partitions can't all be empty, and the few sets for which
-they can sign again under another dealing, in which again only sets of that
+each band.  The feature domain is dealt by a hash into more than k / 2 groups
+of three partitions, so two such sets differ in one element at most in some
+group; each group signs its subsets of two partitions, one of which the two
+sets share (for k up to 2 there is one group, and all its subsets of n - k
+partitions sign).  Signatures of empty partitions would be shared by all; they
+are left out where a set has enough groups without them, and the few sets that
+have not sign again under another dealing, in which again only sets of that
 kind need to meet.
 
 Signatures travel as packed arrays, sharded by signature; a shard's task
@@ -16,10 +17,12 @@ sorts them in bounded memory and keeps what two documents share: pairs of each
 bucket's first document (its pivot) with the others.  Pairs are tested, first
 by a bound from small count vectors, then exactly; the best supported partner
 of each document comes first, then what still lies in different components.
-Buckets whose members do not all reach one component are resolved among their
-other members: small ones pair by pair, large ones after further dealings.
-The result does not depend on these choices: every link is found or is
-between members of one component already.
+Buckets whose members do not all reach one component offer a member of their
+largest one to the others; what then lies in different components still is
+tested inside tasks, a thousand members against a thousand, and only pairs
+that sizes and count vectors allow come out, to be tested exactly.  The result
+does not depend on these choices: every link is found or is between members of
+one component already.
 
 Defined results: words of whole texts, A-Z in lower case; fewer than SHINGLE
 words are one shingle; null, empty and wordless texts have the empty set and
@@ -49,10 +52,14 @@ SIMILAR, OF = 4, 5
 DEALINGS = 6
 #: Count vector: places of the domain, counts up to 255.
 PLACES = 256
-#: Buckets up to this size are resolved pair by pair; larger ones are dealt again first, so often at most.
-SMALL_BUCKET, REFINE = 1024, 2
+#: Partitions of a group.
+PARTS = 3
+#: Members of a bucket that are tested against one another at once; larger buckets are cut into blocks that meet two by two.
+MEMBERS = 1024
+#: Pairs whose count vectors are compared at once.
+PAIRS = 20_000
 #: Signatures that a map task packs at once, that a shard's task sorts at once, and that a shard aims to hold.
-PACK, SORT, SHARD = 600_000, 3_000_000, 1_500_000
+PACK, SORT, SHARD = 300_000, 400_000, 600_000
 #: Rounds in which a bucket's other components are tested against a member of its largest one.
 OFFERS = 2
 BLOCK = 1 << 20
@@ -106,13 +113,19 @@ BAND = _bands()
 
 
 def _scheme(band: int) -> tuple[int, int]:
-    """(k, n): most differing elements of similar sets whose larger one is in the band, and partitions."""
+    """(k, n): most differing elements of similar sets whose larger one is in the band, and partitions.
+
+    For k up to 2 the partitions are one group, and all subsets of n - k sign.
+    Beyond, they form groups of PARTS: with more than k / 2 groups two similar
+    sets differ in one element at most in some group, so in all but one of its
+    partitions they agree, and each group signs its subsets of PARTS - 1.
+    """
     largest = int(BAND[band + 1]) - 1
     k = 2 * largest * (OF - SIMILAR) // (OF + SIMILAR)
     if k <= 2:
         return k, (1, 3, 5)[k]
-    n = k + 1
-    return k, n + int(np.ceil(0.06 * n + 1.7 * np.sqrt(0.06 * n)))
+    groups = k // 2 + 1
+    return k, PARTS * (groups + int(np.ceil(0.06 * groups + 1.7 * np.sqrt(0.06 * groups))))
 
 
 SCHEMES = np.array([_scheme(b) for b in range(len(BAND) - 1)], dtype=np.int64)
@@ -140,10 +153,17 @@ def _sign(rows: np.ndarray, sets: list[np.ndarray], band: np.ndarray, large: boo
     # too many empty partitions: sign again, and in the last dealing sign the empty ones too
     unsure = empties >= n - k
     last = dealing == DEALINGS - 1
-    single = (k[owner] > 2) & (~empty | (unsure[owner] & last))
+    at = np.flatnonzero(k[owner] > 2)
+    in_group, bare = sums[at].reshape(-1, PARTS), empty[at].reshape(-1, PARTS)
+    group_of, group = owner[at[::PARTS]], number[at[::PARTS]] // np.uint64(PARTS)
+    # a group in which some subset is empty as a whole may have nothing to share
+    bad = np.bincount(group_of, weights=bare.sum(axis=1) >= PARTS - 1, minlength=len(rows))
+    unsure = np.where(k > 2, bad >= n // PARTS - k // 2, unsure)
     tag = lambda who, what, which: (mix(what + salt[who] + which * PLACE_VALUES[16]) & ~np.uint64(1)) | np.uint64(large)
-    at = np.flatnonzero(single)
-    out.append((rows[owner[at]], tag(owner[at], sums[at], number[at])))
+    for which, subset in enumerate(combinations(range(PARTS), PARTS - 1)):
+        cols = list(subset)
+        ok = ~bare[:, cols].all(axis=1) | (unsure[group_of] & last)
+        out.append((rows[group_of[ok]], tag(group_of[ok], in_group[ok][:, cols].sum(axis=1, dtype=np.uint64), group[ok] * np.uint64(PARTS) + np.uint64(which))))
     for few in (0, 1, 2):
         mine = np.flatnonzero(k == few)
         if not len(mine):
@@ -301,6 +321,80 @@ def may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return some.where(F.col("apart") * (OF + SIMILAR) <= (F.col("n_a") + F.col("n_b")) * (OF - SIMILAR)).select(*pairs.columns)
 
 
+def _close(members: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): ids of members of one bucket in different components that sizes and count vectors allow to link.
+
+    ``members``: run (bucket and its two blocks), whether both blocks are the same, own block, component, size, id.
+    """
+    order = np.lexsort((members[4], members[0]))
+    run, alone, block, component, n, ids = (m[order] for m in members)
+    counts = counts[order]
+    # partners stand behind a member in its run, as far as sizes allow
+    at = np.arange(len(run))
+    base = n.max() * OF + 1
+    _, number = np.unique(run, return_inverse=True)
+    upto = np.searchsorted(number * base + n * SIMILAR, number * base + n * OF, side="right")
+    many = np.maximum(upto - at - 1, 0)
+    out_a, out_b = [], []
+    edge = np.concatenate(([0], np.cumsum(many)))
+    for begin in range(0, int(edge[-1]), PAIRS):
+        pair = np.arange(begin, min(begin + PAIRS, int(edge[-1])))
+        one = np.searchsorted(edge, pair, side="right") - 1
+        two = one + 1 + pair - edge[one]
+        keep = (component[one] != component[two]) & (alone[one] | (block[one] != block[two]))
+        one, two = one[keep], two[keep]
+        apart = np.abs(counts[one].astype(np.int16) - counts[two]).sum(axis=1, dtype=np.int64)
+        keep = apart * (OF + SIMILAR) <= (n[one] + n[two]) * (OF - SIMILAR)
+        out_a.append(np.minimum(ids[one[keep]], ids[two[keep]]))
+        out_b.append(np.maximum(ids[one[keep]], ids[two[keep]]))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
+def unlike(level: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one bucket (bucket, doc, component, size) in different components that may link.
+
+    Members meet inside tasks, MEMBERS by MEMBERS, and only what sizes and
+    count vectors allow comes out.  A large bucket is cut into blocks by hash
+    of the document; each two of its blocks meet in a group of their own, so no
+    group holds more than about twice MEMBERS rows.
+    """
+    parts = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks_ = F.greatest(F.lit(1), F.ceil(F.col("size") / MEMBERS)).cast("int")
+    own = level.withColumn("_n_blocks", blocks_).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("_n_blocks")).cast("int"))
+    other = own.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_n_blocks") - 1)))
+    side = info.select(F.col("doc_id").alias("_id"), "n_shingles", "counts")
+    run = F.xxhash64("bucket", F.least("block", "_with"), F.greatest("block", "_with"))
+    rows = (other.join(side, F.col("doc") == F.col("_id"))
+            .select(run.alias("run"), (F.col("block") == F.col("_with")).alias("same"), "block", "component", "n_shingles", "doc", "counts"))
+    dealt = rows.repartition(max(parts, 1), "run").sortWithinPartitions("run")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs_of(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            members = [t[c].to_numpy() for c in ("run", "same", "block", "component", "n_shingles", "doc")]
+            counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, PLACES)
+            a, b = _close(members, counts)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < 4 * MEMBERS:
+                continue
+            runs = held["run"].to_numpy()
+            # the last run may go on in the next batch
+            cut = int(np.flatnonzero(runs != runs[-1])[-1]) + 1 if (runs != runs[-1]).any() else 0
+            if cut:
+                yield pairs_of(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs_of(held)
+
+    return dealt.mapInArrow(test, "a bigint, b bigint").distinct()
+
+
 def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     pairs = cut_lineage(pairs.select("a", "b").distinct(), "pairs")
@@ -359,7 +453,7 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     joined = named.select("doc_id", "h1", "h2").join(groups.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), "first"), (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")))
     copies = cut_lineage(joined.where("doc_id <> first").select("doc_id", "first").distinct(), "copies")
     own = docs.where("doc_id IS NOT NULL")
-    expected = int((named.agg(F.sum("n_shingles")).first()[0] or 0) * 0.75)
+    expected = int((named.agg(F.sum("n_shingles")).first()[0] or 0) * 1.1)
     ids = copies.select(F.col("doc_id").alias("_id"))
     # copies need no signatures of their own; leaving them out only spares work, so it is done where they are few
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -386,25 +480,9 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         offers = level.join(top, F.col("bucket") == F.col("_bucket")).where(F.col("component") != F.col("top.component"))
         tests = _as_pairs(offers.select("doc", F.col("top.offer").alias("offer")), "doc", "offer").distinct()
         edges, labels = _joined(edges, links(may_link(tests, small), own), labels)
-    for k in range(REFINE + 1):
-        level = _open(level, labels)
-        if level.isEmpty():
-            break
-        now = level if k == REFINE else level.where(F.col("size") <= SMALL_BUCKET)
-        one = now.select("bucket", F.col("doc").alias("a"), F.col("component").alias("_ca"))
-        two = now.select(F.col("bucket").alias("_bucket"), F.col("doc").alias("b"), F.col("component").alias("_cb"))
-        rest = one.join(two, (F.col("bucket") == F.col("_bucket")) & (F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb"))).select("a", "b").distinct()
-        edges, labels = _joined(edges, links(may_link(rest, small), own), labels)
-        large = level.where(F.col("size") > SMALL_BUCKET)
-        if k == REFINE or large.isEmpty():
-            break
-        # members of a large bucket that are similar share a signature of every other dealing, too
-        members_of = cut_lineage(large.select("doc").distinct(), "members")
-        again = shared_signatures(only_ids(own, "doc_id", members_of), expected, seed=k + 1)
-        again = again.select("bucket", F.explode(F.array("pivot", "doc")).alias("doc")).distinct()
-        level = large.select(F.col("bucket").alias("_old"), F.col("doc").alias("_doc")).join(
-            again.select(F.col("bucket").alias("_new"), F.col("doc")), F.col("_doc") == F.col("doc"))
-        level = cut_lineage(level.select(F.xxhash64("_old", "_new").alias("bucket"), "doc").distinct(), "dealt-again")
+    level = _open(level, labels)
+    if not level.isEmpty():
+        edges, labels = _joined(edges, links(unlike(level, small), own), labels)
     # links join groups of equal sets by their first documents
     return _labelled(_labelled(info.select("doc_id", "n_shingles"), "doc_id", first_of, "_first"), "_first", labels, "component_id").drop("_first")
 
