@@ -8,11 +8,12 @@ a single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import first_by_order, running_totals
+from ..functions.ordering import first_by_order
 from ..functions.safe import money
+from ..session import cut_lineage
 from ..functions.scalar import one_row, with_row
 
 
@@ -78,14 +79,13 @@ def share_top_n(df: DataFrame, cat: str, value: str = "weekly_sales", n: int = 5
                 other_label: str = "Others") -> DataFrame:
     """A21 + U1: top-n shares of the total, remainder as one "Others" row (only
     when positive); zero total -> share 0 and no "Others"."""
-    s = category_sums(df, cat, value)
-    ranked = running_totals(s, [F.col("value").desc(), F.col(cat).asc()], None, pos_col="rank", cum_col=None)
-    tot = _mean_row(s).select("total")
-    j = with_row(ranked, tot)
-    top = j.where(F.col("rank") <= n).select(cat, "value", "rank", "total")
-    rest = (j.where(F.col("rank") > n)
-            .agg(F.lit(other_label).alias(cat), F.sum("value").alias("value"),
-                 F.lit(n + 1).cast("long").alias("rank"), F.first("total").alias("total"))
+    s = cut_lineage(category_sums(df, cat, value), "category-sums")
+    first = s.orderBy(F.col("value").desc(), F.col(cat).asc()).limit(n)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.col("value").desc(), F.col(cat).asc())).cast("long"))  # n rows
+    top = with_row(ranked, _mean_row(s).select("total")).select(cat, "value", "rank", "total")
+    # the rest is what the top rows leave of the total: no other row is ranked
+    rest = (with_row(s.agg(F.sum("value").alias("total")), top.agg(F.sum("value").alias("_top")))
+            .select(F.lit(other_label).alias(cat), (F.col("total") - F.col("_top")).alias("value"), F.lit(n + 1).cast("long").alias("rank"), "total")
             .where((F.col("value") > 0) & (F.col("total") != 0)))
     u = top.unionByName(rest)
     share = F.when(F.col("total") == 0, F.lit(0.0)).otherwise(

@@ -118,10 +118,11 @@ def region_metrics(df: DataFrame, region: str = "region", date: str = "date",
 
 
 def department_metrics(df: DataFrame, department: str = "department", date: str = "date",
-                       sales: str = "weekly_sales", ties: Sequence[str] = ()) -> DataFrame:
+                       sales: str = "weekly_sales", ties: Sequence[str] = (), rounded: bool = True) -> DataFrame:
     """Per department sales, rank (sales desc, name asc), cumulative % of
     the total and row-tail trend (NULL when not computable).  The cumulative
-    sum is a distributed prefix sum, not a single-partition window."""
+    sum is a distributed prefix sum, not a single-partition window.  What
+    compares the cumulative % with a limit takes it unrounded."""
     t = entity_totals(df, department, sales, None)
     ranked = running_totals(t, [F.col("sales").desc(), F.col(department).asc()], "sales",
                             pos_col="rank", cum_col="_cum")
@@ -130,7 +131,7 @@ def department_metrics(df: DataFrame, department: str = "department", date: str
     cum_pct = F.when(F.col("_total") != 0, F.col("_cum").cast("double") / F.col("_total").cast("double") * 100)
     tr = row_tail_trend(df, department, date, sales, ties, absent_as_null=True)
     return j.join(tr, department, "left").select(
-        department, money("sales").alias("sales"), F.col("rank"), r6(cum_pct).alias("cumulative_pct"),
+        department, money("sales").alias("sales"), F.col("rank"), (r6(cum_pct) if rounded else cum_pct).alias("cumulative_pct"),
         r6("trend_4wk").alias("trend_4wk"))
 
 

@@ -100,7 +100,7 @@ def weekly_trend(df: DataFrame, freq: str = "W", rounded: bool = True, **cols) -
     NULL with fewer than 8 periods or a previous mean <= 0.  Thresholds are
     for unrounded values (``rounded=False``).
     """
-    r = r6 if rounded else (lambda c: F.col(c) if isinstance(c, str) else c)
+    r = _r(rounded)
     g = _tail_indexed(with_growth(weekly_dense(df, freq=freq, **cols)))
     s = F.col("weekly_sales_sum").cast("double")
     agg = g.agg(
@@ -127,17 +127,22 @@ def last_periods_totals(df: DataFrame, n: int = 4, freq: str = "W", **cols) -> D
         r6(safe_div(F.coalesce("s", F.lit(0)), "t")).alias("avg_transaction_value"))
 
 
-def ma_trend_pct(df: DataFrame, freq: str = "W", **cols) -> DataFrame:
-    """(ma4[last] - ma4[last-3]) / ma4[last-3] * 100; 0 when < 4 periods or 0."""
+def _r(rounded: bool):
+    return r6 if rounded else (lambda c: F.col(c) if isinstance(c, str) else c)
+
+
+def ma_trend_pct(df: DataFrame, freq: str = "W", rounded: bool = True, **cols) -> DataFrame:
+    """(ma4[last] - ma4[last-3]) / ma4[last-3] * 100; 0 when < 4 periods or 0.
+    Rules compare unrounded values: pass ``rounded=False`` for them."""
     g = _tail_indexed(with_growth(weekly_dense(df, freq=freq, **cols)))
     a = g.agg(F.count(F.lit(1)).alias("n"),
               F.max(F.when(F.col("_k") == 1, F.col("ma_4wk"))).alias("m1"),
               F.max(F.when(F.col("_k") == 4, F.col("ma_4wk"))).alias("m4"))
     v = F.when((F.col("n") >= 4) & (F.col("m4") != 0), (F.col("m1") - F.col("m4")) / F.col("m4") * 100)
-    return a.select(r6(F.coalesce(v, F.lit(0.0))).alias("trend_4wk_pct"))
+    return a.select(_r(rounded)(F.coalesce(v, F.lit(0.0))).alias("trend_4wk_pct"))
 
 
-def wow_stats(df: DataFrame, freq: str = "W", **cols) -> DataFrame:
+def wow_stats(df: DataFrame, freq: str = "W", rounded: bool = True, **cols) -> DataFrame:
     """Last and mean WoW in %, count of rising and falling periods."""
     g = _tail_indexed(with_growth(weekly_dense(df, freq=freq, **cols)))
     s = F.col("weekly_sales_sum").cast("double")
@@ -148,12 +153,13 @@ def wow_stats(df: DataFrame, freq: str = "W", **cols) -> DataFrame:
         F.avg(F.col("wow_growth_pct") * 100).alias("avg_wow_pct"),
         F.count_if(s > F.col("_prev")).alias("pos_weeks"),
         F.count_if(s < F.col("_prev")).alias("neg_weeks"))
-    return a.select(r6(F.coalesce("last_wow_pct", F.lit(0.0))).alias("last_wow_pct"),
-                    r6(F.coalesce("avg_wow_pct", F.lit(0.0))).alias("avg_wow_pct"),
+    r = _r(rounded)
+    return a.select(r(F.coalesce("last_wow_pct", F.lit(0.0))).alias("last_wow_pct"),
+                    r(F.coalesce("avg_wow_pct", F.lit(0.0))).alias("avg_wow_pct"),
                     F.col("pos_weeks").cast("long"), F.col("neg_weeks").cast("long"))
 
 
-def momentum(df: DataFrame, freq: str = "W", **cols) -> DataFrame:
+def momentum(df: DataFrame, freq: str = "W", rounded: bool = True, **cols) -> DataFrame:
     """Current vs previous period, 4-period mean, volatility and velocity."""
     g = _tail_indexed(weekly_dense(df, freq=freq, **cols))
     s = F.col("weekly_sales_sum").cast("double")
@@ -168,12 +174,13 @@ def momentum(df: DataFrame, freq: str = "W", **cols) -> DataFrame:
     recent = F.col("cur") - prev
     hist = F.when(F.col("n") > 4, prev - four).otherwise(F.lit(0.0))
     chg_pct = F.when(prev > 0, (F.col("cur") - prev) / prev * 100).otherwise(F.lit(0.0))
+    r = _r(rounded)
     return a.select(
-        r6("cur").alias("current_value"), r6(prev).alias("previous_value"),
-        r6(recent).alias("change_amount"), r6(chg_pct).alias("change_pct"),
-        r6("avg4").alias("four_week_avg"),
+        r("cur").alias("current_value"), r(prev).alias("previous_value"),
+        r(recent).alias("change_amount"), r(chg_pct).alias("change_pct"),
+        r("avg4").alias("four_week_avg"),
         F.when(F.col("cur") > F.col("avg4"), "above").otherwise("below").alias("vs_four_week_avg"),
-        r6("std").alias("volatility"),
+        r("std").alias("volatility"),
         F.when(F.abs(recent) > F.abs(hist), "accelerating").otherwise("slowing").alias("velocity"),
         F.col("n").cast("long").alias("data_points"))
 

@@ -64,8 +64,8 @@ def compute_kpis(raw: DataFrame, rules: dict, filters: dict | None = None,
     if "regional" in want:
         out["regional"] = E.region_metrics(cleaned, ties=ties)
     if want & {"departments", "departments_meta"}:
-        dept = E.department_metrics(cleaned, ties=ties)
-        out["departments"] = dept
+        dept = E.department_metrics(cleaned, ties=ties, rounded=False)
+        out["departments"] = dept.withColumn("cumulative_pct", F.round("cumulative_pct", 6))
         out["departments_meta"] = E.pareto_meta(dept)
     if "flagged_rows" in want:
         derived = derived.drop("_at")

@@ -122,6 +122,10 @@ FROM (SELECT department, sum(weekly_sales) AS s FROM fact WHERE department IS NO
 LEFT JOIN dt USING (department)"""
 
 
+#: The same with the cumulative share as it is, for what compares it.
+DEPT_RAW_SQL = DEPT_SQL.replace("round(CAST(sum(s) OVER", "(CAST(sum(s) OVER").replace("* 100, 6) AS cumulative_pct", "* 100) AS cumulative_pct")
+
+
 @register("department_metrics", with_fact(DEPT_SQL, tail_cte("department", "dt", null_default=True)))
 def q_department_metrics(spark, sf):
     return E.department_metrics(fact_view(spark, sf), ties=TIES)
@@ -130,9 +134,9 @@ def q_department_metrics(spark, sf):
 @register("department_pareto_meta", with_fact("""
 SELECT CAST(count(*) FILTER (WHERE cumulative_pct <= 80) AS BIGINT) AS pareto_80_count,
        CAST(count(*) AS BIGINT) AS total_count FROM dm""",
-    tail_cte("department", "dt", null_default=True), "dm AS (" + DEPT_SQL + ")"))
+    tail_cte("department", "dt", null_default=True), "dm AS (" + DEPT_RAW_SQL + ")"))
 def q_department_pareto_meta(spark, sf):
-    return E.pareto_meta(E.department_metrics(fact_view(spark, sf), ties=TIES))
+    return E.pareto_meta(E.department_metrics(fact_view(spark, sf), ties=TIES, rounded=False))
 
 
 @register("top_stores", with_fact("""

@@ -19,7 +19,7 @@ from ..sources.rules import fact_rules
 from ..sources.tables import dirty_fact, fact_view
 from .catalog import WEEKLY_CTE, register, with_fact
 from .queries_clean import CLEAN_CTE, DIRTY_CTE, TYPED_CTE, _iqr_ctes
-from .queries_entities import DEPT_SQL, TIES, tail_cte
+from .queries_entities import DEPT_RAW_SQL, TIES, tail_cte
 from ..functions.scalar import one_row, with_row
 
 
@@ -170,16 +170,16 @@ FROM r, m WHERE rank > {n} HAVING sum(v) > 0 AND any_value(total) <> 0""",
     _mks(_cat, _n)
 
 
-DM_CTES = [tail_cte("department", "dt", null_default=True), "dm AS (" + DEPT_SQL + ")"]
+DM_CTES = [tail_cte("department", "dt", null_default=True), "dm AS (" + DEPT_RAW_SQL + ")"]
 
 
 @register("pareto_cut", with_fact("""
-SELECT department, rank, cumulative_pct FROM (
+SELECT department, rank, round(cumulative_pct, 6) AS cumulative_pct FROM (
   SELECT department, rank, cumulative_pct, 0 AS pri FROM dm WHERE cumulative_pct >= 80
   UNION ALL SELECT department, rank, cumulative_pct, 1 AS pri FROM dm)
 ORDER BY pri, CASE WHEN pri = 0 THEN rank ELSE -rank END LIMIT 1""", *DM_CTES))
 def q_pareto_cut(spark, sf):
-    return B.pareto_cut(E.department_metrics(fact_view(spark, sf), ties=TIES))
+    return B.pareto_cut(E.department_metrics(fact_view(spark, sf), ties=TIES, rounded=False)).withColumn("cumulative_pct", r6("cumulative_pct"))
 
 
 @register("region_concentration", with_fact("""
@@ -200,7 +200,7 @@ SELECT round(CASE WHEN sum(sales) > 0 THEN max(sales) / sum(sales) * 100 ELSE 0.
        round(count(*) FILTER (WHERE cumulative_pct <= 80) * 100.0 / count(*), 6) AS top_80_pct_of_departments
 FROM dm""", *DM_CTES))
 def q_department_concentration(spark, sf):
-    c = B.department_concentration(E.department_metrics(fact_view(spark, sf), ties=TIES))
+    c = B.department_concentration(E.department_metrics(fact_view(spark, sf), ties=TIES, rounded=False))
     return c.select(*[r6(x).alias(x) if x not in ("pareto_80_count", "concentration_level") else F.col(x)
                       for x in c.columns])
 
@@ -496,14 +496,14 @@ def _bench_ctx_sql(cat: str, name: str) -> str:
 @register("findings", with_fact(FINDINGS_SQL, WEEKLY_CTE, week_cte("store", "sw"), "al AS (" + ALIGNED_SQL + ")",
     *DM_CTES,
     """mo AS (
-  SELECT round(CASE WHEN prev > 0 THEN (cur - prev) / prev * 100 ELSE 0.0 END, 6) AS change_pct, cur, prev
+  SELECT CASE WHEN prev > 0 THEN (cur - prev) / prev * 100 ELSE 0.0 END AS change_pct, cur, prev
   FROM (SELECT cur, CASE WHEN n > 1 THEN prev0 ELSE cur END AS prev
         FROM (SELECT count(*) AS n, max(CASE WHEN k = 1 THEN sd END) AS cur,
                      max(CASE WHEN k = 2 THEN sd END) AS prev0 FROM growth)))""",
-    """ws AS (SELECT round(coalesce(max(CASE WHEN k = 1 THEN wow * 100 END), 0.0), 6) AS last_wow_pct FROM growth)""",
-    """mt AS (SELECT round(coalesce(CASE WHEN count(*) >= 4 AND max(CASE WHEN k = 4 THEN ma4 END) <> 0 THEN
+    """ws AS (SELECT coalesce(max(CASE WHEN k = 1 THEN wow * 100 END), 0.0) AS last_wow_pct FROM growth)""",
+    """mt AS (SELECT coalesce(CASE WHEN count(*) >= 4 AND max(CASE WHEN k = 4 THEN ma4 END) <> 0 THEN
    (max(CASE WHEN k = 1 THEN ma4 END) - max(CASE WHEN k = 4 THEN ma4 END))
-   / max(CASE WHEN k = 4 THEN ma4 END) * 100 END, 0.0), 6) AS trend_4wk_pct FROM growth)""",
+   / max(CASE WHEN k = 4 THEN ma4 END) * 100 END, 0.0) AS trend_4wk_pct FROM growth)""",
     """pu AS (
   SELECT CAST(count(*) FILTER (WHERE change > 0) AS BIGINT) AS stores_growing,
          CAST(count(*) FILTER (WHERE change < 0) AS BIGINT) AS stores_declining,
@@ -523,14 +523,14 @@ def _bench_ctx_sql(cat: str, name: str) -> str:
 def q_findings(spark, sf):
     """R2-R6 findings table over the one-row metric frames."""
     f = fact_view(spark, sf)
-    dm = E.department_metrics(f, ties=TIES)
+    dm = E.department_metrics(f, ties=TIES, rounded=False)
     rm = E.region_metrics(f, ties=TIES)
     tb = E.top_bottom(rm.select("region", "sales"), "region", "sales", "region").select(
         "top_region", F.col("top_region_value").alias("top_region_sales"), "bottom_region")
     return FD.findings(
-        momentum=wk.momentum(f), wow=wk.wow_stats(f), pulse=T.store_pulse(T.store_4wk_aligned(f)),
+        momentum=wk.momentum(f, rounded=False), wow=wk.wow_stats(f, rounded=False), pulse=T.store_pulse(T.store_4wk_aligned(f)),
         store_bench=B.benchmark_context(f, "store"), dept_bench=B.benchmark_context(f, "department"),
-        dept_conc=B.department_concentration(dm), top_bottom=tb, ma_trend=wk.ma_trend_pct(f))
+        dept_conc=B.department_concentration(dm), top_bottom=tb, ma_trend=wk.ma_trend_pct(f, rounded=False))
 
 
 def _entity_findings_sql() -> str:

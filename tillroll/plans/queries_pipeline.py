@@ -18,7 +18,7 @@ from .catalog import WEEKLY_CTE, register, with_fact
 from .pipeline import compute_kpis
 from .store_sink import store_weeks, store_years, write_store_weeks
 from .queries_clean import CLEAN_CTE, DIRTY_CTE, TYPED_CTE, _iqr_ctes
-from .queries_entities import DEPT_SQL, DERIVED_CTE, ORDER_DESC_SQL, TIES, tail_cte
+from .queries_entities import DEPT_RAW_SQL, DEPT_SQL, DERIVED_CTE, ORDER_DESC_SQL, TIES, tail_cte
 
 CLEAN_WEEKLY_CTE = WEEKLY_CTE.replace("FROM fact WHERE date IS NOT NULL", "FROM clean WHERE date IS NOT NULL")
 
@@ -192,7 +192,7 @@ def q_bundle_departments(spark, sf):
 
 @register("bundle_departments_meta", _bundle_sql("""
 SELECT CAST(count(*) FILTER (WHERE cumulative_pct <= 80) AS BIGINT) AS pareto_80_count,
-       CAST(count(*) AS BIGINT) AS total_count FROM dm""", tail_cte("department", "dt", null_default=True), "dm AS (" + DEPT_SQL + ")"))
+       CAST(count(*) AS BIGINT) AS total_count FROM dm""", tail_cte("department", "dt", null_default=True), "dm AS (" + DEPT_RAW_SQL + ")"))
 def q_bundle_departments_meta(spark, sf):
     return _bundle(spark, sf, "departments_meta")
 
