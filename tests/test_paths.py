@@ -69,6 +69,63 @@ def test_stream_keeps_every_event_of_many_files_in_any_order(spark, tmp_path):
     assert sum(want.values()) == events.count()
 
 
+@pytest.mark.parametrize("order", ["reversed", "forward", "mixed"])
+def test_open_weeks_late_events_and_bounded_folders(spark, tmp_path, order):
+    """96 files, one or few in a batch: every event counts, late ones apart, and folders do not pile up."""
+    from tillroll.streaming.weekly_stream import stream_into
+
+    start, rows = dt.datetime(2024, 1, 1), []
+    for i in range(960):
+        rows.append((i, start + dt.timedelta(hours=2 * i), i % 7, "ab"[i % 2], float(i), None))
+    files = [rows[k * 10:(k + 1) * 10] for k in range(96)]
+    if order == "reversed":
+        files.reverse()
+    if order == "mixed":
+        files = files[:40] + files[70:] + files[40:70]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    folder = tmp_path / "table"
+    folder.mkdir()
+    for k, f in enumerate(files):
+        part = str(tmp_path / f"f{k}")
+        spark.createDataFrame(f, schema).coalesce(1).write.parquet(part)
+        name = next(x for x in os.listdir(part) if x.startswith("part"))
+        os.rename(f"{part}/{name}", folder / f"{k:03d}.parquet")
+        os.utime(folder / f"{k:03d}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    sink = stream_into(spark, str(folder), files_per_batch=6, delay=7, compact=4)
+    want, week = {}, lambda t: (t + dt.timedelta(days=6 - t.weekday())).date()
+    for _, t, _, kind, v, _ in rows:
+        s, n = want.get((week(t), kind), (0.0, 0))
+        want[week(t), kind] = (s + v, n + 1)
+    assert {(r.date, r.event_type): (r.weekly_sales_sum, r.events) for r in sink.totals().collect()} == want
+    # late: the week's last day lies more than the delay before the largest time of the batches before
+    late, seen = {}, None
+    for b in range(0, 96, 6):
+        batch = [r for f in files[b:b + 6] for r in f]
+        for _, t, _, kind, _, _ in batch:
+            if seen and week(t) < seen.date() - dt.timedelta(days=7):
+                late[week(t), kind] = late.get((week(t), kind), 0) + 1
+        seen = max([r[1] for r in batch] + ([seen] if seen else []))
+    assert {(r.date, r.event_type): r.events for r in sink.late().collect()} == late
+    assert bool(late) == (order != "forward")
+    open_ = {r.date for r in sink.open_weeks().collect()}
+    assert len(open_) <= 4 and max(d for d, _ in want) in open_
+    assert len(sink.numbers("batch")) < 4 and len(sink.numbers("base")) == 1 and len(sink.numbers("state")) <= 2
+    # a batch that is replayed after it was folded, and one that is replayed before, change nothing
+    sink.add(spark.createDataFrame(files[-1], schema), max(sink.numbers("base")))
+    assert sum(r.events for r in sink.totals().collect()) == 960
+
+
+def test_a_replayed_batch_replaces_its_own_output(spark, tmp_path):
+    from tillroll.streaming.weekly_stream import Sink
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    batch = lambda days: spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), 1, "a", 1.0, None) for i, d in enumerate(days)], schema)
+    sink = Sink(spark, str(tmp_path / "out"), ("event_type",), delay=7, compact=3)
+    for number, days in ((0, [0, 1, 30]), (1, [2, 31]), (1, [2, 31]), (2, []), (3, [60, 3])):
+        sink.add(batch(days), number)
+    assert sum(r.events for r in sink.totals().collect()) == 7 and sum(r.events for r in sink.late().collect()) == 2
+
+
 def test_csv_is_read_by_header(spark, tmp_path):
     from tillroll.operators.clean import missing_columns
     from tillroll.sources.tables import read_sales_csv
