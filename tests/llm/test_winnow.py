@@ -8,7 +8,8 @@ from tillroll.llm import winnow as w
 
 
 def tokens(text):
-    return regex.findall(r"[\p{L}\p{N}&&[\x00-ɏ]]{1,24}|\S", (text or "").lower(), flags=regex.V1)
+    apart = "".join(rf"\p{{{s}}}" for s in w.UNSPACED)
+    return regex.findall(rf"[\p{{L}}\p{{N}}\p{{M}}--[{apart}]]{{1,24}}|\S", (text or "").lower(), flags=regex.V1)
 
 
 def keep(hashes):
@@ -24,7 +25,7 @@ def keep(hashes):
 
 def text_of(seed, n):
     r = random.Random(seed)
-    return " ".join(r.choice(["ab", "cd", "e", "the,", "x1", "né", "你", "Z"]) for _ in range(n))
+    return " ".join(r.choice(["ab", "cd", "e", "the,", "x1", "né", "你", "Z", "Привет", "مرحبا", "ไทย", "हिन्दी"]) for _ in range(n))
 
 
 TEXTS = [None, "", "  ", "one", "a b c d", "a b c d e", "a " * 300, "x" * 3000, *(text_of(i, 3 * i) for i in range(40)), text_of(1, 5000)]
@@ -53,6 +54,27 @@ def test_match_guarantee(spark):
     assert n >= 1
 
 
+def like(a, b):
+    """Twice the shared hashes by both sides' hashes, of two written fingerprints."""
+    a, b = ({x.split(":")[1] for x in s.split(",") if x} for s in (a, b))
+    return 2.0 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
+
+
+LETTERS = {"latin": "abcdefghij", "cyrillic": "абвгдежзик", "greek": "αβγδεζηθικ", "arabic": "ابتثجحخدذر", "hebrew": "אבגדהוזחטי", "devanagari": "कखगघचछजझटड", "hangul": "가나다라마바사아자차"}
+
+
+def test_unrelated_texts_are_unlike_in_every_spaced_script(spark):
+    r = random.Random(2)
+    for name, letters in LETTERS.items():
+        rows = [(i, " ".join("".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(60))) for i in range(20)]
+        out = w.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sum(x.near_next for x in out) / len(out) < 0.05, name
+        assert sum(x.near_edited for x in out) / len(out) > 0.6, name
+    han = [(i, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(80))) for i in range(20)]
+    out = w.compare_with_edits(spark.createDataFrame(han, "doc_id long, text string")).collect()
+    assert sum(x.near_next for x in out) < 0.5 and sum(x.near_edited for x in out) / len(out) > 0.6
+
+
 def test_query_against_its_definition(spark):
     d = "/root/testdata/sf0.001"
     docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect())
@@ -64,7 +86,8 @@ def test_query_against_its_definition(spark):
         edited = t[:len(t) - q] + after[:q]
         r = rows[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        assert r.near_edited == like(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == like(r.fingerprint, rows[docs[(k + 1) % len(docs)][0]].fingerprint)
         assert rows[docs[(k + 1) % len(docs)][0]].fingerprint or not tokens(after)
     long = [rows[i] for i, t in docs if len(tokens(t)) > 200]
     assert sum(r.near_edited for r in long) / len(long) > 0.6 > 0.2 > sum(r.near_next for r in long) / len(long)

@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing (Spark SQL functions only).
 
-A text's tokens are runs of letters and digits (cut after 24), in lower case,
-and every other visible character by itself.  The hash of each run of GRAM
+A text's tokens are runs of letters, digits and combining marks (cut after
+24), in lower case, and every other visible character by itself; so are the
+characters of scripts that put no spaces between words.  The hash of each run of GRAM
 tokens rolls up from those of its shorter runs; in every window of WINDOW
 successive hashes the smallest is chosen, the rightmost of equal ones.  The
 fingerprint is the chosen hashes with their positions.  Two texts that share
@@ -11,7 +12,8 @@ shorter than GRAM tokens makes them share one.
 Defined results: null and empty texts (and those without a token) have the
 empty fingerprint, which is like nothing (0); fewer than GRAM tokens are one
 run; fewer than WINDOW hashes are one window; equal texts have equal
-fingerprints; texts are read whole.
+fingerprints; texts are read whole.  Positions hold any text that fits a
+column (2**31 tokens); hashes are compared by 32 bits.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from .blocks import need
 
 GRAM = 3
 WINDOW = 4
-TOKEN = r"[\p{L}\p{N}&&[\x00-\u024F]]{1,24}|\S"
+#: Scripts whose words are not set apart by spaces.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")
+TOKEN = r"[\p{L}\p{N}\p{M}&&[^" + "".join(rf"\p{{Is{s}}}" for s in UNSPACED) + r"]]{1,24}|\S"
 #: A chosen hash and its position share one long: HASH_BITS of hash above POSITION_BITS of counted-down position,
 #: so that the least long is the least hash and, of equal ones, the rightmost.
-POSITION_BITS, HASH_BITS = 25, 38
+POSITION_BITS, HASH_BITS = 31, 32
 _LAST = (1 << POSITION_BITS) - 1
 _LONGS = "array<bigint>"
 
@@ -85,8 +89,8 @@ def fingerprint(text: Column) -> Column:
 
 
 def values(packed: Column) -> Column:
-    """The distinct hashes of a fingerprint."""
-    return F.array_distinct(F.transform(packed, lambda x: F.shiftright(x, POSITION_BITS)))
+    """The distinct hashes of a fingerprint, in four bytes each (shifted into the range of an int)."""
+    return F.array_distinct(F.transform(packed, lambda x: (F.shiftright(x, POSITION_BITS) - (1 << (HASH_BITS - 1))).cast("int")))
 
 
 def written(packed: Column) -> Column:
@@ -127,13 +131,16 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -
     many of the next document's first ones.  The next document is that of the
     next larger id (null is smallest; after the last the first); where several
     rows share that id, the one with the smallest text counts.
+
+    Texts are exchanged once, alone; fingerprints are made where they are
+    compared, and a document sends the one before it a quarter of that one's
+    length in text and its hashes.
     """
     need(df, key, text)
     c_type = df.schema[key].dataType
     # an id and its nullness are two plain columns: all joins and the grouping below then share one partitioning
     named = lambda c, x: [F.coalesce(c, F.lit(0).cast(c_type)).alias(f"{x}_id"), c.isNull().alias(f"{x}_null")]
     docs = df.select(*named(F.col(key), "doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumns({"n_chars": F.length("text").cast("long"), "fp": fingerprint(F.col("text"))})
     # how much the document before may take from this one: the quarter of the longest row of its id
     sizes = df.select(F.col(key).alias("id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n")).groupBy("id").agg(F.max("n").alias("n"))
     links = next_ids(sizes, "id").select(*named(F.col("id"), "own"), *named(F.col("next_key"), "next"))
@@ -141,17 +148,18 @@ def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -
     same = lambda x, y: (F.col(f"{x}_id") == F.col(f"{y}_id")) & (F.col(f"{x}_null") == F.col(f"{y}_null"))
     asks = links.join(quarters, same("own", "q")).drop("q_id", "q_null")
     given = (docs.join(asks, same("doc", "next")).groupBy("own_id", "own_null")
-             .agg(F.min(F.struct(F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("head"), F.col("n_chars"),
-                                 F.col("fp").alias("next_fp"))).alias("given")))
-    both = docs.join(given, same("doc", "own"))
+             .agg(F.min(F.struct(F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("head"), F.length("text").alias("n"),
+                                 values(fingerprint(F.col("text"))).alias("hashes"))).alias("given")))
+    both = docs.join(given, same("doc", "own")).withColumn("n_chars", F.length("text").cast("long"))
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 4)
     edited = F.concat(F.substring("text", F.lit(1), kept.cast("int")), F.substring(F.col("given.head"), F.lit(1), F.floor(F.col("n_chars") / 4).cast("int")))
-    made = both.select(F.when(~F.col("doc_null"), F.col("doc_id")).alias("doc_id"), "n_chars", "fp", F.col("given.next_fp").alias("next_fp"), edited.alias("edited"))
-    made = made.select("doc_id", "n_chars", "fp", "next_fp", F.sha2(F.col("edited"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
+    made = both.select(F.when(~F.col("doc_null"), F.col("doc_id")).alias("doc_id"), "n_chars", fingerprint(F.col("text")).alias("fp"), F.col("given.hashes").alias("next_hashes"),
+                       edited.alias("edited"))
+    made = made.select("doc_id", "n_chars", "fp", "next_hashes", F.sha2(F.col("edited"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
     return made.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("fp")).alias("fingerprint"), written(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(values(F.col("fp")), values(F.col("edited_fp"))).alias("near_edited"),
-        likeness(values(F.col("fp")), values(F.col("next_fp"))).alias("near_next"))
+        likeness(values(F.col("fp")), F.col("next_hashes")).alias("near_next"))
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
