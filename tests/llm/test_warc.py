@@ -102,3 +102,37 @@ def test_least_bytes_and_empty_table(spark, tmp_path):
     assert [types[f"urn:page:{i}"] for i in (1, 2, 3, 4)] == ["response", "response", "revisit", "response"]
     warc.write_pages(df.limit(0), str(tmp_path / "none"))
     assert warc.read_records(spark, str(tmp_path / "none")).count() == 0
+
+
+def member(name, payload, level, length_field=False):
+    record = (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{name}>\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n")
+    whole = gzip.compress(record, level, mtime=0)
+    if not length_field:
+        return whole
+    extra = b"sl" + (8).to_bytes(2, "little")
+    total = len(whole) + 2 + len(extra) + 8
+    return whole[:3] + bytes([whole[3] | 4]) + whole[4:10] + (len(extra) + 8).to_bytes(2, "little") + extra + total.to_bytes(4, "little") + (0).to_bytes(4, "little") + whole[10:]
+
+
+@pytest.mark.parametrize("length_field", [False, True])
+@pytest.mark.parametrize("inner_size", [3, 400])
+def test_an_archive_inside_a_payload_is_no_record_at_any_split(tmp_path, length_field, inner_size):
+    """The payload is stored uncompressed, so the inner records stand in the file as they are."""
+    import random
+
+    r = random.Random(inner_size)
+    noise = lambda n: bytes(r.randrange(256) for _ in range(n))
+    inner = b"".join(member(f"inner{i}", noise(400), 6, length_field) for i in range(inner_size))
+    outer = [member("a", b"first " * 50, 6, length_field), member("b", inner, 0, length_field), member("c", noise(70_000), 6, length_field),
+             member("d", inner[:900], 0, length_field), member("e", b"", 6, length_field)]
+    for tail in (b"", b"\0" * 512):
+        data = b"".join(outer) + tail
+        size, stream = len(data), io.BytesIO(data)
+        starts = [sum(map(len, outer[:i])) for i in range(len(outer))]
+        probes = {p + d for p in starts for d in (-1, 0, 1)} | set(range(1, size, max(1, size // 60)))
+        for p in sorted(x for x in probes if 0 <= x < size):
+            want = next((s for s in starts if s >= p), size)
+            assert warc.next_member(stream, p, size) == want, p
+        for step in (700, 5000, 100_000):
+            got = [x["record_id"] for a in range(0, size, step) for x in warc.records(stream, size, a, min(a + step, size), [], True)]
+            assert got == ["urn:a", "urn:b", "urn:c", "urn:d", "urn:e"], step

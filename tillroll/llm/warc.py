@@ -211,6 +211,40 @@ class Plain:
         return self.out
 
 
+#: Longest run of a payload's bytes that can stand unchanged in a gzip member: one stored block.
+_STORED = 65_535
+
+
+def confirmed(stream, at: int, size: int) -> bool:
+    """Whether the member at ``at`` is a record of this file and not of an archive that lies, uncompressed, in a payload.
+
+    Members are followed, by their lengths where they say them.  Inside a
+    payload they could only go on to the end of one stored block, so a chain
+    that reaches another record after more than that, or the file's end, is
+    the file's own.
+    """
+    first = at
+    try:
+        while at < size:
+            item = Member(stream, at)
+            if bytes(item.upto(5)[:5]) != b"WARC/":
+                return False
+            if at - first > _STORED:
+                return True
+            at = item.end()
+    except (zlib.error, EOFError, ValueError):
+        return at > first and padding(stream, at, size)
+    return at == size
+
+
+def padding(stream, at: int, size: int) -> bool:
+    """Whether only zeros (a buffer's rest) follow up to the file's end."""
+    if size - at > _CHUNK:
+        return False
+    stream.seek(at)
+    return not stream.read(size - at).strip(b"\0")
+
+
 def next_member(stream, at: int, size: int) -> int:
     """Offset of the first record that begins at or after ``at`` in a file of gzip members, or ``size``."""
     while at < size:
@@ -218,11 +252,8 @@ def next_member(stream, at: int, size: int) -> int:
         data = stream.read(_CHUNK)
         i = data.find(_MEMBER)
         while 0 <= i:
-            try:
-                if bytes(Member(stream, at + i).upto(5)[:5]) == b"WARC/":
-                    return at + i
-            except (zlib.error, EOFError):
-                pass
+            if confirmed(stream, at + i, size):
+                return at + i
             i = data.find(_MEMBER, i + 1)
         at += max(1, len(data) - 2)
         if len(data) < 3:
@@ -236,6 +267,8 @@ def records(stream, size: int, start: int, end: int, filters: list, decode: bool
     packed = stream.read(2) == _MEMBER[:2]
     at = next_member(stream, start, size) if packed and start else start
     while at < min(end, size):
+        if packed and size - at <= _CHUNK and padding(stream, at, size):
+            return
         item = Member(stream, at) if packed else Plain(stream, at)
         head = item.until(b"\r\n\r\n")
         if head < 0:
