@@ -29,6 +29,7 @@ raw1 AS (
               WHEN k % 107 = 0 THEN CAST(CAST(weekly_sales * 100 AS DECIMAL(18,4)) AS VARCHAR)
               ELSE CAST(weekly_sales AS VARCHAR) END AS weekly_sales,
          CASE WHEN k % 89 = 0 THEN NULL WHEN k % 109 = 0 THEN '12.5' WHEN k % 113 = 0 THEN '20000'
+              WHEN k % 131 = 0 THEN '0'
               ELSE CAST(transactions AS VARCHAR) END AS transactions,
          k AS l_orderkey, ln AS l_linenumber FROM raw0),
 raw AS (SELECT * FROM raw1 UNION ALL SELECT * FROM raw1 WHERE l_orderkey % 53 = 0)"""

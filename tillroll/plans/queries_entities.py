@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import clean as C
 from ..operators import derive as D
 from ..operators import entities as E
 from ..operators import filters as FL
 from ..operators import weekly as wk
 from ..functions.safe import money
-from ..sources.tables import fact_view
+from ..sources.rules import fact_rules
+from ..sources.tables import dirty_fact, fact_view
 from .catalog import WEEKLY_CTE, register, with_fact
+from .queries_clean import DIRTY_CTE, TYPED_CTE
 from ..functions.scalar import with_row
 
 TIES = ["l_orderkey", "l_linenumber"]
@@ -184,3 +187,24 @@ WHERE CAST(s AS DOUBLE) > (SELECT CAST(sum(s) AS DOUBLE) / count(*) FROM t)""",
 def q_above_average_stores(spark, sf):
     t = E.entity_totals(fact_view(spark, sf), "store", txns=None).select("store", money("sales").alias("sales"))
     return FL.above_average(t, "sales", strict=True, above=True)
+
+
+@register("at_or_below_average_stores", with_fact("""
+SELECT store, CAST(s AS DOUBLE) AS sales FROM t
+WHERE CAST(s AS DOUBLE) <= (SELECT CAST(sum(s) AS DOUBLE) / count(*) FROM t)""",
+    "t AS (SELECT store, sum(weekly_sales) AS s FROM fact WHERE store IS NOT NULL GROUP BY store)"))
+def q_at_or_below_average_stores(spark, sf):
+    """the other side of the average."""
+    t = E.entity_totals(fact_view(spark, sf), "store", txns=None).select("store", money("sales").alias("sales"))
+    return FL.above_average(t, "sales", strict=True, above=False)
+
+
+@register("complete_positive_rows", with_fact("""
+SELECT date AS "Date", store AS "Store", CAST(weekly_sales AS DOUBLE) AS "Sales", l_orderkey AS "Order", l_linenumber AS "Line"
+FROM typed WHERE date IS NOT NULL AND store IS NOT NULL AND region IS NOT NULL AND weekly_sales IS NOT NULL AND weekly_sales > 0""",
+    DIRTY_CTE, TYPED_CTE))
+def q_complete_positive_rows(spark, sf):
+    """Complete rows of the typed upload with positive sales, under their display names."""
+    typed = C.coerce_types(dirty_fact(spark, sf), fact_rules()).withColumn("sales", F.col("weekly_sales").cast("double"))
+    rows = FL.positive_only(FL.drop_null_rows(typed, ["date", "store", "region", "weekly_sales"]), "sales")
+    return FL.display_columns(rows, {"date": "Date", "store": "Store", "sales": "Sales", "l_orderkey": "Order", "l_linenumber": "Line"})

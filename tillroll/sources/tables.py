@@ -93,6 +93,7 @@ def dirty_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     txns = (F.when(k % 89 == 0, F.lit(None))
             .when(k % 109 == 0, F.lit("12.5"))
             .when(k % 113 == 0, F.lit("20000"))
+            .when(k % 131 == 0, F.lit("0"))
             .otherwise(t))
     # Exact duplicate rows: a second copy of some lines, made in the same scan.
     copies = F.explode(F.when(k % 53 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
