@@ -30,6 +30,21 @@ def test_filter_reaches_the_scan_and_fact_is_never_built(spark):
     assert "BuildLeft" not in plan and "BuildRight" in plan
 
 
+def test_large_dimensions_are_not_broadcast(spark, monkeypatch):
+    from tillroll.sources import tables
+
+    want = sorted(map(str, fact_view(spark, SF).groupBy("store").agg(F.sum("weekly_sales")).collect()))
+    monkeypatch.setattr(tables, "BROADCAST_MAX_BYTES", 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        f = fact_view(spark, SF)
+        assert "BroadcastHashJoin" not in _plan(f) and "SortMergeJoin" in _plan(f)
+        assert sorted(map(str, f.groupBy("store").agg(F.sum("weekly_sales")).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_row_tail_limit_runs_before_the_shuffle(spark):
     from tillroll.operators.entities import row_tail_trend
 

@@ -20,26 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Largest dimension (in rows) we broadcast; above it the join sort-merges.
-BROADCAST_MAX_ROWS = int(os.environ.get("TILLROLL_BROADCAST_MAX_ROWS", "2000000"))
+# Largest dimension (bytes of its files, all columns) we broadcast; above it the join sort-merges.
+BROADCAST_MAX_BYTES = int(os.environ.get("TILLROLL_BROADCAST_MAX_BYTES", str(64 << 20)))
 
 
-def bounded_broadcast(df: DataFrame, rows_of: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only if the table ``rows_of``, which bounds it, has at most ``max_rows`` rows now.
+def bounded_broadcast(df: DataFrame, whole: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast-hint ``df`` only if the files of the table ``whole``, which it is a part of, hold at most ``max_bytes`` now.
 
-    The count of a whole parquet table comes from file footers, so it is made
-    anew for every plan and can't go stale.  The hint keeps the planner from
-    ever building the fact side: size estimates from file sizes can undershoot
-    for a heavily pruned fact scan.
+    The size comes from the file listing that planning needs anyway: no job,
+    and made anew for every plan.  Only a few columns of a table are ever
+    broadcast, so what is sent is of the order of its files at most.  The hint
+    keeps the planner from ever building the fact side: size estimates can
+    undershoot for a heavily pruned fact scan.
     """
-    return F.broadcast(df) if rows_of.count() <= max_rows else df
+    limit = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    size = int(str(whole._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
 
 
 def fact_view(spark: SparkSession, sf_dir: str, with_ties: bool = True) -> DataFrame:
     """The sales fact over the star schema (FIXTURES.md section 3).
 
     lineitem -> supplier -> nation -> region, lineitem -> part, all inner.
-    Dimension sides are broadcast only behind a bounded row-count check
+    Dimension sides are broadcast only behind a check of their files' size
     (``bounded_broadcast``); past the bound (supplier/part at large scale
     factors) the joins sort-merge on the keys, with AQE splitting a hot
     supplier or part key.  The fact side is never a build side.  Only the
@@ -48,15 +51,16 @@ def fact_view(spark: SparkSession, sf_dir: str, with_ties: bool = True) -> DataF
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         "l_shipdate", "l_extendedprice", "l_discount", "l_quantity")
-    su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    na = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    rg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    geo = (su.join(bounded_broadcast(na, na), su.s_nationkey == na.n_nationkey)
-             .join(bounded_broadcast(rg, rg), F.col("n_regionkey") == rg.r_regionkey)
+    whole = {t: table(spark, sf_dir, t) for t in ("supplier", "nation", "region", "part")}
+    su = whole["supplier"].select("s_suppkey", "s_name", "s_nationkey")
+    na = whole["nation"].select("n_nationkey", "n_regionkey")
+    rg = whole["region"].select("r_regionkey", "r_name")
+    pa = whole["part"].select("p_partkey", "p_brand")
+    geo = (su.join(bounded_broadcast(na, whole["nation"]), su.s_nationkey == na.n_nationkey)
+             .join(bounded_broadcast(rg, whole["region"]), F.col("n_regionkey") == rg.r_regionkey)
              .select("s_suppkey", "s_name", "r_name"))
-    j = (li.join(bounded_broadcast(geo, su), li.l_suppkey == geo.s_suppkey)
-           .join(bounded_broadcast(pa, pa), li.l_partkey == pa.p_partkey))
+    j = (li.join(bounded_broadcast(geo, whole["supplier"]), li.l_suppkey == geo.s_suppkey)
+           .join(bounded_broadcast(pa, whole["part"]), li.l_partkey == pa.p_partkey))
     cols = [
         F.to_date("l_shipdate").alias("date"),
         F.col("s_name").alias("store"),
