@@ -150,7 +150,7 @@ def test_health_and_alert_rules(spark):
     m = spark.createDataFrame([(-0.2, 4, 0.01)], "wow_pct double, store_4wk_decline long, missing_pct double")
     fired = {r.name: r.message for r in alerts(m, shipped_rules()).collect()}
     assert set(fired) == {"Revenue Drop Alert", "Store Performance Alert"}
-    assert fired["Revenue Drop Alert"].startswith("Revenue dropped -20.0%")
+    assert fired["Revenue Drop Alert"].startswith("Sales changed by -20.0%")
 
 
 def test_rules_loader_falls_back(tmp_path):

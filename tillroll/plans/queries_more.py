@@ -403,13 +403,13 @@ def _alert_metrics(spark, sf):
 @register("alerts", with_fact("""
 SELECT name, severity, fired, message FROM (
   SELECT 'Revenue Drop Alert' AS name, 'high' AS severity, coalesce(wow_pct < -0.15, false) AS fired,
-         'Revenue dropped ' || printf('%.1f%%', wow_pct * 100) || ' WoW - investigate immediately' AS message FROM mt
+         'Sales changed by ' || printf('%.1f%%', wow_pct * 100) || ' from one week to the next' AS message FROM mt
   UNION ALL
   SELECT 'Store Performance Alert', 'medium', coalesce(store_4wk_decline > 3, false),
-         CAST(store_4wk_decline AS VARCHAR) || ' stores declining - review operations' FROM mt
+         CAST(store_4wk_decline AS VARCHAR) || ' stores sold less than in the four weeks before' FROM mt
   UNION ALL
   SELECT 'Data Quality Alert', 'high', coalesce(missing_pct > 0.10, false),
-         'Data quality issue: ' || printf('%.1f%%', missing_pct * 100) || ' of records incomplete' FROM mt)
+         printf('%.1f%%', missing_pct * 100) || ' of the cells are missing' FROM mt)
 WHERE fired""", WEEKLY_CTE, DIRTY_CTE, TYPED_CTE, week_cte("store", "sw"), "al AS (" + ALIGNED_SQL + ")",
     f"""mt AS (SELECT (SELECT max(CASE WHEN k = 1 THEN wow END) FROM growth) AS wow_pct,
        (SELECT CAST(count(*) FILTER (WHERE change < 0) AS BIGINT) FROM al) AS store_4wk_decline,

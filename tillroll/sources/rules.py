@@ -73,11 +73,11 @@ SHIPPED_RULES = {
         "enabled": True,
         "rules": [
             {"name": "Revenue Drop Alert", "condition": "wow_pct < -0.15", "severity": "high",
-             "message": "Revenue dropped {wow_pct:.1%} WoW - investigate immediately"},
+             "message": "Sales changed by {wow_pct:.1%} from one week to the next"},
             {"name": "Store Performance Alert", "condition": "store_4wk_decline > 3",
-             "severity": "medium", "message": "{store_4wk_decline} stores declining - review operations"},
+             "severity": "medium", "message": "{store_4wk_decline} stores sold less than in the four weeks before"},
             {"name": "Data Quality Alert", "condition": "missing_pct > 0.10", "severity": "high",
-             "message": "Data quality issue: {missing_pct:.1%} of records incomplete"},
+             "message": "{missing_pct:.1%} of the cells are missing"},
         ],
     },
     "reports": {"department_analysis": {"top_n": 10}},
