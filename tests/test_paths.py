@@ -179,6 +179,17 @@ def test_rules_choose_outlier_method_and_treatment(spark):
     assert rows["zscore", "remove"].count() == rows["zscore", "flag"].count() - flagged["zscore", "flag"]
 
 
+def test_written_tables_can_be_dropped_at_the_end(spark, monkeypatch):
+    from tillroll import session
+
+    monkeypatch.setattr(session, "_written", {})
+    kept = session.cut_lineage(spark.range(5).toDF("x"), "drop-me")
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert session.drop_written(spark) == 1 and not os.path.exists(path)
+    assert session.drop_written(spark) == 0
+
+
 def test_cluster_conf_sizes_from_volume():
     c = cluster_conf(100 * 10**12, executors=1000)
     assert int(c["spark.sql.shuffle.partitions"]) >= 100 * 10**12 // (256 << 20)

@@ -70,16 +70,35 @@ def cut_lineage(df, name: str = "cut"):
     tables) feeds several outputs, so the plan does not repeat its lineage.
     A written table survives executor loss like ``checkpoint()``, but it is
     columnar and compressed, and later reads get column pruning and filter
-    pushdown.  Each call writes a fresh folder.
+    pushdown.  Each call writes a fresh folder; ``drop_written`` removes them
+    once no frame that reads them is needed any more.
     """
     import uuid
 
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
+#: Folders written by ``cut_lineage``, by application.
+_written: dict[str, list[str]] = {}
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Remove the folders that ``cut_lineage`` has written in this application; how many there were.
+
+    For the end of a job, when its results are stored elsewhere: frames that
+    read the folders can't be used afterwards.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
                  target_partition_mb: int = 256) -> dict[str, str]:
     """Starting settings for a large cluster, sized from the input volume.
