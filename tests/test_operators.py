@@ -229,3 +229,18 @@ def test_sign_class_and_health_use_unrounded_values(spark):
     df = spark.createDataFrame([(-1e-7, 0.0499999), (0.0, 0.05), (None, -1e-9)], "wow_growth_pct double, t double")
     out = wk.wow_sign_class(df).withColumn("h", FD.health_status(F.col("t"), F.lit(0))).collect()
     assert [(r.wow_class, r.h) for r in out] == [("down", "Watch"), ("up", "Healthy"), ("up", "Declining")]
+
+
+def test_rule_aggregates_follow_the_rules_file(spark):
+
+    rows = [(dt.date(2024, 1, 7), 10.0, 2, 5, "x"), (dt.date(2024, 1, 5), 20.0, None, 1, "y"), (dt.date(2024, 1, 21), None, 4, None, "z"), (None, 9.0, 9, 9, "n")]
+    df = spark.createDataFrame(rows, "date date, weekly_sales double, transactions long, units_sold int, customer_segment string")
+    rules = {"dataset": {"optional_columns": ["units_sold", "customer_segment", "absent"]},
+             "kpis": {"aggregates": {"weekly_sales": ["sum", "min", "count"], "transactions": ["mean"], "absent": ["sum"]},
+                      "derived": {"per_row": "weekly_sales_sum / NULLIF(weekly_sales_count, 0)", "left_out": "weekly_sales_std * 2"}}}
+    got = sorted(map(tuple, wk.rule_aggregates(df, rules).collect()))
+    assert wk.rule_aggregates(df, rules).columns == ["date", "weekly_sales_sum", "weekly_sales_min", "weekly_sales_count", "transactions_mean", "units_sold_sum", "per_row"]
+    assert got == [(dt.date(2024, 1, 7), 30.0, 10.0, 2, 2.0, 6.0, 15.0), (dt.date(2024, 1, 14), 0.0, None, 0, None, 0.0, None),
+                   (dt.date(2024, 1, 21), 0.0, None, 0, 4.0, 0.0, None)]
+    with pytest.raises(ValueError, match="unknown aggregates"):
+        wk.rule_aggregates(df, {"kpis": {"aggregates": {"weekly_sales": ["mode"]}}})

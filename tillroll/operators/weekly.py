@@ -8,8 +8,11 @@ thousand rows.  Every row-level step before that is a partial aggregate.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.calendar import period_label
 from ..functions.safe import money, pct_change, r6, safe_div
@@ -207,6 +210,47 @@ def weekly_stats(df: DataFrame, rules: dict | None = None, freq: str = "W",
                       if c not in ("date", "weekly_sales_sum", "transactions_sum")])
 
 
+#: What a rules file may ask of a column's values in a period; each is a partial aggregate.
+AGGREGATES = {
+    "sum": lambda c: F.sum(c).cast("double"),
+    "count": lambda c: F.count(c),
+    "mean": lambda c: F.sum(c).cast("double") / F.count(c),
+    "std": lambda c: F.stddev_samp(F.col(c).cast("double")),
+    "min": lambda c: F.min(c).cast("double"),
+    "max": lambda c: F.max(c).cast("double"),
+}
+
+
+def rule_aggregates(df: DataFrame, rules: dict, freq: str | None = None, date: str = "date", sales: str = "weekly_sales") -> DataFrame:
+    """The aggregates that the rules' ``kpis.aggregates`` list, by period: columns ``<column>_<function>``.
+
+    Optional columns (``dataset.optional_columns``) that the data has and the
+    rules say nothing of are summed if they are numbers.  Columns that the
+    data lacks are left out.  Periods without rows have sums and counts of 0
+    and nulls otherwise; then the rules' derived expressions follow, as far as
+    their columns are there.
+    """
+    kpis, dataset = ((rules.get(k) or {}) for k in ("kpis", "dataset"))
+    wanted = {c: list(fs) for c, fs in (kpis.get("aggregates") or {}).items() if c in df.columns}
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    for c in dataset.get("optional_columns") or []:
+        if c in numbers:
+            wanted.setdefault(c, ["sum"])
+    unknown = sorted({f for fs in wanted.values() for f in fs} - set(AGGREGATES))
+    if unknown:
+        raise ValueError(f"unknown aggregates {unknown}; use {sorted(AGGREGATES)}")
+    named = {f"{c}_{f}": AGGREGATES[f](c) for c, fs in wanted.items() for f in fs}
+    inner = {f"_{n}": e for n, e in named.items()}
+    w = weekly_dense(df, date, sales, None, freq or kpis.get("time_freq") or "W", inner)
+    zero = lambda n: F.coalesce(F.col(f"_{n}"), F.lit(0)) if n.endswith(("_sum", "_count")) else F.col(f"_{n}")
+    w = w.select("date", *[zero(n).alias(n) for n in named])
+    for name, expr in (kpis.get("derived") or {}).items():
+        used = set(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", expr))
+        if {x for x in used if x.endswith(tuple(f"_{f}" for f in AGGREGATES))} <= set(w.columns):
+            w = w.withColumn(name, F.expr(expr))
+    return w
+
+
 def wow_sign_class(weekly: DataFrame, up: str = "up", down: str = "down") -> DataFrame:
     """Sign class of the week-over-week growth; a missing growth counts as >= 0."""
     return weekly.withColumn("wow_class", F.when(F.coalesce(F.col("wow_growth_pct"), F.lit(0.0)) >= 0, up)

@@ -123,3 +123,22 @@ def q_prep_common(spark, sf):
     p = prep_common(fact_view(spark, sf))
     return p.select("l_orderkey", "l_linenumber", F.col("sales").cast("double").alias("sales"),
                     "profit", "quantity", "year", "month", "week")
+
+
+@register("weekly_rule_aggregates", with_fact("""
+SELECT c.date, coalesce(s, 0.0) AS weekly_sales_sum, round(m, 6) AS weekly_sales_mean, round(sd, 6) AS weekly_sales_std, mx AS weekly_sales_max,
+       coalesce(ts, 0.0) AS transactions_sum, CAST(coalesce(tn, 0) AS BIGINT) AS transactions_count, coalesce(u, 0.0) AS units_sold_sum,
+       round(s / nullif(ts, 0), 6) AS avg_order_value, round(sd / nullif(m, 0), 6) AS sales_volatility
+FROM cal c LEFT JOIN (
+  SELECT CAST(date_trunc('week', date) AS DATE) + 6 AS date, CAST(sum(weekly_sales) AS DOUBLE) AS s,
+         CAST(sum(weekly_sales) AS DOUBLE) / count(weekly_sales) AS m, stddev_samp(CAST(weekly_sales AS DOUBLE)) AS sd, CAST(max(weekly_sales) AS DOUBLE) AS mx,
+         CAST(sum(transactions) AS DOUBLE) AS ts, count(transactions) AS tn, CAST(sum(l_linenumber) AS DOUBLE) AS u
+  FROM fact WHERE date IS NOT NULL GROUP BY 1) a ON a.date = c.date""", WEEKLY_CTE))
+def q_weekly_rule_aggregates(spark, sf):
+    """kpis.aggregates and optional_columns of the rules: what a rules file lists is what comes out."""
+    rules = fact_rules()
+    rules["kpis"]["aggregates"] = {"weekly_sales": ["sum", "mean", "std", "max"], "transactions": ["sum", "count"], "not_there": ["sum"]}
+    f = fact_view(spark, sf).withColumn("units_sold", F.col("l_linenumber"))
+    w = wk.rule_aggregates(f, rules)
+    rounded = ("weekly_sales_mean", "weekly_sales_std", "avg_order_value", "sales_volatility")
+    return w.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in w.columns])
