@@ -5,19 +5,22 @@ kept; all but the last return the columns of ``documents``.
 
 * language: documents whose language can't be told go.
 * near_duplicates: of each group of linked documents (five-word shingles,
-  similarity 0.8 or more) the one with the smallest id stays; rows that repeat
-  an id are one document.  Rows without an id are no one's duplicate.
+  similarity 0.8 or more) the first by id, then text, stays.  Every row is a
+  document, also where rows repeat an id; rows without an id are no one's
+  duplicate and stay.
 * personal_data: found spans are replaced by their kind; n_chars follows.
 * mix: each document is emitted as often as its source's target asks for.
 * tokens: ids of each text, and digests of the ids and of what they decode to.
 
 Null and empty texts are rejected by the first stage; an empty table stays
-empty; columns beyond those of ``documents`` pass through unchanged.
+empty; columns beyond those of ``documents`` pass through unchanged, whatever
+their names: stages work on the columns they need and carry the row as one
+struct beside them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import bpe, jaccard, langid, mixing, pii
@@ -25,27 +28,41 @@ from tillroll.llm.blocks import only_ids
 from tillroll.session import cut_lineage
 
 
+def _row(docs: DataFrame) -> Column:
+    """The whole row, carried beside the columns that a stage works on."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = docs.select("*", F.struct(*docs.columns).alias("_own"))
+    kept = docs.select("doc_id", "text", "lang", "source", _row(docs))
     return langid.identify(kept).where("accepted").select("_own.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = cut_lineage(jaccard.join_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL"), "near-duplicates")
+    named = docs.where("doc_id IS NOT NULL")
+    repeated = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = named.select("doc_id", "text", _row(docs))
+    if repeated:
+        # every row gets a number of its own, in the order of ids, texts and the rest of the row
+        rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+        rows = mixing.positions(rows, [F.col("doc_id"), F.col("text").asc_nulls_first(), rest], name="_node").select(F.col("_node").alias("doc_id"), "text", "_own")
+        rows = cut_lineage(rows, "numbered")
+    found = cut_lineage(jaccard.join_components(rows.select("doc_id", "text")), "near-duplicates")
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = only_ids(docs, "doc_id", others, inside=False)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NULL").union(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    kept = only_ids(rows, "doc_id", others, inside=False).select("_own.*")
+    return kept.union(docs.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.detect(docs, pii.fit(docs), spans="_spans")
-    return pii.redact(found, spans="_spans").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = docs.select("doc_id", "text", _row(docs))
+    clean = pii.redact(pii.detect(rows, pii.fit(docs), spans="_spans"), spans="_spans")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*[new.get(c, F.col("_own")[c]).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emit(mixing.mix(docs, mixing.word_count(F.col("text"))))
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), _row(docs))
+    return mixing.emit(mixing.mix(rows, F.col("size"))).select("_own.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
