@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .safe import col_
 
 
 def first_by_order(df: DataFrame, name: str, value: str, descending: bool,
