@@ -64,12 +64,13 @@ def test_every_string_lies_in_one_stretch_with_its_anchor():
 
 
 def test_family_keeps_the_earliest_whatever_the_batches():
+    """Equal means equal in both hashes: the same first hash alone joins nothing."""
     r = np.random.default_rng(1)
     n = 5000
-    cols = {"key": r.integers(0, 600, n).astype(np.uint64), "doc": r.integers(0, 300, n), "lo": np.arange(n).astype(np.int32)}
+    cols = {"key": r.integers(0, 300, n).astype(np.uint64), "check": r.integers(0, 2, n).astype(np.uint64), "doc": r.integers(0, 300, n), "lo": np.arange(n).astype(np.int32)}
     best = {}
-    for k, d, lo in zip(*[cols[c].tolist() for c in ("key", "doc", "lo")], strict=True):
-        best[k] = min(best.get(k, (d, lo)), (d, lo))
+    for k, x, d, lo in zip(*[cols[c].tolist() for c in ("key", "check", "doc", "lo")], strict=True):
+        best[k, x] = min(best.get((k, x), (d, lo)), (d, lo))
     for size in (n, 700, 50):
         family, out = s.Family(s.STRING), []
         for i in range(0, n, size):
@@ -78,7 +79,25 @@ def test_family_keeps_the_earliest_whatever_the_batches():
         level, more = family.finish()
         got = sum(len(x["key"]) for x in out + more)
         assert got + len(level["key"]) == n
-        assert {int(k): (int(d), int(lo)) for k, d, lo in zip(level["key"], level["doc"], level["lo"], strict=True)} == best
+        assert {(int(k), int(x)): (int(d), int(lo)) for k, x, d, lo in zip(*[level[c] for c in ("key", "check", "doc", "lo")], strict=True)} == best
+
+
+def test_strings_that_agree_in_one_hash_only_are_kept(spark, monkeypatch):
+    """A first hash that is the same for all strings: the second one alone decides, and nothing clean goes."""
+    class Flat(RunHasher):
+        def __init__(self, data):
+            # the letters of the corpus have other values where the second hash is taken
+            self.plain = not (((data >= 0x30) & (data < 0x40)).any() or (data == 0x20).all())
+            super().__init__(data)
+
+        def of(self, start, end):
+            h = super().of(start, end)
+            self.plain &= not (end - start == s.ANCHOR).any()  # stretches have a hash of their anchor as well
+            return np.full_like(h, 7) if self.plain else h
+    texts = corpus(11)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(s, "RunHasher", Flat)
+    assert rows_of(s.remove_repeats(df)) == dict(enumerate(brute(texts)))
 
 
 def test_removal_equals_brute_force_also_in_small_batches(spark, monkeypatch):
@@ -91,6 +110,15 @@ def test_removal_equals_brute_force_also_in_small_batches(spark, monkeypatch):
         assert got[3 * i] == want, i
 
 
+def test_long_texts_in_pieces_lose_no_string(spark, monkeypatch):
+    """Blocks of one text each, cut every few hundred bytes: the same result as by brute force."""
+    texts = corpus(8)
+    monkeypatch.setattr(s, "BLOCK", 1)
+    monkeypatch.setattr(s, "PIECE", 173)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert rows_of(s.remove_repeats(df)) == dict(enumerate(brute(texts)))
+
+
 def test_query_on_the_small_table(spark):
     d = "/root/testdata/sf0.001"
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect())

@@ -18,10 +18,12 @@ Stretches that share an anchor but not all bytes (at the ends of repeats) are
 compared string by string: the strings of those that stayed are hashed and
 sharded anew, and a second family keeps the earliest of equal strings.
 
-Strings are told apart by 64-bit hashes.  Defined results: null and empty
+Strings are told apart by two 64-bit hashes (stretches by that of the anchor
+and that of all bytes).  Defined results: null and empty
 texts have no bytes; matches never cross documents; strings are judged on the
 input; of rows that share an id, and of rows without one (which come last),
-the order is that of their texts; texts are processed whole.
+the order is that of their texts; texts are processed whole, very long ones in pieces
+that overlap by LENGTH - 1 bytes, so no string is lost between two.
 """
 
 from __future__ import annotations
@@ -43,11 +45,15 @@ ANCHOR = 32
 #: Bits of a gram's place inside a block, below its hash, while the least is searched.
 PLACE_BITS = 27
 BLOCK = 1 << 20
+#: Bytes of a text's piece; a place inside it must fit PLACE_BITS.
+PIECE = 1 << 24
 #: Entries that a map task packs at once, that a shard sorts at once, and that a shard aims to hold.
 PACK, SORT, SHARD = 400_000, 1_000_000, 1_500_000
 
 ENTRY = (("key", "<u8"), ("full", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("count", "<u1"))
-STRING = (("key", "<u8"), ("doc", "<i8"), ("lo", "<i4"))
+STRING = (("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("lo", "<i4"))
+#: Columns that tell entries apart; the others say where they are.
+HASHES = ("key", "full", "check")
 
 
 # ---- entries of a block of texts ----
@@ -121,7 +127,7 @@ def _sharded(batch: dict[str, np.ndarray], kind, shards: int) -> pa.RecordBatch:
     """A batch's suffix array by shard.  Repeats inside the batch are known already: they travel as bare spans, in ``gone``,
     so a passage that everyone has is one entry of each batch."""
     level, repeats = Family(kind).sort(batch)
-    spans = tuple(x for x in kind if x[0] not in ("key", "full"))
+    spans = tuple(x for x in kind if x[0] not in HASHES)
     cut = []
     for columns, fields in ((level, kind), (repeats, spans)):
         shard = (columns["key"] >> np.uint64(20)) % np.uint64(shards)
@@ -141,7 +147,7 @@ class Family:
 
     def __init__(self, kind):
         self.kind = kind
-        self.same = [c for c, _ in kind if c in ("key", "full")]
+        self.same = [c for c, _ in kind if c in HASHES]
         self.levels: list[dict[str, np.ndarray]] = []
 
     def sort(self, columns: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -184,7 +190,7 @@ def _index(packed_rows: DataFrame, shards: int, kind) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, held, count = Family(kind), [], 0
-        spans = tuple(x for x in kind if x[0] not in ("key", "full"))
+        spans = tuple(x for x in kind if x[0] not in HASHES)
         for batch in batches:
             gone = [unpacked(x.as_py(), spans) for x in batch.column(2)]
             if gone:
@@ -208,19 +214,29 @@ def _index(packed_rows: DataFrame, shards: int, kind) -> DataFrame:
     return packed_rows.repartition(shards, "shard").mapInArrow(run, "doc bigint, lo bigint, hi bigint, open boolean")
 
 
+def _pieces(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, row starts, place of the first byte): a block as it is, or a text longer than PIECE in overlapping pieces."""
+    if len(starts) > 2 or len(data) <= PIECE:
+        yield data, starts, 0
+        return
+    for at in range(0, max(1, len(data) - LENGTH + 1), PIECE):
+        part = data[at:at + PIECE + LENGTH - 1]
+        yield part, np.array([0, len(part)], dtype=np.int64), at
+
+
 def _entries(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for a, b in blocks(texts, BLOCK):
-                data, starts = joined_bytes(texts.slice(a, b - a))
-                found = stretches(data, starts, RunHasher(data))
-                held.append(found | {"doc": ids[a:b][found["row"]]})
-                count += len(found["row"])
-                if count >= PACK:
-                    yield _sharded(_joined(held, ENTRY), ENTRY, shards)
-                    held, count = [], 0
+                for data, starts, before in _pieces(*joined_bytes(texts.slice(a, b - a))):
+                    found = stretches(data, starts, RunHasher(data))
+                    held.append(found | {"doc": ids[a:b][found["row"]], "lo": found["lo"] + before})
+                    count += len(found["row"])
+                    if count >= PACK:
+                        yield _sharded(_joined(held, ENTRY), ENTRY, shards)
+                        held, count = [], 0
         if count:
             yield _sharded(_joined(held, ENTRY), ENTRY, shards)
 
@@ -244,7 +260,8 @@ def _strings(docs: DataFrame, shards: int) -> DataFrame:
                 row = np.repeat(row, size)
                 at = starts[row] + place
                 h = RunHasher(data).of(at, at + LENGTH)
-                held.append({"key": h, "doc": ids[a:b][row], "lo": place})
+                # a second hash, over other values of the bytes: only strings that agree in 128 bits are taken as equal
+                held.append({"key": h, "check": RunHasher(data ^ np.uint8(0x5A)).of(at, at + LENGTH), "doc": ids[a:b][row], "lo": place})
                 count += len(h)
                 if count >= PACK:
                     yield _sharded(_joined(held, STRING), STRING, shards)
