@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,19 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def drained(batches: Iterator) -> Iterator:
+    """The batches of a task; after the last one, memory that its worker has freed goes back to the system.
+
+    Workers are kept for later tasks, and those of other stages wait beside
+    them; without this each keeps what its largest batch took.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_lengths(texts: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks, need, small_batches
+from .blocks import blocks, drained, need, small_batches
 
 #: Pre-tokens remembered by a worker before its memory starts afresh.
 CACHE_TOKENS = 200_000
@@ -152,7 +152,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", i
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(*shared.value)
-        for texts in batches:
+        for texts in drained(batches):
             out: list[bytes] = []
             for a, b in blocks(texts):
                 out += own.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
@@ -170,7 +170,7 @@ def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", decoded: str = "d
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(shared.value, "(?s).+")
-        for rows in batches:
+        for rows in drained(batches):
             yield pa.array([own.decode(x or b"") for x in rows.to_pylist()], pa.binary())
 
     return df.withColumn(decoded, run(F.col(ids)))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .blocks import BROADCAST_IDS, blocks, need, only_ids, small_batches
+from .blocks import BROADCAST_IDS, blocks, drained, need, only_ids, small_batches
 from .components import components
 from .words import PLACE_VALUES, mix, windows, words_of
 
@@ -57,12 +57,12 @@ PARTS = 3
 #: Members of a bucket that are tested against one another at once; larger buckets are cut into blocks that meet two by two.
 MEMBERS = 1024
 #: Pairs whose count vectors are compared at once.
-PAIRS = 20_000
+PAIRS = 8_000
 #: Signatures that a map task packs at once, that a shard's task sorts at once, and that a shard aims to hold.
-PACK, SORT, SHARD = 300_000, 400_000, 600_000
+PACK, SORT, SHARD = 300_000, 200_000, 600_000
 #: Rounds in which a bucket's other components are tested against a member of its largest one.
 OFFERS = 2
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 # ---- sets ----
@@ -200,7 +200,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in drained(batches):
             sets = [s for a, b in blocks(texts, BLOCK) for s in shingle_sets(texts.slice(a, b - a))]
             one, two = identity(sets)
             yield pa.StructArray.from_arrays([
@@ -217,7 +217,7 @@ def _packed(docs: DataFrame, shards: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count, known = 0, set()
-        for batch in batches:
+        for batch in drained(batches):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for a, b in blocks(texts, BLOCK):
                 sets = shingle_sets(texts.slice(a, b - a))
@@ -288,7 +288,7 @@ def shared_signatures(docs: DataFrame, expected: int, seed: int = 0) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, held, count = Shared(), [], 0
-        for batch in batches:
+        for batch in drained(batches):
             for sig, ids in zip(batch.column(1), batch.column(2), strict=True):
                 held.append((np.frombuffer(sig.as_py(), np.uint64), np.frombuffer(ids.as_py(), np.int64)))
                 count += len(held[-1][0])
@@ -378,7 +378,7 @@ def unlike(level: DataFrame, info: DataFrame) -> DataFrame:
             counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, PLACES)
             a, b = _close(members, counts)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        for batch in batches:
+        for batch in drained(batches):
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows < 4 * MEMBERS:
@@ -404,7 +404,7 @@ def links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("binary")
     def as_set(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in drained(batches):
             yield pa.array([s.tobytes() for x, y in blocks(texts, BLOCK) for s in shingle_sets(texts.slice(x, y - x))], pa.binary())
 
     @F.arrow_udf("boolean")

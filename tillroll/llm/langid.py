@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .blocks import blocks, byte_lengths, need, small_batches
+from .blocks import blocks, byte_lengths, drained, need, small_batches
 from .words import PLACE_VALUES, mix
 
 #: Rows that the trigram shares are taken from and their bytes, divided among the languages, but at least so many for each.
@@ -118,7 +118,7 @@ def fit_text(df: DataFrame, text: str, declared: str, rows: int = SAMPLE_ROWS) -
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in drained(batches):
             langs = batch.column(1).to_pylist()
             # a language with enough text in this task takes no more; the others go on
             kept = []
@@ -171,7 +171,7 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
 
     @F.arrow_udf(kind)
     def likelihood(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in drained(batches):
             parts = [shared.value.likelihoods(texts.slice(a, b - a)) for a, b in blocks(texts, BLOCK)]
             mean = np.concatenate([p[0] for p in parts]) if parts else np.empty((0, n))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(mean) + 1, n), pa.int32()), pa.array(mean.ravel(), pa.float64()))
