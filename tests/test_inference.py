@@ -62,3 +62,25 @@ def test_files_without_line_feeds_in_cells_are_read_in_splits(spark, tmp_path):
         assert read_sales_csv(spark, str(large)).rdd.getNumPartitions() > 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_shapes_refute_nothing_that_a_pattern_reads(spark):
+    from pyspark.sql import functions as F
+
+    from tillroll.functions.text import read_date, read_time
+    from tillroll.sources.inference import DATE_FORMATS, TIME_FORMATS
+    texts = ["2023-02-03", "2023-02-30", "12023-02-03", "+12023-02-03", "-2023-02-03", "0000-01-01", "02/03/2023", "2023/02/03", "2023-02-03 10:00:00", "2023-2-03",
+             "2023-02-03t10:00:00", "2023-02-03 10:00:00.123", "2023-02-03 10:00:00.1", "x", None, "", "2023-02-03\n", "1582-10-10", "0099-12-31"]
+    df, s = spark.createDataFrame([(t,) for t in texts], "s string"), F.col("s")
+    for p in (*DATE_FORMATS, *TIME_FORMATS):
+        t = F.try_to_timestamp(s, F.lit(p))
+        assert df.where(~(t.eqNullSafe(read_time(s, p)) & F.to_date(t).eqNullSafe(read_date(s, p)))).collect() == [], p
+
+
+def test_refuted_readings_are_not_tried_on_all_rows(spark, monkeypatch):
+    from tillroll.sources import inference
+    tried, real = [], inference._fitting
+    monkeypatch.setattr(inference, "_fitting", lambda df, places: tried.append(places) or real(df, places))
+    df = spark.range(3000, numPartitions=3).selectExpr("concat('s', id) AS store", "string(id) AS n", "IF(id < 2999, NULL, '1.5') AS late")
+    assert dict(inference.inferred(df).dtypes) == {"store": "string", "n": "bigint", "late": "decimal(38,6)"}
+    assert not tried[1]["store"] and len(tried[1]["n"]) == 3

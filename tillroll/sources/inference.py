@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import read_date, read_time
+
 # How dates and times are commonly written; a column must fit one of them throughout.
 DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd")
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS")
@@ -25,6 +27,9 @@ _INTEGER, _DECIMAL = r"^\s*[+-]?[0-9]{1,19}\s*$", r"^\s*[+-]?([0-9]{1,32}(\.[0-9
 #: Numbers in digits only: Spark's cast would also take type suffixes and words for infinities.
 _NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
+#: Rows that are looked at before all of them.
+FIRST = 1000
+
 
 def _readings(c: Column) -> list[tuple[str, Column, Column]]:
     """(type, whether a value has it, the value as that type), the narrowest first."""
@@ -34,29 +39,39 @@ def _readings(c: Column) -> list[tuple[str, Column, Column]]:
            ("decimal(38,6)", c.rlike(_DECIMAL), trimmed.try_cast("decimal(38,6)")),
            ("double", c.rlike(_NUMBER), c.try_cast("double"))]
     for f in DATE_FORMATS:
-        t = F.try_to_timestamp(trimmed, F.lit(f))
-        out.append(("date", t.isNotNull(), F.to_date(t)))
+        day = read_date(trimmed, f)
+        out.append(("date", day.isNotNull(), day))
     for f in TIME_FORMATS:
-        t = F.try_to_timestamp(trimmed, F.lit(f))
+        t = read_time(trimmed, f)
         out.append(("timestamp_ntz", t.isNotNull(), t.cast("timestamp_ntz")))
     return out
 
 
+def _fitting(df: DataFrame, places: dict[str, list[int]]) -> dict[str, list[tuple[int, bool | None]]]:
+    """For each column the given places of readings, and whether all values of ``df`` have them (null: there are no values)."""
+    flags = []
+    for i, (name, ks) in enumerate(places.items()):
+        c = F.col(f"`{name}`")
+        readings = _readings(c)
+        flags += [F.bool_and(F.when(c.isNotNull(), F.coalesce(readings[k][1], F.lit(False)))).alias(f"{i}_{k}") for k in ks]
+    row = df.agg(*flags).first() if flags else {}
+    return {name: [(k, row[f"{i}_{k}"]) for k in ks] for i, (name, ks) in enumerate(places.items())}
+
+
 def infer_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, int | None]:
     """For each text column the place of its narrowest reading; None for text, and for columns without a value.
 
-    One row of flags reaches the driver, whatever the number of rows.
+    One row of flags reaches the driver, whatever the number of rows.  A value
+    that refutes a reading does so for the whole column, so the readings that
+    some FIRST rows refute are not tried on all rows; every other reading is.
     """
     names = [c for c, t in df.dtypes if t == "string" and (columns is None or c in columns)]
     if not names:
         return {}
-    flags = []
-    for i, name in enumerate(names):
-        c = F.col(f"`{name}`")
-        flags += [F.bool_and(F.when(c.isNotNull(), F.coalesce(fits, F.lit(False)))).alias(f"{i}_{k}") for k, (_, fits, _) in enumerate(_readings(c))]
-    row = df.agg(*flags).first()
-    n = len(flags) // len(names)
-    return {name: next((k for k in range(n) if row[f"{i}_{k}"]), None) for i, name in enumerate(names)}
+    every = list(range(len(_readings(F.lit("")))))
+    first = _fitting(df.limit(FIRST), {c: every for c in names})
+    whole = _fitting(df, {c: [k for k, fits in first[c] if fits is not False] for c in names})
+    return {c: next((k for k, fits in whole[c] if fits), None) for c in names}
 
 
 def inferred(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
