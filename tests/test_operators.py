@@ -244,3 +244,12 @@ def test_rule_aggregates_follow_the_rules_file(spark):
                    (dt.date(2024, 1, 21), 0.0, None, 0, 4.0, 0.0, None)]
     with pytest.raises(ValueError, match="unknown aggregates"):
         wk.rule_aggregates(df, {"kpis": {"aggregates": {"weekly_sales": ["mode"]}}})
+
+
+def test_iso_dates_are_cast_and_others_tried_by_shape(spark):
+    from tillroll.operators.clean import coerce_types
+    from tillroll.sources.rules import fact_rules
+    texts = ["2024-02-29", "2001-13-01", "02/29/2024", "2024/02/29", "2024-02-29 08:30:00", "x", None]
+    out = coerce_types(spark.createDataFrame([(t,) for t in texts], "date string"), fact_rules())
+    assert [str(r.date) for r in out.collect()] == ["2024-02-29", "None", "2024-02-29", "2024-02-29", "2024-02-29", "None", "None"]
+    assert "RLIKE" in out._jdf.queryExecution().optimizedPlan().toString()
