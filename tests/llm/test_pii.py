@@ -97,3 +97,27 @@ def test_long_secrets_and_codes_are_covered_whole(spark):
     assert ("code", 2, 5002) in out[2] and out[4] == {("code", 0, 100_000)}
     clean = {x.doc_id: x.text for x in pii.redact(found).collect()}
     assert clean[1] == "é [SECRET] end" and clean[2] == "é [CODE] end"
+
+
+def test_every_documents_candidates_are_learnt_from(spark):
+    """A kind of candidate that stands in two documents out of thousands counts as often as it stands there."""
+    rows = [(i, f"order 4111 1111 1111 {i:04d} and 10.0.{i % 300}.1") for i in range(4100)] + [(9000 + i, 'token = "abcdefgh12345678ijklmnop"') for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = pii.labelled(df).collect()
+    kind = pii.FEATURES.index("kind")
+    of = lambda k: sum(r.n for r in found if r.x[kind] == pii.KINDS.index(k) + 1)
+    assert of("secret") == 2 and of("card_like") >= 4100 and of("ip_like") == 4100
+    model = pii.fit(df)
+    again = pii.fit(df.repartition(3))
+    assert (model.trees.trees, model.threshold) == (again.trees.trees, again.threshold)
+
+
+def test_trees_grown_in_parts_equal_those_of_one_array():
+    rng = pii.np.random.default_rng(4)
+    x = rng.integers(0, 40, (900, len(pii.FEATURES))).astype(float)
+    y = ((x[:, 1] > 20) ^ (x[:, 3] > 30)).astype(float)
+    one = pii.Trees(x, y)
+    codes = pii.np.stack([pii.np.searchsorted(e, x[:, j]) for j, e in enumerate(one.edges)], axis=1)
+    parts = pii.np.array_split(rng.permutation(len(y)), 5)
+    two = pii.Trees.grown(one.edges, len(y), y.sum(), lambda *state: sum(pii._sums(*state, codes[p], pii.np.ones(len(p)), y[p]) for p in parts))
+    assert one.trees == two.trees and ((one.margin(x) > 0) == (y > 0)).mean() > 0.95

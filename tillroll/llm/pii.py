@@ -1,4 +1,4 @@
-"""Personal data: candidate spans scored by gradient-boosted trees (Spark SQL functions only).
+"""Personal data: candidate spans found and scored by gradient-boosted trees in Spark SQL functions only.
 
 Four base kinds (email, ip, card, phone) are found by fixed patterns and
 checks; they always stay.  High-recall generators propose further spans that
@@ -33,7 +33,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import hash_share, need
+from ..session import cut_lineage
+from .blocks import need
 
 LOCAL = "[A-Za-z0-9._%+-]"
 #: Base kinds in their order.  A leading guard stops matches from being tried inside a run already refused.
@@ -59,9 +60,12 @@ TRIGGER = r"[0-9][^A-Za-z]{0,6}[0-9]|[A-Za-z0-9+/_-]{12}|(?i)[\[(](?:at|@)[\])]"
 FEATURES = ("kind", "length", "digits", "letters", "upper", "separators", "groups", "variety", "luhn", "digit_before",
             "word_before", "cue_before", "quote_after", "letter_after")
 CONTEXT_CHARS = 24
-#: Training looks at about so many documents, chosen by hash of their id, and reads candidates of at most so many of those.
-SAMPLE_READ, SAMPLE_DOCS = 60_000, 4000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
+#: A feature's code is the number of its quantiles below it, at most BINS - 1.
+QUANTILES = np.arange(BINS - 1) / (BINS - 1)
+#: Sums are in whole steps of 1 / _STEPS; margins are compared in steps of 1 / GRID, and none reaches _TOP of them.
+_STEPS, GRID = 1 << 20, 64
+_TOP = GRID * (4 * TREES + 8)
 #: Least precision of added spans on held-out candidates.
 PRECISION = 0.98
 _CHUNK = 128
@@ -177,55 +181,103 @@ def _as_double(xs: dict[str, Column]) -> Column:
     return F.array(*[F.coalesce(xs[f].cast("double"), F.lit(0.0)) for f in FEATURES])
 
 
+def _edges(quantiles: np.ndarray) -> np.ndarray:
+    return np.unique(np.asarray(quantiles, dtype=float))
+
+
+def _node(splits: dict[int, tuple[int, int]], codes: np.ndarray) -> np.ndarray:
+    """The node (1 the root, 2i and 2i + 1 the sides of i) that each row of ``codes`` comes to."""
+    at = np.ones(len(codes), np.int64)
+    for i in sorted(splits):
+        j, k = splits[i]
+        here = np.flatnonzero(at == i)
+        at[here] = 2 * i + (codes[here, j] > k)
+    return at
+
+
+def _margin(start: float, trees: list, codes: np.ndarray) -> np.ndarray:
+    f = np.full(len(codes), start)
+    for splits, values in trees:
+        by_node = np.zeros(2 << DEPTH)
+        by_node[list(values)] = list(values.values())
+        f = f + by_node[_node(splits, codes)]
+    return f
+
+
+def _sums(start: float, trees: list, splits: dict, level: int, codes: np.ndarray, n: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """(gradient, curvature, candidates) by node of a level, feature and code, in whole steps: the same in any order of adding."""
+    q = 1 / (1 + np.exp(-_margin(start, trees, codes)))
+    at = _node(splits, codes) - (1 << level)
+    here = at >= 0
+    width = codes.shape[1]
+    cell = ((at[here, None] * width + np.arange(width)) * BINS + codes[here]).ravel()
+    each = [np.rint((positive - q * n) * _STEPS), np.rint(q * (1 - q) * n * _STEPS), n]
+    return np.stack([np.bincount(cell, np.repeat(v[here], width), (width * BINS) << level) for v in each]).reshape(3, 1 << level, width, BINS)
+
+
 class Trees:
-    """Boosted regression trees on the logistic loss; small, for the driver."""
+    """Boosted regression trees on the logistic loss.  They are grown from sums over all rows, wherever those are."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        edges = [_edges(np.quantile(x[:, j], QUANTILES)) for j in range(x.shape[1])]
+        codes = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)], axis=1)
+        self._grow(edges, len(y), y.sum(), lambda *state: _sums(*state, codes, np.ones(len(y)), y))
+
+    @classmethod
+    def grown(cls, edges: list[np.ndarray], n: int, positive: int, sums: Callable[..., np.ndarray]) -> "Trees":
+        """From ``sums(start, trees, splits, level)``, the total of ``_sums`` over all rows."""
+        out = cls.__new__(cls)
+        out._grow(edges, n, positive, sums)
+        return out
+
+    def _grow(self, edges, n, positive, sums):
+        self.edges, p = edges, np.clip(positive / n, 1e-3, 1 - 1e-3)
         self.start, self.trees = float(np.log(p / (1 - p))), []
-        f = np.full(len(y), self.start)
         for _ in range(TREES):
-            q = 1 / (1 + np.exp(-f))
-            tree = self._grow(x, y - q, q * (1 - q), np.arange(len(y)), DEPTH)
-            self.trees.append(tree)
-            f += self._value(tree, x)
-
-    def _grow(self, x, g, h, rows, depth):
-        best, total = (1e-6, None, None), (g[rows].sum(), h[rows].sum())
+            splits, values = {}, {}
+            for level in range(DEPTH):
+                total = sums(self.start, self.trees, splits, level)
+                for i in range(1 << level):
+                    node = (1 << level) + i
+                    if node == 1 or node // 2 in splits:
+                        self._split(node, total[:, i], splits, values)
+                if not any(node >= 1 << level for node in splits):
+                    break
+            self.trees.append((splits, values))
+
+    def _split(self, node: int, cells: np.ndarray, splits: dict, values: dict) -> None:
+        """Split ``node`` where most is won; ``values`` gets what stays a leaf."""
+        g, h = cells[0] / _STEPS, cells[1] / _STEPS
+        whole = [v[0].sum() for v in (g, h, cells[2])]
+        left = [v.cumsum(axis=1) for v in (g, h, cells[2])]
+        right = [w - v for w, v in zip(whole, left, strict=True)]
         gain = lambda a, b: a * a / (b + 1.0)
-        if depth and len(rows) >= 8:
-            for j, edges in enumerate(self.edges):
-                for e in edges:
-                    left = rows[x[rows, j] <= e]
-                    if 4 <= len(left) <= len(rows) - 4:
-                        a, b = g[left].sum(), h[left].sum()
-                        won = gain(a, b) + gain(total[0] - a, total[1] - b) - gain(*total)
-                        if won > best[0]:
-                            best = (won, j, float(e))
-        if best[1] is None:
-            return float(np.clip(RATE * total[0] / (total[1] + 1.0), -4, 4))
-        side = x[rows, best[1]] <= best[2]
-        return best[1], best[2], self._grow(x, g, h, rows[side], depth - 1), self._grow(x, g, h, rows[~side], depth - 1)
-
-    def _value(self, tree, x):
-        if isinstance(tree, float):
-            return np.full(len(x), tree)
-        j, e, low, high = tree
-        return np.where(x[:, j] <= e, self._value(low, x), self._value(high, x))
+        won = gain(left[0], left[1]) + gain(right[0], right[1]) - gain(whole[0], whole[1])
+        open_ = (left[2] >= 4) & (right[2] >= 4) & (np.arange(BINS) < np.array([len(e) for e in self.edges])[:, None])
+        won = np.where(open_, won, 0.0)
+        value = lambda a, b: float(np.clip(RATE * a / (b + 1.0), -4, 4))
+        j, k = np.unravel_index(int(np.argmax(won)), won.shape)
+        if won[j, k] <= 1e-6:
+            values[node] = value(whole[0], whole[1])
+            return
+        splits[node] = int(j), int(k)
+        values.pop(node, None)
+        if 2 * node >= 1 << DEPTH:
+            values[2 * node], values[2 * node + 1] = (value(s[0][j, k], s[1][j, k]) for s in (left, right))
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.start + sum(self._value(t, x) for t in self.trees)
+        return _margin(self.start, self.trees, np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(self.edges)], axis=1))
 
     def column(self, xs: Column) -> Column:
         """The margin as a SQL expression over an array of features."""
-        def walk(tree) -> Column:
-            if isinstance(tree, float):
-                return F.lit(tree)
-            return F.when(xs.getItem(tree[0]) <= tree[1], walk(tree[2])).otherwise(walk(tree[3]))
+        def walk(splits, values, node) -> Column:
+            if node not in splits:
+                return F.lit(values[node])
+            j, k = splits[node]
+            return F.when(xs.getItem(j) <= float(self.edges[j][k]), walk(splits, values, 2 * node)).otherwise(walk(splits, values, 2 * node + 1))
         out = F.lit(self.start)
-        for t in self.trees:
-            out = out + walk(t)
+        for splits, values in self.trees:
+            out = out + walk(splits, values, 1)
         return out
 
 
@@ -236,33 +288,81 @@ class Model:
         self.trees, self.threshold = trees, threshold
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Train on candidates of a bounded sample: documents with any candidate, the ``sample_docs`` first by hash of id and text.
+def _code(j: int) -> str:
+    return f"shiftright(code, {4 * j}) & 15"
+
 
-    The calibration part (a fifth of the candidates) sets the lowest margin
-    whose precision is at least PRECISION; without such a margin, or without
-    both labels, no candidate beyond the base kinds is redacted.
+def _walk(splits: dict, leaf: Callable[[int], str], node: int = 1) -> str:
+    """``leaf`` of the node that a coded row comes to, in SQL."""
+    if node not in splits:
+        return leaf(node)
+    j, k = splits[node]
+    return f"IF(({_code(j)}) <= {k}, {_walk(splits, leaf, 2 * node)}, {_walk(splits, leaf, 2 * node + 1)})"
+
+
+def _coded_margin(start: float, trees: list) -> Column:
+    return F.expr(" + ".join([f"{start!r}D", *[_walk(splits, lambda i, v=values: f"{v[i]!r}D") for splits, values in trees]]))
+
+
+def _table_sums(coded: DataFrame, start: float, trees: list, splits: dict, level: int) -> np.ndarray:
+    """``_sums`` of a table of coded rows: one aggregate, at most a row for each node, feature and code."""
+    q = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
+    rows = (coded.select("*", _coded_margin(start, trees).alias("margin"), F.expr(_walk(splits, str)).alias("node")).where(F.col("node") >= 1 << level)
+            .select("*", q.alias("q"))
+            .select("node", F.rint((F.col("positive") - F.col("q") * F.col("n")) * _STEPS).cast("bigint").alias("g"),
+                    F.rint(F.col("q") * (F.lit(1.0) - F.col("q")) * F.col("n") * _STEPS).cast("bigint").alias("h"), "n",
+                    F.posexplode(F.expr(f"array({', '.join(map(_code, range(len(FEATURES))))})")).alias("j", "c")))
+    out = np.zeros((3, 1 << level, len(FEATURES), BINS))
+    for r in rows.groupBy("node", "j", "c").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect():
+        out[:, r.node - (1 << level), r.j, r.c] = r.g, r.h, r.n
+    return out
+
+
+def labelled(df: DataFrame, text: str = "text") -> DataFrame:
+    """(x, y, held, n): features and weak label of every candidate of every text, equal ones counted.
+
+    A fifth of the candidates, chosen by hash of what they read, is held out.
+    """
+    s = F.col("s")
+    spans = df.select(F.explode(candidates(F.col(text))).alias("s"))
+    each = spans.select(_as_double(features(s)).alias("x"), vouched(s).alias("y"), (F.pmod(F.xxhash64(s["value"]), F.lit(5)) == 4).alias("held"))
+    return each.groupBy("x", "y", "held").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fit(df: DataFrame, text: str = "text") -> Model:
+    """Train on all candidates of all documents.
+
+    Candidates with equal features are counted together, and each feature is
+    coded by its quantiles over all training candidates, so trees are grown
+    from sums over a table of distinct codes: one aggregate a level.  The held-out candidates set the lowest margin
+    (in steps of 1 / GRID) whose precision is at least PRECISION; without such
+    a margin, or without both labels, no candidate beyond the base kinds is
+    redacted.
     """
-    need(df, key, text)
-    some = (hash_share(df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")), F.xxhash64("k"), SAMPLE_READ)
-            .select("t", F.xxhash64("k", "t").alias("o")).where(F.col("t").rlike(r"[0-9]{5}|[0-9]\.[0-9]|[\[(](?:at|@)[\])]|[=:] ?[\"'][A-Za-z0-9]")).orderBy("o", "t").limit(sample_docs))
-    spans = some.select(F.explode(candidates(F.col("t"))).alias("s"))
-    rows = spans.select(_as_double(features(F.col("s"))).alias("x"), vouched(F.col("s")).alias("y")).collect()
-    x = np.array([r.x for r in rows], dtype=float).reshape(-1, len(FEATURES))
-    y = np.array([r.y for r in rows], dtype=float)
-    order_rows = np.lexsort(np.column_stack([x, y]).T[::-1])
-    x, y = x[order_rows], y[order_rows]
-    if len(y) < 40 or y.min() == y.max():
+    need(df, text)
+    rows = cut_lineage(labelled(df.select(text), text), "candidates")
+    counts = rows.agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (~F.col("held"), ~F.col("held") & F.col("y"), F.col("held"))]).first()
+    n, positive, held = counts
+    if n + held < 40 or not 0 < positive < n or not held:
         return Model(None, float("inf"))
-    held = np.arange(len(y)) % 5 == 4
-    trees = Trees(x[~held], y[~held])
-    m = trees.margin(x[held])
-    threshold = float("inf")
-    for t in np.unique(m[m > 0]):
-        if y[held][m >= t].mean() >= PRECISION:
-            threshold = float(t)
-            break
-    return Model(trees, threshold)
+    values = (rows.where("NOT held").select(F.posexplode("x").alias("j", "v"), "n").groupBy("j", "v").agg(F.sum("n").alias("n"))
+              .groupBy("j").agg(F.percentile("v", [float(q) for q in QUANTILES], F.col("n")).alias("q")).collect())
+    edges = [_edges(r.q) for r in sorted(values, key=lambda r: r.j)]
+    above = lambda own, v: F.size(F.filter(F.array(*[F.lit(float(e)) for e in own]), lambda e: e < v)).cast("bigint")
+    code = F.lit(0).cast("bigint")
+    for j, own in enumerate(edges):
+        code = code + F.shiftleft(above(own, F.col("x")[j]), 4 * j)
+    coded = cut_lineage(rows.select(code.alias("code"), "held", "y", "n").groupBy("code", "held").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("y"), F.col("n")).otherwise(0)).alias("positive")), "candidate-codes")
+
+    trees = Trees.grown(edges, n, positive, lambda *state: _table_sums(coded.where("NOT held"), *state))
+    at = F.greatest(F.floor(_coded_margin(trees.start, trees.trees) * GRID), F.lit(0)).cast("int")
+    seen, right = np.zeros((2, _TOP))
+    for r in coded.where("held").groupBy(at.alias("at")).agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).collect():
+        seen[r.at], right[r.at] = r.n, r.positive
+    above, right = (np.cumsum(v[::-1])[::-1] for v in (seen, right))
+    good = np.flatnonzero((seen > 0) & (np.arange(_TOP) > 0) & (right >= PRECISION * above))
+    return Model(trees, good[0] / GRID if len(good) else float("inf"))
 
 
 def detect(df: DataFrame, model: Model, text: str = "text", spans: str = "spans") -> DataFrame:
