@@ -140,6 +140,37 @@ def test_seating_matches_the_restaurant_process():
     assert abs(len(size) / dishes - np.mean(tables)) < 0.5
 
 
+def tables_of_a_dish(c, d, rate):
+    """Exact mean and variance of the tables of c customers: t tables have the weight (d * rate) ** t times a generalised Stirling number."""
+    t = np.arange(c + 1)
+    log = np.full(c + 1, -np.inf)
+    log[1] = 0.0
+    for n in range(1, c):
+        stay = log[1:] + np.log(np.maximum(n - d * t[1:], 1e-300))
+        log[1:] = np.logaddexp(log[:-1], np.where(t[1:] <= n, stay, -np.inf))
+    w = log[1:] + t[1:] * np.log(d * rate)
+    w = np.exp(w - w.max())
+    mean = (w * t[1:]).sum() / w.sum()
+    return mean, (w * t[1:] ** 2).sum() / w.sum() - mean ** 2
+
+
+@pytest.mark.parametrize(("c", "d", "rate"), [(2, 0.5, 0.5), (5, 0.8, 3.0), (40, 0.3, 1.0), (600, 0.6, 20.0), (600, 0.9, 5.0), (600, 0.4, 300.0), (8, 0.7, 50.0)])
+def test_moves_reach_the_exact_number_of_tables(c, d, rate):
+    """All customers take part in a move: a dish of many is not held at the one table where it started."""
+    dishes, total = 400, 1e9  # tables elsewhere fix the rate
+    mean, variance = tables_of_a_dish(c, d, rate)
+    rng = np.random.default_rng(3)
+    seats, got = m.Seats(np.full(dishes, c), np.arange(dishes), dishes, np.zeros(dishes, np.int64), np.array([total])), []
+    for k in range(60):
+        seats.move(np.full(dishes, c), np.full(dishes, rate / total), d, 1.0, rng)
+        size, own = seats.taken()
+        assert (np.bincount(own, weights=size) == c).all() and (size > 0).all()
+        if k >= 40:
+            got.append(seats.t)
+    assert abs(np.mean(got) - mean) < 5 * math.sqrt(variance / dishes / 3)
+    assert 0.75 < np.var(got) / variance < 1.3
+
+
 def test_long_texts_in_pieces(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(5000)) + "  end"
     whole, n = m.tokens_of(pa.array([text, None, "a B"]))

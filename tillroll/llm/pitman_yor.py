@@ -4,10 +4,11 @@ Every word that a token follows is a restaurant; its dishes are the tokens
 that follow it, its customers their occurrences in the texts learnt from.  All
 restaurants share one parent, whose customers are their tables, and the
 parent's base is uniform over the vocabulary and one unknown word.  Seatings
-(table sizes) are sampled by Gibbs: a customer leaves and sits down again, at
-a table of its dish in proportion to size - discount, or at a new one in
-proportion to (strength + discount * tables) * the parent's probability.  A
-token's probability is the mean over the samples of
+(table sizes) are sampled by Gibbs: customers leave and sit down again, at a
+table of their dish in proportion to size - discount, or at a new one in
+proportion to (strength + discount * tables) * the parent's probability; a
+move is one of all customers of a dish together (``Seats.move``).  A token's
+probability is the mean over the samples of
 
     (c - d t + (strength + d T) * parent(w)) / (strength + C).
 
@@ -17,8 +18,7 @@ numbers.  A pack's distinct (context, word) pairs go, with their counts, to
 shards by hash of the context; contexts that hold more than a shard's share of
 all tokens are cut into sections by hash of the word.  A shard adds up counts
 and seats the dishes that occur twice or more (a single customer has one
-table), several moves at a time, all dishes side by side; moves of one step
-see the same totals.  Between rounds the shards send tables by word to the
+table), all dishes side by side.  Between rounds the shards send tables by word to the
 parent's shards, which seat them and answer with the parent's probabilities.
 A shard also keeps, for each pack, the places of what the pack asked for, so at
 the end it answers with counts and tables without being asked again, and the
@@ -60,7 +60,7 @@ from .words import mix, words_of
 PACK, SHARD = 800_000, 800_000
 #: Bytes of one text that are tokenised at once.
 PIECE = 1 << 20
-#: Rounds of seating before the sampled one; moves of a dish in a sweep; sweeps of a burning round; samples.
+#: Rounds of seating before the sampled one; moves of all of a dish's customers in a sweep; sweeps of a burning round; samples.
 BURN, MOVES, SWEEPS, SAMPLES = 1, 3, 2, 3
 STRENGTH = 1.0
 #: The end token's hash.
@@ -296,46 +296,86 @@ def start(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, rng) -> tuple[n
     return size, own
 
 
+def _log_weight(n: np.ndarray, d: float) -> np.ndarray:
+    """log(gamma(n - d) / (gamma(1 - d) gamma(n))) for whole n from 1 on."""
+    def stirling(x):
+        return (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x ** 3)
+    few = np.concatenate(([0.0], np.cumsum(np.log1p(-d / np.arange(1, 256)))))
+    out = few[np.minimum(n, 256) - 1]
+    large = n > 256
+    x = n[large].astype(float)
+    out[large] += stirling(x - d) - stirling(x) - (stirling(256.0 - d) - stirling(256.0))
+    return out
+
+
+def _tilt(c: np.ndarray, rate: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """(1 - x, groups) of each dish: with sizes weighted by x to the size, its tables hold c customers on average, and a group
+    holds a few times what the table of a random customer does (one group where a single table holds most of the dish).
+    Any values are right; these are seldom refused."""
+    goal = np.log(c / (d * rate))
+    z = np.where(goal < 0, goal, goal / (1 - d))  # x as log odds; x * (1 - x) ** (d - 1) is to be c / (d * rate)
+    for _ in range(2):
+        z -= ((1 - d) * np.logaddexp(0, z) - np.logaddexp(0, -z) - goal) / (1 - d * np.exp(-np.logaddexp(0, -z)))
+    gap = np.minimum(np.exp(-np.logaddexp(0, z)), 1 - 1e-9)
+    many = gap * (c + 1) > 1
+    gap = np.where(many, gap, 1 / (c + 1))
+    return gap, np.where(many, np.maximum(c / (4 + 4 * (1 - d) * (1 - gap) / gap), 1), 1).astype(np.int64)
+
+
 class Seats:
-    """Tables of many dishes: flat sizes by dish, with one empty seat after each dish's tables."""
+    """Tables of many dishes: flat sizes, ordered by dish."""
 
     def __init__(self, size: np.ndarray, own: np.ndarray, dishes: int, restaurant: np.ndarray, others: np.ndarray):
         self.restaurant, self.others, self.dishes = restaurant, others, dishes
         self._set(size, own)
 
     def _set(self, size: np.ndarray, own: np.ndarray) -> None:
-        keep = size > 0
-        size, own = size[keep], own[keep]
+        order = np.argsort(own, kind="stable")
+        self.size, self.own = size[order], own[order]
         self.t = np.bincount(own, minlength=self.dishes)
-        self.last = np.cumsum(self.t + 1) - 1
-        self.size = np.zeros(len(size) + self.dishes, np.int64)
-        self.size[np.arange(len(size)) + own] = size
-        self.own = np.repeat(np.arange(self.dishes), self.t + 1)
 
     def tables(self) -> np.ndarray:
         """Tables of each restaurant, those outside this shard and those of single customers included."""
         return self.others + np.bincount(self.restaurant, weights=self.t, minlength=len(self.others))
 
     def taken(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.size[self.size > 0], self.own[self.size > 0]
+        return self.size, self.own
 
     def move(self, c: np.ndarray, parent: np.ndarray, d: float, strength: float, rng) -> None:
-        """One customer of every dish leaves and sits down again."""
-        upto = np.cumsum(self.size)
-        before = upto[self.last] - c
-        at = np.searchsorted(upto, before + np.minimum((rng.random(self.dishes) * c).astype(np.int64), c - 1), side="right")
-        self.size[at] -= 1
-        self.t[self.size[at] == 0] -= 1
-        weight = self.size - d * (self.size > 0)
-        weight[self.last] = (strength + d * self.tables())[self.restaurant] * parent
-        upto = np.cumsum(weight)
-        begin = np.concatenate(([0.0], upto[self.last[:-1]]))
-        at = np.searchsorted(upto, begin + rng.random(self.dishes) * (upto[self.last] - begin), side="right")
-        first = np.concatenate(([0], self.last[:-1] + 1))
-        at = np.clip(at, first, self.last)
-        # rounding may end on an emptied seat, which counts as the empty one
-        self.size[at] += 1
-        self._set(self.size, self.own)
+        """All customers of every dish leave and sit down again.
+
+        Given a gamma variable of strength / d + tables for each restaurant, its dishes are independent.  With ``rate`` the
+        variable times the parent's probability, a dish has a Poisson number of tables of each size n, rate * d * (1 - d) ...
+        (n - 1 - d) / n! on average, given that they hold its c customers.  Tables are dealt into groups at random, which
+        keep their totals.  In each group the table of a random customer takes up the difference while all others are drawn
+        anew; the step is accepted by the ratio of gamma(n - d) / gamma(n) * x ** n of that table (Metropolis and Hastings),
+        x being the weight by which the draw prefers small tables.  The work is as the number of tables, not of customers.
+        """
+        if not self.dishes:
+            return
+        rate = parent * rng.gamma(strength / d + self.tables())[self.restaurant]
+        gap, groups = _tilt(c, rate, d)
+        key = (np.cumsum(groups) - groups)[self.own]
+        key += (rng.random(len(key)) * groups[self.own]).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        size, key = self.size[order], key[order]
+        head = np.diff(key, prepend=-1) > 0
+        first, group = np.flatnonzero(head), np.cumsum(head) - 1
+        dish, total = self.own[order[first]], np.add.reduceat(size, first)
+        at = np.searchsorted(np.cumsum(size), np.cumsum(total) - total + np.minimum((rng.random(len(first)) * total).astype(np.int64), total - 1), side="right")
+        old = size[at]
+        gap = np.maximum(gap[dish], 1 / (total + 1))
+        log_x = np.log1p(-gap)
+        owner = np.repeat(np.arange(len(first)), rng.poisson(rate[dish] / groups[dish] * (1 - gap)))
+        with np.errstate(divide="ignore"):  # geometric with a beta chance of success
+            n = 1 + np.minimum(rng.standard_exponential(len(owner)) / -np.log1p(-rng.beta(d, 1 - d, len(owner))), 1e15).astype(np.int64)
+        kept = -rng.standard_exponential(len(owner)) < (n - 1) * log_x[owner]
+        owner, n = owner[kept], n[kept]
+        rest = total - np.bincount(owner, weights=np.minimum(n, total[owner]), minlength=len(first)).astype(np.int64)
+        gain = _log_weight(np.maximum(rest, 1), d) - _log_weight(old, d) + (rest - old) * log_x
+        changed = (rest > 0) & (-rng.standard_exponential(len(first)) < gain)
+        stay, come = ~changed[group], changed[owner]
+        self._set(np.concatenate([size[stay], rest[changed], n[come]]), dish[np.concatenate([group[stay], np.flatnonzero(changed), owner[come]])])
 
 
 # ---- shards ----
