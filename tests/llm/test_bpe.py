@@ -44,6 +44,15 @@ def test_every_token_encodes_to_itself(reference):
     assert [bytes(x) for x in own.encode(texts)] == [b"".join(i.to_bytes(4, "little") for i in reference.encode_ordinary(t)) for t in texts]
 
 
+def test_decoding_builds_no_encoder(spark):
+    df = spark.createDataFrame([(1, b"\x00\x01\x00\x00\x05\x00\x00\x00"), (2, None)], "doc_id long, ids binary")
+    token = {rank: t for t, rank in bpe.read_ranks(VOCABULARY).items()}
+    only = b"\n".join(line for line in VOCABULARY.splitlines() if int(line.split()[1]) in (5, 256))  # no encoder can be made of it
+    with pytest.raises(ValueError):
+        bpe.Codec(only, PATTERN)
+    assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(df, only).collect()} == {1: token[256] + token[5], 2: b""}
+
+
 def _valid(token: bytes) -> bool:
     try:
         token.decode()

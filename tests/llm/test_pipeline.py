@@ -76,6 +76,13 @@ def test_tokens_equal_the_public_library(steps):
     assert want == Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in after.collect())
 
 
+def test_tokens_holds_one_worker_for_each_task(spark):
+    """Encoding and decoding are not evaluated side by side in one stage."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(20)
+    plan = c.tokens(spark, docs, D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet").limit(0)
     for _, stage in c.STAGES:

@@ -84,7 +84,7 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary inside a worker."""
+    """Encoder of one vocabulary inside a worker."""
 
     def __init__(self, vocabulary: bytes, pattern: str):
         import regex
@@ -96,9 +96,7 @@ class Codec:
             raise ValueError(f"the vocabulary lacks the single bytes {missing[:5]}")
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
-        by_rank = sorted(self.ranks.items(), key=lambda x: x[1])
-        self.rank_of_piece = np.array([0, *(rank for _, rank in by_rank)], dtype="<u4")
-        self.token_of = {rank: token for token, rank in by_rank}
+        self.rank_of_piece = np.array([0, *sorted(self.ranks.values())], dtype="<u4")
         self.cache: dict[str, bytes] = {}
 
     def _encode_new(self, pre_tokens: list[str]) -> None:
@@ -130,15 +128,22 @@ class Codec:
         get = self.cache.__getitem__
         return [b"".join(map(get, pre)) for pre in split]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @lru_cache(maxsize=2)
 def codec(vocabulary: bytes, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
+@lru_cache(maxsize=2)
+def tokens_by_rank(vocabulary: bytes) -> dict[int, bytes]:
+    """All that decoding needs: a worker that only decodes builds no encoder."""
+    return {rank: token for token, rank in read_ranks(vocabulary).items()}
+
+
+def text_of(ids: bytes, token_of: dict[int, bytes]) -> bytes:
+    return b"".join(map(token_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the binary column ``ids``: each text's ids as little-endian unsigned 32-bit integers.
 
@@ -169,9 +174,9 @@ def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", decoded: str = "d
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = codec(shared.value, "(?s).+")
+        own = tokens_by_rank(shared.value)
         for rows in drained(batches):
-            yield pa.array([own.decode(x or b"") for x in rows.to_pylist()], pa.binary())
+            yield pa.array([text_of(x or b"", own) for x in rows.to_pylist()], pa.binary())
 
     return df.withColumn(decoded, run(F.col(ids)))
 
