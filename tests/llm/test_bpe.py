@@ -5,6 +5,7 @@ import pytest
 import tiktoken
 
 from tillroll.llm import bpe
+from tillroll.llm.blocks import drained
 
 VOCABULARY, PATTERN = bpe.public_vocabulary()
 TEXTS = [None, "", " ", "  \n\t x", "Hello world, it's 2024!!", "é" * 400 + " naïve ß 你好 🙂🙂", "a" * 5000, "x\u0000y z",
@@ -53,6 +54,12 @@ def test_decoding_builds_no_encoder(spark):
     assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(df, only).collect()} == {1: token[256] + token[5], 2: b""}
 
 
+def test_tasks_of_other_stages_drop_the_encoder():
+    bpe.codec(VOCABULARY, PATTERN)
+    assert list(drained(iter([1, 2]), bpe.codec, bpe.tokens_by_rank)) == [1, 2] and bpe.codec.cache_info().currsize
+    assert list(drained(iter([3]))) == [3] and not bpe.codec.cache_info().currsize
+
+
 def _valid(token: bytes) -> bool:
     try:
         token.decode()

@@ -50,6 +50,24 @@ def test_without_declarations_and_empty_and_clashing_columns(spark):
     assert g.identify(df.limit(0)).count() == 0
 
 
+def test_a_task_holds_one_worker(spark, monkeypatch):
+    """Texts are scored once in a stage, and small tables pass through no Python workers."""
+    plans, write = [], g.cut_lineage
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    def none(*args):
+        raise AssertionError("rows of a list pass through Python workers")
+
+    monkeypatch.setattr(g, "cut_lineage", spied)
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", none)
+    plans.append(g.identify(docs).where("accepted")._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("ArrowEvalPython") for p in plans] == [1, 1]
+
+
 def test_every_declared_language_is_learnt(spark):
     import random
 

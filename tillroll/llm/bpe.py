@@ -18,14 +18,13 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blocks, drained, need, small_batches
+from .blocks import blocks, drained, kept, need, small_batches
 
 #: Pre-tokens remembered by a worker before its memory starts afresh.
 CACHE_TOKENS = 200_000
@@ -129,12 +128,12 @@ class Codec:
         return [b"".join(map(get, pre)) for pre in split]
 
 
-@lru_cache(maxsize=2)
+@kept
 def codec(vocabulary: bytes, pattern: str) -> Codec:
     return Codec(vocabulary, pattern)
 
 
-@lru_cache(maxsize=2)
+@kept
 def tokens_by_rank(vocabulary: bytes) -> dict[int, bytes]:
     """All that decoding needs: a worker that only decodes builds no encoder."""
     return {rank: token for token, rank in read_ranks(vocabulary).items()}
@@ -157,7 +156,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", i
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(*shared.value)
-        for texts in drained(batches):
+        for texts in drained(batches, codec, tokens_by_rank):
             out: list[bytes] = []
             for a, b in blocks(texts):
                 out += own.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
@@ -175,7 +174,7 @@ def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", decoded: str = "d
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tokens_by_rank(shared.value)
-        for rows in drained(batches):
+        for rows in drained(batches, codec, tokens_by_rank):
             yield pa.array([text_of(x or b"", own) for x in rows.to_pylist()], pa.binary())
 
     return df.withColumn(decoded, run(F.col(ids)))

@@ -62,7 +62,7 @@ PAIRS = 8_000
 PACK, SORT, SHARD = 300_000, 200_000, 600_000
 #: Rounds in which a bucket's other components are tested against a member of its largest one.
 OFFERS = 2
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 
 # ---- sets ----

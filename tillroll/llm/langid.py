@@ -107,7 +107,8 @@ def fit_text(df: DataFrame, text: str, declared: str, rows: int = SAMPLE_ROWS) -
         return None
     each = max(LANGUAGE_ROWS, rows // len(sizes))
     below = [(x, 1 << 31 if n <= each else int(each / n * (1 << 31))) for x, n in sorted(sizes.items())]
-    shares = spark.createDataFrame(below, "l string, below long")
+    # an Arrow table, not a list: rows of a list would pass through Python workers of a kind of their own, which wait beside the others
+    shares = spark.createDataFrame(pa.table({"l": [x for x, _ in below], "below": pa.array([k for _, k in below], pa.int64())}))
     some = with_lang.join(F.broadcast(shares), "l").where(F.shiftrightunsigned(F.xxhash64("t", "l"), 33) < F.col("below"))
     some = some.select("t", "l").repartition(16)
     most = max(LANGUAGE_BYTES, SAMPLE_BYTES // len(sizes)) // 16
@@ -187,7 +188,10 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
     rows = rows.withColumn("guess", best)
 
     # counts over all rows; partial sums first, so a hot host is a few rows of each task
-    found = cut_lineage(rows.where("guess IS NOT NULL").groupBy("_said", "_host", "_domain", "_suffix", "guess").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    # rows without a guess are counted too and left out of what was written: a filter below the counts would read the texts
+    # by a second call of ``likelihood``, in another worker of the same task
+    counts = rows.groupBy("_said", "_host", "_domain", "_suffix", "guess").agg(F.count(F.lit(1)).alias("n"))
+    found = cut_lineage(counts, "language-counts").where("guess IS NOT NULL")
     told = np.zeros((n + 1, n))
     for r in found.where("_said IS NOT NULL").groupBy("_said", "guess").agg(F.sum("n").alias("n")).collect():
         told[r["_said"], r["guess"]] = r["n"]
@@ -224,7 +228,7 @@ def identify(df: DataFrame, text: str = "text", declared: str = "lang", host: st
     prior = smoothed("host_n", smoothed("domain_n", wide))
     total_of = _doubles(everywhere)
     by_suffix = F.coalesce(F.zip_with(F.col("suffix_n"), total_of, lambda c, t: F.log((c + 0.5) / (t + 1.0))), _doubles(np.zeros(n)))
-    table = df.sparkSession.createDataFrame([(k, x.tolist()) for k, x in enumerate(np.log(share))], "_said_key int, _said_log array<double>")
+    table = df.sparkSession.createDataFrame(pa.table({"_said_key": pa.array(range(n + 1), pa.int32()), "_said_log": pa.array(np.log(share).tolist(), pa.list_(pa.float64()))}))
     joined = joined.join(F.broadcast(table), F.col("_said") == F.col("_said_key"), "left")
     by_said = F.coalesce("_said_log", _doubles(np.zeros(n)))
     weight = F.least(F.col("_text.n"), F.lit(EVIDENCE)).cast("double")
