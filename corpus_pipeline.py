@@ -69,7 +69,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary, pattern = bpe.public_vocabulary()
     # written between the two: in one stage each task would hold a worker for either, beside what the stages before left
     ids = cut_lineage(bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, pattern).drop("text"), "pipeline-ids")
-    coded = bpe.decode(ids, vocabulary)
+    coded = bpe.decode(ids, vocabulary, alone=True)
     return coded.select("doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.llm import jaccard as j
 from tillroll.llm.components import components
@@ -89,6 +90,22 @@ def test_signatures_of_similar_sets_meet(seed):
             assert set(sig[row == 0] >> 1) & set(sig[row == 1] >> 1) & large
 
 
+def test_a_task_gets_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(j, "SHARD", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    seen, kind = [], type(docs)
+    real = kind.mapInArrow
+
+    def spied(self, f, schema):
+        seen.append(self)
+        return real(self, f, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    j.shared_signatures(docs, 20 * 500)
+    each = seen[-1].groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("shard").alias("n")).collect()
+    assert sum(r.n for r in each) == 20 and all(r.n == 1 for r in each)
+
+
 def test_shared_in_chunks_equals_whole():
     r = np.random.default_rng(3)
     sig, doc = r.integers(0, 500, 4000).astype(np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 900, 4000)

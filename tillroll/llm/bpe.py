@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .blocks import blocks, drained, kept, need, small_batches
 
 #: Pre-tokens remembered by a worker before its memory starts afresh.
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 100_000
+#: Bytes of text that are split at once (each pre-token is an object of its own).
+BLOCK = 1 << 17
 #: Byte b is written as the character FIRST_CHAR + b: one character per byte, none of them white space.
 FIRST_CHAR = 0x100
 
@@ -94,7 +96,7 @@ class Codec:
         if missing:
             raise ValueError(f"the vocabulary lacks the single bytes {missing[:5]}")
         self.split = regex.compile(pattern).findall
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks), num_threads=1)
         self.rank_of_piece = np.array([0, *sorted(self.ranks.values())], dtype="<u4")
         self.cache: dict[str, bytes] = {}
 
@@ -158,15 +160,18 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text: str = "text", i
         own = codec(*shared.value)
         for texts in drained(batches, codec, tokens_by_rank):
             out: list[bytes] = []
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, BLOCK):
                 out += own.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
             yield pa.array(out, pa.binary())
 
     return df.withColumn(ids, run(F.col(text)))
 
 
-def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` with the binary column ``decoded``: the bytes that the ids stand for; null ids give empty bytes."""
+def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", decoded: str = "decoded", alone: bool = False) -> DataFrame:
+    """``df`` with the binary column ``decoded``: the bytes that the ids stand for; null ids give empty bytes.
+
+    ``alone``: nothing is encoded in the same stage, so workers drop their encoder.
+    """
     need(df, ids)
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
@@ -174,7 +179,7 @@ def decode(df: DataFrame, vocabulary: bytes, ids: str = "ids", decoded: str = "d
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tokens_by_rank(shared.value)
-        for rows in drained(batches, codec, tokens_by_rank):
+        for rows in drained(batches, tokens_by_rank, *([] if alone else [codec])):
             yield pa.array([text_of(x or b"", own) for x in rows.to_pylist()], pa.binary())
 
     return df.withColumn(decoded, run(F.col(ids)))

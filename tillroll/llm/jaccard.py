@@ -301,7 +301,8 @@ def shared_signatures(docs: DataFrame, expected: int, seed: int = 0) -> DataFram
                 yield out
 
     small_batches(spark)
-    return _packed(docs, shards, seed).repartition(shards, "shard").mapInArrow(run, "bucket bigint, pivot bigint, doc bigint")
+    # by the shard's number: by its hash some tasks would get several shards, and hold the signatures of all
+    return _packed(docs, shards, seed).repartitionById(shards, F.col("shard")).mapInArrow(run, "bucket bigint, pivot bigint, doc bigint")
 
 
 # ---- Spark: tests of pairs ----
